@@ -57,11 +57,15 @@ def _capitalize(k: str) -> str:
     return k[:1].upper() + k[1:].lower()
 
 
+ALL_STEPS = ("sqli", "xss", "path", "general", "regen")
+
+
 def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str = "text",
-                     seed: int = DEFAULT_SEED) -> DataFrame:
+                     seed: int = DEFAULT_SEED, steps=ALL_STEPS) -> DataFrame:
     """G7 over a DataFrame: class mutation (G1-G3) -> general mutation (G4) -> regeneration.
 
     ``label`` holds the class name, ``key`` the unique row key the draws are keyed by.
+    ``steps`` selects mutation families (G1 sqli, G2 xss, G3 path, G4 general, G5 regen).
     """
     lab = F.col(label)
     d = df.select("*", *[draw_hex(F.col(key), g, seed).alias(f"_h_{g}") for g in DRAW_GROUPS])
@@ -71,6 +75,22 @@ def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str =
     def step(frame: DataFrame, expr: Column) -> DataFrame:
         return frame.withColumn(p, expr)
 
+    if "sqli" in steps:
+        d = _sqli(d, lab, p, step)
+    if "xss" in steps:
+        d = _xss(d, lab, p, step)
+    if "path" in steps:
+        d = _path(d, lab, p, step)
+    if "general" in steps:
+        d = _general(d, lab, p, step)
+    if "regen" in steps:
+        d = _regen(d, lab, p, step)
+    keep = [c for c in df.columns if c != out]
+    return d.select(*keep, F.col(p).alias(out))
+
+
+def _sqli(d, lab, p, step):
+
     # G1 sqli: tautology swap (same char twice for the quoted form, two chars for the plain one)
     is_sqli = lab == F.lit("sqli")
     taut = is_sqli & (_u("sq", "tautology") > 0.5)
@@ -86,6 +106,10 @@ def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str =
         new = F.when(_u(g, f"{kw}_case") > 0.5, F.lit(kw.lower())).otherwise(F.lit(_capitalize(kw)))
         d = step(d, F.replace(F.col(p), F.lit(kw), F.when(
             is_sqli & (_u(g, kw) > 0.5), new).otherwise(F.lit(kw))))
+    return d
+
+
+def _xss(d, lab, p, step):
     # G2 xss
     is_xss = lab == F.lit("xss")
     d = step(d, F.replace(F.col(p), F.lit(XSS_ALERT), F.when(
@@ -94,6 +118,10 @@ def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str =
     d = step(d, F.replace(F.col(p), F.lit(XSS_SCRIPT), F.when(
         is_xss & (_u("xs", "script") > 0.5), choice(XSS_SCRIPT_OPTIONS, _w("xs", "script_pick")))
         .otherwise(F.lit(XSS_SCRIPT))))
+    return d
+
+
+def _path(d, lab, p, step):
     # G3 lfi / traversal: new depth when all steps are contiguous, then a new target file
     is_path = lab.isin("lfi", "traversal")
     d = d.withColumn("_cnt", ((F.length(F.col(p)) - F.length(F.replace(F.col(p), F.lit(PATH_STEP))))
@@ -104,6 +132,10 @@ def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str =
         .otherwise(F.col(p)))
     d = step(d, F.replace(F.col(p), F.lit(LFI_TARGET), F.when(
         is_path, choice(LFI_TARGET_OPTIONS, _w("pt", "target"))).otherwise(F.lit(LFI_TARGET))))
+    return d.drop("_cnt")
+
+
+def _general(d, lab, p, step):
     # G4 general mutation buckets
     u = _u("ge", "bucket")
     param = choice(RANDOM_PARAMS, _w("ge", "param"))
@@ -118,13 +150,16 @@ def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str =
              .when(u < b3, quote_plus(F.col(p)))
              .when(u < b4, F.concat(F.col(p), junk))
              .otherwise(F.col(p)))
+    return d
+
+
+def _regen(d, lab, p, step):
+    is_normal = lab == F.lit("normal")
     # G5 normal rows may be regenerated as a new path?param=random
     regen = F.concat(choice(RANDOM_PATHS, _w("rg", "path")), F.lit("?"),
                      choice(RANDOM_PARAMS, _w("rg", "param")), F.lit("="),
                      _chars(["r1", "r2"], JUNK_LEN_NORMAL))
-    d = step(d, F.when(is_normal & (_u("rg", "regen") < NORMAL_REGEN_P), regen).otherwise(F.col(p)))
-    keep = [c for c in df.columns if c != out]
-    return d.select(*keep, F.col(p).alias(out))
+    return step(d, F.when(is_normal & (_u("rg", "regen") < NORMAL_REGEN_P), regen).otherwise(F.col(p)))
 
 
 def _chars_one(group: str, name: str) -> Column:

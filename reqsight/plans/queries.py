@@ -309,3 +309,217 @@ SELECT id, CASE WHEN (CASE WHEN payload = '' THEN 'ERROR' WHEN type = 'normal' T
 def q_d7(spark, sf):
     s = rule_scored(spark, sf)
     return s.select("id", D.outcome(D.verdict_status("type", "payload")).alias("outcome"))
+
+
+# ============================================================== 2.6 evaluation over G
+
+PC_SQL = """cm AS (SELECT label, pred, count(*) AS n FROM g GROUP BY label, pred),
+truth AS (SELECT label AS cls, sum(n) AS support FROM cm GROUP BY label),
+predd AS (SELECT pred AS cls, sum(n) AS predicted FROM cm GROUP BY pred),
+tp AS (SELECT label AS cls, n AS tp FROM cm WHERE label = pred),
+pc0 AS (SELECT coalesce(t.cls, p.cls) AS cls, coalesce(t.support, 0) AS support,
+               coalesce(p.predicted, 0) AS predicted FROM truth t FULL JOIN predd p ON t.cls = p.cls),
+pc1 AS (SELECT pc0.*, coalesce(tp.tp, 0) AS tp FROM pc0 LEFT JOIN tp ON tp.cls = pc0.cls),
+pc2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp::DOUBLE / predicted ELSE 0.0 END AS precision,
+               CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0.0 END AS recall FROM pc1),
+pc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pc2)"""
+
+
+@register("a3_confusion_matrix", f"""WITH {S.g_cte()}
+SELECT cast(label as bigint) AS label, cast(pred as bigint) AS pred, count(*) AS n FROM g GROUP BY label, pred""")
+def q_a3(spark, sf):
+    cm = A.confusion_matrix(X.scored_rows(spark, sf))
+    return cm.select(big(F.col("label")).alias("label"), big(F.col("pred")).alias("pred"), "n")
+
+
+@register("a4_accuracy", f"""WITH {S.g_cte()}
+SELECT round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM g""")
+def q_a4(spark, sf):
+    a = A.accuracy(X.scored_rows(spark, sf))
+    return a.select(r6(F.col("accuracy")).alias("accuracy"), "n")
+
+
+@register("a5_weighted_prf", f"""WITH {S.g_cte()}, {PC_SQL}
+SELECT round(sum(precision * support) / sum(support), 6) AS precision,
+       round(sum(recall * support) / sum(support), 6) AS recall,
+       round(sum(f1 * support) / sum(support), 6) AS f1,
+       round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy FROM pc""")
+def q_a5(spark, sf):
+    w = A.weighted_prf(X.scored_rows(spark, sf))
+    return w.select(*[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@register("a6_classification_report", f"""WITH {S.g_cte()}, {PC_SQL}
+SELECT cast(cls as bigint) AS row_order, {S.label_name('cls')} AS class, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1, cast(support as bigint) AS support FROM pc
+UNION ALL SELECT 100, 'accuracy', NULL, NULL, round(sum(tp)::DOUBLE / sum(support), 6), cast(sum(support) as bigint) FROM pc
+UNION ALL SELECT 101, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) FROM pc
+UNION ALL SELECT 102, 'weighted avg', round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+       cast(sum(support) as bigint) FROM pc""")
+def q_a6(spark, sf):
+    r = A.classification_report(X.scored_rows(spark, sf))
+    return r.select(big(F.col("row_order")).alias("row_order"), "class",
+                    *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register("a7_file_accuracy", f"""WITH {S.t_cte()}, {SCORED_SQL},
+rows AS (SELECT src, CASE WHEN (contains(lower(src), 'normal') AND lower(type) = 'normal')
+   OR (NOT contains(lower(src), 'normal') AND lower(type) <> 'normal') THEN 1 ELSE 0 END AS ok FROM scored)
+SELECT src, cast(sum(ok) as bigint) AS correct, count(*) AS total, round(sum(ok) * 100.0 / count(*), 2)::DOUBLE AS pct
+FROM rows GROUP BY src""")
+def q_a7(spark, sf):
+    return A.file_accuracy(rule_scored(spark, sf)).select("src", "correct", "total",
+                                                          F.col("pct").cast("double").alias("pct"))
+
+
+@register("a7_file_rows", f"""WITH {S.t_cte()}, {SCORED_SQL}
+SELECT id, CASE WHEN contains(lower(src), 'normal') THEN 'normal' ELSE 'attack' END AS expected,
+  CASE WHEN (contains(lower(src), 'normal') AND lower(type) = 'normal')
+    OR (NOT contains(lower(src), 'normal') AND lower(type) <> 'normal') THEN 'PASS' ELSE 'FAIL' END AS status,
+  substr(payload, 1, 50) AS preview, upper(type) AS pred FROM scored""")
+def q_a7_rows(spark, sf):
+    r = A.file_rows(rule_scored(spark, sf))
+    return r.select("id", "expected", "status", "preview", F.upper("type").alias("pred"))
+
+
+@register("a8_roc_auc", f"""WITH {S.g_cte()}, sm AS (SELECT vec_id, label, {S.softmax('logits')} AS p FROM g),
+ex AS (SELECT label, generate_subscripts(p, 1) - 1 AS cls, round(unnest(p), 9) AS score FROM sm),
+s AS (SELECT cls, score, sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label <> cls THEN 1 ELSE 0 END) AS q
+      FROM ex GROUP BY cls, score),
+w AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+SELECT cast(cls as bigint) AS class_id,
+       round(CASE WHEN sum(p) * sum(q) > 0 THEN sum(p * (below + q * 0.5))::DOUBLE / (sum(p) * sum(q)) END, 6) AS auc,
+       cast(sum(p) as bigint) AS n_pos, cast(sum(q) as bigint) AS n_neg FROM w GROUP BY cls""")
+def q_a8(spark, sf):
+    g = X.scored_rows(spark, sf).select("label", F.posexplode(D.softmax("logits")).alias("cls", "score"))
+    g = g.select("cls", F.round("score", 9).alias("score"), (F.col("label") == F.col("cls")).alias("pos"))
+    r = A.roc_auc(g, "score", "pos", group="cls")
+    return r.select(big(F.col("cls")).alias("class_id"), r6(F.col("auc")).alias("auc"),
+                    big(F.col("n_pos")).alias("n_pos"), big(F.col("n_neg")).alias("n_neg"))
+
+
+@register("a9_latency_summary", """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean,
+  round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95,
+  round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""")
+def q_a9(spark, sf):
+    ev = X.read_table(spark, sf, "events")
+    s = A.latency_summary(ev, "value", "event_type")
+    return s.select("event_type", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
+@register("a10_cross_entropy", f"""WITH {S.g_cte()}
+SELECT round(avg({S.log_sum_exp('logits')} - logits[label + 1]), 6) AS cross_entropy, count(*) AS n FROM g""")
+def q_a10(spark, sf):
+    c = A.cross_entropy(X.scored_rows(spark, sf))
+    return c.select(r6(F.col("cross_entropy")).alias("cross_entropy"), "n")
+
+
+SUITE_SCORED_SQL = f"""cs0 AS (SELECT *, {S.assemble('args')} AS payload FROM c),
+cs AS (SELECT *, {S.rule_scorer("array_to_string(" + S.decoded_views("payload") + ", ' ')")} AS type FROM cs0)"""
+
+
+def suite_scored(spark, sf) -> DataFrame:
+    c = X.suite_events(spark, sf).withColumn("payload", P.assemble_payload("args"))
+    views = F.array_join(P.decoded_views(F.col("payload")), " ")
+    return c.withColumn("type", L.rule_scorer(views))
+
+
+@register("a11_suite_report", f"""WITH {S.suite_cte()}, {SUITE_SCORED_SQL}
+SELECT name, payload, expected_class,
+  CASE WHEN (CASE WHEN payload = '' THEN 'ERROR' WHEN type = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END) = 'ATTACK'
+    THEN 'BLOCKED' ELSE 'ALLOWED' END AS outcome, upper(type) AS detected, count(*) AS requests,
+  bool_and(type = expected_class) AS passed
+FROM cs GROUP BY ALL""")
+def q_a11(spark, sf):
+    return A.suite_report(suite_scored(spark, sf))
+
+
+@register("a11_suite_pass_rate", f"""WITH {S.suite_cte()}, {SUITE_SCORED_SQL},
+rep AS (SELECT name, bool_and(type = expected_class) AS passed, count(*) AS requests FROM cs GROUP BY name)
+SELECT round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, count(*) AS cases,
+       cast(sum(requests) as bigint) AS requests FROM rep""")
+def q_a11_rate(spark, sf):
+    r = A.suite_pass_rate(A.suite_report(suite_scored(spark, sf)))
+    return r.select(r6(F.col("pass_rate")).alias("pass_rate"), "cases", big(F.col("requests")).alias("requests"))
+
+
+@register("a2_profile_log", f"""WITH {S.r_cte()},
+tot AS (SELECT 'total' AS section, 0::BIGINT AS rank, NULL::VARCHAR AS value, count(*) AS n FROM r),
+smp AS (SELECT 'sample' AS section, row_number() OVER (ORDER BY page_id)::BIGINT AS rank,
+   coalesce(http_method, '') || ' ' || coalesce(http_path, '') || ' ' || coalesce(http_query, '') AS value,
+   NULL::BIGINT AS n FROM r ORDER BY page_id LIMIT 5),
+top AS (SELECT 'top_rule' AS section, row_number() OVER (ORDER BY count(*) DESC, rule_names ASC NULLS LAST)::BIGINT AS rank,
+   rule_names AS value, count(*) AS n FROM r GROUP BY rule_names ORDER BY n DESC, rule_names LIMIT 10)
+SELECT * FROM tot UNION ALL SELECT * FROM smp UNION ALL SELECT * FROM top""")
+def q_a2(spark, sf):
+    return A.profile_log(X.requests(spark, sf), "page_id")
+
+
+@register("m6_top_values", """SELECT event_type, count(*) AS n FROM events GROUP BY event_type
+ORDER BY n DESC, event_type LIMIT 10""")
+def q_m6(spark, sf):
+    return M.top_values(X.read_table(spark, sf, "events"), "event_type", 10)
+
+
+# ============================================================== 2.5 sampling
+
+
+@register("m1_cap_per_class", f"""WITH {S.labelled_cte()},
+rk AS (SELECT id, label_str, row_number() OVER (PARTITION BY label ORDER BY {S.draw('id', 'cap')}, id) AS rn
+       FROM lab WHERE label IS NOT NULL)
+SELECT id, label_str FROM rk WHERE rn <= 5000""")
+def q_m1(spark, sf):
+    return M.cap_per_class(labelled(spark, sf), "label", "id", 5000).select("id", "label_str")
+
+
+@register("m1_cap_per_class_embeddings", f"""WITH rk AS (SELECT vec_id, label,
+  row_number() OVER (PARTITION BY label ORDER BY {S.draw('vec_id', 'cap')}, vec_id) AS rn FROM embeddings WHERE label IS NOT NULL)
+SELECT vec_id, cast(label as bigint) AS label FROM rk WHERE rn <= 30""")
+def q_m1_emb(spark, sf):
+    e = X.read_table(spark, sf, "embeddings").select("vec_id", "label")
+    return M.cap_per_class(e, "label", "vec_id", 30).select("vec_id", big(F.col("label")).alias("label"))
+
+
+@register("m2_random_split", f"""WITH {S.t_cte()}
+SELECT id, CASE WHEN {S.unit(S.draw_hex('id', 'split'))} < 0.2 THEN 'test' ELSE 'train' END AS split,
+       CASE WHEN {S.unit(S.draw_hex('tid', 'split'))} < 0.2 THEN 'test' ELSE 'train' END AS group_split FROM t""")
+def q_m2(spark, sf):
+    t = X.labelled_lines(spark, sf)
+    a = M.random_split(t, "id").select("id", "split", "tid")
+    return M.random_split(a.withColumnRenamed("split", "_s"), "id", group_col="tid") \
+        .select("id", F.col("_s").alias("split"), F.col("split").alias("group_split"))
+
+
+@register("m3_stratified_split", f"""WITH e AS (SELECT vec_id, label,
+  row_number() OVER (PARTITION BY label ORDER BY {S.draw('vec_id', 'strat')}, vec_id) - 1 AS rk,
+  count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT vec_id, cast(label as bigint) AS label, CASE WHEN rk < round(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM e""")
+def q_m3(spark, sf):
+    e = X.read_table(spark, sf, "embeddings").select("vec_id", "label")
+    s = M.stratified_split(e, "label", "vec_id", 0.2)
+    return s.select("vec_id", big(F.col("label")).alias("label"), "split")
+
+
+@register("m4_shuffle_rows", f"""WITH {S.t_cte()}
+SELECT id, row_number() OVER (ORDER BY {S.draw('id', 'shuffle')}, id) - 1 AS row_index FROM t""")
+def q_m4(spark, sf):
+    return M.shuffle_rows(X.labelled_lines(spark, sf), "id").select("id", "row_index")
+
+
+@register("m5_sample_templates", f"""WITH {S.templates_cte()},
+ids AS (SELECT unnest(range((SELECT count(*) FROM events))) AS id)
+SELECT ids.id, tpl.tid::BIGINT AS tid, tpl.title FROM ids JOIN tpl ON tpl.tid = {S.draw('ids.id', 'pick')} % {X.N_TEMPLATES}""")
+def q_m5(spark, sf):
+    n = X.read_table(spark, sf, "events").count()
+    s = M.sample_templates(spark, X.templates_df(spark), n, n_templates=X.N_TEMPLATES)
+    return s.select("id", big(F.col("tid")).alias("tid"), "title")
+
+
+@register("m7_hard_negatives", f"""WITH {S.g_cte()}, d AS (SELECT vec_id, label, pred, {S.softmax('logits')}[pred + 1] AS confidence FROM g)
+SELECT vec_id, cast(pred as bigint) AS pred, round(confidence, 6) AS confidence FROM d
+WHERE label = 0 AND pred <> 0 AND confidence >= 0.0 ORDER BY confidence DESC, vec_id LIMIT 100""")
+def q_m7(spark, sf):
+    g = X.scored_rows(spark, sf).withColumn("confidence", D.decide("logits")["confidence"])
+    h = M.hard_negatives(g, key="vec_id", k=100)
+    return h.select("vec_id", big(F.col("pred")).alias("pred"), r6(F.col("confidence")).alias("confidence"))

@@ -27,7 +27,7 @@ def word(hex_sql: str, k: int = 0) -> str:
 
 
 def unit(hex_sql: str, k: int = 0) -> str:
-    return f"({word(hex_sql, k)} / 4294967296.0)"
+    return f"({word(hex_sql, k)} / 4294967296.0::DOUBLE)"
 
 
 def draw(key: str, name: str, seed: int = DEFAULT_SEED) -> str:
@@ -218,3 +218,81 @@ def decoded_views(x: str) -> str:
           f"THEN decode(unhex(substr({x}, 3))) END) END)")
     arr = f"list_filter([{x}, {url1}, {url2}, {b64}, {hx}], lambda v: v IS NOT NULL)"
     return f"list_filter({arr}, lambda v, i: list_position({arr}, v) = i)"
+
+
+# ----------------------------------------------------------------- augmentation
+def augment_ctes(src: str, key: str, text: str, label: str, prefix: str = "au",
+                 steps=("sqli", "xss", "path", "general", "regen")) -> tuple[str, str]:
+    """CTEs mutating ``text`` of relation ``src``; returns (ctes, last relation name).
+
+    The last relation has every column of ``src`` plus ``p`` (the mutated text).
+    """
+    from reqsight.fixed import (GENERAL_BUCKETS, JUNK_LEN_ATTACK, JUNK_LEN_NORMAL, LFI_TARGET,
+                                LFI_TARGET_OPTIONS, NORMAL_REGEN_P, PATH_DEPTH_MAX, PATH_DEPTH_MIN,
+                                PATH_STEP, RANDOM_PARAMS, RANDOM_PATHS, SQL_KEYWORDS,
+                                SQL_TAUTOLOGY_PLAIN, SQL_TAUTOLOGY_QUOTED, XSS_ALERT,
+                                XSS_ALERT_OPTIONS, XSS_SCRIPT, XSS_SCRIPT_OPTIONS)
+    from reqsight.functions.augment import DRAW_GROUPS
+
+    def w(g, name):
+        return word(f"h_{g}", DRAW_GROUPS[g].index(name))
+
+    def u(g, name):
+        return unit(f"h_{g}", DRAW_GROUPS[g].index(name))
+
+    def chars(groups, n):
+        ws = [word(f"h_{g}", k) for g in groups for k in range(4)][:n]
+        return "(" + random_chars(ws) + ")"
+
+    hashes = ", ".join(f"{draw_hex(key, g)} AS h_{g}" for g in DRAW_GROUPS)
+    ctes = [f"{prefix}0 AS (SELECT *, {hashes}, {text} AS p FROM {src})"]
+    exprs = []
+    lab = label
+    if "sqli" in steps:
+        sqli = f"({lab} = 'sqli')"
+        taut = f"({sqli} AND {u('sq', 'tautology')} > 0.5)"
+        a = "(" + random_chars([w("sq", "char_a")]) + ")"
+        b = "(" + random_chars([w("sq", "char_b")]) + ")"
+        c = "(" + random_chars([w("sq", "char_c")]) + ")"
+        exprs.append(f"replace(p, {sq(SQL_TAUTOLOGY_QUOTED)}, CASE WHEN {taut} THEN {a} || '''=''' || {a} "
+                     f"ELSE {sq(SQL_TAUTOLOGY_QUOTED)} END)")
+        exprs.append(f"replace(p, {sq(SQL_TAUTOLOGY_PLAIN)}, CASE WHEN {taut} THEN {b} || '=' || {c} "
+                     f"ELSE {sq(SQL_TAUTOLOGY_PLAIN)} END)")
+        groups = ["k1", "k1", "k2", "k2", "k3", "k3", "k4", "k4"]
+        for kw, g in zip(SQL_KEYWORDS, groups):
+            cap = kw[:1].upper() + kw[1:].lower()
+            exprs.append(f"replace(p, {sq(kw)}, CASE WHEN {sqli} AND {u(g, kw)} > 0.5 THEN "
+                         f"(CASE WHEN {u(g, kw + '_case')} > 0.5 THEN {sq(kw.lower())} ELSE {sq(cap)} END) "
+                         f"ELSE {sq(kw)} END)")
+    if "xss" in steps:
+        xss = f"({lab} = 'xss')"
+        exprs.append(f"replace(p, {sq(XSS_ALERT)}, CASE WHEN {xss} AND {u('xs', 'alert')} > 0.5 THEN "
+                     f"{choice(XSS_ALERT_OPTIONS, w('xs', 'alert_pick'))} ELSE {sq(XSS_ALERT)} END)")
+        exprs.append(f"replace(p, {sq(XSS_SCRIPT)}, CASE WHEN {xss} AND {u('xs', 'script')} > 0.5 THEN "
+                     f"{choice(XSS_SCRIPT_OPTIONS, w('xs', 'script_pick'))} ELSE {sq(XSS_SCRIPT)} END)")
+    if "path" in steps:
+        isp = f"({lab} IN ('lfi', 'traversal'))"
+        cnt = f"cast((length(p) - length(replace(p, {sq(PATH_STEP)}, ''))) // {len(PATH_STEP)} as integer)"
+        depth = f"cast({PATH_DEPTH_MIN} + {w('pt', 'depth')} % {PATH_DEPTH_MAX - PATH_DEPTH_MIN + 1} as integer)"
+        exprs.append(f"CASE WHEN {isp} AND {cnt} > 0 THEN replace(p, repeat({sq(PATH_STEP)}, {cnt}), "
+                     f"repeat({sq(PATH_STEP)}, {depth})) ELSE p END")
+        exprs.append(f"replace(p, {sq(LFI_TARGET)}, CASE WHEN {isp} THEN "
+                     f"{choice(LFI_TARGET_OPTIONS, w('pt', 'target'))} ELSE {sq(LFI_TARGET)} END)")
+    if "general" in steps:
+        ub = u("ge", "bucket")
+        param = choice(RANDOM_PARAMS, w("ge", "param"))
+        path = choice(RANDOM_PATHS, w("ge", "path"))
+        junk = (f"(CASE WHEN {lab} = 'normal' THEN '&' || {param} || '=' || {chars(['j1', 'j2'], JUNK_LEN_NORMAL)} "
+                f"ELSE ' -- ' || {chars(['j1'], JUNK_LEN_ATTACK)} END)")
+        b1, b2, b3, b4 = GENERAL_BUCKETS
+        exprs.append(f"CASE WHEN {ub} < {b1} THEN {param} || '=' || p "
+                     f"WHEN {ub} < {b2} THEN {path} || '?' || {param} || '=' || p "
+                     f"WHEN {ub} < {b3} THEN replace(url_encode(p), '%20', '+') "
+                     f"WHEN {ub} < {b4} THEN p || {junk} ELSE p END")
+    if "regen" in steps:
+        regen = (f"{choice(RANDOM_PATHS, w('rg', 'path'))} || '?' || {choice(RANDOM_PARAMS, w('rg', 'param'))} "
+                 f"|| '=' || {chars(['r1', 'r2'], JUNK_LEN_NORMAL)}")
+        exprs.append(f"CASE WHEN {lab} = 'normal' AND {u('rg', 'regen')} < {NORMAL_REGEN_P} THEN {regen} ELSE p END")
+    for i, e in enumerate(exprs, start=1):
+        ctes.append(f"{prefix}{i} AS (SELECT * REPLACE ({e} AS p) FROM {prefix}{i - 1})")
+    return ",\n".join(ctes), f"{prefix}{len(exprs)}"

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 # cluster's defaults win, because getOrCreate keeps an existing session).
 _BASE_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
