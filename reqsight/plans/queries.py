@@ -523,3 +523,99 @@ def q_m7(spark, sf):
     g = X.scored_rows(spark, sf).withColumn("confidence", D.decide("logits")["confidence"])
     h = M.hard_negatives(g, key="vec_id", k=100)
     return h.select("vec_id", big(F.col("pred")).alias("pred"), r6(F.col("confidence")).alias("confidence"))
+
+
+# ============================================================== 2.7 augmentation
+
+def _aug_query(steps, name):
+    ctes, last = S.augment_ctes("lab", "id", "text", "label_str", prefix="au", steps=steps)
+    sql = f"""WITH {S.labelled_cte()},
+{ctes}
+SELECT id, label_str, p AS text FROM {last}"""
+
+    def fn(spark, sf):
+        from reqsight.functions.augment import augment_payloads
+        d = labelled(spark, sf).select("id", "label_str", "text")
+        return augment_payloads(d, "text", "label_str", "id", steps=steps)
+
+    register(name, sql)(fn)
+
+
+_aug_query(("sqli",), "g1_mutate_sqli")
+_aug_query(("xss",), "g2_mutate_xss")
+_aug_query(("path",), "g3_mutate_path")
+_aug_query(("general",), "g4_mutate_general")
+_aug_query(("regen",), "g5_regenerate_normal")
+_aug_query(("sqli", "xss", "path", "general", "regen"), "g7_augment_payload")
+
+
+@register("g6_random_parts", f"""WITH {S.t_cte()}
+SELECT id, {S.choice(__import__('reqsight.fixed', fromlist=['x']).RANDOM_PARAMS, S.word(S.draw_hex('id', 'ge'), 1))} AS param,
+       {S.choice(__import__('reqsight.fixed', fromlist=['x']).RANDOM_PATHS, S.word(S.draw_hex('id', 'ge'), 2))} AS path,
+       {S.random_chars([S.word(S.draw_hex('id', g), k) for g in ('r1', 'r2') for k in range(4)])} AS rnd8 FROM t""")
+def q_g6(spark, sf):
+    from reqsight.fixed import RANDOM_ALPHABET, RANDOM_PARAMS, RANDOM_PATHS
+    from reqsight.functions.draws import choice, draw_hex, random_string, word
+    t = X.labelled_lines(spark, sf)
+    ge = draw_hex(F.col("id"), "ge")
+    words = [word(draw_hex(F.col("id"), g), k) for g in ("r1", "r2") for k in range(4)]
+    return t.select("id", choice(RANDOM_PARAMS, word(ge, 1)).alias("param"),
+                    choice(RANDOM_PATHS, word(ge, 2)).alias("path"),
+                    random_string(RANDOM_ALPHABET, words).alias("rnd8"))
+
+
+def _g8_sql(target: int) -> str:
+    ctes, last = S.augment_ctes("pk", "id", "text", "label_str", prefix="au")
+    return f"""WITH {S.labelled_cte()},
+raw AS (SELECT id AS src_id, text, label_str, tid FROM lab),
+idx AS (SELECT *, row_number() OVER (ORDER BY {S.draw('src_id', 'pos')}, src_id) - 1 AS pos FROM raw),
+ids AS (SELECT unnest(range((SELECT count(*) FROM raw), greatest({target}, (SELECT count(*) FROM raw)))) AS id),
+pk AS (SELECT ids.id, idx.src_id, idx.tid, idx.text, idx.label_str FROM ids
+       JOIN idx ON idx.pos = {S.draw('ids.id', 'pick')} % (SELECT count(*) FROM raw)),
+{ctes},
+allrows AS (SELECT src_id AS id, 'raw' AS origin, src_id, tid, text, label_str FROM raw
+            UNION ALL SELECT id, 'aug', src_id, tid, p, label_str FROM {last})
+SELECT id, origin, src_id, cast(tid as bigint) AS tid, text, label_str, cast({S.label_id('label_str')} as bigint) AS label FROM allrows"""
+
+
+@register("g8_augment_dataset", _g8_sql(20000))
+def q_g8(spark, sf):
+    d = augment_dataset(spark, labelled(spark, sf), "id", 20000)
+    return d.select("id", "origin", "src_id", big(F.col("tid")).alias("tid"), "text", "label_str",
+                    big(F.col("label")).alias("label"))
+
+
+@register("g8_augment_distribution", f"""WITH g8 AS ({_g8_sql(20000)})
+SELECT label_str, origin, count(*) AS n FROM g8 GROUP BY label_str, origin""")
+def q_g8_dist(spark, sf):
+    d = augment_dataset(spark, labelled(spark, sf), "id", 20000)
+    return d.groupBy("label_str", "origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ============================================================== 2.8 encoding
+
+_NON_ASCII = "[\\x00-\\x7f]"
+
+
+@register("e1_encode_chars", f"""WITH c AS (SELECT doc_id, text,
+  list_transform(range(1, least(length(coalesce(text, '')), 128) + 1),
+    lambda i_: CASE WHEN ord(substr(text, i_, 1)) < 128 THEN ord(substr(text, i_, 1)) + 1 ELSE 129 END) AS ids FROM documents)
+SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(128 - len(ids)), lambda z_: 0)), ' ') AS ids,
+       cast(length(text) as bigint) AS n_chars,
+       cast(length(regexp_replace(text, '{_NON_ASCII}', '', 'g')) as bigint) AS n_unknown FROM c""")
+def q_e1(spark, sf):
+    d = X.read_table(spark, sf, "documents")
+    return d.select("doc_id", joined(encode_chars("text")).alias("ids"), big(F.length("text")).alias("n_chars"),
+                    big(F.length(F.regexp_replace("text", _NON_ASCII, ""))).alias("n_unknown"))
+
+
+@register("e2_encode_cls_chars", f"""WITH c AS (SELECT doc_id, lower(coalesce(text, '')) AS lt FROM documents),
+b AS (SELECT doc_id, list_transform(range(1, least(length(lt), 126) + 1),
+    lambda i_: CASE WHEN ord(substr(lt, i_, 1)) BETWEEN 33 AND 126 THEN 1000 + ord(substr(lt, i_, 1)) ELSE 100 END) AS body FROM c)
+SELECT doc_id, array_to_string(list_concat([101], body, [102], list_transform(range(126 - len(body)), lambda z_: 0)), ' ') AS ids,
+       cast(len(body) + 2 as bigint) AS mask_sum FROM b""")
+def q_e2(spark, sf):
+    d = X.read_table(spark, sf, "documents")
+    enc = encode_cls_chars("text", DEMO_CHAR_VOCAB)
+    return d.select("doc_id", joined(enc["ids"]).alias("ids"),
+                    big(F.aggregate(enc["mask"], F.lit(0), lambda a, x: a + x)).alias("mask_sum"))
