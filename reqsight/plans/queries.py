@@ -619,3 +619,171 @@ def q_e2(spark, sf):
     enc = encode_cls_chars("text", DEMO_CHAR_VOCAB)
     return d.select("doc_id", joined(enc["ids"]).alias("ids"),
                     big(F.aggregate(enc["mask"], F.lit(0), lambda a, x: a + x)).alias("mask_sum"))
+
+
+# ============================================================== 2.9 training and scoring
+_MODEL_CACHE: dict = {}
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from reqsight.session import shared_path
+    return shared_path(spark, f"reqsight-runs/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def trained(spark, sf):
+    """T3 on the augmented dataset (G8), split by template so variants do not leak (Q11)."""
+    from reqsight.operators.model import TrainConfig, train_and_evaluate
+    key = (id(spark), sf)
+    if key not in _MODEL_CACHE:
+        data = augment_dataset(spark, labelled(spark, sf), "id", 20000)
+        cfg = TrainConfig(group_col="tid", max_iter=30)
+        _MODEL_CACHE[key] = train_and_evaluate(spark, data, cfg)
+    return _MODEL_CACHE[key]
+
+
+@register("t3_train_and_evaluate")
+def q_t3(spark, sf):
+    model, metrics, report, scored = trained(spark, sf)
+    return report.select(big(F.col("row_order")).alias("row_order"), "class",
+                         *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register("t5_score")
+def q_t5(spark, sf):
+    from reqsight.operators.model import score
+    model = trained(spark, sf)[0]
+    s = score(X.labelled_lines(spark, sf).withColumnRenamed("payload", "text"), model)
+    return s.select("id", "type", r6(F.col("confidence")).alias("confidence"))
+
+
+@register("t7_majority_vote", f"""WITH lg AS (
+  SELECT vec_id, cast(list_position(embedding[1:8], list_max(embedding[1:8])) - 1 as integer) AS pred FROM embeddings
+  UNION ALL SELECT vec_id, cast(list_position(embedding[9:16], list_max(embedding[9:16])) - 1 as integer) FROM embeddings
+  UNION ALL SELECT vec_id, cast(list_position(embedding[17:24], list_max(embedding[17:24])) - 1 as integer) FROM embeddings),
+vt AS (SELECT vec_id, pred, count(*) AS n FROM lg GROUP BY vec_id, pred),
+bt AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, pred ASC) AS rn,
+       sum(n) OVER (PARTITION BY vec_id) AS voters FROM vt)
+SELECT vec_id, cast(pred as integer) AS vote, n AS votes, cast(voters as bigint) AS voters FROM bt WHERE rn = 1""")
+def q_t7(spark, sf):
+    from reqsight.operators.model import majority_vote
+    e = X.read_table(spark, sf, "embeddings")
+    longs = None
+    for m, lo in enumerate((1, 9, 17)):
+        z = F.transform(F.slice("embedding", lo, 8), lambda x: x.cast("double"))
+        s = e.select("vec_id", F.lit(f"m{m}").alias("model"), D.argmax(z).alias("pred"))
+        longs = s if longs is None else longs.unionByName(s)
+    v = majority_vote(longs, "vec_id")
+    return v.select("vec_id", "vote", "votes", big(F.col("voters")).alias("voters"))
+
+
+VSCORED_SQL = f"""vs AS (SELECT *, {S.rule_scorer("array_to_string(" + S.decoded_views("payload") + ", ' ')")} AS type FROM v)"""
+
+
+@register("t8_retrain_rows", f"""WITH {S.v_cte()}, {VSCORED_SQL},
+t AS (SELECT d.doc_id AS id, replace(p.tpl_payload, {S.sq(X.TEXT_SLOT)}, replace(coalesce(d.text, ''), chr(10), ' ')) AS payload
+      FROM documents d JOIN tpl p ON p.tid = {S.draw('d.doc_id', 't')} % {X.N_TEMPLATES})
+SELECT DISTINCT payload AS text, type AS label_str FROM vs WHERE md5(payload) NOT IN (SELECT md5(payload) FROM t)""")
+def q_t8(spark, sf):
+    from reqsight.operators.model import retrain_rows
+    from reqsight.streaming.jobs import rule_score
+    v = rule_score(X.request_events(spark, sf)).select(F.col("payload").alias("text"), F.col("type").alias("label_str"))
+    base = X.labelled_lines(spark, sf).select(F.col("payload").alias("text"))
+    return retrain_rows(base, v)
+
+
+@register("e3_encode_wordpiece")
+def q_e3(spark, sf):
+    from reqsight.operators.wordpiece import encode_wordpiece, vocab_from_corpus
+    d = X.read_table(spark, sf, "documents").select("doc_id", "text")
+    vocab = vocab_from_corpus(d, "text", 2000)
+    enc = encode_wordpiece(d, vocab, "text")
+    return enc.select("doc_id", joined(F.col("ids")).alias("ids"),
+                      big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("mask_sum"))
+
+
+@register("e4_char_ngram_features")
+def q_e4(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    from reqsight.operators.model import char_ngram_features
+    d = X.read_table(spark, sf, "documents").select("doc_id", "text")
+    f = char_ngram_features(d, "text", 3, 1 << 18)
+    nnz = F.size(F.filter(vector_to_array("features"), lambda x: x != 0))
+    return f.select("doc_id", big(nnz).alias("nnz"))
+
+
+# ============================================================== sources and sinks with files
+
+
+@register("s2_read_request_log")
+def q_s2(spark, sf):
+    from reqsight.sources.readers import read_request_log
+    path = _scratch(spark, "requestlog")
+    r = X.requests(spark, sf).select("http_method", "http_path", "http_query", "rule_names")
+    r.write.option("header", True).option("sep", ";").csv(path)
+    return read_request_log(spark, path)
+
+
+@register("s4_write_samples")
+def q_s4(spark, sf):
+    from reqsight.sources.readers import read_samples, write_samples
+    path = _scratch(spark, "samples")
+    write_samples(labelled(spark, sf).select("id", "text", "label_str", "label"), path)
+    return read_samples(spark, path)
+
+
+def _replay_v(spark, sf) -> tuple[str, object]:
+    path = _scratch(spark, "v-replay")
+    v = X.request_events(spark, sf)
+    v.write.parquet(path)
+    return path, v.schema
+
+
+@register("s7_request_stream")
+def q_s7(spark, sf):
+    from reqsight.sources.readers import request_stream
+    src, schema = _replay_v(spark, sf)
+    sink = _scratch(spark, "s7-sink")
+    q = (request_stream(spark, src, schema, max_files_per_trigger=2).writeStream.format("parquet")
+         .option("path", sink).option("checkpointLocation", sink + "_ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "payload")
+
+
+# ============================================================== 2.11 streaming
+
+
+@register("w1_score_stream", f"""WITH {S.v_cte()}, {VSCORED_SQL}
+SELECT event_id, CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL'
+  ELSE 'ATTACK' END AS status, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type, payload FROM vs""")
+def q_w1(spark, sf):
+    from reqsight.sources.readers import request_stream
+    from reqsight.streaming.jobs import score_stream
+    src, schema = _replay_v(spark, sf)
+    sink = _scratch(spark, "w1-sink")
+    q = score_stream(request_stream(spark, src, schema, max_files_per_trigger=2), sink, sink + "_ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "status", "type", "payload")
+
+
+@register("w2_attack_rate", f"""WITH {S.v_cte()}, {VSCORED_SQL},
+vv AS (SELECT ts, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type,
+  CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status FROM vs)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, type, count(*) AS requests,
+       cast(sum(CASE WHEN status = 'ATTACK' THEN 1 ELSE 0 END) as bigint) AS attacks FROM vv GROUP BY ALL""")
+def q_w2(spark, sf):
+    from reqsight.streaming.jobs import attack_rate, score_requests, window_start_text
+    v = score_requests(X.request_events(spark, sf))
+    r = attack_rate(v, "1 day", delay=None)
+    return r.select(window_start_text("window").alias("window_start"), "type", "requests", "attacks")
+
+
+@register("w3_collect_training_rows")
+def q_w3(spark, sf):
+    from reqsight.sources.readers import request_stream
+    from reqsight.streaming.jobs import collect_training_rows
+    src, schema = _replay_v(spark, sf)
+    table = _scratch(spark, "w3-table")
+    q = collect_training_rows(request_stream(spark, src, schema, max_files_per_trigger=2), table, table + "_ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(table)
