@@ -70,7 +70,8 @@ def encode_wordpiece(df: DataFrame, vocab: dict[str, int], text: str = "text",
     spark = df.sparkSession
     bv = spark.sparkContext.broadcast(vocab)
     cols = df.columns
-    schema = df.schema.add("ids", T.ArrayType(T.IntegerType())).add("mask", T.ArrayType(T.IntegerType()))
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("ids", T.ArrayType(T.IntegerType())),
+                                                     T.StructField("mask", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         v = bv.value
