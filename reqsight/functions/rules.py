@@ -84,7 +84,8 @@ def label_id(name) -> Column:
 
 def label_name(idx) -> Column:
     """Class id -> name (NULL outside 0..7)."""
-    return F.try_element_at(classes_array(), (_col(idx) + 1).cast("int"))
+    i = _col(idx)
+    return F.when(i.between(0, len(CLASSES) - 1), F.element_at(classes_array(), (i + 1).cast("int")))
 
 
 def rule_scorer(payload) -> Column:
