@@ -201,9 +201,11 @@ def retrain_rows(base: DataFrame, new_rows: DataFrame, hard_negatives: DataFrame
     cand = new_rows.select(text, label)
     if hard_negatives is not None:
         cand = cand.unionByName(hard_negatives.select(text, F.lit("normal").alias(label)))
-    cand = cand.withColumn("_h", F.md5(F.col(text)))
-    known = base.select(F.md5(F.col(text)).alias("_h"))
-    return cand.join(known, "_h", "left_anti").select(text, label).distinct()
+    # de-duplicate both sides first (map-side partial aggregation), so a payload
+    # repeated in a third of all rows is one row before the anti join shuffles
+    cand = cand.distinct().withColumn("_h", F.md5(F.col(text)))
+    known = base.select(F.md5(F.col(text)).alias("_h")).distinct()
+    return cand.join(known, "_h", "left_anti").select(text, label)
 
 
 def retrain_from_logs(spark: SparkSession, base: DataFrame, new_rows: DataFrame,

@@ -63,7 +63,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id",
         raise ValueError(f"class {small[0][0]!r} has fewer than 2 rows; cannot stratify")
     ranked = dense_index(df, draw(F.col(key), "strat", seed), key, label, out="_rank")
     k = sizes.select(label, F.round(F.col("_size") * F.lit(test)).cast("bigint").alias("_k"))
-    return (ranked.join(F.broadcast(k), label)
+    # one row per class; AQE broadcasts it at run time when it is small
+    return (ranked.join(k, label)
             .withColumn("split", F.when(F.col("_rank") < F.col("_k"), F.lit("test"))
                         .otherwise(F.lit("train")))
             .drop("_rank", "_k"))
@@ -75,12 +76,19 @@ def shuffle_rows(df: DataFrame, key: str = "id", seed: int = DEFAULT_SEED,
     return dense_index(df, draw(F.col(key), "shuffle", seed), key, out=out)
 
 
+BROADCAST_TEMPLATES_MAX = 100_000
+
+
 def sample_templates(spark, templates: DataFrame, n: int, tid: str = "tid",
                      seed: int = DEFAULT_SEED, n_templates: int | None = None) -> DataFrame:
-    """M5: ``n`` draws with replacement from a small template table numbered 0..count-1."""
+    """M5: ``n`` draws with replacement from a template table numbered 0..count-1.
+
+    The template side is broadcast only when its row count is known to be small.
+    """
     count = n_templates if n_templates is not None else templates.count()
     picks = spark.range(n).withColumn(tid, (draw(F.col("id"), "pick", seed) % count).cast("int"))
-    return picks.join(F.broadcast(templates), tid)
+    side = F.broadcast(templates) if count <= BROADCAST_TEMPLATES_MAX else templates
+    return picks.join(side, tid)
 
 
 def top_values(df: DataFrame, col: str, k: int = 10) -> DataFrame:

@@ -41,21 +41,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_LOCAL_CKPT: str | None = None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names it; only when it is unset (local tests) do we create a
     scratch folder of our own.
     """
+    global _LOCAL_CKPT
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not d:
-        cur = sc._jsc.sc().getCheckpointDir()
-        d = cur.get() if cur.isDefined() else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="reqsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
+        if _LOCAL_CKPT is None:
+            _LOCAL_CKPT = tempfile.mkdtemp(prefix="reqsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        d = _LOCAL_CKPT
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(d)
     return d
 
 
