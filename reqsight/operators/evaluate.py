@@ -6,6 +6,8 @@ every metric after it works on a table of at most classes x classes rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reqsight.fixed import CLASSES
@@ -104,18 +106,24 @@ def file_accuracy(scored: DataFrame, file_col: str = "src", text_col: str = "pay
 
 
 def roc_auc(df: DataFrame, score: str, positive: str, group: str | None = None,
-            bits: int = 10) -> DataFrame:
+            bits: int | None = None, rows_per_bucket: int = 2_000_000) -> DataFrame:
     """Exact ROC-AUC with tied scores counted one half (the rank-sum formula).
 
     Rows are first collapsed to distinct scores (partial aggregation, so a hot
     score is one row). The number of negatives below each score is a prefix
     sum computed per (group, score bucket) plus the bucket's offset, where the
     buckets are quantiles of the distinct scores: no single-partition window.
+    Unless ``bits`` is given, the bucket count grows with the number of
+    distinct scores so that a bucket holds about ``rows_per_bucket`` of them.
     """
     gcols = [group] if group else []
     pos = F.col(positive).cast("boolean")
     s = (df.groupBy(*gcols, F.col(score).alias("_s"))
          .agg(F.sum(pos.cast("bigint")).alias("_p"), F.sum((~pos).cast("bigint")).alias("_q")))
+    if bits is None:
+        n_groups = s.select(*gcols).distinct().count() if gcols else 1
+        per_group = s.count() / max(n_groups, 1)
+        bits = max(2, min(12, int(math.ceil(math.log2(max(per_group / rows_per_bucket, 1.0)))) + 2))
     nb = 1 << bits
     qs = [i / nb for i in range(1, nb)]
     cuts = s.groupBy(*gcols).agg(F.percentile_approx("_s", qs, 10000).alias("_cuts"))
