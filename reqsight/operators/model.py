@@ -29,7 +29,7 @@ from reqsight.operators.sampling import cap_per_class, random_split, stratified_
 @dataclass
 class TrainConfig:
     ngram: int = 3
-    num_features: int = 1 << 18
+    num_features: int = 1 << 16
     model: str = "logreg"             # or "mlp"
     max_iter: int = 50
     reg_param: float = 0.001
@@ -126,16 +126,18 @@ def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig
                        checkpoint: bool = True):
     """Cap per class -> split -> train -> score held-out -> weighted P/R/F1 and report.
 
-    The capped, split dataset is checkpointed to the shared folder: training
-    makes many passes and a lost executor then re-reads it instead of
-    recomputing the augmentation.
+    The input samples (typically the augmented dataset, an expensive lineage)
+    are checkpointed once to the shared folder; the capped split is derived
+    from that and cached, so the ranking passes and the many training passes
+    never recompute the augmentation, and a lost executor re-reads the
+    checkpoint instead.
     Returns (model, metrics Row as dict, report DataFrame, scored test DataFrame).
     """
     cfg = cfg or TrainConfig()
-    capped = cap_per_class(samples, cfg.label_col, cfg.key_col, cfg.cap, cfg.seed)
-    parts = split_dataset(capped, cfg)
     if checkpoint:
-        parts = parts.checkpoint(eager=True)
+        samples = samples.checkpoint(eager=True)
+    capped = cap_per_class(samples, cfg.label_col, cfg.key_col, cfg.cap, cfg.seed)
+    parts = split_dataset(capped, cfg).persist()
     train = parts.filter(F.col("split") == "train")
     test = parts.filter(F.col("split") == "test")
     model = train_classifier(train, cfg)
