@@ -160,11 +160,16 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     tpl = templates_df(spark).select("tid", "tpl_payload")
     return (ev.withColumn("tid", (draw("event_id", "t") % N_TEMPLATES).cast("int"))
             .join(F.broadcast(tpl), "tid")
-            .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
+            .select("event_id", utc_instant(F.col("ts")).alias("ts"), "user_id",
                     json_args(F.col("props")).alias("args"),
                     F.replace(F.col("tpl_payload"), F.lit(TEXT_SLOT), F.lit("")).alias("payload")))
 
 
+def utc_instant(ts_ntz):
+    """TIMESTAMP_NTZ wall clock read as UTC -> TIMESTAMP, whatever the session time zone."""
+    return F.concat(ts_ntz.cast("string"), F.lit("+00:00")).cast("timestamp")
+
+
 def suite_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C assigned to events: one suite case per events row (``event_id, cid, name, args, expected_class``)."""
     ev = read_table(spark, sf_dir, "events").select("event_id")

@@ -57,8 +57,10 @@ def attack_rate(df: DataFrame, window: str = "1 day", slide: str | None = None,
 
 
 def window_start_text(c: Column | str = "window") -> Column:
+    """Window start as UTC wall-clock text, independent of the session time zone."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.date_format(c["start"], "yyyy-MM-dd HH:mm:ss")
+    utc = F.convert_timezone(None, F.lit("UTC"), c["start"].cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd HH:mm:ss")
 
 
 def collect_training_rows(stream: DataFrame, table_path: str, checkpoint: str,
