@@ -243,7 +243,8 @@ def score_external(df: DataFrame, model_file: str, ids: str = "ids", mask: str =
                    batch_size: int = 256, on_error: str = "ATTACK") -> DataFrame:
     """Score ``ids``/``mask`` (ARRAY<INT>[128]) with a user-supplied ONNX file over Arrow batches.
 
-    A failed batch yields NaN logits, which become type ``error``.
+    A failed batch yields NaN (or NULL) logits, which become type ``error`` (fail-closed: the
+    verdict of an ``error`` row is ATTACK unless ``verdict(..., on_error="ERROR")``).
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, DoubleType
@@ -251,7 +252,7 @@ def score_external(df: DataFrame, model_file: str, ids: str = "ids", mask: str =
     udf = predict_batch_udf(make_onnx_predict_fn(model_file), return_type=ArrayType(DoubleType()),
                             batch_size=batch_size, input_tensor_shapes=[[n], [n]])
     out = df.withColumn("logits", udf(F.col(ids), F.col(mask)))
-    bad = F.exists("logits", lambda x: F.isnan(x))
+    bad = F.col("logits").isNull() | F.exists("logits", lambda x: x.isNull() | F.isnan(x))
     return (out.withColumn("probs", F.when(~bad, softmax("logits")))
             .withColumn("pred", F.when(~bad, argmax("logits")))
             .withColumn("type", F.when(bad, F.lit("error")).otherwise(label_name("pred")))

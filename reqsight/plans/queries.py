@@ -787,3 +787,12 @@ def q_w3(spark, sf):
     q = collect_training_rows(request_stream(spark, src, schema, max_files_per_trigger=2), table, table + "_ckpt")
     q.awaitTermination()
     return spark.read.parquet(table)
+
+
+@register("s1_read_labelled_files")
+def q_s1_files(spark, sf):
+    """S1 on real text files: the documents written as text files, read back with header skipping."""
+    from reqsight.sources.readers import read_labelled_lines
+    path = _scratch(spark, "lines")
+    X.read_table(spark, sf, "documents").select("text").write.text(path)
+    return read_labelled_lines(spark, path)
