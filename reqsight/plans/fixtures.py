@@ -126,10 +126,12 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     tpl = templates_df(spark)
     picked = docs.withColumn("tid", (draw("doc_id", "t") % N_TEMPLATES).cast("int"))
-    flat_text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "\n", " ")
+    flat_text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), F.lit(" "))
+    # only templates with a text slot touch the (possibly very long) document text
+    payload = F.when(F.col("tpl_payload").contains(TEXT_SLOT),
+                     F.replace(F.col("tpl_payload"), F.lit(TEXT_SLOT), flat_text)).otherwise(F.col("tpl_payload"))
     return (picked.join(F.broadcast(tpl), "tid")
-            .select(F.col("doc_id").alias("id"), "tid", "src", "title",
-                    F.replace(F.col("tpl_payload"), F.lit(TEXT_SLOT), flat_text).alias("payload"),
+            .select(F.col("doc_id").alias("id"), "tid", "src", "title", payload.alias("payload"),
                     "is_attack"))
 
 
