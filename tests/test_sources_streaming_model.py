@@ -114,3 +114,24 @@ def test_majority_vote_and_retrain_rows(spark):
     new = spark.createDataFrame([("known", "xss"), ("new", "sqli"), ("new", "sqli")], "text string, label_str string")
     hn = spark.createDataFrame([("fp",)], "text string")
     assert sorted(tuple(r) for r in retrain_rows(base, new, hn).collect()) == [("fp", "normal"), ("new", "sqli")]
+
+
+def test_attack_rate_sliding_windows_batch(spark):
+    """1-hour windows sliding every 30 minutes: a 00:40 row is in [00:00,01:00) and [00:30,01:30)."""
+    from reqsight.streaming.jobs import attack_rate, score_requests, window_start_text
+    df = score_requests(_requests(spark))
+    got = attack_rate(df, "1 hour", slide="30 minutes", delay=None) \
+        .select(window_start_text("window").alias("s"), "type", "requests", "attacks").collect()
+    res = {(r.s[11:16], r.type): (r.requests, r.attacks) for r in got}
+    assert res[("00:00", "sqli")] == (1, 1) and res[("00:30", "sqli")] == (1, 1)
+    assert res[("00:00", "normal")] == (1, 0) and ("00:30", "normal") not in res
+    assert res[("00:00", "xss")] == (1, 1) and res[("23:30", "xss")] == (1, 1)
+    assert res[("02:00", None)] == (1, 0) and res[("02:30", None)] == (1, 0)   # empty payload: ERROR, no type
+
+
+def test_stratified_split_rejects_tiny_class(spark):
+    import pytest
+    from reqsight.operators.sampling import stratified_split
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, label int")
+    with pytest.raises(ValueError):
+        stratified_split(df, "label", "id")
