@@ -222,36 +222,47 @@ def retrain_from_logs(spark: SparkSession, base: DataFrame, new_rows: DataFrame,
 
 
 def make_onnx_predict_fn(model_file: str, output: str = "logits"):
-    """T6 helper for ``predict_batch_udf``: one onnxruntime session per Python worker."""
+    """T6 helper for ``predict_batch_udf``: one onnxruntime session per Python worker.
+
+    Returns the logits and, per row, the batch's inference time divided by its rows
+    (the per-payload latency the reference prints; summarised by A9 ``latency_summary``).
+    """
     def make():
+        import time
+
         import numpy as np
         import onnxruntime as ort
         sess = ort.InferenceSession(model_file, providers=["CPUExecutionProvider"])
 
         def predict(ids, mask):
+            t0 = time.perf_counter()
             try:
                 out = sess.run([output], {"input_ids": ids.astype(np.int64),
-                                          "attention_mask": mask.astype(np.int64)})[0]
-                return out.astype(np.float64)
+                                          "attention_mask": mask.astype(np.int64)})[0].astype(np.float64)
             except Exception:
-                return np.full((ids.shape[0], NUM_CLASSES), np.nan)
+                out = np.full((ids.shape[0], NUM_CLASSES), np.nan)
+            per_row = (time.perf_counter() - t0) / max(ids.shape[0], 1)
+            return {"logits": out, "elapsed": np.full(ids.shape[0], per_row)}
         return predict
     return make
 
 
 def score_external(df: DataFrame, model_file: str, ids: str = "ids", mask: str = "mask",
-                   batch_size: int = 256, on_error: str = "ATTACK") -> DataFrame:
+                   batch_size: int = 256) -> DataFrame:
     """Score ``ids``/``mask`` (ARRAY<INT>[128]) with a user-supplied ONNX file over Arrow batches.
 
+    Adds ``logits, probs, pred, type, confidence`` and ``elapsed`` (seconds per row).
     A failed batch yields NaN (or NULL) logits, which become type ``error`` (fail-closed: the
     verdict of an ``error`` row is ATTACK unless ``verdict(..., on_error="ERROR")``).
     """
     from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, DoubleType
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
     n = 128
-    udf = predict_batch_udf(make_onnx_predict_fn(model_file), return_type=ArrayType(DoubleType()),
+    rtype = StructType([StructField("logits", ArrayType(DoubleType())), StructField("elapsed", DoubleType())])
+    udf = predict_batch_udf(make_onnx_predict_fn(model_file), return_type=rtype,
                             batch_size=batch_size, input_tensor_shapes=[[n], [n]])
-    out = df.withColumn("logits", udf(F.col(ids), F.col(mask)))
+    out = df.withColumn("_o", udf(F.col(ids), F.col(mask)))
+    out = out.withColumn("logits", F.col("_o.logits")).withColumn("elapsed", F.col("_o.elapsed")).drop("_o")
     bad = F.col("logits").isNull() | F.exists("logits", lambda x: x.isNull() | F.isnan(x))
     return (out.withColumn("probs", F.when(~bad, softmax("logits")))
             .withColumn("pred", F.when(~bad, argmax("logits")))

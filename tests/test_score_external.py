@@ -28,5 +28,8 @@ def test_score_external_matches_numpy_and_fails_closed(spark):
         assert np.allclose(r.logits, exp, atol=1e-3)
         assert r.pred == int(np.argmax(exp)) and r.type == CLASSES[r.pred]
         assert abs(sum(r.probs) - 1) < 1e-9
+    from reqsight.operators.evaluate import latency_summary
+    lat = latency_summary(score_external(enc, good, batch_size=2), "elapsed").first()
+    assert lat.n == 4 and lat.mean > 0 and lat.p50 <= lat.p99
     failed = score_external(enc, bad).select("type", "pred").collect()
     assert {r.type for r in failed} == {"error"} and all(r.pred is None for r in failed)
