@@ -22,7 +22,9 @@ def dense_index(df: DataFrame, order: Column, key: str, group: str | None = None
                 out: str = "idx", bits: int = RANK_BITS) -> DataFrame:
     """Add ``out``: the 0-based rank of each row within ``group`` by (order, key).
 
-    ``order`` must be a uniform 32-bit draw (BIGINT in [0, 2^32)).
+    ``order`` must be a uniform 32-bit draw (BIGINT in [0, 2^32)) of a unique row
+    ``key``; then every (group, bucket) window partition holds about
+    rows / 2^bits rows, however the rows are spread over groups.
     """
     gcols = [group] if group else []
     d = df.withColumn("_d", order).withColumn("_b", F.shiftright(F.col("_d"), 32 - bits))
