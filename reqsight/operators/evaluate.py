@@ -15,6 +15,7 @@ from reqsight.functions.decide import log_sum_exp, outcome, verdict_status
 from reqsight.functions.payload import request_line
 from reqsight.functions.rules import label_name
 from reqsight.operators.sampling import top_values
+from reqsight.session import reliable_checkpoint
 
 
 def class_distribution(df: DataFrame, col: str = "label_str") -> DataFrame:
@@ -34,14 +35,20 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFra
                   F.count(F.lit(1)).alias("n"))
 
 
-def per_class(cm: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """Per class over labels present in truth or prediction: tp, support, predicted, P, R, F1."""
-    truth = cm.groupBy(F.col(label).alias("cls")).agg(F.sum("n").alias("support"))
-    predicted = cm.groupBy(F.col(pred).alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = cm.filter(F.col(label) == F.col(pred)).select(F.col(label).alias("cls"), F.col("n").alias("tp"))
-    d = (truth.join(predicted, "cls", "full").join(tp, "cls", "left")
-         .select("cls", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-                          for c in ("tp", "support", "predicted")]))
+def class_stats(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+    """Per class over labels present in truth or prediction: tp, support, predicted, P, R, F1.
+
+    One pass and one grouped aggregate: every row contributes a truth entry for its
+    label and a prediction entry for its prediction (map-side combined, no joins).
+    """
+    entries = F.array(
+        F.struct(F.col(label).alias("cls"), F.lit(1).alias("t"), F.lit(0).alias("p"),
+                 (F.col(label) == F.col(pred)).cast("int").alias("tp")),
+        F.struct(F.col(pred).alias("cls"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("tp")))
+    d = (df.select(F.explode(entries).alias("e"))
+         .groupBy(F.col("e.cls").alias("cls"))
+         .agg(F.sum("e.tp").cast("bigint").alias("tp"), F.sum("e.t").cast("bigint").alias("support"),
+              F.sum("e.p").cast("bigint").alias("predicted")))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     d = d.withColumn("precision", prec).withColumn("recall", rec)
@@ -52,7 +59,7 @@ def per_class(cm: DataFrame, label: str = "label", pred: str = "pred") -> DataFr
 
 def weighted_prf(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """A5: support-weighted precision, recall, F1 (0 on zero division) and accuracy."""
-    pc = per_class(confusion_matrix(df, label, pred), label, pred)
+    pc = class_stats(df, label, pred)
     tot = F.sum("support")
     return pc.agg(*[F.coalesce(F.try_divide(F.sum(F.col(m) * F.col("support")), tot), F.lit(0.0)).alias(m)
                     for m in ("precision", "recall", "f1")],
@@ -63,9 +70,11 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                           names: bool = True) -> DataFrame:
     """One row per class present in truth or prediction, then accuracy, macro and weighted rows.
 
-    Columns: ``row_order, class, precision, recall, f1, support``.
+    Columns: ``row_order, class, precision, recall, f1, support``. The per-class
+    table (at most one row per class) is checkpointed once, so the four branches
+    of the report do not each re-read the scored rows.
     """
-    pc = per_class(confusion_matrix(df, label, pred), label, pred)
+    pc = reliable_checkpoint(class_stats(df, label, pred))
     cls = label_name(F.col("cls")) if names else F.col("cls").cast("string")
     rows = pc.select(F.col("cls").cast("int").alias("row_order"), cls.alias("class"),
                      "precision", "recall", "f1", "support")
@@ -120,6 +129,9 @@ def roc_auc(df: DataFrame, score: str, positive: str, group: str | None = None,
     pos = F.col(positive).cast("boolean")
     s = (df.groupBy(*gcols, F.col(score).alias("_s"))
          .agg(F.sum(pos.cast("bigint")).alias("_p"), F.sum((~pos).cast("bigint")).alias("_q")))
+    # the distinct-score table feeds the size count, the quantiles, the bucket totals and
+    # the prefix sums: write it once instead of re-reading the scored rows for each
+    s = reliable_checkpoint(s)
     if bits is None:
         n_groups = s.select(*gcols).distinct().count() if gcols else 1
         per_group = s.count() / max(n_groups, 1)

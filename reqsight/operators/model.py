@@ -24,6 +24,7 @@ from reqsight.functions.decide import argmax, softmax
 from reqsight.functions.rules import label_name
 from reqsight.operators import evaluate as A
 from reqsight.operators.sampling import cap_per_class, random_split, stratified_split
+from reqsight.session import reliable_checkpoint
 
 
 @dataclass
@@ -135,7 +136,7 @@ def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig
     """
     cfg = cfg or TrainConfig()
     if checkpoint:
-        samples = samples.checkpoint(eager=True)
+        samples = reliable_checkpoint(samples)
     capped = cap_per_class(samples, cfg.label_col, cfg.key_col, cfg.cap, cfg.seed)
     parts = split_dataset(capped, cfg).persist()
     train = parts.filter(F.col("split") == "train")

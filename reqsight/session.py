@@ -67,3 +67,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path inside the shared checkpoint folder, for tables that cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def reliable_checkpoint(df):
+    """Cut lineage with a reliable checkpoint in the shared folder (never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
