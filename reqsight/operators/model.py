@@ -27,6 +27,17 @@ from reqsight.operators.sampling import cap_per_class, random_split, stratified_
 from reqsight.session import reliable_checkpoint
 
 
+# Functions of this module run inside Python workers (mapInPandas / predict_batch_udf);
+# ship them by value so executors need no copy of this package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover
+    pass
+
+
 @dataclass
 class TrainConfig:
     ngram: int = 3

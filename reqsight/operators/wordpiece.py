@@ -14,9 +14,28 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from reqsight.fixed import MAX_LEN
 
+# Functions of this module run inside Python workers (mapInPandas / predict_batch_udf);
+# ship them by value so executors need no copy of this package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover
+    pass
+
+
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 
 
+try:  # the `regex` module knows Unicode categories; fall back to the slower loop without it
+    import regex as _re
+    _TOKENS = _re.compile(r"[\u4e00-\u9fff]|[!-/:-@\[-`{-~]|\p{P}|[^\s!-/:-@\[-`{-~\p{P}\u4e00-\u9fff]+")
+    _MARKS = _re.compile(r"\p{Mn}+")
+except ImportError:  # pragma: no cover
+    _re = None
+
+
 def _is_punct(ch: str) -> bool:
     cp = ord(ch)
     if 33 <= cp <= 47 or 58 <= cp <= 64 or 91 <= cp <= 96 or 123 <= cp <= 126:
@@ -25,7 +44,11 @@ def _is_punct(ch: str) -> bool:
 
 
 def basic_tokens(text: str) -> list[str]:
+    """Uncased basic tokenisation of the whole text: lower-case, strip accents (NFD minus marks),
+    split on white space, and make every punctuation and CJK character its own token."""
     text = unicodedata.normalize("NFD", text.lower())
+    if _re is not None:
+        return _TOKENS.findall(_MARKS.sub("", text))
     text = "".join(c for c in text if unicodedata.category(c) != "Mn")
     out, cur = [], []
     for ch in text:
