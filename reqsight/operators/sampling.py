@@ -19,7 +19,7 @@ RANK_BITS = 14
 
 
 def dense_index(df: DataFrame, order: Column, key: str, group: str | None = None,
-                out: str = "idx", bits: int = RANK_BITS) -> DataFrame:
+                out: str = "idx", bits: int = RANK_BITS, size_col: str | None = None) -> DataFrame:
     """Add ``out``: the 0-based rank of each row within ``group`` by (order, key).
 
     ``order`` must be a uniform 32-bit draw (BIGINT in [0, 2^32)) of a unique row
@@ -30,7 +30,10 @@ def dense_index(df: DataFrame, order: Column, key: str, group: str | None = None
     d = df.withColumn("_d", order).withColumn("_b", F.shiftright(F.col("_d"), 32 - bits))
     hist = d.groupBy(*gcols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_off", F.sum("_n").over(w_off) - F.col("_n")).drop("_n")
+    hist = hist.withColumn("_off", F.sum("_n").over(w_off) - F.col("_n"))
+    if size_col:  # the group's row count comes free from the same histogram
+        hist = hist.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*gcols)))
+    hist = hist.drop("_n")
     w_in = Window.partitionBy(*gcols, "_b").orderBy("_d", key)
     return (d.join(hist, gcols + ["_b"])
             .withColumn(out, (F.col("_off") + F.row_number().over(w_in) - 1).cast("bigint"))
@@ -59,17 +62,13 @@ def random_split(df: DataFrame, key: str = "id", test: float = TEST_FRACTION,
 def stratified_split(df: DataFrame, label: str = "label", key: str = "id",
                      test: float = TEST_FRACTION, seed: int = DEFAULT_SEED) -> DataFrame:
     """M3: per class, the first round(test * n_class) rows in draw order are ``test``."""
-    sizes = group_sizes(df, label)
-    small = sizes.filter(F.col("_size") < 2).limit(1).collect()
+    small = group_sizes(df, label).filter(F.col("_size") < 2).limit(1).collect()
     if small:
         raise ValueError(f"class {small[0][0]!r} has fewer than 2 rows; cannot stratify")
-    ranked = dense_index(df, draw(F.col(key), "strat", seed), key, label, out="_rank")
-    k = sizes.select(label, F.round(F.col("_size") * F.lit(test)).cast("bigint").alias("_k"))
-    # one row per class; AQE broadcasts it at run time when it is small
-    return (ranked.join(k, label)
-            .withColumn("split", F.when(F.col("_rank") < F.col("_k"), F.lit("test"))
-                        .otherwise(F.lit("train")))
-            .drop("_rank", "_k"))
+    ranked = dense_index(df, draw(F.col(key), "strat", seed), key, label, out="_rank", size_col="_size")
+    k = F.round(F.col("_size") * F.lit(test)).cast("bigint")
+    return (ranked.withColumn("split", F.when(F.col("_rank") < k, F.lit("test")).otherwise(F.lit("train")))
+            .drop("_rank", "_size"))
 
 
 def shuffle_rows(df: DataFrame, key: str = "id", seed: int = DEFAULT_SEED,
