@@ -74,3 +74,19 @@ def test_augment_dataset_size_and_partition_invariance(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     small = augment_dataset(spark, raw, "id", target=10)   # target below raw: raw only
     assert small.count() == 50 and small.filter("origin = 'aug'").count() == 0
+
+
+def test_augment_quirks_q14_q15_q16(spark):
+    import re
+    rows = [(i, "a=1'='1 and 1=1 UNION INFORMATION_SCHEMA", "sqli") for i in range(300)]
+    rows += [(1000 + i, "f=../x/../etc/hosts", "traversal") for i in range(100)]
+    rows += [(2000 + i, "f=../../../etc/hosts", "traversal") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, text string, label_str string")
+    out = {r.id: r.text for r in augment_payloads(df, "text", "label_str", "id", steps=("sqli", "path")).collect()}
+    sq = [out[i] for i in range(300)]
+    swapped = [t for t in sq if "1'='1" not in t]
+    assert swapped and all(re.search(r"(.)'='\1", t) for t in swapped)          # Q14: same char twice
+    assert any("1=1" not in t and "1'='1" not in t for t in sq)                 # plain form replaced too
+    assert any("INForMATION" in t or "INFOrMATION" in t for t in sq)            # Q16: OR inside INFORMATION
+    assert all(out[1000 + i].count("../") == 2 for i in range(100))             # Q15: not contiguous, kept
+    assert len({out[2000 + i].count("../") for i in range(100)}) > 3            # contiguous: new depth
