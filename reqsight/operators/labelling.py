@@ -8,7 +8,7 @@ from reqsight.fixed import AUGMENT_TARGET, DEFAULT_SEED
 from reqsight.functions.augment import augment_payloads
 from reqsight.functions.draws import draw
 from reqsight.functions.rules import categorize, label_id
-from reqsight.operators.sampling import dense_index
+from reqsight.operators.sampling import bits_for, dense_index
 
 
 def label_lines(lines: DataFrame, title: str = "title", payload: str = "payload",
@@ -58,7 +58,8 @@ def augment_dataset(spark: SparkSession, raw: DataFrame, key: str = "id",
     if needed == 0 or n == 0:
         out = raw_rows
     else:
-        indexed = dense_index(base, draw(F.col("src_id"), "pos", seed), "src_id", out="_pos")
+        indexed = dense_index(base, draw(F.col("src_id"), "pos", seed), "src_id", out="_pos",
+                              bits=bits_for(n))
         picks = (spark.range(n, n + needed)
                  .withColumn("_pos", (draw(F.col("id"), "pick", seed) % n).cast("bigint")))
         synth = picks.join(indexed, "_pos").drop("_pos")

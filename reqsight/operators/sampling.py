@@ -16,6 +16,15 @@ from reqsight.fixed import CAP_PER_CLASS, DEFAULT_SEED, TEST_FRACTION
 from reqsight.functions.draws import draw, unit, draw_hex
 
 RANK_BITS = 14
+ROWS_PER_BUCKET = 1_000_000
+
+
+def bits_for(n_rows: int | None) -> int:
+    """Bucket bits so a (group, bucket) window partition holds about ROWS_PER_BUCKET rows at most."""
+    if not n_rows:
+        return RANK_BITS
+    need = max(n_rows / ROWS_PER_BUCKET, 1.0)
+    return max(RANK_BITS, min(24, int(need - 1).bit_length()))
 
 
 def dense_index(df: DataFrame, order: Column, key: str, group: str | None = None,
