@@ -796,3 +796,15 @@ def q_s1_files(spark, sf):
     path = _scratch(spark, "lines")
     X.read_table(spark, sf, "documents").select("text").write.text(path)
     return read_labelled_lines(spark, path)
+
+
+@register("t4_save_load_model")
+def q_t4(spark, sf):
+    """T4: the trained model saved as a version (Spark ML format + JSON sidecar), loaded back, used to score T."""
+    from reqsight.operators.model import TrainConfig, load_model, save_model, score
+    model, metrics = trained(spark, sf)[:2]
+    base = _scratch(spark, "models")
+    save_model(model, base, TrainConfig(group_col="tid", max_iter=30), metrics, version="v1")
+    loaded, meta = load_model(base)
+    s = score(X.labelled_lines(spark, sf).withColumnRenamed("payload", "text"), loaded)
+    return s.select("id", "type", r6(F.col("confidence")).alias("confidence"), F.lit(meta["version"]).alias("version"))
