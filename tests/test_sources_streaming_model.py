@@ -135,3 +135,13 @@ def test_stratified_split_rejects_tiny_class(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, label int")
     with pytest.raises(ValueError):
         stratified_split(df, "label", "id")
+
+
+def test_mlp_option_trains_and_scores(spark):
+    from reqsight.operators.model import TrainConfig, score, train_classifier
+    rows = [(i, ["q=hello world", "<script>alert(1)</script>"][i % 2] + f" {i % 5}", i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    m = train_classifier(df, TrainConfig(model="mlp", num_features=256, hidden=[16], max_iter=50))
+    s = score(df, m).select("label", "pred", "probs").collect()
+    assert sum(r.label == r.pred for r in s) / len(s) > 0.9
+    assert all(len(r.probs) == 8 for r in s)
