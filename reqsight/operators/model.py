@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -59,9 +59,14 @@ class TrainConfig:
 
 def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
                       num_features: int = 1 << 18, idf: bool = True) -> list:
-    """Characters -> n-grams -> hashed term frequencies -> IDF."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="_chars", pattern="(?s).", gaps=False,
-                             toLowercase=True, minTokenLength=1),
+    """Lower-cased characters -> n-grams -> hashed term frequencies -> IDF.
+
+    Characters come from the built-in ``split(lower(text), '')`` (one element per code
+    point, the same arrays as a ``(?s).`` RegexTokenizer at about half the cost).
+    """
+    chars = SQLTransformer(statement=f"SELECT *, filter(split(lower(`{text}`), ''), c -> c != '') "
+                                     f"AS _chars FROM __THIS__")
+    stages = [chars,
               NGram(n=n, inputCol="_chars", outputCol="_grams"),
               HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features)]
     if idf:
