@@ -594,7 +594,7 @@ def q_g8_dist(spark, sf):
 
 # ============================================================== 2.8 encoding
 
-_NON_ASCII = "[\\x00-\\x7f]"
+_NON_ASCII = "[\\x00-\\x7f]+"
 
 
 @register("e1_encode_chars", f"""WITH c AS (SELECT doc_id, text,

@@ -21,6 +21,8 @@ _BASE_CONF = {
     # per-class caps of 5,000 still prune rows before the window shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # checkpoint files of small intermediate tables are removed once no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
