@@ -808,3 +808,28 @@ def q_t4(spark, sf):
     loaded, meta = load_model(base)
     s = score(X.labelled_lines(spark, sf).withColumnRenamed("payload", "text"), loaded)
     return s.select("id", "type", r6(F.col("confidence")).alias("confidence"), F.lit(meta["version"]).alias("version"))
+
+
+@register("w2_attack_rate_stream", f"""WITH {S.v_cte()}, {VSCORED_SQL},
+vv AS (SELECT ts, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type,
+  CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status FROM vs),
+wm AS (SELECT max(ts) - INTERVAL 1 DAY AS watermark FROM v)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, type, count(*) AS requests,
+       cast(sum(CASE WHEN status = 'ATTACK' THEN 1 ELSE 0 END) as bigint) AS attacks
+FROM vv GROUP BY ALL HAVING max(date_trunc('day', ts) + INTERVAL 1 DAY) <= (SELECT watermark FROM wm)""")
+def q_w2_stream(spark, sf):
+    """W2 as a stream: 1-day tumbling windows, 1-day watermark, append mode, file source -> parquet sink.
+
+    Append mode emits a window once the watermark (latest event time - 1 day) passes its end, so the
+    result holds every closed window; the still-open ones are not emitted.
+    """
+    from reqsight.sources.readers import request_stream
+    from reqsight.streaming.jobs import attack_rate, score_requests, window_start_text
+    src, schema = _replay_v(spark, sf)
+    sink = _scratch(spark, "w2-sink")
+    agg = attack_rate(score_requests(request_stream(spark, src, schema)), "1 day", delay="1 day")
+    out = agg.select(window_start_text("window").alias("window_start"), "type", "requests", "attacks")
+    q = (out.writeStream.format("parquet").outputMode("append").option("path", sink)
+         .option("checkpointLocation", sink + "_ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink)
