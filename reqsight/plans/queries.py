@@ -715,8 +715,11 @@ def q_e4(spark, sf):
 # ============================================================== sources and sinks with files
 
 
-@register("s2_read_request_log")
+@register("s2_read_request_log", f"""WITH {S.r_cte()}
+SELECT nullif(http_method, '') AS http_method, nullif(http_path, '') AS http_path,
+       nullif(http_query, '') AS http_query, nullif(rule_names, '') AS rule_names FROM r""")
 def q_s2(spark, sf):
+    """S2 round trip: R written as a ';' CSV with a header, read back (an empty field reads as NULL)."""
     from reqsight.sources.readers import read_request_log
     path = _scratch(spark, "requestlog")
     r = X.requests(spark, sf).select("http_method", "http_path", "http_query", "rule_names")
@@ -724,12 +727,13 @@ def q_s2(spark, sf):
     return read_request_log(spark, path)
 
 
-@register("s4_write_samples")
+@register("s4_write_samples", f"""WITH {S.labelled_cte()}
+SELECT id, text, label_str, cast(label as bigint) AS label FROM lab""")
 def q_s4(spark, sf):
     from reqsight.sources.readers import read_samples, write_samples
     path = _scratch(spark, "samples")
     write_samples(labelled(spark, sf).select("id", "text", "label_str", "label"), path)
-    return read_samples(spark, path)
+    return read_samples(spark, path).select("id", "text", "label_str", big(F.col("label")).alias("label"))
 
 
 def _replay_v(spark, sf) -> tuple[str, object]:
@@ -739,7 +743,8 @@ def _replay_v(spark, sf) -> tuple[str, object]:
     return path, v.schema
 
 
-@register("s7_request_stream")
+@register("s7_request_stream", f"""WITH {S.v_cte()}
+SELECT event_id, payload FROM v""")
 def q_s7(spark, sf):
     from reqsight.sources.readers import request_stream
     src, schema = _replay_v(spark, sf)
@@ -778,7 +783,8 @@ def q_w2(spark, sf):
     return r.select(window_start_text("window").alias("window_start"), "type", "requests", "attacks")
 
 
-@register("w3_collect_training_rows")
+@register("w3_collect_training_rows", f"""WITH {S.v_cte()}, {VSCORED_SQL}
+SELECT payload AS text, type AS label_str FROM vs""")
 def q_w3(spark, sf):
     from reqsight.sources.readers import request_stream
     from reqsight.streaming.jobs import collect_training_rows
@@ -786,7 +792,8 @@ def q_w3(spark, sf):
     table = _scratch(spark, "w3-table")
     q = collect_training_rows(request_stream(spark, src, schema, max_files_per_trigger=2), table, table + "_ckpt")
     q.awaitTermination()
-    return spark.read.parquet(table)
+    # batch_id (a partition column) depends on how files fall into micro-batches; the rows do not
+    return spark.read.parquet(table).select("text", "label_str")
 
 
 @register("s1_read_labelled_files")
