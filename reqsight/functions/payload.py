@@ -19,8 +19,14 @@ def json_args(body) -> Column:
     """JSON object body -> MAP<STRING,STRING>; insertion order kept, NULL when not an object.
 
     Scalars keep their JSON text (numbers, ``true``); nested values stay JSON text.
+    A repeated key keeps its first position and its last value, as a JSON object
+    parsed into a Python dict does (``from_json`` alone would keep both entries).
     """
-    return F.from_json(_col(body), ARGS_TYPE)
+    entries = F.map_entries(F.from_json(_col(body), ARGS_TYPE))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = F.transform(keys, lambda k: F.struct(
+        k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
+    return F.map_from_entries(last)
 
 
 def form_entries(body) -> Column:

@@ -31,6 +31,13 @@ def label_lines(lines: DataFrame, title: str = "title", payload: str = "payload"
     return d.withColumn("text", F.col(payload)).withColumn("label", label_id("label_str"))
 
 
+def split_empty_payloads(df: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(rows to score, rows answered ``ERROR`` without scoring) for empty or NULL payloads."""
+    from reqsight.functions.payload import is_empty_payload
+    empty = is_empty_payload(payload)
+    return df.filter(~empty), df.filter(empty).withColumn("status", F.lit("ERROR"))
+
+
 def hybrid_dataset(normal: DataFrame, attack: DataFrame) -> DataFrame:
     """Bag union of labelled normal and attack samples, duplicates kept."""
     return normal.unionByName(attack, allowMissingColumns=True)

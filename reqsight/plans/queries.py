@@ -176,9 +176,10 @@ def q_p1(spark, sf):
 @register("p2_split_empty_payloads", f"""WITH {S.t_cte()}
 SELECT id, CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' ELSE 'SCORE' END AS route FROM t""")
 def q_p2(spark, sf):
-    t = X.labelled_lines(spark, sf)
-    return t.select("id", F.when(P.is_empty_payload("payload"), F.lit("ERROR"))
-                    .otherwise(F.lit("SCORE")).alias("route"))
+    from reqsight.operators.labelling import split_empty_payloads
+    to_score, errors = split_empty_payloads(X.labelled_lines(spark, sf))
+    return to_score.select("id", F.lit("SCORE").alias("route")).unionByName(
+        errors.select("id", F.col("status").alias("route")))
 
 
 @register("p3_request_line", f"""WITH {S.r_cte()}

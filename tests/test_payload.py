@@ -53,3 +53,10 @@ def test_normalise_and_views(spark):
 def test_empty_payload_predicate(spark):
     df = spark.createDataFrame([("",), (None,), ("x",)], "p string")
     assert [r.e for r in df.select(P.is_empty_payload("p").alias("e")).collect()] == [True, True, False]
+
+
+def test_json_repeated_key_last_value_first_position(spark):
+    df = spark.createDataFrame([('{"a": "1", "b": "x", "a": "2"}',), ("not json",)], "body string")
+    got = df.select(P.assemble_payload(P.json_args("body")).alias("p")).collect()
+    assert got[0].p == "a=2 b=x"
+    assert got[1].p == ""
