@@ -71,9 +71,12 @@ def first_form_values(query, body) -> Column:
 
 
 # --------------------------------------------------------------------- P1-P5
-def assemble_payload(args) -> Column:
-    """``k=v`` pairs joined by a space in insertion order, stripped; NULL values print ``None``."""
-    pairs = F.transform(F.map_entries(_col(args)), lambda e: F.concat(
+def assemble_payload(args, sort_keys: bool = False) -> Column:
+    """``k=v`` pairs joined by a space in insertion order (or by key), stripped; NULL values print ``None``."""
+    entries = F.map_entries(_col(args))
+    if sort_keys:
+        entries = F.array_sort(entries)
+    pairs = F.transform(entries, lambda e: F.concat(
         e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
     return py_strip(F.coalesce(F.array_join(pairs, " "), F.lit("")))
 

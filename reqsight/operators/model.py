@@ -113,6 +113,13 @@ def score(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
     return out.drop(*drop)
 
 
+def explode_confidences(df: DataFrame, probs: str = "probs", keep: list[str] | None = None) -> DataFrame:
+    """One row per (input, class) with the class id, its name and its probability."""
+    keep = keep if keep is not None else [c for c in df.columns if c != probs]
+    return (df.select(*keep, F.posexplode(probs).alias("class_id", "prob"))
+            .withColumn("class", label_name("class_id")))
+
+
 def split_dataset(samples: DataFrame, cfg: TrainConfig) -> DataFrame:
     if cfg.split == "stratified":
         return stratified_split(samples, cfg.label_col, cfg.key_col, cfg.test, cfg.seed)

@@ -279,9 +279,10 @@ def q_d3(spark, sf):
 ex AS (SELECT vec_id, generate_subscripts(p, 1) - 1 AS class_id, unnest(p) AS prob FROM sm)
 SELECT vec_id, cast(class_id as bigint) AS class_id, {S.label_name('class_id')} AS class, round(prob, 6) AS prob FROM ex""")
 def q_d4(spark, sf):
-    g = X.scored_rows(spark, sf).select("vec_id", F.posexplode(D.softmax("logits")).alias("class_id", "prob"))
-    return g.select("vec_id", big(F.col("class_id")).alias("class_id"), L.label_name("class_id").alias("class"),
-                    r6(F.col("prob")).alias("prob"))
+    from reqsight.operators.model import explode_confidences
+    g = X.scored_rows(spark, sf).select("vec_id", D.softmax("logits").alias("probs"))
+    e = explode_confidences(g, "probs", ["vec_id"])
+    return e.select("vec_id", big(F.col("class_id")).alias("class_id"), "class", r6(F.col("prob")).alias("prob"))
 
 
 @register("d5_verdict", f"""WITH {S.t_cte()}, {SCORED_SQL}

@@ -60,3 +60,9 @@ def test_json_repeated_key_last_value_first_position(spark):
     got = df.select(P.assemble_payload(P.json_args("body")).alias("p")).collect()
     assert got[0].p == "a=2 b=x"
     assert got[1].p == ""
+
+
+def test_assemble_sort_keys(spark):
+    df = spark.createDataFrame([('{"b": "2", "a": "1"}',)], "body string")
+    r = df.select(P.assemble_payload(P.json_args("body"), sort_keys=True).alias("p")).first()
+    assert r.p == "a=1 b=2"
