@@ -117,3 +117,18 @@ def hard_negatives(scored: DataFrame, label: str = "label", pred: str = "pred",
                       & (F.col(confidence) >= min_conf))
     d = d.orderBy(F.desc(confidence), F.asc(key))
     return d.limit(k) if k is not None else d
+
+
+def hard_negatives_per_class(scored: DataFrame, k: int, label: str = "label", pred: str = "pred",
+                             confidence: str = "confidence", key: str = "id", min_conf: float = 0.0,
+                             normal_id: int = 0) -> DataFrame:
+    """M7 per predicted class: the ``k`` most confident true-normal rows predicted as each attack class.
+
+    ``row_number() <= k`` over a class window is planned with WindowGroupLimit, which keeps at most
+    ``k`` rows per class in every map partition before the shuffle (k must stay below
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a hot class never reaches one task whole.
+    """
+    d = scored.filter((F.col(label) == normal_id) & (F.col(pred) != normal_id)
+                      & (F.col(confidence) >= min_conf))
+    w = Window.partitionBy(pred).orderBy(F.desc(confidence), F.asc(key))
+    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -842,3 +842,14 @@ def q_w2_stream(spark, sf):
          .option("checkpointLocation", sink + "_ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+@register("m7_hard_negatives_per_class", f"""WITH {S.g_cte()}, d AS (SELECT vec_id, label, pred, {S.softmax('logits')}[pred + 1] AS confidence FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY pred ORDER BY confidence DESC, vec_id) AS rank FROM d
+      WHERE label = 0 AND pred <> 0 AND confidence >= 0.0)
+SELECT vec_id, cast(pred as bigint) AS pred, round(confidence, 6) AS confidence, cast(rank as bigint) AS rank FROM r WHERE rank <= 5""")
+def q_m7_per_class(spark, sf):
+    g = X.scored_rows(spark, sf).withColumn("confidence", D.decide("logits")["confidence"])
+    h = M.hard_negatives_per_class(g, 5, key="vec_id")
+    return h.select("vec_id", big(F.col("pred")).alias("pred"), r6(F.col("confidence")).alias("confidence"),
+                    big(F.col("rank")).alias("rank"))
