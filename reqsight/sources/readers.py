@@ -77,7 +77,7 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def drop_null_samples(df: DataFrame) -> DataFrame:
-    """S3: drop rows with any NULL (the BiLSTM path's ``dropna``)."""
+    """S3: drop rows with any NULL (``dropna``), as the character-model training path does."""
     return df.na.drop("any")
 
 
