@@ -71,10 +71,12 @@ def random_split(df: DataFrame, key: str = "id", test: float = TEST_FRACTION,
 def stratified_split(df: DataFrame, label: str = "label", key: str = "id",
                      test: float = TEST_FRACTION, seed: int = DEFAULT_SEED) -> DataFrame:
     """M3: per class, the first round(test * n_class) rows in draw order are ``test``."""
-    small = group_sizes(df, label).filter(F.col("_size") < 2).limit(1).collect()
-    if small:
-        raise ValueError(f"class {small[0][0]!r} has fewer than 2 rows; cannot stratify")
-    ranked = dense_index(df, draw(F.col(key), "strat", seed), key, label, out="_rank", size_col="_size")
+    # one small aggregate row: the smallest class (validation) and the total (bucket count)
+    smallest, total = group_sizes(df, label).agg(F.min("_size"), F.sum("_size")).first()
+    if smallest is not None and smallest < 2:
+        raise ValueError("a class has fewer than 2 rows; cannot stratify")
+    ranked = dense_index(df, draw(F.col(key), "strat", seed), key, label, out="_rank", size_col="_size",
+                         bits=bits_for(total))
     k = F.round(F.col("_size") * F.lit(test)).cast("bigint")
     return (ranked.withColumn("split", F.when(F.col("_rank") < k, F.lit("test")).otherwise(F.lit("train")))
             .drop("_rank", "_size"))
