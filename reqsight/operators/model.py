@@ -158,9 +158,11 @@ def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig
     Returns (model, metrics Row as dict, report DataFrame, scored test DataFrame).
     """
     cfg = cfg or TrainConfig()
+    n_rows = None
     if checkpoint:
         samples = reliable_checkpoint(samples)
-    capped = cap_per_class(samples, cfg.label_col, cfg.key_col, cfg.cap, cfg.seed)
+        n_rows = samples.count()  # cheap on the checkpoint; sizes the rank buckets
+    capped = cap_per_class(samples, cfg.label_col, cfg.key_col, cfg.cap, cfg.seed, n_rows=n_rows)
     parts = split_dataset(capped, cfg).persist()
     train = parts.filter(F.col("split") == "train")
     test = parts.filter(F.col("split") == "test")

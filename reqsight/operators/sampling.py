@@ -54,10 +54,14 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
 
 
 def cap_per_class(df: DataFrame, label: str = "label", key: str = "id",
-                  cap: int = CAP_PER_CLASS, seed: int = DEFAULT_SEED) -> DataFrame:
-    """M1: at most ``cap`` rows per label, chosen by a seeded draw; NULL labels drop out."""
+                  cap: int = CAP_PER_CLASS, seed: int = DEFAULT_SEED,
+                  n_rows: int | None = None) -> DataFrame:
+    """M1: at most ``cap`` rows per label, chosen by a seeded draw; NULL labels drop out.
+
+    ``n_rows`` (when known) sizes the rank buckets for very large inputs.
+    """
     d = df.filter(F.col(label).isNotNull())
-    ranked = dense_index(d, draw(F.col(key), "cap", seed), key, label, out="_rank")
+    ranked = dense_index(d, draw(F.col(key), "cap", seed), key, label, out="_rank", bits=bits_for(n_rows))
     return ranked.filter(F.col("_rank") < cap).drop("_rank")
 
 
@@ -83,9 +87,9 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id",
 
 
 def shuffle_rows(df: DataFrame, key: str = "id", seed: int = DEFAULT_SEED,
-                 out: str = "row_index") -> DataFrame:
+                 out: str = "row_index", n_rows: int | None = None) -> DataFrame:
     """M4: a seeded random total order, exposed as a dense 0-based index."""
-    return dense_index(df, draw(F.col(key), "shuffle", seed), key, out=out)
+    return dense_index(df, draw(F.col(key), "shuffle", seed), key, out=out, bits=bits_for(n_rows))
 
 
 BROADCAST_TEMPLATES_MAX = 100_000
