@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from reqsight.functions.text import py_strip, split_first
+from reqsight.schema import REQUEST_LOG_COLUMNS, SAMPLES
 
 LINE_SEP = ": "
 
@@ -56,8 +57,8 @@ def read_labelled_lines(spark: SparkSession, paths, skip: int = 2,
     return out.drop("line_no")
 
 
-def read_request_log(spark: SparkSession, path: str, columns=("http_method", "http_path",
-                     "http_query", "rule_names"), sep: str = ";") -> DataFrame:
+def read_request_log(spark: SparkSession, path: str, columns=REQUEST_LOG_COLUMNS,
+                     sep: str = ";") -> DataFrame:
     """All-string CSV with a header; rows with too many fields are skipped,
     short rows get NULLs (``_extra`` catches the overflow)."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
@@ -70,9 +71,8 @@ def read_request_log(spark: SparkSession, path: str, columns=("http_method", "ht
 def read_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """S3: a samples dataset ``text, label_str, label`` (parquet, or CSV with a header)."""
     if fmt == "csv":
-        schema = "text string, label_str string, label int"
         return spark.read.option("header", True).option("escape", '"').option("multiLine", True) \
-            .schema(schema).csv(path)
+            .schema(SAMPLES).csv(path)
     return spark.read.parquet(path)
 
 

@@ -145,3 +145,16 @@ def test_mlp_option_trains_and_scores(spark):
     s = score(df, m).select("label", "pred", "probs").collect()
     assert sum(r.label == r.pred for r in s) / len(s) > 0.9
     assert all(len(r.probs) == 8 for r in s)
+
+
+def test_samples_csv_round_trip(spark):
+    from reqsight.sources.readers import drop_null_samples, read_samples, write_samples
+    d = tempfile.mkdtemp(prefix="rs-csv-")
+    rows = [("a,b \"quoted\"\nsecond line", "xss", 2), ("plain", "normal", 0), ("", "other", 5)]
+    df = spark.createDataFrame(rows, "text string, label_str string, label int")
+    write_samples(df, f"{d}/s", fmt="csv", partition_by=None)
+    back = read_samples(spark, f"{d}/s", fmt="csv")
+    got = [tuple(r) for r in back.collect()]
+    assert ("a,b \"quoted\"\nsecond line", "xss", 2) in got and ("plain", "normal", 0) in got
+    assert (None, "other", 5) in got and len(got) == 3         # Q27: only an empty field reads as NULL
+    assert drop_null_samples(back.select("text", "label")).count() == 2
