@@ -90,7 +90,6 @@ def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str =
 
 
 def _sqli(d, lab, p, step):
-
     # G1 sqli: tautology swap (same char twice for the quoted form, two chars for the plain one)
     is_sqli = lab == F.lit("sqli")
     taut = is_sqli & (_u("sq", "tautology") > 0.5)

@@ -9,7 +9,6 @@ Training, scoring and evaluation are all distributed Spark ML / SQL jobs.
 from __future__ import annotations
 
 import json
-import os
 import time
 from dataclasses import asdict, dataclass, field
 

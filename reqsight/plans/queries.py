@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqsight.fixed import CLASSES, NUM_CLASSES
+from reqsight.fixed import NUM_CLASSES
 from reqsight.functions import decide as D, payload as P, rules as L
 from reqsight.functions.encode import DEMO_CHAR_VOCAB, encode_chars, encode_cls_chars
 from reqsight.operators import evaluate as A, sampling as M
