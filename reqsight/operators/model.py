@@ -107,8 +107,8 @@ def score(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
     out = out.withColumn("logits", logits if logits is not None else F.transform("probs", F.log))
     out = out.withColumn("pred", argmax("logits"))
     out = out.withColumn("type", label_name("pred")).withColumn("confidence", F.element_at("probs", F.col("pred") + 1))
-    drop = [c for c in out.columns if c.startswith("_") or c in ("features", "rawPrediction", "probability",
-                                                                  "prediction")]
+    internal = {"_chars", "_grams", "_tf", "features", "rawPrediction", "probability", "prediction"}
+    drop = [c for c in out.columns if c in internal and c not in df.columns]
     return out.drop(*drop)
 
 
