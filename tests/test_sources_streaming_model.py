@@ -158,3 +158,21 @@ def test_samples_csv_round_trip(spark):
     assert ("a,b \"quoted\"\nsecond line", "xss", 2) in got and ("plain", "normal", 0) in got
     assert (None, "other", 5) in got and len(got) == 3         # Q27: only an empty field reads as NULL
     assert drop_null_samples(back.select("text", "label")).count() == 2
+
+
+def test_score_stream_with_trained_model(spark):
+    """W1 with T5 as the scorer: the Spark ML pipeline runs inside the micro-batches."""
+    from reqsight.operators.model import TrainConfig, score, train_classifier
+    from reqsight.streaming.jobs import score_stream
+    rows = [(i, ["q=hello world", "<script>alert(1)</script>"][i % 2] + f" {i % 5}", [0, 2][i % 2]) for i in range(200)]
+    model = train_classifier(spark.createDataFrame(rows, "id long, text string, label int"),
+                             TrainConfig(num_features=1 << 10, max_iter=20))
+    d = tempfile.mkdtemp(prefix="rs-w1m-")
+    reqs = spark.createDataFrame([(1, "q=hello world 3"), (2, "<script>alert(1)</script> 1"), (3, "")],
+                                 "event_id long, payload string")
+    reqs.write.parquet(f"{d}/in")
+    stream = spark.readStream.schema(reqs.schema).parquet(f"{d}/in")
+    scorer = lambda df: score(df.withColumn("text", F.col("payload")), model).drop("text")
+    score_stream(stream, f"{d}/out", f"{d}/ck", scorer=scorer).awaitTermination()
+    got = {r.event_id: (r.status, r.type) for r in spark.read.parquet(f"{d}/out").collect()}
+    assert got[1] == ("NORMAL", "normal") and got[2] == ("ATTACK", "xss") and got[3] == ("ERROR", None)
