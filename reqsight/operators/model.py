@@ -54,6 +54,7 @@ class TrainConfig:
     text_col: str = "text"
     label_col: str = "label"
     key_col: str = "id"
+    normalise: bool = False           # P6 inside the pipeline: URL-decode up to 3 times, then lower-case
 
 
 def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
@@ -79,6 +80,14 @@ def char_ngram_features(df: DataFrame, text: str = "text", n: int = 3,
     return Pipeline(stages=char_ngram_stages(text, "features", n, num_features)).fit(df).transform(df)
 
 
+def normalise_stage(text: str = "text", out: str = "_norm", passes: int = 3) -> SQLTransformer:
+    """P6 as a pipeline stage, so a saved model normalises its input the same way when scoring."""
+    x = f"`{text}`"
+    for _ in range(passes):
+        x = f"coalesce(try_url_decode({x}), {x})"
+    return SQLTransformer(statement=f"SELECT *, lower({x}) AS {out} FROM __THIS__")
+
+
 def _estimator(cfg: TrainConfig):
     if cfg.model == "mlp":
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="_y", maxIter=cfg.max_iter,
@@ -93,7 +102,9 @@ def train_classifier(train: DataFrame, cfg: TrainConfig | None = None) -> Pipeli
     """Fit E4 + classifier on ``text, label``."""
     cfg = cfg or TrainConfig()
     data = train.select(F.col(cfg.text_col).alias("text"), F.col(cfg.label_col).cast("double").alias("_y"))
-    stages = char_ngram_stages("text", "features", cfg.ngram, cfg.num_features) + [_estimator(cfg)]
+    pre = [normalise_stage("text", "_norm")] if cfg.normalise else []
+    feats = char_ngram_stages("_norm" if cfg.normalise else "text", "features", cfg.ngram, cfg.num_features)
+    stages = pre + feats + [_estimator(cfg)]
     return Pipeline(stages=stages).fit(data)
 
 
@@ -107,7 +118,7 @@ def score(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
     out = out.withColumn("logits", logits if logits is not None else F.transform("probs", F.log))
     out = out.withColumn("pred", argmax("logits"))
     out = out.withColumn("type", label_name("pred")).withColumn("confidence", F.element_at("probs", F.col("pred") + 1))
-    internal = {"_chars", "_grams", "_tf", "features", "rawPrediction", "probability", "prediction"}
+    internal = {"_norm", "_chars", "_grams", "_tf", "features", "rawPrediction", "probability", "prediction"}
     drop = [c for c in out.columns if c in internal and c not in df.columns]
     return out.drop(*drop)
 

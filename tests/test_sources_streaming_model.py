@@ -176,3 +176,17 @@ def test_score_stream_with_trained_model(spark):
     score_stream(stream, f"{d}/out", f"{d}/ck", scorer=scorer).awaitTermination()
     got = {r.event_id: (r.status, r.type) for r in spark.read.parquet(f"{d}/out").collect()}
     assert got[1] == ("NORMAL", "normal") and got[2] == ("ATTACK", "xss") and got[3] == ("ERROR", None)
+
+
+def test_normalise_stage_travels_with_the_model(spark):
+    from reqsight.operators.model import TrainConfig, load_model, save_model, score, train_classifier
+    rows = [(i, ["q=hello world", "<script>alert(1)</script>"][i % 2] + f" {i % 5}", [0, 2][i % 2]) for i in range(200)]
+    cfg = TrainConfig(num_features=1 << 10, max_iter=20, normalise=True)
+    model = train_classifier(spark.createDataFrame(rows, "id long, text string, label int"), cfg)
+    d = tempfile.mkdtemp(prefix="rs-norm-")
+    save_model(model, d, cfg, version="v1")
+    loaded, _ = load_model(d)
+    probe = spark.createDataFrame([(1, "%253Cscript%253Ealert(1)%253C%252Fscript%253E 3"), (2, "q=HELLO%20world 1")],
+                                  "id long, text string")
+    got = {r.id: r.type for r in score(probe, loaded).collect()}
+    assert got == {1: "xss", 2: "normal"}
