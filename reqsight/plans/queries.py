@@ -56,7 +56,8 @@ def rule_scored(spark, sf) -> DataFrame:
     return t.withColumn("type", L.rule_scorer(views))
 
 
-SCORED_SQL = f"""scored AS (SELECT *, {S.rule_scorer("array_to_string(" + S.decoded_views("payload") + ", ' ')")} AS type FROM t)"""
+SCORED_SQL = f"""scored0 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM t),
+scored AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer("array_to_string(" + S.dedupe("vl") + ", ' ')")} AS type FROM scored0)"""
 
 # ============================================================== 2.3 rules
 
@@ -216,9 +217,10 @@ def q_p6(spark, sf):
     return t.select("id", P.normalise_payload("payload").alias("normalised"))
 
 
-@register("p7_decoded_views", f"""WITH {S.t_cte()}
-SELECT id, cast(len({S.decoded_views('payload')}) as bigint) AS n_views,
-       array_to_string({S.decoded_views('payload')}, ' | ') AS views FROM t""")
+@register("p7_decoded_views", f"""WITH {S.t_cte()},
+v0 AS (SELECT id, {S.view_candidates('payload')} AS vl FROM t),
+v1 AS (SELECT id, {S.dedupe('vl')} AS views FROM v0)
+SELECT id, cast(len(views) as bigint) AS n_views, array_to_string(views, ' | ') AS views FROM v1""")
 def q_p7(spark, sf):
     t = X.labelled_lines(spark, sf)
     v = P.decoded_views("payload")
@@ -418,7 +420,8 @@ def q_a10(spark, sf):
 
 
 SUITE_SCORED_SQL = f"""cs0 AS (SELECT *, {S.assemble('args')} AS payload FROM c),
-cs AS (SELECT *, {S.rule_scorer("array_to_string(" + S.decoded_views("payload") + ", ' ')")} AS type FROM cs0)"""
+cs1 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM cs0),
+cs AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer("array_to_string(" + S.dedupe("vl") + ", ' ')")} AS type FROM cs1)"""
 
 
 def suite_scored(spark, sf) -> DataFrame:
@@ -679,7 +682,8 @@ def q_t7(spark, sf):
     return v.select("vec_id", "vote", "votes", big(F.col("voters")).alias("voters"))
 
 
-VSCORED_SQL = f"""vs AS (SELECT *, {S.rule_scorer("array_to_string(" + S.decoded_views("payload") + ", ' ')")} AS type FROM v)"""
+VSCORED_SQL = f"""vs0 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM v),
+vs AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer("array_to_string(" + S.dedupe("vl") + ", ' ')")} AS type FROM vs0)"""
 
 
 @register("t8_retrain_rows", f"""WITH {S.v_cte()}, {VSCORED_SQL},

@@ -220,6 +220,24 @@ def decoded_views(x: str) -> str:
     return f"list_filter({arr}, lambda v, i: list_position({arr}, v) = i)"
 
 
+def view_candidates(x: str) -> str:
+    """The non-NULL candidate views of ``x`` (before de-duplication); compute once, then ``dedupe``."""
+    url1 = try_url_decode(x)
+    url2 = try_url_decode(url1)
+    b64 = (f"(CASE WHEN regexp_matches({x}, '{B64}') AND length({x}) >= 8 THEN "
+           f"(CASE WHEN regexp_matches(hex(from_base64({x})), '{PRINTABLE_HEX}') "
+           f"AND octet_length(from_base64({x})) > 0 THEN decode(from_base64({x})) END) END)")
+    hx = (f"(CASE WHEN regexp_matches({x}, '{HEX}') THEN "
+          f"(CASE WHEN regexp_matches(hex(unhex(substr({x}, 3))), '{PRINTABLE_HEX}') "
+          f"THEN decode(unhex(substr({x}, 3))) END) END)")
+    return f"list_filter([{x}, {url1}, {url2}, {b64}, {hx}], lambda v: v IS NOT NULL)"
+
+
+def dedupe(col: str) -> str:
+    """First occurrences of a list column, in order."""
+    return f"list_filter({col}, lambda v, i: list_position({col}, v) = i)"
+
+
 # ----------------------------------------------------------------- augmentation
 def augment_ctes(src: str, key: str, text: str, label: str, prefix: str = "au",
                  steps=("sqli", "xss", "path", "general", "regen")) -> tuple[str, str]:
