@@ -129,11 +129,12 @@ def q_l6(spark, sf):
 @register("s1_parse_lines", f"""WITH lines AS (
   SELECT doc_id AS src, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
          unnest(string_split(text, chr(10))) AS line FROM documents),
-s AS (SELECT src, line_no, {S.py_strip('line')} AS s FROM lines WHERE line_no >= 2)
-SELECT src, cast(line_no as bigint) AS line_no,
+s AS (SELECT src, line_no, {S.py_strip('line')} AS s FROM lines WHERE line_no >= 2),
+p AS (SELECT src, cast(line_no as bigint) AS line_no,
        CASE WHEN strpos(s, ': ') > 0 THEN substr(s, 1, strpos(s, ': ') - 1) ELSE '' END AS title,
        CASE WHEN strpos(s, ': ') > 0 THEN substr(s, strpos(s, ': ') + 2) ELSE s END AS payload
-FROM s WHERE s <> ''""")
+FROM s WHERE s <> '')
+SELECT src, line_no, md5(concat_ws(chr(31), cast(src as varchar), title, payload)) AS row_key, title, payload FROM p""")
 def q_s1(spark, sf):
     d = X.read_table(spark, sf, "documents")
     return parse_lines(text_lines(d, "doc_id", "text"), "src", "line_no", "line")

@@ -15,15 +15,19 @@ def parse_lines(df: DataFrame, src: str, line_no: str, line: str, skip: int = 2)
     strip white space as Python does, drop blanks, split on the first ``": "``.
 
     ``line_no`` is the 0-based position of the line in its source.
-    Columns: ``src, line_no, title, payload``.
+    Columns: ``src, line_no, row_key, title, payload``; ``row_key`` is the md5 of
+    (src, title, payload), a stable identity for hash draws (equal lines get equal keys).
     """
     s = py_strip(F.col(line))
-    return (df.filter(F.col(line_no) >= skip)
-            .select(F.col(src).alias("src"), F.col(line_no).cast("bigint").alias("line_no"),
-                    s.alias("_s"))
-            .filter(F.col("_s") != F.lit(""))
-            .select("src", "line_no", F.coalesce(split_first(F.col("_s"), LINE_SEP)[0], F.lit("")).alias("title"),
-                    split_first(F.col("_s"), LINE_SEP)[1].alias("payload")))
+    parsed = (df.filter(F.col(line_no) >= skip)
+              .select(F.col(src).alias("src"), F.col(line_no).cast("bigint").alias("line_no"),
+                      s.alias("_s"))
+              .filter(F.col("_s") != F.lit(""))
+              .select("src", "line_no",
+                      F.coalesce(split_first(F.col("_s"), LINE_SEP)[0], F.lit("")).alias("title"),
+                      split_first(F.col("_s"), LINE_SEP)[1].alias("payload")))
+    key = F.md5(F.concat_ws("\x1f", F.col("src").cast("string"), "title", "payload"))
+    return parsed.select("src", "line_no", key.alias("row_key"), "title", "payload")
 
 
 def text_lines(df: DataFrame, src: str, text: str) -> DataFrame:
@@ -33,7 +37,7 @@ def text_lines(df: DataFrame, src: str, text: str) -> DataFrame:
 
 def read_labelled_lines(spark: SparkSession, paths, skip: int = 2,
                         broadcast_files_max: int = 100_000) -> DataFrame:
-    """Labelled line files -> ``src, line_no, title, payload``.
+    """Labelled line files -> ``src, row_key, title, payload``.
 
     Lines are numbered without a global sort: within a scan partition the rows
     of one file block are consecutive, so ``monotonically_increasing_id`` minus
