@@ -35,3 +35,31 @@ def test_strip_split_encode_quote(spark, texts):
         assert (r.b, r.a) == ((parts[0], parts[1]) if len(parts) == 2 else (None, parts[0]))
         assert r.e == py_char_ids(t, 16)
         assert r.q == urllib.parse.quote_plus(t)
+
+
+from reqsight.fixed import PAYLOAD_RULES, TITLE_RULES  # noqa: E402
+from reqsight.functions.rules import categorize  # noqa: E402
+
+FRAGMENTS = st.sampled_from(
+    [k for _, ks in TITLE_RULES for k in ks] + [k for _, ks in PAYLOAD_RULES for k in ks]
+    + ["SQL", "XsS", "Cross-Site", "UNION ", "Select ", "../", "..\\", "Ü", "ß", "İ", " ", "a", "1", "'", "=", "|", ";"])
+PIECES = st.lists(FRAGMENTS, max_size=6).map("".join)
+
+
+def py_categorize(title, payload):
+    t, p = title.lower(), payload.lower()
+    for cls, ks in TITLE_RULES:
+        if any(k in t for k in ks):
+            return cls
+    for cls, ks in PAYLOAD_RULES:
+        if any(k in p for k in ks):
+            return cls
+    return "other"
+
+
+@SETTINGS
+@given(st.lists(st.tuples(PIECES, PIECES), min_size=1, max_size=60))
+def test_categorize_matches_first_match_semantics(spark, pairs):
+    df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(pairs)], "i int, t string, p string")
+    for r in df.select("i", categorize("t", "p").alias("c")).collect():
+        assert r.c == py_categorize(*pairs[r.i])
