@@ -63,3 +63,28 @@ def test_categorize_matches_first_match_semantics(spark, pairs):
     df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(pairs)], "i int, t string, p string")
     for r in df.select("i", categorize("t", "p").alias("c")).collect():
         assert r.c == py_categorize(*pairs[r.i])
+
+
+from reqsight.fixed import CLEAN_ORDER  # noqa: E402
+from reqsight.functions.rules import clean_label  # noqa: E402
+
+LABEL_BITS = st.sampled_from(["[", "]", '"', "'", " ", "SQLi", "xss", "Normal", "other", "LFI", "rce",
+                              "upload", "Traversal", "x", "é", "-"])
+
+
+def py_clean_label(raw):
+    if raw is None:
+        return "normal"
+    cleaned = raw.strip("[]\"' ").lower()
+    for c in CLEAN_ORDER:
+        if c in cleaned:
+            return c
+    return "other" if raw else "normal"
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.lists(LABEL_BITS, max_size=5).map("".join)), min_size=1, max_size=60))
+def test_clean_label_matches_python(spark, raws):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, r string")
+    for row in df.select("i", clean_label("r").alias("c")).collect():
+        assert row.c == py_clean_label(raws[row.i])
