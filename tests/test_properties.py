@@ -88,3 +88,38 @@ def test_clean_label_matches_python(spark, raws):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, r string")
     for row in df.select("i", clean_label("r").alias("c")).collect():
         assert row.c == py_clean_label(raws[row.i])
+
+
+import json  # noqa: E402
+
+from reqsight.functions.encode import encode_cls_chars  # noqa: E402
+from reqsight.functions.payload import assemble_payload, json_args  # noqa: E402
+
+VOCAB = {"a": 7, "b": 8, "=": 9, "é": 10, "<": 11}
+
+
+def py_cls_encode(text, n=16):
+    body = [VOCAB.get(c, 100) for c in text.lower()[: n - 2]]
+    ids = [101] + body + [102] + [0] * (n - 2 - len(body))
+    return ids, [1] * (len(body) + 2) + [0] * (n - 2 - len(body))
+
+
+@SETTINGS
+@given(TEXTS)
+def test_cls_encoder_matches_python(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", encode_cls_chars("t", VOCAB, 16).alias("e")).collect():
+        assert (r.e.ids, r.e.mask) == py_cls_encode(texts[r.i])
+
+
+KEYS = st.lists(ALPHABET, min_size=1, max_size=4).map("".join)
+VALS = st.lists(ALPHABET, max_size=8).map("".join)
+
+
+@SETTINGS
+@given(st.lists(st.dictionaries(KEYS, VALS, max_size=4), min_size=1, max_size=40))
+def test_assemble_payload_matches_python(spark, bodies):
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, body string")
+    for r in df.select("i", assemble_payload(json_args("body")).alias("p")).collect():
+        exp = " ".join(f"{k}={v}" for k, v in bodies[r.i].items()).strip()
+        assert r.p == exp
