@@ -41,12 +41,17 @@ def form_entries(body) -> Column:
         pos = F.locate("=", s)
         k = F.when(pos > 0, s.substr(F.lit(1), pos - 1)).otherwise(s)
         v = F.when(pos > 0, s.substr(pos + 1, F.lit(1 << 30))).otherwise(F.lit(""))
-        return F.struct(F.coalesce(F.try_url_decode(k), k).alias("key"),
-                        F.coalesce(F.try_url_decode(v), v).alias("value"))
+        return F.struct(form_decode(k).alias("key"), form_decode(v).alias("value"))
 
     return F.transform(segs, entry)
 
 
+def form_decode(c: Column) -> Column:
+    """Form field decoding: ``+`` is a space; percent escapes are decoded when they are all valid
+    (a field with a malformed escape keeps its escapes as text, as a form parser does)."""
+    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+
+
 def first_per_key(entries: Column) -> Column:
     """Keep the first entry of every key, in order (form semantics: first value wins)."""
     keys = F.transform(entries, lambda e: e["key"])

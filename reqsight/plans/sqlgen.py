@@ -179,8 +179,14 @@ def form_entries(body: str) -> str:
     segs = f"list_filter(string_split(coalesce({body}, ''), '&'), lambda s: s <> '')"
     key = "(CASE WHEN strpos(s, '=') > 0 THEN substr(s, 1, strpos(s, '=') - 1) ELSE s END)"
     val = "(CASE WHEN strpos(s, '=') > 0 THEN substr(s, strpos(s, '=') + 1) ELSE '' END)"
-    return (f"list_transform({segs}, lambda s: {{'key': {url_decode_once(key)}, "
-            f"'value': {url_decode_once(val)}}})")
+    return (f"list_transform({segs}, lambda s: {{'key': {form_decode(key)}, "
+            f"'value': {form_decode(val)}}})")
+
+
+def form_decode(x: str) -> str:
+    """Spark ``coalesce(try_url_decode(x), replace(x, '+', ' '))``."""
+    bad = r"'%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)'"
+    return f"(CASE WHEN regexp_matches({x}, {bad}) THEN replace({x}, '+', ' ') ELSE url_decode(replace({x}, '+', ' ')) END)"
 
 
 def first_per_key_render(entries: str) -> str:

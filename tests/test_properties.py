@@ -123,3 +123,26 @@ def test_assemble_payload_matches_python(spark, bodies):
     for r in df.select("i", assemble_payload(json_args("body")).alias("p")).collect():
         exp = " ".join(f"{k}={v}" for k, v in bodies[r.i].items()).strip()
         assert r.p == exp
+
+
+import urllib.parse as _up  # noqa: E402
+
+from reqsight.functions.payload import form_args  # noqa: E402
+
+FORM_BITS = st.sampled_from(["a", "b", "K", "=", "&", "+", "%41", "%C3%A9", "%20", "x", "é", " "])
+
+
+def py_form(body):
+    """Form dict with the first value of a repeated key (to_dict semantics), blank values kept."""
+    out = {}
+    for k, v in _up.parse_qsl(body, keep_blank_values=True):
+        out.setdefault(k, v)
+    return " ".join(f"{k}={v}" for k, v in out.items()).strip()
+
+
+@SETTINGS
+@given(st.lists(st.lists(FORM_BITS, max_size=12).map("".join), min_size=1, max_size=60))
+def test_form_args_match_python(spark, bodies):
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    for r in df.select("i", assemble_payload(form_args("b")).alias("p")).collect():
+        assert r.p == py_form(bodies[r.i]), bodies[r.i]
