@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from reqsight.fixed import AUGMENT_TARGET, DEFAULT_SEED
 from reqsight.functions.augment import augment_payloads
@@ -71,6 +71,11 @@ def augment_dataset(spark: SparkSession, raw: DataFrame, key: str = "id",
                  .withColumn("_pos", (draw(F.col("id"), "pick", seed) % n).cast("bigint")))
         synth = picks.join(indexed, "_pos").drop("_pos")
         synth = augment_payloads(synth, "text", "label_str", "id", out="text", seed=seed)
-        synth = synth.select("id", F.lit("aug").alias("origin"), "src_id", "tid", "text", "label_str")
+        # draws are keyed by the synthetic row number; the id takes the key's type
+        # (string keys get ids in their own namespace, "aug:<n>")
+        integral = isinstance(raw.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
+        sid = F.col("id") if integral else F.concat(F.lit("aug:"), F.col("id").cast("string"))
+        synth = synth.select(sid.cast(raw.schema[key].dataType if integral else "string").alias("id"),
+                             F.lit("aug").alias("origin"), "src_id", "tid", "text", "label_str")
         out = raw_rows.unionByName(synth)
     return out.withColumn("label", label_id("label_str"))

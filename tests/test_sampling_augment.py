@@ -90,3 +90,11 @@ def test_augment_quirks_q14_q15_q16(spark):
     assert any("INForMATION" in t or "INFOrMATION" in t for t in sq)            # Q16: OR inside INFORMATION
     assert all(out[1000 + i].count("../") == 2 for i in range(100))             # Q15: not contiguous, kept
     assert len({out[2000 + i].count("../") for i in range(100)}) > 3            # contiguous: new depth
+
+
+def test_augment_dataset_with_string_keys(spark):
+    raw = spark.createDataFrame([(f"k{i}", f"q={i}", "normal") for i in range(20)], "id string, text string, label_str string")
+    out = augment_dataset(spark, raw, "id", target=50)
+    ids = [r.id for r in out.collect()]
+    assert len(ids) == 50 and len(set(ids)) == 50
+    assert sum(i.startswith("aug:") for i in ids) == 30
