@@ -66,3 +66,14 @@ def test_assemble_sort_keys(spark):
     df = spark.createDataFrame([('{"b": "2", "a": "1"}',)], "body string")
     r = df.select(P.assemble_payload(P.json_args("body"), sort_keys=True).alias("p")).first()
     assert r.p == "a=1 b=2"
+
+
+def test_split_url_matches_urlsplit_on_pages(spark):
+    import urllib.parse
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url")
+    parts = P.split_url("url")
+    rows = pages.select("url", parts["host"].alias("h"), parts["path"].alias("p"), parts["query"].alias("q")).collect()
+    assert len(rows) > 100
+    for r in rows:
+        u = urllib.parse.urlsplit(r.url)
+        assert (r.h, r.p, r.q) == (u.hostname, u.path, u.query if "?" in r.url else None), r.url
