@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqsight.llm import chat_format, decontaminate, exact_dedup, secret_scan, url_filter
+from reqsight.llm import bpe, chat_format, decontaminate, exact_dedup, langid, quality, secret_scan, simhash, url_filter
 from reqsight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,38 @@ def op8(spark, sf):
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     return r.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
                     F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op5_bpe")
+def op5(spark, sf):
+    r = bpe.encode_decode(read(spark, sf, "documents"), tokenizer_path())
+    return r.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
+                    F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op6_language_id")
+def op6(spark, sf):
+    d = read(spark, sf, "documents")
+    model = langid.train(langid.sample(d))
+    return langid.identify(d, model).select(
+        "doc_id", langid.in_fold(F.col("doc_id"), langid.FOLDS, 0).alias("held_out"), "lang_pred", "score")
+
+
+@register("op9_simhash")
+def op9(spark, sf):
+    r = simhash.near_groups(read(spark, sf, "documents"))
+    return r.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register("op10_quality")
+def op10(spark, sf):
+    d = read(spark, sf, "documents")
+    model = quality.train(quality.sample(d, read(spark, sf, "labels")))
+    return quality.score_quality(d, model).select(
+        "doc_id", langid.in_fold(F.col("doc_id"), quality.FOLDS, quality.HELD).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
