@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqsight.llm import bpe, chat_format, decontaminate, exact_dedup, langid, quality, secret_scan, simhash, url_filter
+from reqsight.llm import bpe, chat_format, decontaminate, exact_dedup, langid, lm_score, quality, secret_scan, simhash, url_filter
 from reqsight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op10(spark, sf):
     return quality.score_quality(d, model).select(
         "doc_id", langid.in_fold(F.col("doc_id"), quality.FOLDS, quality.HELD).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op7_lm_score")
+def op7(spark, sf):
+    return lm_score.lm_scores(read(spark, sf, "documents"))
