@@ -70,10 +70,6 @@ def api_record(type_col, confidence, model_name: str) -> Column:
                     F.lit(model_name).alias("model"), F.upper(t).alias("attack_type"))
 
 
-def api_json(type_col, confidence, model_name: str) -> Column:
-    return F.to_json(api_record(type_col, confidence, model_name))
-
-
 def outcome(status) -> Column:
     """BLOCKED for an ATTACK verdict, else ALLOWED."""
     return F.when(_col(status) == F.lit(STATUS_ATTACK), F.lit(OUTCOME_BLOCKED)).otherwise(

@@ -37,6 +37,11 @@ def draw(key: Column | str, name: str, seed: int = DEFAULT_SEED) -> Column:
     return word(draw_hex(key, name, seed), 0)
 
 
+def wide_draw(key: Column | str, name: str, seed: int = DEFAULT_SEED) -> Column:
+    """60 bits of the draw hash as a BIGINT: for picks (``% n``) among any number of rows."""
+    return F.conv(F.substring(draw_hex(key, name, seed), 1, 15), 16, 10).cast("bigint")
+
+
 def choice(options: list[str], w: Column) -> Column:
     """``random.choice(options)`` driven by a draw word."""
     return F.element_at(F.array(*[F.lit(o) for o in options]),

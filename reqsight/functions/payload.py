@@ -18,11 +18,18 @@ def _col(c):
 def json_args(body) -> Column:
     """JSON object body -> MAP<STRING,STRING>; insertion order kept, NULL when not an object.
 
-    Scalars keep their JSON text (numbers, ``true``); nested values stay JSON text.
-    A repeated key keeps its first position and its last value, as a JSON object
-    parsed into a Python dict does (``from_json`` alone would keep both entries).
+    Values are rendered as Python prints them: booleans ``True``/``False``, null as NULL (P1 prints
+    ``None``), strings without quotes, numbers as written; nested values stay JSON text. A repeated key
+    keeps its first position and its last value, as a JSON object parsed into a Python dict does.
     """
-    entries = F.map_entries(F.from_json(_col(body), ARGS_TYPE))
+    raw = F.map_entries(F.from_json(_col(body), "map<string,variant>"))
+
+    def entry(e):
+        kind = F.schema_of_variant(e["value"])
+        text = F.try_variant_get(e["value"], "$", "string")
+        return F.struct(e["key"].alias("key"), F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text).alias("value"))
+
+    entries = F.transform(raw, entry)
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     last = F.transform(keys, lambda k: F.struct(
         k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
@@ -33,7 +40,7 @@ def form_entries(body) -> Column:
     """Form body ``a=1&b=2`` -> ARRAY<STRUCT<key,value>> in order, URL-decoded.
 
     Empty segments are skipped; a segment without ``=`` has an empty value.
-    Undecodable escapes keep their raw text.
+    Malformed escapes stay as text, the valid ones beside them are decoded.
     """
     segs = F.filter(F.split(F.coalesce(_col(body), F.lit("")), "&"), lambda s: s != F.lit(""))
 
@@ -46,10 +53,14 @@ def form_entries(body) -> Column:
     return F.transform(segs, entry)
 
 
+def url_decode(c: Column) -> Column:
+    """One URL-decoding pass: ``+`` is a space, every valid escape is decoded, any other ``%`` stays."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def form_decode(c: Column) -> Column:
-    """Form field decoding: ``+`` is a space; percent escapes are decoded when they are all valid
-    (a field with a malformed escape keeps its escapes as text, as a form parser does)."""
-    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    """Form field decoding, as a form parser does it."""
+    return url_decode(c)
 
 
 def first_per_key(entries: Column) -> Column:
@@ -115,48 +126,57 @@ def canonical_request(method, path, query, headers, body) -> Column:
 
 
 def split_url(url) -> dict[str, Column]:
-    """P5: host, path, query and the query's argument map of a whole URL."""
+    """P5: host, path, query (NULL without ``?``) and the query's argument map of a whole URL.
+
+    Works on any text, as ``urlsplit`` does: characters that are not allowed in a URL do no harm.
+    """
     u = _col(url)
-    q = F.try_parse_url(u, F.lit("QUERY"))
+    q = F.when(u.rlike(r"(?s)^[^#?]*\?"), F.regexp_extract(u, r"(?s)^[^#?]*\?([^#]*)", 1))
     return {
-        "host": F.try_parse_url(u, F.lit("HOST")),
-        "path": F.try_parse_url(u, F.lit("PATH")),
+        "host": F.regexp_extract(u, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]*)", 1),
+        "path": F.regexp_extract(u, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1),
         "query": q,
         "args": first_form_values(q, F.lit(None).cast("string")),
     }
 
 
 # --------------------------------------------------------------------- P6 / P7
-def url_decode_once(c: Column) -> Column:
-    """One URL-decoding pass; a string with a malformed escape is kept as it is."""
-    return F.coalesce(F.try_url_decode(c), c)
+def url_decode_full(c: Column) -> Column:
+    """URL-decode whatever the depth: an escape encoded again and again (``%25..25XX``) is first
+    collapsed to ``%XX``, then everything is decoded in one pass."""
+    return url_decode(F.regexp_replace(c, "%(25)+([0-9A-Fa-f]{2})", "%$2"))
 
 
-def normalise_payload(text, max_passes: int = 3) -> Column:
-    """URL-decode up to ``max_passes`` times (a stable string stays), then lower."""
-    x = _col(text)
-    for _ in range(max_passes):
-        x = url_decode_once(x)
-    return F.lower(x)
+def normalise_payload(text) -> Column:
+    """URL-decode at any depth, then lower."""
+    return F.lower(url_decode_full(_col(text)))
 
 
-_PRINTABLE_HEX = r"^(([2-6][0-9A-F])|(7[0-9A-E]))*$"
-_B64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+_B64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)$"
 _HEX = r"^0[xX]([0-9a-fA-F]{2})+$"
+#: Stands between views in a joined text; no rule keyword holds it, so nothing matches across views.
+VIEW_MARK = "\u0001"
 
 
-def _printable(b: Column) -> Column:
-    """Bytes -> text when every byte is printable ASCII, else NULL."""
-    return F.when(F.hex(b).rlike(_PRINTABLE_HEX) & (F.length(b) > 0), b.cast("string"))
+def _text_views(value: Column) -> Column:
+    """Base64 and 0x-hex readings of one value that are valid UTF-8 (NULL otherwise)."""
+    b64 = F.when(value.rlike(_B64), F.try_validate_utf8(F.try_to_binary(value, F.lit("base64")).cast("string")))
+    hx = F.when(value.rlike(_HEX), F.try_validate_utf8(
+        F.try_to_binary(value.substr(F.lit(3), F.lit(1 << 30)), F.lit("hex")).cast("string")))
+    return F.array_compact(F.array(b64, hx))
 
 
 def decoded_views(text) -> Column:
-    """Distinct candidate views: raw, URL-decoded once and twice, base64, 0x-hex."""
+    """Distinct views: raw, URL-decoded at any depth, and the base64 and 0x-hex readings of every
+    token (split at spaces) and of what follows a token's first ``=``."""
     raw = _col(text)
-    url1 = F.try_url_decode(raw)
-    url2 = F.try_url_decode(url1)
-    b64 = F.when(raw.rlike(_B64) & (F.length(raw) >= 8),
-                 _printable(F.try_to_binary(raw, F.lit("base64"))))
-    hx = F.when(raw.rlike(_HEX), _printable(F.try_to_binary(raw.substr(F.lit(3), F.lit(1 << 30)),
-                                                             F.lit("hex"))))
-    return F.array_distinct(F.array_compact(F.array(raw, url1, url2, b64, hx)))
+    tokens = F.filter(F.split(raw, " "), lambda t: t != F.lit(""))
+    values = F.flatten(F.transform(tokens, lambda t: F.array_compact(F.array(
+        t, F.when(t.contains("="), t.substr(F.instr(t, "=") + 1, F.lit(1 << 30)))))))
+    read = F.flatten(F.transform(F.array_distinct(values), _text_views))
+    return F.array_distinct(F.concat(F.array_compact(F.array(raw, url_decode_full(raw))), F.coalesce(read, F.array().cast("array<string>"))))
+
+
+def joined_views(text) -> Column:
+    """The views as one text for keyword tests that must not match across views."""
+    return F.array_join(decoded_views(text), VIEW_MARK)

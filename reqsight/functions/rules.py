@@ -49,11 +49,6 @@ def categorize(title, payload, lowered: bool = False) -> Column:
     return F.coalesce(class_from_title(title, lowered), class_from_payload(payload, lowered=lowered))
 
 
-def label_lines_expr(title, payload, is_attack) -> Column:
-    """L4 label: attack rows go through the rules, normal rows are ``normal``."""
-    return F.when(_col(is_attack), categorize(title, payload)).otherwise(F.lit("normal"))
-
-
 def clean_label(raw, strict: bool = False) -> Column:
     """Free-form label text to a class.
 

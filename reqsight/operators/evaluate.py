@@ -6,11 +6,8 @@ every metric after it works on a table of at most classes x classes rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reqsight.fixed import CLASSES
 from reqsight.functions.decide import log_sum_exp, outcome, verdict_status
 from reqsight.functions.payload import request_line
 from reqsight.functions.rules import label_name
@@ -70,27 +67,27 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                           names: bool = True) -> DataFrame:
     """One row per class present in truth or prediction, then accuracy, macro and weighted rows.
 
-    Columns: ``row_order, class, precision, recall, f1, support``. The per-class
-    table (at most one row per class) is checkpointed once, so the four branches
-    of the report do not each re-read the scored rows.
+    Columns: ``row_order, class, precision, recall, f1, support``. One pass: the per-class rows (one per
+    class) are folded into one row, which is exploded into the whole report.
     """
-    pc = reliable_checkpoint(class_stats(df, label, pred))
+    pc = class_stats(df, label, pred)
     cls = label_name(F.col("cls")) if names else F.col("cls").cast("string")
-    rows = pc.select(F.col("cls").cast("int").alias("row_order"), cls.alias("class"),
-                     "precision", "recall", "f1", "support")
+    none = F.lit(None).cast("double")
+
+    def line(order, name, p, r, f, support):
+        return F.struct(order.cast("int").alias("row_order"), name.alias("class"), p.alias("precision"), r.alias("recall"),
+                        f.alias("f1"), support.cast("bigint").alias("support"))
+
     tot = F.sum("support")
-    acc = pc.agg(F.lit(100).alias("row_order"), F.lit("accuracy").alias("class"),
-                 F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
-                 F.coalesce(F.try_divide(F.sum("tp").cast("double"), tot), F.lit(0.0)).alias("f1"),
-                 tot.cast("bigint").alias("support"))
-    macro = pc.agg(F.lit(101).alias("row_order"), F.lit("macro avg").alias("class"),
-                   *[F.avg(m).alias(m) for m in ("precision", "recall", "f1")],
-                   tot.cast("bigint").alias("support"))
-    weighted = pc.agg(F.lit(102).alias("row_order"), F.lit("weighted avg").alias("class"),
-                      *[F.coalesce(F.try_divide(F.sum(F.col(m) * F.col("support")), tot), F.lit(0.0)).alias(m)
-                        for m in ("precision", "recall", "f1")],
-                      tot.cast("bigint").alias("support"))
-    return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    weighted = [F.coalesce(F.try_divide(F.sum(F.col(m) * F.col("support")), tot), F.lit(0.0)) for m in ("precision", "recall", "f1")]
+    macro = [F.avg(m) for m in ("precision", "recall", "f1")]
+    acc = F.coalesce(F.try_divide(F.sum("tp").cast("double"), tot), F.lit(0.0))
+    report = pc.agg(
+        F.collect_list(line(F.col("cls"), cls, F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"))).alias("rows"),
+        F.array(line(F.lit(100), F.lit("accuracy"), none, none, acc, tot),
+                line(F.lit(101), F.lit("macro avg"), *macro, tot),
+                line(F.lit(102), F.lit("weighted avg"), *weighted, tot)).alias("sums"))
+    return report.select(F.explode(F.concat("rows", "sums")).alias("r")).select("r.*")
 
 
 def file_rows(scored: DataFrame, file_col: str = "src", text_col: str = "payload",
@@ -114,62 +111,73 @@ def file_accuracy(scored: DataFrame, file_col: str = "src", text_col: str = "pay
             .withColumn("pct", F.round(F.col("correct") * 100.0 / F.col("total"), 2)))
 
 
-def roc_auc(df: DataFrame, score: str, positive: str, group: str | None = None,
-            bits: int | None = None, rows_per_bucket: int = 2_000_000) -> DataFrame:
+VALUE_BITS = 16
+
+
+def _buckets(s: DataFrame, gcols: list[str], value: str) -> DataFrame:
+    """Add ``_b``: the value's place among 2^VALUE_BITS equal steps of its group's range (order-preserving)."""
+    lim = s.groupBy(*gcols).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    at = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(1 << VALUE_BITS))
+    b = F.when(F.col("_hi") > F.col("_lo"), F.least(at, F.lit((1 << VALUE_BITS) - 1))).otherwise(F.lit(0)).cast("bigint")
+    return s.join(lim, gcols).withColumn("_b", b).drop("_lo", "_hi")
+
+
+def _before(s: DataFrame, gcols: list[str], weight: str) -> DataFrame:
+    """Per (group, _b): the sum of ``weight`` in all smaller buckets, in two levels of 2^(VALUE_BITS / 2) rows."""
+    prior = Window.unboundedPreceding, -1
+    zero = F.lit(0).cast("bigint")
+    bt = s.groupBy(*gcols, "_b").agg(F.sum(weight).alias("_w")).withColumn("_c", F.shiftright("_b", VALUE_BITS // 2))
+    coarse = bt.groupBy(*gcols, "_c").agg(F.sum("_w").alias("_cw"))
+    coarse = coarse.withColumn("_coff", F.coalesce(F.sum("_cw").over(Window.partitionBy(*gcols).orderBy("_c").rowsBetween(*prior)), zero)).drop("_cw")
+    fine = F.coalesce(F.sum("_w").over(Window.partitionBy(*gcols, "_c").orderBy("_b").rowsBetween(*prior)), zero)
+    return (bt.withColumn("_fine", fine).join(coarse, [*gcols, "_c"])
+            .select(*gcols, "_b", (F.col("_fine") + F.col("_coff")).alias("_off"), "_w"))
+
+
+def roc_auc(df: DataFrame, score: str, positive: str, group: str | None = None) -> DataFrame:
     """Exact ROC-AUC with tied scores counted one half (the rank-sum formula).
 
-    Rows are first collapsed to distinct scores (partial aggregation, so a hot
-    score is one row). The number of negatives below each score is a prefix
-    sum computed per (group, score bucket) plus the bucket's offset, where the
-    buckets are quantiles of the distinct scores: no single-partition window.
-    Unless ``bits`` is given, the bucket count grows with the number of
-    distinct scores so that a bucket holds about ``rows_per_bucket`` of them.
+    Rows are first collapsed to distinct scores (partial aggregation, so a hot score is one row). The
+    negatives below each score are a prefix sum inside one of 2^VALUE_BITS order-preserving buckets of the
+    score plus the bucket's offset: one method at every size, no single-partition window.
     """
-    gcols = [group] if group else []
+    gcols = [group] if group else ["_one"]
+    d = df if group else df.withColumn("_one", F.lit(1))
     pos = F.col(positive).cast("boolean")
-    s = (df.groupBy(*gcols, F.col(score).alias("_s"))
+    s = (d.groupBy(*gcols, F.col(score).alias("_s"))
          .agg(F.sum(pos.cast("bigint")).alias("_p"), F.sum((~pos).cast("bigint")).alias("_q")))
-    # the distinct-score table feeds the size count, the quantiles, the bucket totals and
-    # the prefix sums: write it once instead of re-reading the scored rows for each
-    s = reliable_checkpoint(s)
-    if bits is None:
-        n_groups = s.select(*gcols).distinct().count() if gcols else 1
-        per_group = s.count() / max(n_groups, 1)
-        bits = max(2, min(12, int(math.ceil(math.log2(max(per_group / rows_per_bucket, 1.0)))) + 2))
-    nb = 1 << bits
-    qs = [i / nb for i in range(1, nb)]
-    cuts = s.groupBy(*gcols).agg(F.percentile_approx("_s", qs, 10000).alias("_cuts"))
-    s = _attach_cuts(s, cuts, gcols)
-    s = s.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
-    bt = s.groupBy(*gcols, "_b").agg(F.sum("_q").alias("_bq"))
-    w_off = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("_off", F.coalesce(F.sum("_bq").over(w_off), F.lit(0))).drop("_bq")
+    # the distinct-score table feeds the range, the bucket totals and the prefix sums: write it once
+    s = _buckets(reliable_checkpoint(s), gcols, "_s")
     w_in = Window.partitionBy(*gcols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    s = (s.join(bt, gcols + ["_b"])
+    s = (s.join(_before(s, gcols, "_q"), [*gcols, "_b"])
          .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_q").over(w_in), F.lit(0))))
     agg = s.groupBy(*gcols).agg(
         F.sum(F.col("_p") * (F.col("_below") + F.col("_q") * 0.5)).alias("_num"),
         F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"))
     auc = F.try_divide(F.col("_num"), F.col("n_pos").cast("double") * F.col("n_neg"))
-    return agg.select(*gcols, auc.alias("auc"), "n_pos", "n_neg")
+    return agg.select(*([group] if group else []), auc.alias("auc"), "n_pos", "n_neg")
 
 
-def _attach_cuts(s: DataFrame, cuts: DataFrame, gcols: list[str]) -> DataFrame:
-    if gcols:
-        return s.join(F.broadcast(cuts), gcols)
-    # a single row of cut points: join on a constant key rather than a cross join
-    return (s.withColumn("_one", F.lit(1))
-            .join(F.broadcast(cuts.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+def latency_summary(df: DataFrame, col: str, group: str | None = None) -> DataFrame:
+    """Count, mean and exact p50/p95/p99 (the smallest value that covers the share), one method at every size.
 
-
-def latency_summary(df: DataFrame, col: str, group: str | None = None,
-                    accuracy: int = 1_000_000) -> DataFrame:
-    """Count, mean and p50/p95/p99 (mergeable quantile sketch, bounded memory)."""
-    g = [group] if group else []
-    pct = F.percentile_approx(col, [0.5, 0.95, 0.99], accuracy)
-    out = df.groupBy(*g).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), pct.alias("_p"))
-    return out.select(*g, "n", "mean", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"),
-                      F.col("_p")[2].alias("p99"))
+    Values are collapsed to counts (partial aggregation); the bucket that holds a percentile's rank is found from
+    bucket totals, and only these buckets' distinct values are ranked.
+    """
+    gcols = [group] if group else ["_one"]
+    d = df if group else df.withColumn("_one", F.lit(1))
+    base = d.groupBy(*gcols).agg(F.count(col).alias("n"), F.avg(col).alias("mean"))
+    v = d.filter(F.col(col).isNotNull()).groupBy(*gcols, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    v = _buckets(reliable_checkpoint(v), gcols, "_v")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    want = F.array(*[F.struct(F.lit(p).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(q))).alias("rank")) for p, q in shares.items()])
+    ranks = base.select(*gcols, F.explode(want).alias("r")).select(*gcols, "r.*")
+    holds = _before(v, gcols, "_k").join(ranks, gcols).filter((F.col("_off") < F.col("rank")) & (F.col("rank") <= F.col("_off") + F.col("_w")))
+    run = F.sum("_k").over(Window.partitionBy(*gcols, "name", "_b").orderBy("_v"))
+    hit = (v.join(holds.select(*gcols, "_b", "_off", "name", "rank"), [*gcols, "_b"])
+           .withColumn("_run", F.col("_off") + run).filter(F.col("_run") >= F.col("rank")))
+    got = hit.groupBy(*gcols).agg(*[F.min(F.when(F.col("name") == p, F.col("_v"))).alias(p) for p in shares])
+    return base.join(got, gcols, "left").select(*([group] if group else []), "n", "mean", *shares)
 
 
 def cross_entropy(df: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
@@ -189,8 +197,10 @@ def suite_report(cases: DataFrame, type_col: str = "type", payload: str = "paylo
 
 
 def suite_pass_rate(report: DataFrame) -> DataFrame:
-    return report.agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"),
-                      F.count(F.lit(1)).alias("cases"), F.sum("requests").alias("requests"))
+    """Share of cases (by name) of which every request passed."""
+    cases = report.groupBy("name").agg(F.bool_and("passed").alias("passed"), F.sum("requests").alias("requests"))
+    return cases.agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"),
+                     F.count(F.lit(1)).alias("cases"), F.sum("requests").alias("requests"))
 
 
 def profile_log(log: DataFrame, key: str, k: int = 10, head: int = 5) -> DataFrame:
@@ -211,6 +221,3 @@ def profile_log(log: DataFrame, key: str, k: int = 10, head: int = 5) -> DataFra
         .select(F.lit("top_rule").alias("section"), "rank", F.col("rule_names").alias("value"), "n"))
     return total.unionByName(sample).unionByName(top)
 
-
-def class_names_frame(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(CLASSES)), "id int, name string")

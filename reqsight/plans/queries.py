@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqsight.fixed import NUM_CLASSES
+from reqsight.fixed import NUM_CLASSES, RANDOM_PARAMS, RANDOM_PATHS
 from reqsight.functions import decide as D, payload as P, rules as L
 from reqsight.functions.encode import DEMO_CHAR_VOCAB, encode_chars, encode_cls_chars
 from reqsight.operators import evaluate as A, sampling as M
 from reqsight.operators.labelling import augment_dataset, hybrid_dataset, label_lines
 from reqsight.plans import fixtures as X
 from reqsight.plans import sqlgen as S
+from reqsight.session import reliable_checkpoint, remove_path
 from reqsight.sources.readers import drop_null_samples, parse_lines, text_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,12 +53,11 @@ def labelled(spark, sf) -> DataFrame:
 def rule_scored(spark, sf) -> DataFrame:
     """T scored by the payload-rule scorer over the decoded views of the payload."""
     t = X.labelled_lines(spark, sf)
-    views = F.array_join(P.decoded_views(F.col("payload")), " ")
-    return t.withColumn("type", L.rule_scorer(views))
+    return t.withColumn("type", L.rule_scorer(P.joined_views("payload")))
 
 
 SCORED_SQL = f"""scored0 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM t),
-scored AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer("array_to_string(" + S.dedupe("vl") + ", ' ')")} AS type FROM scored0)"""
+scored AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer_views("vl")} AS type FROM scored0)"""
 
 # ============================================================== 2.3 rules
 
@@ -212,7 +212,7 @@ def q_p5(spark, sf):
 
 
 @register("p6_normalise_payload", f"""WITH {S.t_cte()}
-SELECT id, lower({S.url_decode_once(S.url_decode_once(S.url_decode_once('payload')))}) AS normalised FROM t""")
+SELECT id, lower({S.url_decode_full('payload')}) AS normalised FROM t""")
 def q_p6(spark, sf):
     t = X.labelled_lines(spark, sf)
     return t.select("id", P.normalise_payload("payload").alias("normalised"))
@@ -220,12 +220,12 @@ def q_p6(spark, sf):
 
 @register("p7_decoded_views", f"""WITH {S.t_cte()},
 v0 AS (SELECT id, {S.view_candidates('payload')} AS vl FROM t),
-v1 AS (SELECT id, {S.dedupe('vl')} AS views FROM v0)
-SELECT id, cast(len(views) as bigint) AS n_views, array_to_string(views, ' | ') AS views FROM v1""")
+v1 AS (SELECT id, list_sort(list_distinct(vl)) AS views FROM v0)
+SELECT id, cast(len(views) as bigint) AS n_views, md5(array_to_string(views, chr(1))) AS views_md5 FROM v1""")
 def q_p7(spark, sf):
     t = X.labelled_lines(spark, sf)
     v = P.decoded_views("payload")
-    return t.select("id", big(F.size(v)).alias("n_views"), F.array_join(v, " | ").alias("views"))
+    return t.select("id", big(F.size(v)).alias("n_views"), F.md5(F.array_join(F.array_sort(v), P.VIEW_MARK)).alias("views_md5"))
 
 
 @register("s5_request_bodies_json", f"""SELECT event_id, {S.assemble('cast(json(props) as map(varchar, varchar))')} AS payload
@@ -245,6 +245,35 @@ def q_s5_form(spark, sf):
                     .alias("payload"))
 
 
+@register("s5_request_bodies_typed", """SELECT event_id, 'ok=' || (CASE WHEN value > 50 THEN 'True' ELSE 'False' END) || ' s=true n=None kind=' || event_type
+  || ' kind2=' || event_type AS payload FROM events""")
+def q_s5_typed(spark, sf):
+    """S5 JSON: booleans, the same word as a string, null, a repeated key; the expectation is written by hand."""
+    ev = X.read_table(spark, sf, "events")
+    body = F.concat(F.lit('{"ok": '), (F.col("value") > 50).cast("string"), F.lit(', "s": "true", "n": null, "kind": "old", "kind2": "'),
+                    F.col("event_type"), F.lit('", "kind": "'), F.col("event_type"), F.lit('"}'))
+    return ev.select("event_id", P.assemble_payload(P.body_args(body, F.lit("application/json"))).alias("payload"))
+
+
+@register("s5_malformed_escapes", """SELECT page_id, 'a=%zz<' || url || ' b=100% c=%4 d=x y' AS payload FROM pages""")
+def q_s5_malformed(spark, sf):
+    """S5 form: malformed escapes stay, the valid ones beside them are decoded; the expectation is written by hand."""
+    url = F.replace(F.replace(F.replace(F.replace(F.col("url"), F.lit("%"), F.lit("%25")), F.lit("&"), F.lit("%26")), F.lit("+"), F.lit("%2B")), F.lit("="), F.lit("%3D"))
+    body = F.concat(F.lit("a=%zz%3C"), url, F.lit("&b=100%&c=%4&d=x+y"))
+    return X.read_table(spark, sf, "pages").select("page_id", P.assemble_payload(P.form_args(body)).alias("payload"))
+
+
+@register("p5_split_attack_url", """SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, '/a b/<x>' AS path,
+  'q=<script>|' || page_id || chr(39) || ' or ' || chr(39) || '1' AS query FROM pages""")
+def q_p5_attack(spark, sf):
+    """P5 on URLs with characters that a strict parser refuses; the expectation is written by hand."""
+    pages = X.read_table(spark, sf, "pages")
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    url = F.concat(F.lit("https://"), host, F.lit("/a b/<x>?q=<script>|"), F.col("page_id").cast("string"), F.lit("' or '1#top?x=1"))
+    parts = P.split_url(url)
+    return pages.select("page_id", parts["host"].alias("host"), parts["path"].alias("path"), parts["query"].alias("query"))
+
+
 @register("s6_first_form_values", f"""WITH {S.r_cte()}
 SELECT page_id, {S.first_per_key_render("list_concat(" + S.form_entries("'page=' || cast(page_id % 3 as varchar) || '&src=body'") + ", " + S.form_entries('http_query') + ")")} AS payload FROM r""")
 def q_s6(spark, sf):
@@ -389,7 +418,7 @@ def q_a7_rows(spark, sf):
 
 
 @register("a8_roc_auc", f"""WITH {S.g_cte()}, sm AS (SELECT vec_id, label, {S.softmax('logits')} AS p FROM g),
-ex AS (SELECT label, generate_subscripts(p, 1) - 1 AS cls, round(unnest(p), 9) AS score FROM sm),
+ex AS (SELECT label, generate_subscripts(p, 1) - 1 AS cls, unnest(p) AS score FROM sm),
 s AS (SELECT cls, score, sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label <> cls THEN 1 ELSE 0 END) AS q
       FROM ex GROUP BY cls, score),
 w AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
@@ -398,7 +427,7 @@ SELECT cast(cls as bigint) AS class_id,
        cast(sum(p) as bigint) AS n_pos, cast(sum(q) as bigint) AS n_neg FROM w GROUP BY cls""")
 def q_a8(spark, sf):
     g = X.scored_rows(spark, sf).select("label", F.posexplode(D.softmax("logits")).alias("cls", "score"))
-    g = g.select("cls", F.round("score", 9).alias("score"), (F.col("label") == F.col("cls")).alias("pos"))
+    g = g.select("cls", "score", (F.col("label") == F.col("cls")).alias("pos"))
     r = A.roc_auc(g, "score", "pos", group="cls")
     return r.select(big(F.col("cls")).alias("class_id"), r6(F.col("auc")).alias("auc"),
                     big(F.col("n_pos")).alias("n_pos"), big(F.col("n_neg")).alias("n_neg"))
@@ -422,13 +451,12 @@ def q_a10(spark, sf):
 
 SUITE_SCORED_SQL = f"""cs0 AS (SELECT *, {S.assemble('args')} AS payload FROM c),
 cs1 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM cs0),
-cs AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer("array_to_string(" + S.dedupe("vl") + ", ' ')")} AS type FROM cs1)"""
+cs AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer_views("vl")} AS type FROM cs1)"""
 
 
 def suite_scored(spark, sf) -> DataFrame:
     c = X.suite_events(spark, sf).withColumn("payload", P.assemble_payload("args"))
-    views = F.array_join(P.decoded_views(F.col("payload")), " ")
-    return c.withColumn("type", L.rule_scorer(views))
+    return c.withColumn("type", L.rule_scorer(P.joined_views("payload")))
 
 
 @register("a11_suite_report", f"""WITH {S.suite_cte()}, {SUITE_SCORED_SQL}
@@ -476,7 +504,9 @@ rk AS (SELECT id, label_str, row_number() OVER (PARTITION BY label ORDER BY {S.d
        FROM lab WHERE label IS NOT NULL)
 SELECT id, label_str FROM rk WHERE rn <= 5000""")
 def q_m1(spark, sf):
-    return M.cap_per_class(labelled(spark, sf), "label", "id", 5000).select("id", "label_str")
+    # both passes read the written labels, not the rules over the texts again
+    lab = reliable_checkpoint(labelled(spark, sf).select("id", "label", "label_str"))
+    return M.cap_per_class(lab, "label", "id", 5000).select("id", "label_str")
 
 
 @register("m1_cap_per_class_embeddings", f"""WITH rk AS (SELECT vec_id, label,
@@ -513,13 +543,12 @@ def q_m4(spark, sf):
     return M.shuffle_rows(X.labelled_lines(spark, sf), "id").select("id", "row_index")
 
 
-@register("m5_sample_templates", f"""WITH {S.templates_cte()},
-ids AS (SELECT unnest(range((SELECT count(*) FROM events))) AS id)
-SELECT ids.id, tpl.tid::BIGINT AS tid, tpl.title FROM ids JOIN tpl ON tpl.tid = {S.draw('ids.id', 'pick')} % {X.N_TEMPLATES}""")
+@register("m5_sample_templates", f"""WITH t AS (SELECT doc_id, text, row_number() OVER (ORDER BY {S.draw('doc_id', 'pos')}, doc_id) - 1 AS pos FROM documents)
+SELECT e.event_id, t.doc_id, md5(coalesce(t.text, '')) AS text_md5 FROM events e
+JOIN t ON t.pos = {S.wide_draw('e.event_id', 'pick')} % (SELECT count(*) FROM documents)""")
 def q_m5(spark, sf):
-    n = X.read_table(spark, sf, "events").count()
-    s = M.sample_templates(spark, X.templates_df(spark), n, n_templates=X.N_TEMPLATES)
-    return s.select("id", big(F.col("tid")).alias("tid"), "title")
+    docs = X.read_table(spark, sf, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    return M.sample_templates(X.read_table(spark, sf, "events").select("event_id"), docs, "event_id", "doc_id")
 
 
 @register("m7_hard_negatives", f"""WITH {S.g_cte()}, d AS (SELECT vec_id, label, pred, {S.softmax('logits')}[pred + 1] AS confidence FROM g)
@@ -556,11 +585,11 @@ _aug_query(("sqli", "xss", "path", "general", "regen"), "g7_augment_payload")
 
 
 @register("g6_random_parts", f"""WITH {S.t_cte()}
-SELECT id, {S.choice(__import__('reqsight.fixed', fromlist=['x']).RANDOM_PARAMS, S.word(S.draw_hex('id', 'ge'), 1))} AS param,
-       {S.choice(__import__('reqsight.fixed', fromlist=['x']).RANDOM_PATHS, S.word(S.draw_hex('id', 'ge'), 2))} AS path,
+SELECT id, {S.choice(RANDOM_PARAMS, S.word(S.draw_hex('id', 'ge'), 1))} AS param,
+       {S.choice(RANDOM_PATHS, S.word(S.draw_hex('id', 'ge'), 2))} AS path,
        {S.random_chars([S.word(S.draw_hex('id', g), k) for g in ('r1', 'r2') for k in range(4)])} AS rnd8 FROM t""")
 def q_g6(spark, sf):
-    from reqsight.fixed import RANDOM_ALPHABET, RANDOM_PARAMS, RANDOM_PATHS
+    from reqsight.fixed import RANDOM_ALPHABET
     from reqsight.functions.draws import choice, draw_hex, random_string, word
     t = X.labelled_lines(spark, sf)
     ge = draw_hex(F.col("id"), "ge")
@@ -570,31 +599,34 @@ def q_g6(spark, sf):
                     random_string(RANDOM_ALPHABET, words).alias("rnd8"))
 
 
-def _g8_sql(target: int) -> str:
+G8_FACTOR = 3  # the registered target: three times the raw rows, at every size
+
+
+def _g8_sql() -> str:
     ctes, last = S.augment_ctes("pk", "id", "text", "label_str", prefix="au")
     return f"""WITH {S.labelled_cte()},
 raw AS (SELECT id AS src_id, text, label_str, tid FROM lab),
 idx AS (SELECT *, row_number() OVER (ORDER BY {S.draw('src_id', 'pos')}, src_id) - 1 AS pos FROM raw),
-ids AS (SELECT unnest(range((SELECT count(*) FROM raw), greatest({target}, (SELECT count(*) FROM raw)))) AS id),
+ids AS (SELECT unnest(range((SELECT max(src_id) + 1 FROM raw), (SELECT max(src_id) + 1 + {G8_FACTOR - 1} * count(*) FROM raw))) AS id),
 pk AS (SELECT ids.id, idx.src_id, idx.tid, idx.text, idx.label_str FROM ids
-       JOIN idx ON idx.pos = {S.draw('ids.id', 'pick')} % (SELECT count(*) FROM raw)),
+       JOIN idx ON idx.pos = {S.wide_draw('ids.id', 'pick')} % (SELECT count(*) FROM raw)),
 {ctes},
 allrows AS (SELECT src_id AS id, 'raw' AS origin, src_id, tid, text, label_str FROM raw
             UNION ALL SELECT id, 'aug', src_id, tid, p, label_str FROM {last})
 SELECT id, origin, src_id, cast(tid as bigint) AS tid, text, label_str, cast({S.label_id('label_str')} as bigint) AS label FROM allrows"""
 
 
-@register("g8_augment_dataset", _g8_sql(20000))
+@register("g8_augment_dataset", _g8_sql())
 def q_g8(spark, sf):
-    d = augment_dataset(spark, labelled(spark, sf), "id", 20000)
+    d = augment_dataset(spark, labelled(spark, sf), "id", factor=G8_FACTOR)
     return d.select("id", "origin", "src_id", big(F.col("tid")).alias("tid"), "text", "label_str",
                     big(F.col("label")).alias("label"))
 
 
-@register("g8_augment_distribution", f"""WITH g8 AS ({_g8_sql(20000)})
+@register("g8_augment_distribution", f"""WITH g8 AS ({_g8_sql()})
 SELECT label_str, origin, count(*) AS n FROM g8 GROUP BY label_str, origin""")
 def q_g8_dist(spark, sf):
-    d = augment_dataset(spark, labelled(spark, sf), "id", 20000)
+    d = augment_dataset(spark, labelled(spark, sf), "id", factor=G8_FACTOR)
     return d.groupBy("label_str", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -637,17 +669,44 @@ def _scratch(spark, name: str) -> str:
     return shared_path(spark, f"reqsight-runs/{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _taken(df: DataFrame, *paths: str) -> DataFrame:
+    """``df`` written once more as a checkpoint (removed with the frame), its scratch folders deleted."""
+    out = reliable_checkpoint(df)
+    for p in paths:
+        remove_path(df.sparkSession, p)
+    return out
+
+
 def trained(spark, sf):
-    """T3 on the augmented dataset (G8), split by template so variants do not leak (Q11)."""
+    """T3 on the augmented dataset (G8), split by template so variants do not leak (Q11), settings selected by T2."""
     from reqsight.operators.model import TrainConfig, train_and_evaluate
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _MODEL_CACHE:
-        data = augment_dataset(spark, labelled(spark, sf), "id", 20000)
-        cfg = TrainConfig(group_col="tid", max_iter=30)
+        data = augment_dataset(spark, labelled(spark, sf), "id", factor=G8_FACTOR)
+        cfg = TrainConfig(group_col="tid", max_iter=30, num_features=1 << 14, grid=[{"reg_param": 0.001}, {"reg_param": 0.01}])
+        _MODEL_CACHE.clear()
         _MODEL_CACHE[key] = train_and_evaluate(spark, data, cfg)
     return _MODEL_CACHE[key]
 
 
+def _t3_split_sql() -> str:
+    """Which templates are held out: per class, by the group draw (the rule of the stratified group split)."""
+    return f"""g8 AS MATERIALIZED ({_g8_sql()}),
+gl AS (SELECT tid, label, row_number() OVER (PARTITION BY tid ORDER BY count(*) DESC, label DESC) AS r FROM g8 GROUP BY tid, label),
+gr AS (SELECT tid, label, row_number() OVER (PARTITION BY label ORDER BY {S.draw('tid', 'split')}, tid) AS r,
+       count(*) OVER (PARTITION BY label) AS n FROM gl WHERE r = 1),
+held AS (SELECT tid FROM gr WHERE n >= 2 AND r <= least(n - 1, greatest(1, round(n * 0.2))))"""
+
+
+@register("t3_split_and_support", f"""WITH {_t3_split_sql()}
+SELECT {S.label_name('label')} AS class, sum(CASE WHEN tid IN (SELECT tid FROM held) THEN 1 ELSE 0 END)::BIGINT AS support FROM g8
+GROUP BY label HAVING support > 0""")
+def q_t3_support(spark, sf):
+    """T3's report: held-out rows of each class (classes that only the model predicts have none)."""
+    report = trained(spark, sf)[2]
+    return report.filter((F.col("row_order") < 100) & (F.col("support") > 0)).select("class", "support")
+
+
 @register("t3_train_and_evaluate")
 def q_t3(spark, sf):
     model, metrics, report, scored = trained(spark, sf)
@@ -655,18 +714,71 @@ def q_t3(spark, sf):
                          *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+def _scored_t(spark, sf, model):
+    from reqsight.operators.model import score
+    return score(X.labelled_lines(spark, sf).withColumnRenamed("payload", "text"), model)
+
+
+@register("t1_train_classifier", f"""WITH {S.labelled_cte()} SELECT count(*) AS rows, 8 AS classes, 0 AS not_the_argmax FROM lab""")
+def q_t1(spark, sf):
+    """A model fitted on all labelled lines scores each of them with 8 probabilities and the class of the largest."""
+    from reqsight.operators.model import TrainConfig, score, train_classifier
+    lab = reliable_checkpoint(labelled(spark, sf).select("id", "text", "label"))
+    s = score(lab, train_classifier(lab, TrainConfig(max_iter=10, num_features=1 << 12)))
+    worse = F.element_at("probs", F.col("pred") + 1) < F.array_max("probs")
+    return s.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("probs")).alias("classes"),
+                 big(F.sum(worse.cast("int"))).alias("not_the_argmax"))
+
+
+@register("t2_select_best", f"""WITH {S.labelled_cte()} SELECT 2 AS candidates, TRUE AS best_is_largest, 2 AS in_range""")
+def q_t2(spark, sf):
+    """Every candidate is fitted and measured, and the chosen one is the best of them."""
+    from reqsight.operators.model import TrainConfig, select_best
+    lab = reliable_checkpoint(labelled(spark, sf).select("id", "text", "label", "tid"))
+    grid = [{"reg_param": 0.001}, {"reg_param": 0.1}]
+    _, best, results = select_best(lab, grid, TrainConfig(group_col="tid", max_iter=10, num_features=1 << 12))
+    r = spark.createDataFrame([(x["params"] == best, float(x["f1"])) for x in results], "chosen boolean, f1 double")
+    return r.agg(F.count(F.lit(1)).alias("candidates"), (F.max(F.when(F.col("chosen"), F.col("f1"))) == F.max("f1")).alias("best_is_largest"),
+                 big(F.sum(F.col("f1").between(0, 1).cast("int"))).alias("in_range"))
+
+
 @register("t5_score")
 def q_t5(spark, sf):
-    from reqsight.operators.model import score
-    model = trained(spark, sf)[0]
-    s = score(X.labelled_lines(spark, sf).withColumnRenamed("payload", "text"), model)
+    s = _scored_t(spark, sf, trained(spark, sf)[0])
     return s.select("id", "type", r6(F.col("confidence")).alias("confidence"))
 
 
-@register("t7_majority_vote", f"""WITH lg AS (
-  SELECT vec_id, cast(list_position(embedding[1:8], list_max(embedding[1:8])) - 1 as integer) AS pred FROM embeddings
-  UNION ALL SELECT vec_id, cast(list_position(embedding[9:16], list_max(embedding[9:16])) - 1 as integer) FROM embeddings
-  UNION ALL SELECT vec_id, cast(list_position(embedding[17:24], list_max(embedding[17:24])) - 1 as integer) FROM embeddings),
+@register("t5_score_checks", f"""WITH {S.t_cte()} SELECT count(*) AS rows, 0 AS sums_off, 0 AS not_the_argmax FROM t""")
+def q_t5_checks(spark, sf):
+    """T5: every line is scored, its probabilities sum to 1 and its class is the one with the largest."""
+    s = _scored_t(spark, sf, trained(spark, sf)[0])
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return s.agg(F.count(F.lit(1)).alias("rows"), big(F.sum((F.abs(total - 1) > 1e-9).cast("int"))).alias("sums_off"),
+                 big(F.sum((F.element_at("probs", F.col("pred") + 1) < F.array_max("probs")).cast("int"))).alias("not_the_argmax"))
+
+
+@register("t7_score_many", f"""WITH {S.t_cte()} SELECT count(*) AS rows, 3 * count(*) AS scores, 0 AS votes_off FROM t""")
+def q_t7_many(spark, sf):
+    """Three trained models score every line; the vote agrees with a count over the long form."""
+    from reqsight.operators.model import TrainConfig, score_many, train_classifier
+    lab = reliable_checkpoint(labelled(spark, sf).select("id", "text", "label"))
+    models = {f"m{n}": train_classifier(lab, TrainConfig(ngram=n, max_iter=5, num_features=1 << 10)) for n in (1, 2, 3)}
+    longs, votes = score_many(lab.select("id", "text"), models)
+    longs = reliable_checkpoint(longs)
+    by = longs.groupBy("id").agg(F.sort_array(F.collect_list("pred")).alias("p"), F.count(F.lit(1)).alias("k"))
+    # of three votes in order the middle one is in the majority if there is one, else the smallest wins
+    p = F.col("p")
+    want = F.when((p[0] == p[1]) | (p[1] == p[2]), p[1]).otherwise(p[0])
+    j = by.join(votes, "id")
+    return j.agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("scores"), big(F.sum((want != F.col("vote")).cast("int"))).alias("votes_off"))
+
+
+#: Three pseudo-models: three ways to fold all 64 values into 8 logits (SQL over the 1-based, Python over the 0-based position).
+FOLDS = [("(i_ - 1) % 8", lambda i: i % 8), ("(i_ - 1) // 8", lambda i: F.floor(i / 8)), ("((i_ - 1) // 2) % 8", lambda i: F.floor(i / 2) % 8)]
+
+
+@register("t7_majority_vote", f"""WITH m AS MATERIALIZED ({" UNION ALL ".join(f"SELECT vec_id, {S.fold_logits(sql)} AS lg FROM embeddings" for sql, _ in FOLDS)}),
+lg AS (SELECT vec_id, cast(list_position(lg, list_max(lg)) - 1 as integer) AS pred FROM m),
 vt AS (SELECT vec_id, pred, count(*) AS n FROM lg GROUP BY vec_id, pred),
 bt AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, pred ASC) AS rn,
        sum(n) OVER (PARTITION BY vec_id) AS voters FROM vt)
@@ -674,22 +786,19 @@ SELECT vec_id, cast(pred as integer) AS vote, n AS votes, cast(voters as bigint)
 def q_t7(spark, sf):
     from reqsight.operators.model import majority_vote
     e = X.read_table(spark, sf, "embeddings")
-    # three pseudo-models (three 8-wide slices) in one scan, exploded to long form
-    preds = [F.struct(F.lit(f"m{m}").alias("model"),
-                      D.argmax(F.transform(F.slice("embedding", lo, 8), lambda x: x.cast("double"))).alias("pred"))
-             for m, lo in enumerate((1, 9, 17))]
+    preds = [F.struct(F.lit(f"m{m}").alias("model"), D.argmax(X.fold_logits("embedding", place)).alias("pred"))
+             for m, (_, place) in enumerate(FOLDS)]
     longs = e.select("vec_id", F.explode(F.array(*preds)).alias("p")).select("vec_id", "p.model", "p.pred")
     v = majority_vote(longs, "vec_id")
     return v.select("vec_id", "vote", "votes", big(F.col("voters")).alias("voters"))
 
 
 VSCORED_SQL = f"""vs0 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM v),
-vs AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer("array_to_string(" + S.dedupe("vl") + ", ' ')")} AS type FROM vs0)"""
+vs AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer_views("vl")} AS type FROM vs0)"""
 
 
 @register("t8_retrain_rows", f"""WITH {S.v_cte()}, {VSCORED_SQL},
-t AS (SELECT d.doc_id AS id, replace(p.tpl_payload, {S.sq(X.TEXT_SLOT)}, replace(coalesce(d.text, ''), chr(10), ' ')) AS payload
-      FROM documents d JOIN tpl p ON p.tid = {S.draw('d.doc_id', 't')} % {X.N_TEMPLATES})
+{S.t_cte(templates=False)}
 SELECT DISTINCT payload AS text, type AS label_str FROM vs WHERE md5(payload) NOT IN (SELECT md5(payload) FROM t)""")
 def q_t8(spark, sf):
     from reqsight.operators.model import retrain_rows
@@ -699,24 +808,54 @@ def q_t8(spark, sf):
     return retrain_rows(base, v)
 
 
-@register("e3_encode_wordpiece")
+@register("t8_retrain_from_logs", f"""WITH {S.v_cte()}, {VSCORED_SQL},
+{S.t_cte(templates=False)},
+new AS (SELECT DISTINCT payload AS text, type AS label_str FROM vs WHERE payload <> '' AND md5(payload) NOT IN (SELECT md5(payload) FROM t))
+SELECT (SELECT count(*) FROM t) + (SELECT count(*) FROM new) AS rows, 0 AS shared_ids""")
+def q_t8_retrain(spark, sf):
+    """T8 whole: log rows appended to the base, T3 run again; every row is on one side of the split, ids stay apart."""
+    from reqsight.operators.model import TrainConfig, retrain_from_logs, retrain_rows
+    from reqsight.streaming.jobs import rule_score
+    base = reliable_checkpoint(labelled(spark, sf).select("id", "text", "label_str", "label"))
+    v = rule_score(X.request_events(spark, sf)).filter("payload <> ''").select(F.col("payload").alias("text"), F.col("type").alias("label_str"))
+    v = reliable_checkpoint(v)
+    cfg = TrainConfig(max_iter=5, num_features=1 << 10, split="random", test=0.2)
+    _, _, report, scored = retrain_from_logs(spark, base, v, cfg=cfg)
+    added = retrain_rows(base, v).agg(F.count(F.lit(1)).alias("new"))
+    shared = scored.groupBy("id").agg(F.count(F.lit(1)).alias("c")).agg(F.sum((F.col("c") > 1).cast("bigint")).alias("shared"))
+    one = lambda df: df.withColumn("_k", F.lit(1))
+    r = one(base.agg(F.count(F.lit(1)).alias("old"))).join(one(added), "_k").join(one(shared), "_k")
+    return r.select((F.col("old") + F.col("new")).alias("rows"), big(F.coalesce("shared", F.lit(0))).alias("shared_ids"))
+
+
+_PUNCT = r"!-/:-@\[-`{-~"
+
+
+@register("e3_encode_wordpiece", rf"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))),
+    '[{_PUNCT}]|[^\s{_PUNCT}]+')[1:126] AS w FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(w, lambda x_: CASE WHEN regexp_full_match(x_, '[!-~]+') AND length(x_) <= 100 THEN
+    list_transform(range(1, length(x_) + 1), lambda i_: 5 + 2 * (ord(substr(x_, i_, 1)) - 33) + CASE WHEN i_ > 1 THEN 1 ELSE 0 END)
+    ELSE [1] END))[1:126] AS p FROM w)
+SELECT doc_id, array_to_string(list_concat([2], p, [3], list_transform(range(126 - len(p)), lambda z_: 0)), ' ') AS ids,
+       cast(len(p) + 2 as bigint) AS mask_sum FROM p""")
 def q_e3(spark, sf):
-    from reqsight.operators.wordpiece import encode_wordpiece, vocab_from_corpus
+    """E3 over a rule-made vocabulary (every printable ASCII character and its ## form)."""
+    from reqsight.operators.wordpiece import character_vocab, encode_wordpiece
     d = X.read_table(spark, sf, "documents").select("doc_id", "text")
-    vocab = vocab_from_corpus(d, "text", 2000)
-    enc = encode_wordpiece(d, vocab, "text")
+    enc = encode_wordpiece(d, character_vocab(), "text")
     return enc.select("doc_id", joined(F.col("ids")).alias("ids"),
                       big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("mask_sum"))
 
 
-@register("e4_char_ngram_features")
+@register("e4_char_ngram_features", """SELECT doc_id, cast(greatest(length(lower(text)) - 2, 0) as bigint) AS n_grams, TRUE AS counted,
+  length(lower(text)) > 2 AS found FROM documents""")
 def q_e4(spark, sf):
+    """N-grams counted, stored entries within their number, and at least one where there is an n-gram."""
     from reqsight.operators.model import char_ngram_features
     d = X.read_table(spark, sf, "documents").select("doc_id", "text")
     f = char_ngram_features(d, "text", 3, 1 << 18)
-    # stored entries of the sparse vector, read in O(nnz) (vector_to_array would densify 2^18 slots)
-    sparse = F.from_json(F.to_json(F.struct(F.col("features").alias("v"))), "struct<v:struct<indices:array<int>>>")
-    return f.select("doc_id", big(F.size("_grams")).alias("n_grams"), big(F.size(sparse["v"]["indices"])).alias("nnz"))
+    nnz = F.size(F.unwrap_udt("features")["indices"])  # stored entries of the sparse vector
+    return f.select("doc_id", "n_grams", (nnz <= F.col("n_grams")).alias("counted"), (nnz > 0).alias("found"))
 
 
 # ============================================================== sources and sinks with files
@@ -731,7 +870,20 @@ def q_s2(spark, sf):
     path = _scratch(spark, "requestlog")
     r = X.requests(spark, sf).select("http_method", "http_path", "http_query", "rule_names")
     r.write.option("header", True).option("sep", ";").csv(path)
-    return read_request_log(spark, path)
+    return _taken(read_request_log(spark, path), path)
+
+
+@register("s2_read_wider_log", f"""WITH {S.r_cte()}
+SELECT page_id AS bytes, nullif(rule_names, '') AS rule_names, nullif(http_query, '') AS http_query, nullif(host, '') AS client,
+       nullif(http_path, '') AS http_path, nullif(http_method, '') AS http_method FROM r""")
+def q_s2_wide(spark, sf):
+    """S2 on a log with other columns between the known ones, in another order."""
+    from reqsight.sources.readers import read_request_log
+    path = _scratch(spark, "requestlog")
+    r = X.requests(spark, sf).select("rule_names", F.col("host").alias("client"), "http_query", F.col("page_id").alias("bytes"), "http_path", "http_method")
+    r.write.option("header", True).option("sep", ";").csv(path)
+    log = read_request_log(spark, path)
+    return _taken(log.withColumn("bytes", F.col("bytes").cast("bigint")), path)
 
 
 @register("s4_write_samples", f"""WITH {S.labelled_cte()}
@@ -740,26 +892,25 @@ def q_s4(spark, sf):
     from reqsight.sources.readers import read_samples, write_samples
     path = _scratch(spark, "samples")
     write_samples(labelled(spark, sf).select("id", "text", "label_str", "label"), path)
-    return read_samples(spark, path).select("id", "text", "label_str", big(F.col("label")).alias("label"))
+    return _taken(read_samples(spark, path).select("id", "text", "label_str", big(F.col("label")).alias("label")), path)
 
 
-def _replay_v(spark, sf) -> tuple[str, object]:
-    path = _scratch(spark, "v-replay")
-    v = X.request_events(spark, sf)
-    v.write.parquet(path)
-    return path, v.schema
+def _v_stream(spark, sf) -> DataFrame:
+    """V as a stream over the events files themselves; templates and P1 are applied in the stream."""
+    from reqsight.sources.readers import request_stream
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # a pattern, as a file source takes a single file only by one
+    return X.with_payload(request_stream(spark, f"{sf}/events.parque[t]", schema))
 
 
 @register("s7_request_stream", f"""WITH {S.v_cte()}
 SELECT event_id, payload FROM v""")
 def q_s7(spark, sf):
-    from reqsight.sources.readers import request_stream
-    src, schema = _replay_v(spark, sf)
     sink = _scratch(spark, "s7-sink")
-    q = (request_stream(spark, src, schema, max_files_per_trigger=2).writeStream.format("parquet")
+    q = (_v_stream(spark, sf).select("event_id", "payload").writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", sink + "_ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink).select("event_id", "payload")
+    return _taken(spark.read.parquet(sink).select("event_id", "payload"), sink, sink + "_ckpt")
 
 
 # ============================================================== 2.11 streaming
@@ -769,13 +920,11 @@ def q_s7(spark, sf):
 SELECT event_id, CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL'
   ELSE 'ATTACK' END AS status, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type, payload FROM vs""")
 def q_w1(spark, sf):
-    from reqsight.sources.readers import request_stream
     from reqsight.streaming.jobs import score_stream
-    src, schema = _replay_v(spark, sf)
     sink = _scratch(spark, "w1-sink")
-    q = score_stream(request_stream(spark, src, schema, max_files_per_trigger=2), sink, sink + "_ckpt")
+    q = score_stream(_v_stream(spark, sf).select("event_id", "payload"), sink, sink + "_ckpt")
     q.awaitTermination()
-    return spark.read.parquet(sink).select("event_id", "status", "type", "payload")
+    return _taken(spark.read.parquet(sink).select("event_id", "status", "type", "payload"), sink, sink + "_ckpt")
 
 
 @register("w2_attack_rate", f"""WITH {S.v_cte()}, {VSCORED_SQL},
@@ -791,62 +940,70 @@ def q_w2(spark, sf):
 
 
 @register("w3_collect_training_rows", f"""WITH {S.v_cte()}, {VSCORED_SQL}
-SELECT payload AS text, type AS label_str FROM vs""")
+SELECT payload AS text, CASE WHEN payload = '' THEN NULL ELSE type END AS label_str FROM vs""")
 def q_w3(spark, sf):
-    from reqsight.sources.readers import request_stream
     from reqsight.streaming.jobs import collect_training_rows
-    src, schema = _replay_v(spark, sf)
     table = _scratch(spark, "w3-table")
-    q = collect_training_rows(request_stream(spark, src, schema, max_files_per_trigger=2), table, table + "_ckpt")
+    q = collect_training_rows(_v_stream(spark, sf).select("event_id", "payload"), table, table + "_ckpt")
     q.awaitTermination()
     # batch_id (a partition column) depends on how files fall into micro-batches; the rows do not
-    return spark.read.parquet(table).select("text", "label_str")
+    return _taken(spark.read.parquet(table).select("text", "label_str"), table, table + "_ckpt")
 
 
-@register("s1_read_labelled_files")
+@register("s1_read_labelled_files", f"""WITH lines AS (
+  SELECT generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+s AS (SELECT {S.py_strip('line')} AS s FROM lines),
+p AS (SELECT CASE WHEN strpos(s, ': ') > 0 THEN substr(s, 1, strpos(s, ': ') - 1) ELSE '' END AS title,
+       CASE WHEN strpos(s, ': ') > 0 THEN substr(s, strpos(s, ': ') + 2) ELSE s END AS payload FROM s WHERE s <> '')
+SELECT title, payload, count(*) AS n FROM p GROUP BY ALL""")
 def q_s1_files(spark, sf):
-    """S1 on real text files: the documents written as text files, read back with header skipping."""
+    """S1 on real text files: every document's lines written as text files, two header lines first in each, read back."""
     from reqsight.sources.readers import read_labelled_lines
     path = _scratch(spark, "lines")
-    X.read_table(spark, sf, "documents").select("text").write.text(path)
-    return read_labelled_lines(spark, path)
-
-
-@register("t4_save_load_model")
+    lines = X.read_table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"), F.rand(1).alias("r"))
+    # each file is one partition of the write: its rows come after two header lines
+    lines = lines.repartition(8).select("value", F.spark_partition_id().alias("p"))
+    head = spark.range(8).select(F.explode(F.array(F.lit("# labelled lines"), F.lit("# number. title: payload"))).alias("value"),
+                                 F.col("id").cast("int").alias("p"))
+    both = head.select("p", F.lit(0).alias("o"), "value").unionByName(lines.select("p", F.lit(1).alias("o"), "value"))
+    both.repartition(8, "p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(path)
+    got = read_labelled_lines(spark, path + "/*")
+    return _taken(got.groupBy("title", "payload").agg(F.count(F.lit(1)).alias("n")), path)
+
+
+@register("t4_save_load_model", f"""WITH {S.t_cte()} SELECT count(*) AS rows, 0 AS different, 'v1' AS version FROM t""")
 def q_t4(spark, sf):
-    """T4: the trained model saved as a version (Spark ML format + JSON sidecar), loaded back, used to score T."""
-    from reqsight.operators.model import TrainConfig, load_model, save_model, score
+    """T4: the trained model saved as a version (Spark ML format + JSON sidecar) and loaded back scores every line as before."""
+    from reqsight.operators.model import TrainConfig, load_model, save_model
     model, metrics = trained(spark, sf)[:2]
     base = _scratch(spark, "models")
     save_model(model, base, TrainConfig(group_col="tid", max_iter=30), metrics, version="v1")
     loaded, meta = load_model(base)
-    s = score(X.labelled_lines(spark, sf).withColumnRenamed("payload", "text"), loaded)
-    return s.select("id", "type", r6(F.col("confidence")).alias("confidence"), F.lit(meta["version"]).alias("version"))
+    cols = ["id", "pred", "confidence"]
+    a = _scored_t(spark, sf, model).select(*cols)
+    b = _scored_t(spark, sf, loaded).select(F.col("id").alias("id2"), F.col("pred").alias("pred2"), F.col("confidence").alias("confidence2"))
+    j = a.join(b, F.col("id") == F.col("id2"))
+    off = (F.col("pred") != F.col("pred2")) | (F.abs(F.col("confidence") - F.col("confidence2")) > 1e-12)
+    return _taken(j.agg(F.count(F.lit(1)).alias("rows"), big(F.sum(off.cast("int"))).alias("different"),
+                        F.lit(meta["version"]).alias("version")), base)
 
 
 @register("w2_attack_rate_stream", f"""WITH {S.v_cte()}, {VSCORED_SQL},
 vv AS (SELECT ts, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type,
-  CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status FROM vs),
-wm AS (SELECT max(ts) - INTERVAL 1 DAY AS watermark FROM v)
+  CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status FROM vs)
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, type, count(*) AS requests,
-       cast(sum(CASE WHEN status = 'ATTACK' THEN 1 ELSE 0 END) as bigint) AS attacks
-FROM vv GROUP BY ALL HAVING max(date_trunc('day', ts) + INTERVAL 1 DAY) <= (SELECT watermark FROM wm)""")
+       cast(sum(CASE WHEN status = 'ATTACK' THEN 1 ELSE 0 END) as bigint) AS attacks FROM vv GROUP BY ALL""")
 def q_w2_stream(spark, sf):
-    """W2 as a stream: 1-day tumbling windows, 1-day watermark, append mode, file source -> parquet sink.
+    """W2 as a stream over the events files: 1-day tumbling windows in update mode, every window in the result.
 
-    Append mode emits a window once the watermark (latest event time - 1 day) passes its end, so the
-    result holds every closed window; the still-open ones are not emitted.
+    A replay in file order is not in event order, so the watermark allows ten years; a live job would allow a day.
     """
-    from reqsight.sources.readers import request_stream
-    from reqsight.streaming.jobs import attack_rate, score_requests, window_start_text
-    src, schema = _replay_v(spark, sf)
-    sink = _scratch(spark, "w2-sink")
-    agg = attack_rate(score_requests(request_stream(spark, src, schema)), "1 day", delay="1 day")
-    out = agg.select(window_start_text("window").alias("window_start"), "type", "requests", "attacks")
-    q = (out.writeStream.format("parquet").outputMode("append").option("path", sink)
-         .option("checkpointLocation", sink + "_ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+    from reqsight.streaming.jobs import attack_rate, attack_rate_table, latest_windows, score_requests, window_start_text
+    table = _scratch(spark, "w2-table")
+    rates = attack_rate(score_requests(_v_stream(spark, sf)), "1 day", delay="3650 days")
+    attack_rate_table(rates, table, table + "_ckpt").awaitTermination()
+    r = latest_windows(spark.read.parquet(table))
+    return _taken(r.select(window_start_text("window").alias("window_start"), "type", "requests", "attacks"), table, table + "_ckpt")
 
 
 @register("m7_hard_negatives_per_class", f"""WITH {S.g_cte()}, d AS (SELECT vec_id, label, pred, {S.softmax('logits')}[pred + 1] AS confidence FROM g),

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from reqsight.fixed import (CLASSES, CLEAN_ORDER, DEFAULT_SEED, PAYLOAD_RULES, RANDOM_ALPHABET,
                             TITLE_RULES)
-from reqsight.plans.fixtures import (N_CASES, N_TEMPLATES, RULE_NAMES, SUITE_CASES, TEMPLATES,
-                                     TEXT_SLOT)
+from reqsight.plans.fixtures import (BASE64_SLOT, ENCODED_PREFIX, HEX_SLOT, MARKS_SLOT, N_CASES,
+                                     N_TEMPLATES, RULE_NAMES, SUITE_CASES, TEMPLATES, TEXT_SLOT)
 
 
 def sq(s: str | None) -> str:
@@ -34,6 +34,11 @@ def draw(key: str, name: str, seed: int = DEFAULT_SEED) -> str:
     return word(draw_hex(key, name, seed), 0)
 
 
+def wide_draw(key: str, name: str, seed: int = DEFAULT_SEED) -> str:
+    """60 bits of the draw hash: for picks among any number of rows."""
+    return f"cast(('0x' || substr({draw_hex(key, name, seed)}, 1, 15)) as bigint)"
+
+
 def choice(options: list[str], w: str) -> str:
     arr = "[" + ", ".join(sq(o) for o in options) + "]"
     return f"{arr}[({w} % {len(options)}) + 1]"
@@ -103,11 +108,21 @@ def templates_cte() -> str:
     return f"tpl(tid, src, title, tpl_payload, is_attack) AS (VALUES\n    {vals})"
 
 
-def t_cte() -> str:
-    """``tpl`` and ``t`` (FIXTURES T)."""
-    return (templates_cte() + ",\n"
-            f"t AS (SELECT d.doc_id AS id, p.tid, p.src, p.title, "
-            f"replace(p.tpl_payload, {sq(TEXT_SLOT)}, replace(coalesce(d.text, ''), chr(10), ' ')) AS payload, "
+def fill(tpl: str, text: str) -> str:
+    """A template payload with a text in its slot."""
+    coded = f"encode({sq(ENCODED_PREFIX)} || {text})"
+    return (f"CASE WHEN contains({tpl}, {sq(MARKS_SLOT)}) THEN regexp_replace({text}, '[^%]', '', 'g') "
+            f"WHEN contains({tpl}, {sq(BASE64_SLOT)}) THEN replace({tpl}, {sq(BASE64_SLOT)}, to_base64({coded})) "
+            f"WHEN contains({tpl}, {sq(HEX_SLOT)}) THEN replace({tpl}, {sq(HEX_SLOT)}, lower(hex({coded}))) "
+            f"ELSE replace({tpl}, {sq(TEXT_SLOT)}, {text}) END")
+
+
+def t_cte(templates: bool = True) -> str:
+    """``tpl`` (unless it is there already) and ``t`` (FIXTURES T)."""
+    text = "replace(coalesce(d.text, ''), chr(10), ' ')"
+    return ((templates_cte() + ",\n" if templates else "") +
+            f"t AS (SELECT d.doc_id AS id, p.tid, p.src, CASE WHEN p.title = '' THEN '' ELSE concat_ws(' ', p.title, d.source) END AS title, "
+            f"{fill('p.tpl_payload', text)} AS payload, "
             f"p.is_attack FROM documents d JOIN tpl p ON p.tid = {draw('d.doc_id', 't')} % {N_TEMPLATES})")
 
 
@@ -135,8 +150,15 @@ def r_cte() -> str:
             f"{rules}[(page_id % {len(RULE_NAMES)}) + 1] AS rule_names FROM pages)")
 
 
+def fold_logits(place: str) -> str:
+    """8 logits; ``place`` is SQL over ``i_``, the 1-based position."""
+    one = lambda k: (f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_filter(range(1, len(embedding) + 1), lambda i_: {place} = {k}), "
+                     f"lambda j_: cast(embedding[j_] as double))), lambda a_, b_: a_ + b_)")
+    return "[" + ", ".join(one(k) for k in range(8)) + "]"
+
+
 def g_cte() -> str:
-    return ("g0 AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: cast(x as double)) AS logits, "
+    return (f"g0 AS (SELECT vec_id, {fold_logits('(i_ - 1) % 8')} AS logits, "
             "cast(label % 8 as integer) AS label FROM embeddings),\n"
             "g AS (SELECT *, cast(list_position(logits, list_max(logits)) - 1 as integer) AS pred FROM g0)")
 
@@ -151,11 +173,13 @@ def log_sum_exp(z: str) -> str:
 
 
 def v_cte() -> str:
+    props = "cast(json(e.props) as map(varchar, varchar))"
+    args = (f"CASE WHEN contains(p.tpl_payload, {sq(MARKS_SLOT)}) THEN map([]::varchar[], []::varchar[]) ELSE "
+            f"map_concat({props}, map(['p'], [{fill('p.tpl_payload', sq(''))}])) END")
     return (templates_cte() + ",\n"
-            f"v AS (SELECT e.event_id, cast(e.ts as timestamp) AS ts, e.user_id, "
-            f"cast(json(e.props) as map(varchar, varchar)) AS args, "
-            f"replace(p.tpl_payload, {sq(TEXT_SLOT)}, '') AS payload "
-            f"FROM events e JOIN tpl p ON p.tid = {draw('e.event_id', 't')} % {N_TEMPLATES})")
+            f"v0 AS (SELECT e.event_id, cast(e.ts as timestamp) AS ts, e.user_id, {args} AS args "
+            f"FROM events e JOIN tpl p ON p.tid = {draw('e.event_id', 't')} % {N_TEMPLATES}),\n"
+            f"v AS (SELECT *, {assemble('args')} AS payload FROM v0)")
 
 
 def assemble(args: str) -> str:
@@ -163,15 +187,13 @@ def assemble(args: str) -> str:
     return py_strip(f"coalesce(array_to_string({pairs}, ' '), '')")
 
 
-def url_decode_once(x: str) -> str:
-    """Spark ``coalesce(try_url_decode(x), x)`` on inputs whose escapes decode to valid UTF-8."""
-    bad = r"'%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)'"
-    return f"(CASE WHEN regexp_matches({x}, {bad}) THEN {x} ELSE url_decode(replace({x}, '+', ' ')) END)"
+def url_decode(x: str) -> str:
+    """DuckDB's own decoder leaves malformed escapes as they are."""
+    return f"url_decode(replace({x}, '+', ' '))"
 
 
-def try_url_decode(x: str) -> str:
-    bad = r"'%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)'"
-    return f"(CASE WHEN NOT regexp_matches({x}, {bad}) THEN url_decode(replace({x}, '+', ' ')) END)"
+def url_decode_full(x: str) -> str:
+    return url_decode(f"regexp_replace({x}, '%(25)+([0-9A-Fa-f]{{2}})', '%\\2', 'g')")
 
 
 def form_entries(body: str) -> str:
@@ -184,9 +206,7 @@ def form_entries(body: str) -> str:
 
 
 def form_decode(x: str) -> str:
-    """Spark ``coalesce(try_url_decode(x), replace(x, '+', ' '))``."""
-    bad = r"'%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)'"
-    return f"(CASE WHEN regexp_matches({x}, {bad}) THEN replace({x}, '+', ' ') ELSE url_decode(replace({x}, '+', ' ')) END)"
+    return url_decode(x)
 
 
 def first_per_key_render(entries: str) -> str:
@@ -204,39 +224,30 @@ def suite_cte() -> str:
         rows.append(f"({i}, {sq(name)}, map({keys}, {vals}), {sq(exp)})")
     vals = ",\n    ".join(rows)
     return (f"cases(cid, name, args, expected_class) AS (VALUES\n    {vals}),\n"
-            f"c AS (SELECT e.event_id, k.cid, k.name, k.args, k.expected_class FROM events e "
+            f"c AS (SELECT e.event_id, k.cid, k.name, map_concat(cast(json(e.props) as map(varchar, varchar)), k.args) AS args, k.expected_class FROM events e "
             f"JOIN cases k ON k.cid = {draw('e.event_id', 'c')} % {N_CASES})")
 
 
-PRINTABLE_HEX = r"^(([2-6][0-9A-F])|(7[0-9A-E]))*$"
-B64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+B64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)$"
 HEX = r"^0[xX]([0-9a-fA-F]{2})+$"
 
 
-def decoded_views(x: str) -> str:
-    url1 = try_url_decode(x)
-    url2 = try_url_decode(url1)
-    b64 = (f"(CASE WHEN regexp_matches({x}, '{B64}') AND length({x}) >= 8 THEN "
-           f"(CASE WHEN regexp_matches(hex(from_base64({x})), '{PRINTABLE_HEX}') "
-           f"AND octet_length(from_base64({x})) > 0 THEN decode(from_base64({x})) END) END)")
-    hx = (f"(CASE WHEN regexp_matches({x}, '{HEX}') THEN "
-          f"(CASE WHEN regexp_matches(hex(unhex(substr({x}, 3))), '{PRINTABLE_HEX}') "
-          f"THEN decode(unhex(substr({x}, 3))) END) END)")
-    arr = f"list_filter([{x}, {url1}, {url2}, {b64}, {hx}], lambda v: v IS NOT NULL)"
-    return f"list_filter({arr}, lambda v, i: list_position({arr}, v) = i)"
-
-
 def view_candidates(x: str) -> str:
     """The non-NULL candidate views of ``x`` (before de-duplication); compute once, then ``dedupe``."""
-    url1 = try_url_decode(x)
-    url2 = try_url_decode(url1)
-    b64 = (f"(CASE WHEN regexp_matches({x}, '{B64}') AND length({x}) >= 8 THEN "
-           f"(CASE WHEN regexp_matches(hex(from_base64({x})), '{PRINTABLE_HEX}') "
-           f"AND octet_length(from_base64({x})) > 0 THEN decode(from_base64({x})) END) END)")
-    hx = (f"(CASE WHEN regexp_matches({x}, '{HEX}') THEN "
-          f"(CASE WHEN regexp_matches(hex(unhex(substr({x}, 3))), '{PRINTABLE_HEX}') "
-          f"THEN decode(unhex(substr({x}, 3))) END) END)")
-    return f"list_filter([{x}, {url1}, {url2}, {b64}, {hx}], lambda v: v IS NOT NULL)"
+    tokens = f"list_filter(string_split({x}, ' '), lambda t_: t_ <> '')"
+    values = (f"list_distinct(list_concat({tokens}, list_transform(list_filter({tokens}, lambda t_: contains(t_, '=')), "
+              f"lambda t_: substr(t_, strpos(t_, '=') + 1))))")
+    b64 = f"CASE WHEN regexp_matches(u_, '{B64}') THEN TRY(decode(from_base64(u_))) END"
+    hx = f"CASE WHEN regexp_matches(u_, '{HEX}') THEN TRY(decode(unhex(substr(u_, 3)))) END"
+    read = f"flatten(list_transform({values}, lambda u_: [{b64}, {hx}]))"
+    return f"list_filter(list_concat([{x}, {url_decode_full(x)}], {read}), lambda v: v IS NOT NULL)"
+
+
+def rule_scorer_views(views: str) -> str:
+    """Each view classified on its own; the first class in rule order wins."""
+    order = "[" + ", ".join(sq(c) for c, _ in PAYLOAD_RULES) + "]"
+    ranks = f"list_transform({views}, lambda w_: list_position({order}, {payload_class('w_', 'NULL')}))"
+    return f"coalesce({order}[list_min({ranks})], 'normal')"
 
 
 def dedupe(col: str) -> str:

@@ -18,8 +18,6 @@ _BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # per-class caps of 5,000 still prune rows before the window shuffle
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     # checkpoint files of small intermediate tables are removed once no longer referenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -49,14 +47,16 @@ _LOCAL_CKPT: str | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) do we create a
-    scratch folder of our own.
+    A cluster must name it. Only a local master, whose driver and tasks share one machine, gets a
+    scratch folder of our own when it is unset.
     """
     global _LOCAL_CKPT
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="reqsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         d = _LOCAL_CKPT
@@ -65,12 +65,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path inside the shared checkpoint folder, for tables that cut lineage."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+def shared_path(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """A path inside the shared checkpoint folder, or another shared ``root``, for tables that cut lineage."""
+    base = (root or ensure_checkpoint_dir(spark)).rstrip("/")
     return f"{base}/{name}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours, through Spark's own file systems."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def reliable_checkpoint(df):
     """Cut lineage with a reliable checkpoint in the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)

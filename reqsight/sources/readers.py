@@ -35,41 +35,44 @@ def text_lines(df: DataFrame, src: str, text: str) -> DataFrame:
     return df.select(F.col(src).alias("src"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
-def read_labelled_lines(spark: SparkSession, paths, skip: int = 2,
-                        broadcast_files_max: int = 100_000) -> DataFrame:
-    """Labelled line files -> ``src, row_key, title, payload``.
-
-    Lines are numbered without a global sort: within a scan partition the rows
-    of one file block are consecutive, so ``monotonically_increasing_id`` minus
-    the smallest id of the file's first block (one partial aggregate row per
-    file) is the line number for the lines of the first block, which is the
-    only block that can hold the header lines. Later blocks are never joined.
+def read_labelled_lines(spark: SparkSession, paths, skip: int = 2) -> DataFrame:
+    """Labelled line files -> ``src, row_key, title, payload``; ``src`` is the file's name without its
+    folder, so moving the files changes no key.
+
+    Lines are numbered without a global sort: within a scan partition the rows of one file block are
+    consecutive, so ``monotonically_increasing_id`` minus the smallest id of the file's first block (one
+    partial aggregate row per file) is the line number inside the first block, which holds the header
+    lines. Later blocks are never joined; whether the small table is broadcast is left to Spark.
     """
     raw = (spark.read.text(paths)
-           .select("value", F.col("_metadata.file_path").alias("src"),
+           .select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("src"),
                    F.col("_metadata.file_block_start").alias("_blk"),
                    F.monotonically_increasing_id().alias("_mid")))
     first = raw.filter(F.col("_blk") == 0)
-    starts = first.groupBy("src").agg(F.min("_mid").alias("_m0"))
-    n_files = starts.count()
-    starts = F.broadcast(starts) if n_files <= broadcast_files_max else starts
-    head = (first.join(starts, "src")
-            .withColumn("_line", F.col("_mid") - F.col("_m0")).drop("_m0"))
+    starts = first.groupBy("_path").agg(F.min("_mid").alias("_m0"))
+    head = first.join(starts, "_path").withColumn("_line", F.col("_mid") - F.col("_m0")).drop("_m0")
     rest = raw.filter(F.col("_blk") > 0).withColumn("_line", F.lit(skip).cast("bigint"))
-    lines = head.unionByName(rest)
-    out = parse_lines(lines, "src", "_line", "value", skip)
+    out = parse_lines(head.unionByName(rest), "src", "_line", "value", skip)
     return out.drop("line_no")
 
 
 def read_request_log(spark: SparkSession, path: str, columns=REQUEST_LOG_COLUMNS,
                      sep: str = ";") -> DataFrame:
-    """All-string CSV with a header; rows with too many fields are skipped,
-    short rows get NULLs (``_extra`` catches the overflow)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
-                          + [T.StructField("_extra", T.StringType())])
+    """All-string CSV with any header, read by name; ``columns`` come first, further columns follow.
+
+    The names are taken from the header (all files of one call share it); a listed column that the header
+    lacks is NULL, rows with too many fields are skipped, short rows get NULLs.
+    """
+    header = spark.read.option("header", True).option("sep", sep).csv(path).columns  # reads one line
+    extra = "_extra"
+    while extra in header:
+        extra += "_"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, extra]])
     df = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
           .option("enforceSchema", True).schema(schema).csv(path))
-    return df.filter(F.col("_extra").isNull()).drop("_extra")
+    df = df.filter(F.col(f"`{extra}`").isNull())
+    named = [F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c) for c in columns]
+    return df.select(*named, *[F.col(f"`{c}`") for c in header if c not in columns])
 
 
 def read_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -1,6 +1,6 @@
 """Structured Streaming jobs.
 
-W1 is stateless (each micro-batch is the batch scoring path). W2 keeps one
+W1 is stateless (each micro-batch is the batch scoring path: P1 where the source is built, P2, scorer, D5). W2 keeps one
 state row per open (window, type) and drops rows later than the watermark.
 W3 writes each micro-batch to a folder named by its batch id, overwriting on
 a replay, so a restarted query after an executor or driver loss is idempotent.
@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reqsight.functions.decide import verdict
-from reqsight.functions.payload import decoded_views
+from reqsight.functions.payload import is_empty_payload, joined_views
 from reqsight.functions.rules import rule_scorer
 
 
 def rule_score(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Scorer used where no trained model is given: payload rules over the decoded views."""
-    views = F.array_join(decoded_views(F.col(payload)), " ")
-    return df.withColumn("type", rule_scorer(views))
+    return df.withColumn("type", F.when(~is_empty_payload(payload), rule_scorer(joined_views(F.col(payload)))))
 
 
 def score_requests(df: DataFrame, scorer=None, payload: str = "payload",
@@ -56,6 +55,24 @@ def attack_rate(df: DataFrame, window: str = "1 day", slide: str | None = None,
                  F.sum((F.col(status) == F.lit("ATTACK")).cast("bigint")).alias("attacks")))
 
 
+def attack_rate_table(rates: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None):
+    """W2 to a table: every micro-batch writes the windows it changed (update mode), under its batch id.
+
+    ``latest_windows`` reads the last state of each window, open ones included; a replayed batch overwrites itself.
+    """
+    def write_batch(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
+
+    w = rates.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_windows(table: DataFrame, type_col: str = "type") -> DataFrame:
+    """The newest row of each (window, type) of a table written by ``attack_rate_table``."""
+    newest = F.max_by(F.struct("requests", "attacks"), "batch_id").alias("r")
+    return table.groupBy("window", type_col).agg(newest).select("window", type_col, "r.requests", "r.attacks")
+
+
 def window_start_text(c: Column | str = "window") -> Column:
     """Window start as UTC wall-clock text, independent of the session time zone."""
     c = F.col(c) if isinstance(c, str) else c
@@ -67,7 +84,7 @@ def collect_training_rows(stream: DataFrame, table_path: str, checkpoint: str,
                           trigger: dict | None = None, payload: str = "payload"):
     """Append labelled request rows per micro-batch, idempotent by batch id."""
     def write_batch(batch: DataFrame, batch_id: int):
-        rows = batch.select(F.col(payload).alias("text"), F.col("type").alias("label_str"))
+        rows = batch.select(F.col(payload).alias("text"), F.col("type").alias("label_str"))  # an empty payload has no label
         rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
 
     labelled = rule_score(stream, payload)

@@ -80,10 +80,10 @@ def test_roc_auc_ties_against_brute_force(spark):
     rnd = random.Random(7)
     rows = [(float(rnd.randint(0, 30)), rnd.random() < 0.4) for _ in range(400)]
     df = spark.createDataFrame(rows, "s double, y boolean")
-    got = A.roc_auc(df, "s", "y", bits=3).first()
+    got = A.roc_auc(df, "s", "y").first()
     assert math.isclose(got.auc, brute_auc(rows), abs_tol=1e-12)
     g = spark.createDataFrame([(i % 2, s, y) for i, (s, y) in enumerate(rows)], "g int, s double, y boolean")
-    by = {r.g: r.auc for r in A.roc_auc(g, "s", "y", group="g", bits=2).collect()}
+    by = {r.g: r.auc for r in A.roc_auc(g, "s", "y", group="g").collect()}
     for k in (0, 1):
         assert math.isclose(by[k], brute_auc([r for i, r in enumerate(rows) if i % 2 == k]), abs_tol=1e-12)
 

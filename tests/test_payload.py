@@ -44,7 +44,7 @@ def test_normalise_and_views(spark):
     df = spark.createDataFrame([("%253Cscript%253E",), ("PHNjcmlwdD4=",), ("0x3c62",), ("100%zz",)], "t string")
     got = df.select(P.normalise_payload("t").alias("n"), P.decoded_views("t").alias("v")).collect()
     assert got[0].n == "<script>"
-    assert got[0].v == ["%253Cscript%253E", "%3Cscript%3E", "<script>"]
+    assert got[0].v == ["%253Cscript%253E", "<script>"]
     assert got[1].v == ["PHNjcmlwdD4=", "<script>"]
     assert got[2].v == ["0x3c62", "<b"]
     assert got[3].n == "100%zz" and got[3].v == ["100%zz"]
@@ -77,3 +77,37 @@ def test_split_url_matches_urlsplit_on_pages(spark):
     for r in rows:
         u = urllib.parse.urlsplit(r.url)
         assert (r.h, r.p, r.q) == (u.hostname, u.path, u.query if "?" in r.url else None), r.url
+
+
+def test_views_at_any_depth_and_per_value(spark):
+    import base64
+    deep = {n: "q=" + "%" + "25" * (n - 1) + "3Cscript" for n in (1, 4, 6)}
+    short = "f=" + base64.b64encode(b"../").decode()
+    stray = "100%&q=%3Cscript%3E"
+    utf8 = "d=" + base64.b64encode("tab\t and \u00e9".encode()).decode()
+    rows = [*deep.values(), short, stray, utf8, "menu%20select", "data=0x3c62 x=1", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", P.decoded_views("t").alias("v")).collect()}
+    assert all(got[i][1] == "q=<script" for i in range(3))
+    assert "../" in got[3] and got[4][1] == "100%&q=<script>" and "tab\t and \u00e9" in got[5] and "<b" in got[7]
+    from reqsight.functions.rules import rule_scorer
+    types = {r.i: r.c for r in df.select("i", rule_scorer(P.joined_views("t")).alias("c")).collect()}
+    assert types[6] == "normal" and types[0] == types[4] == "xss" and types[3] == "traversal"
+
+
+def test_split_url_on_illegal_characters(spark):
+    import random
+    import urllib.parse
+    rnd = random.Random(11)
+    urls = ["http://h.test" + "".join(rnd.choice("/?#&=<>|' \\%^`{}ab\u00e9;:@") for _ in range(rnd.randint(0, 14))).replace("http://h.test", "") for _ in range(300)]
+    urls = [u[:13] + "/" + u[13:] for u in urls]
+    parts = P.split_url("u")
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    for r in df.select("u", parts["host"].alias("h"), parts["path"].alias("p"), parts["query"].alias("q")).collect():
+        w = urllib.parse.urlsplit(r.u)
+        assert (r.h, r.p, r.q or "") == (w.hostname, w.path, w.query), r.u
+
+
+def test_json_booleans_and_nulls(spark):
+    df = spark.createDataFrame([('{"a": true, "b": "true", "c": null, "d": 1.5, "e": false}',)], "body string")
+    assert df.select(P.assemble_payload(P.json_args("body")).alias("p")).first().p == "a=True b=true c=None d=1.5 e=False"
