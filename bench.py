@@ -32,6 +32,9 @@ HEADLINE = [
     "m3_stratified_split",
     "a11_suite_report",
     "w2_attack_rate",
+    "e3_encode_wordpiece",
+    "e4_char_ngram_features",
+    "w2_attack_rate_stream",
 ]
 
 
@@ -50,12 +53,12 @@ def main():
     t_setup = time.perf_counter()
     trained(spark, sf)  # model for T5, trained once outside the timed runs
     setup = time.perf_counter() - t_setup
-    times = {}
+    times = {"t3_train_and_evaluate": round(setup, 3)}  # one cold run: it is the setup of the scoring queries
     for name in HEADLINE:
         fn = QUERIES[name]
         run_once(spark, fn, sf)
         times[name] = round(statistics.median(run_once(spark, fn, sf) for _ in range(runs)), 3)
-    total = round(sum(times.values()), 3)
+    total = round(sum(v for k, v in times.items() if k in HEADLINE), 3)
     print(json.dumps({"metric": "headline_total_median_sec", "value": total, "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf.rstrip("/")),
                       "cpus": cpus, "runs": runs, "train_setup_sec": round(setup, 1)}))

@@ -41,6 +41,8 @@ class TrainConfig:
     max_iter: int = 50
     reg_param: float = 0.001
     elastic_net: float = 0.0
+    binary: bool = True               # presence of n-grams, not counts: long texts do not drown a short marker
+    standardize: bool = False         # scaling by deviation would favour the rarest n-grams
     hidden: list = field(default_factory=lambda: [64])
     cap: int = CAP_PER_CLASS
     test: float = TEST_FRACTION
@@ -55,17 +57,17 @@ class TrainConfig:
 
 
 def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
-                      num_features: int = 1 << 18, idf: bool = True) -> list:
+                      num_features: int = 1 << 18, idf: bool = True, binary: bool = False) -> list:
     """Lower-cased characters -> n-grams -> hashed term frequencies -> IDF.
 
     Characters come from the built-in ``split(lower(text), '')`` (one element per code point) and are
-    joined to n-grams in one expression over neighbouring positions.
+    joined to n-grams in one expression over neighbouring positions. ``binary`` counts an n-gram once per text.
     """
     chars = SQLTransformer(statement=f"SELECT *, filter(split(lower(`{text}`), ''), c -> c != '') AS _chars FROM __THIS__")
     gram = " || ".join(f"_chars[i + {k}]" for k in range(n))
     grams = SQLTransformer(statement=f"SELECT *, CASE WHEN size(_chars) >= {n} THEN transform(sequence(0, size(_chars) - {n}), "
                                      f"i -> {gram}) ELSE cast(array() AS array<string>) END AS _grams FROM __THIS__")
-    stages = [chars, grams, HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features)]
+    stages = [chars, grams, HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features, binary=binary)]
     if idf:
         stages.append(IDF(inputCol="_tf", outputCol=out))
     return stages
@@ -97,7 +99,7 @@ def _estimator(cfg: TrainConfig):
                                               seed=cfg.seed)
     return LogisticRegression(featuresCol="features", labelCol="_y", family="multinomial",
                               maxIter=cfg.max_iter, regParam=cfg.reg_param,
-                              elasticNetParam=cfg.elastic_net)
+                              elasticNetParam=cfg.elastic_net, standardization=cfg.standardize)
 
 
 def train_classifier(train: DataFrame, cfg: TrainConfig | None = None) -> PipelineModel:
@@ -105,7 +107,7 @@ def train_classifier(train: DataFrame, cfg: TrainConfig | None = None) -> Pipeli
     cfg = cfg or TrainConfig()
     data = train.select(F.col(cfg.text_col).alias("text"), F.col(cfg.label_col).cast("double").alias("_y"))
     pre = [normalise_stage("text", "_norm")] if cfg.normalise else []
-    feats = char_ngram_stages("_norm" if cfg.normalise else "text", "features", cfg.ngram, cfg.num_features)
+    feats = char_ngram_stages("_norm" if cfg.normalise else "text", "features", cfg.ngram, cfg.num_features, binary=cfg.binary)
     stages = pre + feats + [_estimator(cfg)]
     return Pipeline(stages=stages).fit(data)
 

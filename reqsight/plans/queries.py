@@ -683,7 +683,7 @@ def trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODEL_CACHE:
         data = augment_dataset(spark, labelled(spark, sf), "id", factor=G8_FACTOR)
-        cfg = TrainConfig(group_col="tid", max_iter=30, num_features=1 << 14, grid=[{"reg_param": 0.001}, {"reg_param": 0.01}])
+        cfg = TrainConfig(group_col="tid", max_iter=30, num_features=1 << 15, grid=[{"reg_param": 0.001}, {"reg_param": 0.01}])
         _MODEL_CACHE.clear()
         _MODEL_CACHE[key] = train_and_evaluate(spark, data, cfg)
     return _MODEL_CACHE[key]
