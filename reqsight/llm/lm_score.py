@@ -35,7 +35,7 @@ by_value(__name__)
 
 ALPHA = 0.4
 MIN_COUNT = 2
-SLICES = 4
+SLICES = 3
 HEAVY_WORDS = 50_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 START = 0x5BD1E995  # the start mark's hash
@@ -46,13 +46,14 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def bigrams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(mixed hash, context, word, times) of the distinct bigrams of one text."""
+def bigrams(h: np.ndarray, slices: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, times) of the distinct bigrams of one text that fall into one slice of their hash."""
     c = np.concatenate([np.array([START], np.uint64), h[:-1]])
     mixed = (c * np.uint64(0x9E3779B97F4A7C15) ^ h) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(31)
-    mixed, at, times = np.unique(mixed, return_index=True, return_counts=True)
-    return mixed, c[at], h[at], times
+    mine = np.flatnonzero(mixed % np.uint64(slices) == part)
+    _, at, times = np.unique(mixed[mine], return_index=True, return_counts=True)
+    return c[mine[at]], h[mine[at]], times
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +72,9 @@ def _explode(slices: int, part: int):
             for i, t in enumerate(batch.column("t").to_pylist()):
                 h = word_hashes(t)
                 if len(h):
-                    g, c, w, n = bigrams(h)
-                    mine = g % np.uint64(slices) == part
-                    rows.append(np.full(int(mine.sum()), i))
-                    cols.append((c[mine], w[mine], n[mine]))
+                    got = bigrams(h, slices, part)
+                    rows.append(np.full(len(got[0]), i))
+                    cols.append(got)
             if rows:
                 c, w, n = (np.concatenate(x) for x in zip(*cols))
                 yield pa.RecordBatch.from_arrays(
