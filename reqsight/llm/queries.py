@@ -79,17 +79,9 @@ def op4(spark, sf):
     planted = spark.createDataFrame([(-1, 0, "user", PLANTED_TEXT), (-1, 1, "assistant", PLANTED_TEXT)],
                                     "conv_id bigint, turn bigint, role string, text string")
     rows = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    seg = chat_format.format_conversations(rows, chat_format.text_parts(F.col("text")), columns={"text": "text"})
-    back = seg.select("conv_id", "segment", F.length("formatted").cast("bigint").alias("chars"),
-                      chat_format.read_back(F.col("formatted")).alias("m"),
-                      F.array_join(chat_format.under_loss(F.col("formatted"), F.col("loss")), "").alias("loss_text"))
-    back = back.select("conv_id", F.struct("segment", "chars", "loss_text", F.size("m").cast("bigint").alias("n"), F.array_join(
-        F.transform("m", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("turns")).alias("s"))
-    whole = back.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("s"), F.sum("s.n").alias("n_turns"),
-                                        F.sum("s.chars").alias("formatted_chars"))
-    loss = F.array_join("s.loss_text", "")
-    return whole.select("conv_id", "n_turns", F.sha2(F.array_join("s.turns", ""), 256).alias("turns_sha256"),
-                        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+    m = chat_format.messages(rows, chat_format.text_parts(F.col("text")), columns={"text": "text"})
+    long = chat_format.long_conversations(m)
+    return chat_format.conversation_digests(chat_format.segments(m, long), long is not None)
 
 
 @register("op8_secret_scan")

@@ -54,6 +54,31 @@ def test_segments_and_clashing_columns(conv):
     assert all(r.formatted.count("<|") == 2 * r.n_turns for r in got)
 
 
+def test_tied_and_long_conversations(spark, tmp_path, monkeypatch):
+    """Null and equal turns, hot copies and long texts: rows of bounded length, op4 never holds a conversation in one."""
+    monkeypatch.setattr(c, "SEGMENT_CHARS", 40_000)
+    tied = [(k, None if k != 71 else 5, "assistant" if i % 3 else "user", "same" if i % 2 else f"m{i * 7919 % 4001}") for k in (None, 70, 71) for i in range(4000)]
+    texts = [(72, i, "assistant", "é" * 3000 + str(i)) for i in range(60)] + [(73, 0, "user", "z" * 50_000)] * 2 + [(74, 0, "user", "short")]
+    df = spark.createDataFrame(tied + texts, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    seg = c.format_conversations(df, c.text_parts(F.col("text")), columns={"text": "text"}).cache()
+    sizes = [(r.conv_id, r.n_turns, r.n) for r in seg.select("conv_id", "n_turns", F.length("formatted").alias("n")).collect()]
+    assert all(n <= c.TURNS_PER_SEGMENT and (chars <= 40_000 or n == 1) for _, n, chars in sizes)
+    want = {}
+    for k, t, role, text in sorted(tied + texts, key=lambda r: (r[1] or 0, r[2], r[3])):
+        want.setdefault(k, []).append((role, text))
+    back = {}
+    for r in sorted(seg.select("conv_id", "segment", "part", c.read_back(F.col("formatted")).alias("m")).collect(), key=lambda r: (r.segment, r.part)):
+        back.setdefault(r.conv_id, []).extend((x.role, x.text) for x in r.m)
+    assert back == want
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in q.op4(spark, str(tmp_path)).collect()}
+    assert set(got) == {*want, -1}
+    for k, m in want.items():
+        loss = "".join(x for r, x in m if r == "assistant")
+        assert (got[k].n_turns, got[k].turns_sha256, got[k].loss_chars, got[k].loss_sha256) == (
+            len(m), sha("".join(f"{r}\n{x}\n" for r, x in m)), len(loss), sha(loss)), k
+
+
 def test_typed_parts(spark):
     parts = [("text", "see <|image|> ", None, None), ("image", None, "img/1.png", 9), ("text", "and", None, None), ("audio", None, "a.wav", None),
              ("document", None, "d.pdf", 3), ("text", None, None, None)]
