@@ -16,6 +16,8 @@ LOWER = UPPER.lower()
 HEAVY_KEYS = 1024
 #: A counted table of narrow rows up to this length is broadcast whole (a few MB).
 BROADCAST_ROWS = 50_000
+#: Shares into which ``attach_counted`` deals its rows, at least; a hot key takes as many as its part of the rows.
+SHARES = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,6 +104,30 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str
     return two.select(*rows.columns, *[F.coalesce(f"h_{c}", f"t_{c}").alias(c) for c in values])
 
 
+def attach_counted(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """``attach`` for rows whose hot keys need not be in ``table``: heavy keys are those of the rows themselves.
+
+    Beyond ``BROADCAST_ROWS`` rows of ``table``, the rows are counted by key. A key that is among the ``HEAVY_KEYS``
+    most frequent and has more than one of the ``SHARES`` equal shares of all rows is dealt out by ``spread`` to as
+    many salts as it has shares, whether ``table`` holds it or not, and its row of ``table`` is repeated for each
+    salt: at most ``SHARES`` + ``HEAVY_KEYS`` rows in all. Only keys and numbers of salts are broadcast.
+    """
+    values = [c for c in table.columns if c != key]
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        small = table.select(F.col(key).alias("h_key"), *values)
+        return rows.join(F.broadcast(small), F.col(key) == F.col("h_key"), "left").drop("h_key")
+    share = max(rows.count() / max(SHARES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1.0)
+    heavy = rows.groupBy(F.col(key).alias("h_key")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "h_key").limit(HEAVY_KEYS)
+    heavy = checkpoint(heavy.filter(F.col("n") > share).select("h_key", F.ceil(F.col("n") / share).cast("bigint").alias("h_salts")))
+    salts = F.coalesce("h_salts", F.lit(1).cast("bigint"))
+    one = rows.join(F.broadcast(heavy), F.col(key) == F.col("h_key"), "left").withColumn("j_salt", F.pmod(F.xxhash64(F.col(spread)), salts))
+    rest = table.select(F.col(key).alias("t_key"), *[F.col(c).alias(f"t_{c}") for c in values])
+    rest = rest.join(F.broadcast(heavy), F.col("t_key") == F.col("h_key"), "left")
+    rest = rest.withColumn("t_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("h_key", "h_salts")
+    two = one.join(rest, (F.col(key) == F.col("t_key")) & (F.col("j_salt") == F.col("t_salt")), "left")
+    return two.select(*rows.columns, *[F.col(f"t_{c}").alias(c) for c in values])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: computed once, lineage cut, safe if an executor is lost."""
     return reliable_checkpoint(df)

@@ -5,7 +5,7 @@ hashes form the set that documents are scanned against, broadcast after a count
 joined by an ordinary equi-join beyond that. Documents are exploded into window hashes with a 128-bit
 text key only, no text; hits are verified word by word against the benchmark's windows, from a second
 look at just the candidate texts. The columns of a document's result depend on its text alone, so copies
-share one verification and hot copies are resolved by ``attach``.
+share one verification and hot copies are resolved by ``attach_counted``.
 
 Words are the runs of letters, digits and non-ASCII characters after A-Z is lower-cased. A window is
 ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window. Windows of
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqsight.llm.common import ascii_lower, attach, checkpoint, pick, restore, text_key, with_columns
+from reqsight.llm.common import ascii_lower, attach_counted, checkpoint, pick, restore, text_key, with_columns
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -68,7 +68,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
     """
     wins = checkpoint(benchmark_windows(benchmark, item_id, item_text, window))
     lengths = sorted(r["length"] for r in wins.select("length").distinct().collect())  # at most `window` values
-    scan = pick(docs, t=text).select(text_key(F.coalesce("t", F.lit(""))).alias("key"), "t")
+    scan = pick(docs, doc_id=doc_id, t=text).select("doc_id", text_key(F.coalesce("t", F.lit(""))).alias("key"), "t")
     hashed = scan.select("key", F.transform(words_of(F.col("t")), lambda x: F.xxhash64(x)).alias("wh"))
     found = F.array_distinct(F.flatten(F.array_compact(F.array(
         *[_window_hashes(F.col("wh"), k) for k in lengths])))) if lengths else F.array().cast("array<bigint>")
@@ -77,9 +77,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
     if known.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
         known = F.broadcast(known)
     cand = checkpoint(grams.join(known, "hash", "left_semi").groupBy("key").agg(
-        F.collect_set("hash").alias("hashes"), F.count("*").alias("n_rows")))
+        F.collect_set("hash").alias("hashes")))
     # second look: only candidate texts, one row for each distinct text, positions of the candidate windows
-    texts = attach(scan.withColumn("spread", F.col("key")), cand, "key", "n_rows", "spread").filter("hashes IS NOT NULL")
+    texts = attach_counted(scan, cand, "key", "doc_id").filter("hashes IS NOT NULL")
     texts = texts.groupBy("key").agg(F.first("t").alias("t"), F.first("hashes").alias("hashes"), F.count("*").alias("n_copies"))
     texts = texts.select("key", "n_copies", "hashes", words_of(F.col("t")).alias("w"))
     texts = texts.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
@@ -106,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hits = checkpoint(find_hits(docs, benchmark, doc_id, text, item_id, item_text, window))
     rows = pick(docs, doc_id=doc_id, t=text).select(
         "doc_id", text_key(F.coalesce("t", F.lit(""))).alias("key"), F.size(words_of(F.col("t"))).cast("bigint").alias("n_words"))
-    out = attach(rows, hits, "key", "n_copies", "doc_id")
+    out = attach_counted(rows, hits, "key", "doc_id")
     return out.select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -130,9 +130,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode} is neither documents nor spans")
     hits = checkpoint(find_hits(docs, benchmark, doc_id, text, item_id, item_text, window))
-    flat, names = with_columns(docs, k_text=text)
+    flat, names = with_columns(docs, k_text=text, k_id=doc_id)
     flat = flat.withColumn("key", text_key(F.coalesce("k_text", F.lit(""))))
-    marked = attach(flat, hits.select("key", "hits", "n_copies"), "key", "n_copies", "key")
+    marked = attach_counted(flat, hits.select("key", "hits"), "key", "k_id")
     if mode == "documents":
         return restore(marked.filter("hits IS NULL"), names)
     at = f"in_{names.index(text)}"

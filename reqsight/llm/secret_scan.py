@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqsight.llm.common import ascii_lower, attach, checkpoint, pick, text_key
+from reqsight.llm.common import ascii_lower, attach_counted, checkpoint, pick, text_key
 
 
 @dataclass(frozen=True)
@@ -106,8 +106,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
         return rows.select("doc_id", F.array_sort(always).alias("spans"))
     vocabulary = sorted(set().union(*(c for _, r in indexed for c in trigram_query(r))))
     cand = candidates(postings(rows, vocabulary), tuple(r for _, r in indexed))
-    cand = checkpoint(cand.withColumn("one", F.lit(1)))
-    marked = attach(rows, cand, "key", "one", "doc_id")
+    marked = attach_counted(rows, checkpoint(cand), "key", "doc_id")
     checked = F.flatten(F.array(*[
         F.when(F.array_contains(F.col("kinds"), r.kind), spans_of(F.col("t"), r, i)).otherwise(none) for i, r in indexed]))
     return marked.select("doc_id", F.array_sort(F.concat(

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqsight.llm.common import ascii_lower, attach, checkpoint, pick
+from reqsight.llm.common import ascii_lower, attach_counted, checkpoint, pick
 
 PREFIX_HEX = 8  # 32 bits
 
@@ -59,15 +59,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     shapes = [(r["labels"], r["path_len"]) for r in table.select("labels", "path_len").distinct().collect()]
     rows = pick(pages, page_id=page_id, url=url).select(
         "page_id", F.struct(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).alias("hp"))
-    keys = rows.groupBy("hp").agg(F.count("*").alias("n_pages"))
-    found = keys.select("hp", "n_pages", F.explode(expressions(F.col("hp.host"), F.col("hp.path"), sorted(shapes))).alias("e"))
+    keys = rows.select("hp").distinct()
+    found = keys.select("hp", F.explode(expressions(F.col("hp.host"), F.col("hp.path"), sorted(shapes))).alias("e"))
     digest = F.sha2(F.concat_ws("\u0001", "e.host", "e.path"), 256)
     found = found.withColumn("e_digest", digest).withColumn("e_key", F.substring("e_digest", 1, PREFIX_HEX))
     hits = (found.join(table, F.col("e_key") == F.col("key"))          # short prefix: the equi-join
             .filter(F.col("e_digest") == F.col("digest")))             # full digest: the proof
     best = hits.groupBy("hp").agg(
-        F.max_by(F.struct("rule", "verdict"), F.struct("host_len", "path_len", "rule")).alias("best"),
-        F.first("n_pages").alias("n_pages"))
-    out = attach(rows, checkpoint(best), "hp", "n_pages", "page_id")
+        F.max_by(F.struct("rule", "verdict"), F.struct("host_len", "path_len", "rule")).alias("best"))
+    out = attach_counted(rows, checkpoint(best), "hp", "page_id")
     return out.select("page_id", "hp.host", "hp.path", F.col("best.rule").alias("rule"),
                       F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from reqsight.llm import common, decontaminate, secret_scan
+from reqsight.llm import common, decontaminate, secret_scan, url_filter
 from tests.llm.brute import contamination, secrets
 from tests.llm.conftest import TEXTS, by_key, edge_rows
 
@@ -58,3 +59,36 @@ def test_secret_shapes(spark):
 
 def test_secrets_empty(nothing):
     assert secret_scan.scan_secrets(nothing).count() == 0
+
+
+@pytest.mark.parametrize("operator", ["secrets", "contamination", "spans", "urls"])
+def test_hot_keys_are_spread(spark, operator, monkeypatch):
+    """A hot text or URL, found or not found in the table, is not sent to one join task."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    hot = FOX if operator == "spans" else "plain boilerplate"
+    docs = spark.createDataFrame([(i, hot) for i in range(800)] + [(1000 + i, f"{FOX} {i} token=abcdefghijkl{i}") for i in range(20)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, FOX)], "item_id bigint, text string")
+    rules = spark.createDataFrame([("a.org", "/", "block")], "host string, path string, verdict string")
+    urls = docs.select("doc_id", F.when(F.col("doc_id") >= 1000, F.concat(F.lit("http://a.org/"), "doc_id")).alias("url"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = {"secrets": lambda: secret_scan.scan_secrets(docs), "contamination": lambda: decontaminate.contamination(docs, bench),
+               "spans": lambda: decontaminate.decontaminate(docs, bench, mode="spans"),
+               "urls": lambda: url_filter.judge_urls(urls, rules, page_id="doc_id").withColumnRenamed("page_id", "doc_id")}[operator]()
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 820 and len({r.doc_id for r in rows}) == 820
+    assert len({r.task for r in rows if r.doc_id < 800}) >= 4
+    if operator == "secrets":
+        assert {(r.doc_id < 800, len(r.spans)) for r in rows} == {(True, 0), (False, 1)}
+    elif operator == "contamination":
+        assert {(r.doc_id < 800, len(r.hits)) for r in rows} == {(True, 0), (False, 13)}
+    elif operator == "spans":
+        assert all(r.text.strip() == "" for r in rows if r.doc_id < 800)
+    else:
+        assert {(r.doc_id < 800, r.verdict) for r in rows} == {(True, "allow"), (False, "block")}
