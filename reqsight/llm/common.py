@@ -16,6 +16,8 @@ LOWER = UPPER.lower()
 HEAVY_KEYS = 1024
 #: A counted table of narrow rows up to this length is broadcast whole (a few MB).
 BROADCAST_ROWS = 50_000
+#: ``attach_counted`` broadcasts a table whole only if its values, written as JSON, have no more bytes in all.
+BROADCAST_BYTES = 16 << 20
 #: Shares into which ``attach_counted`` deals its rows, at least; a hot key takes as many as its part of the rows.
 SHARES = 256
 
@@ -107,13 +109,16 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str
 def attach_counted(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
     """``attach`` for rows whose hot keys need not be in ``table``: heavy keys are those of the rows themselves.
 
-    Beyond ``BROADCAST_ROWS`` rows of ``table``, the rows are counted by key. A key that is among the ``HEAVY_KEYS``
+    Up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` of ``table`` it is broadcast whole, so arrays of any length
+    may be among its values. Beyond either, the rows are counted by key. A key that is among the ``HEAVY_KEYS``
     most frequent and has more than one of the ``SHARES`` equal shares of all rows is dealt out by ``spread`` to as
     many salts as it has shares, whether ``table`` holds it or not, and its row of ``table`` is repeated for each
     salt: at most ``SHARES`` + ``HEAVY_KEYS`` rows in all. Only keys and numbers of salts are broadcast.
     """
     values = [c for c in table.columns if c != key]
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    written = F.octet_length(F.to_json(F.struct(*values))).cast("bigint")
+    size = table.select(written.alias("bytes")).limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
         small = table.select(F.col(key).alias("h_key"), *values)
         return rows.join(F.broadcast(small), F.col(key) == F.col("h_key"), "left").drop("h_key")
     share = max(rows.count() / max(SHARES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1.0)

@@ -92,3 +92,21 @@ def test_hot_keys_are_spread(spark, operator, monkeypatch):
         assert all(r.text.strip() == "" for r in rows if r.doc_id < 800)
     else:
         assert {(r.doc_id < 800, r.verdict) for r in rows} == {(True, "allow"), (False, "block")}
+
+
+def test_wide_tables_are_not_broadcast(spark, monkeypatch):
+    """Few rows with long arrays: joined, and only the list of hot keys is broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100_000)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    docs = spark.createDataFrame([(i, f"{FOX} " * 60 + str(i % 40)) for i in range(200)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, FOX)], "item_id bigint, text string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = decontaminate.contamination(docs, bench)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(rows) == 200 and all(len(r.hits) == 13 * 60 and list(r["items"]) == ["1"] for r in rows)
+    hinted = [line for line in plan.splitlines() if "rightHint=(strategy=broadcast)" in line]
+    assert hinted and all("h_key" in line for line in hinted) and any("t_key" in line and "strategy" not in line for line in plan.splitlines() if "Join " in line)
