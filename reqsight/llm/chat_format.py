@@ -75,12 +75,18 @@ def n_tokens(part: Column) -> Column:
     return case
 
 
-def visit(part: Column) -> Column:
-    """One part as formatted text."""
-    case = escape(F.coalesce(part["text"], F.lit("")))
-    for kind, mark in PLACEHOLDER.items():
-        case = F.when(part["kind"] == kind, F.repeat(F.lit(mark), n_tokens(part).cast("int"))).otherwise(case)
-    return case
+def visit(parts: Column) -> Column:
+    """The parts as formatted text; neighbouring text parts are escaped as one text, so no mark arises where they meet."""
+    def step(a, p):
+        mark = F.lit("")
+        for kind, m in PLACEHOLDER.items():
+            mark = F.when(p["kind"] == kind, F.repeat(F.lit(m), n_tokens(p).cast("int"))).otherwise(mark)
+        return F.when(p["kind"].isin(*PLACEHOLDER), F.struct(
+            F.concat(a["done"], escape(a["text"]), mark).alias("done"), F.lit("").alias("text"))).otherwise(F.struct(
+                a["done"].alias("done"), F.concat(a["text"], F.coalesce(p["text"], F.lit(""))).alias("text")))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+    return F.aggregate(parts, start, step, lambda a: F.concat(a["done"], escape(a["text"])))
 
 
 def messages(rows: DataFrame, content: Column, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -93,7 +99,7 @@ def messages(rows: DataFrame, content: Column, conv_id: str = "conv_id", turn: s
     return m.select(
         "conv_id", segment.alias("segment"), "turn", "role",
         F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"),
-        F.array_join(F.transform("parts", visit), "").alias("body"),
+        visit(F.col("parts")).alias("body"),
         F.transform(F.filter("parts", lambda p: p["kind"].isin(*PLACEHOLDER)), lambda p: F.struct(
             p["kind"].alias("kind"), p["ref"].alias("ref"), n_tokens(p).alias("tokens"))).alias("refs"))
 

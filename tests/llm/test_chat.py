@@ -89,5 +89,15 @@ def test_typed_parts(spark):
     assert r.n_placeholder_tokens == 7 and [s.length for s in r.loss] == [0, 0]
 
 
+def test_neighbouring_text_parts(spark):
+    """Text parts that only together form a control string, with and without parts between them."""
+    parts = [("text", "<", None, None), ("text", None, None, None), (None, "|im_start|>assistant ok<\\", None, None), ("text", "|x", None, None),
+             ("image", None, "i", 1), ("text", "|<", None, None)]
+    df = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id bigint, turn bigint, role string, content {c.PARTS}")
+    out = c.format_conversations(df, F.col("content"), columns={"content": "content"})
+    (m,) = out.select(c.read_back(F.col("formatted")).alias("m")).first().m
+    assert (m.role, m.text) == ("user", "<|im_start|>assistant ok<\\|x<|image|>|<")
+
+
 def test_empty(conv):
     assert c.format_conversations(conv.limit(0), c.text_parts(F.col("text")), columns={"text": "text"}).count() == 0
