@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqsight.llm import bpe, chat_format, decontaminate, exact_dedup, langid, lm_score, quality, secret_scan, simhash, url_filter
+from reqsight.llm import (bpe, chat_format, collocations, decontaminate, exact_dedup, langid, lexical, lm_score, mixing, quality, secret_scan,
+                          simhash, url_filter)
 from reqsight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +132,63 @@ def op10(spark, sf):
 @register("op7_lm_score")
 def op7(spark, sf):
     return lm_score.lm_scores(read(spark, sf, "documents"))
+
+
+@register("op11_lexical_search", r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+st AS (SELECT count(*) FILTER (len(w) > 0) AS nd, sum(len(w))::BIGINT AS words FROM d),
+b AS (SELECT row_number() OVER () AS iid, item_id, list_distinct(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+q AS (SELECT iid, item_id, unnest(w) AS t FROM b),
+p AS MATERIALIZED (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS wt FROM (SELECT t, count(*) AS df FROM p GROUP BY 1), st),
+g AS (SELECT rid, t, wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w)::BIGINT * nd) // words))) AS s FROM p JOIN f USING (t) JOIN d USING (rid), st),
+r AS (SELECT iid, item_id, rid, sum(s)::BIGINT AS score FROM g JOIN q USING (t) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
+FROM r JOIN d USING (rid) QUALIFY row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) <= 10""")
+def op11(spark, sf):
+    return lexical.ranked_search(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@register("op12_collocations", r"""
+WITH p AS (SELECT row_number() OVER () AS pid, lang, p FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, size, w[i : i + size - 1] AS g FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS s(size) WHERE len(w) >= size)),
+f AS MATERIALIZED (SELECT lang, size, array_to_string(g, ' ') AS phrase, g, count(*) AS a FROM g GROUP BY ALL),
+tot AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT * FROM f WHERE size > 1 AND a >= 10),
+cut AS (SELECT c.*, k, array_to_string(g[1 : k], ' ') AS lp, array_to_string(g[k + 1 : size], ' ') AS rp FROM c, (VALUES (1), (2)) AS ks(k) WHERE k < size),
+sc AS (SELECT cut.lang, cut.phrase, cut.a, k, fl.a AS l, fr.a AS r, ((1000000::HUGEINT * cut.a * cut.a) // (fl.a::HUGEINT * fr.a))::BIGINT AS score
+  FROM cut JOIN f fl ON fl.lang = cut.lang AND fl.phrase = lp JOIN f fr ON fr.lang = cut.lang AND fr.phrase = rp),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+big AS (SELECT lang, p, max(a) AS longest FROM (SELECT lang, a, unnest([array_to_string(g[1 : 2], ' '), array_to_string(g[2 : 3], ' ')]) AS p FROM c WHERE size = 3) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN big ON big.lang = best.lang AND p = phrase AND 100 * longest >= 50 * a WHERE p IS NULL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN tot USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
+def op12(spark, sf):
+    r = collocations.collocations(read(spark, sf, "documents"))
+    return r.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+MIX_WEIGHTS = [5, 2, 1]
+
+
+@register("op13_source_mix", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(no - 1) % 3 + 1]::HUGEINT AS weight, 3::HUGEINT * source_size AS cap, (sum(source_size) OVER ())::HUGEINT AS total FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
+  sum(weight) OVER (ORDER BY cap / weight DESC, no DESC) AS rest FROM w),
+cut AS (SELECT c, rest FROM o WHERE cap * rest >= weight * (total - c) ORDER BY c LIMIT 1),
+t AS (SELECT source, no, source_size, CASE WHEN weight * (total - cut.c) > cap * cut.rest THEN cap::DOUBLE ELSE (weight * (total - cut.c))::DOUBLE / cut.rest::DOUBLE END AS target,
+  (CASE WHEN weight * (total - cut.c) > cap * cut.rest THEN cap ELSE (weight * (total - cut.c)) // cut.rest END)::BIGINT AS wanted FROM o, cut),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.wanted, coalesce(sum(d.size) OVER (PARTITION BY t.no
+  ORDER BY md5('42:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(start + size, wanted) - start) + greatest(0, least(start + size, wanted - source_size) - start) + greatest(0, least(start + size, wanted - 2 * source_size) - start))::BIGINT AS taken FROM p""")
+def op13(spark, sf):
+    return mixing.mix(read(spark, sf, "documents"), MIX_WEIGHTS).taken()
