@@ -41,6 +41,8 @@ SHARD_WORDS = 1 << 20
 OUT_ROWS = 1 << 17
 #: Parts into which a group's candidates are dealt before the first TOP of each part meet.
 TOP_PARTS = 64
+#: In decimals of 38 digits: counts of up to 10^15 are exact.
+SCORE = "cast(cast(a as decimal(18,0)) * cast(a as decimal(18,0)) * 1000000 as decimal(38,0)) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"
 _TO_MARK = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 
 
@@ -180,7 +182,7 @@ def collocations(docs: DataFrame, group: str = "lang", text: str = "text", max_w
                        F.struct("lang", F.array_join(F.slice(words, F.col("k") + 1, F.col("len")), " ").alias("phrase")).alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
         cuts = attach(cuts, table.toDF(side, name), side, name, "phrase")
-    score = F.expr("cast(cast(a as decimal(18,0)) * cast(a as decimal(18,0)) * 1000000 as decimal(38,0)) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
+    score = F.expr(SCORE)
     scored = cuts.groupBy("lang", "phrase", "a", "len").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("s"))
     extended = longer.filter("len > 2").select("lang", "a", F.explode(F.array(
         F.array_join(F.slice(words, F.lit(1), F.col("len") - 1), " "), F.array_join(F.slice(words, F.lit(2), F.col("len") - 1), " "))).alias("phrase"))

@@ -29,6 +29,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
 from reqsight.llm.common import BROADCAST_ROWS, attach, by_value, checkpoint, pick
 
@@ -97,7 +98,7 @@ def points_below(k: np.ndarray, x: np.ndarray) -> np.ndarray:
     return k // PERIOD * x + part.astype(np.int64)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def points_within(k: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
     """How many of the first k points lie in [lo, hi)."""
     return pd.Series(points_below(k, hi) - points_below(k, lo))
