@@ -12,6 +12,8 @@ phrases below ``min_count`` left out, and the rest is relational: a candidate's
 their parts (hot words by ``attach``), and each phrase's largest count among its one-word extensions to either side
 says whether a longer phrase covers it.
 
+The best of a group are found in ``TOP_PARTS`` parts first, so the last window reads a bounded number of rows for each.
+
 Pieces are what ``[.,;:!?\\n\\v\\f\\r]`` leaves, words what spaces and tabs leave, A-Z lower-cased. Defined results:
 null text counts as empty, null groups as ``und``; phrases never cross pieces or rows; repeated rows count each time;
 a score is exact (integers of up to 38 digits); equal rows are ranked by phrase in UTF-8 byte order; an empty table
@@ -162,7 +164,8 @@ def phrase_counts(docs: DataFrame, group: str = "lang", text: str = "text", max_
     rows = pick(docs, lang=group, t=text)
     rows = rows.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "t")
     shards = rows.mapInArrow(_counter(max_words, shard_words), "lang string, phrase string, n bigint")
-    return shards.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    # a shard's phrases are distinct already, its index has summed them: another sum before the shuffle finds nothing to merge
+    return shards.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
 def collocations(docs: DataFrame, group: str = "lang", text: str = "text", max_words: int = MAX_WORDS,
