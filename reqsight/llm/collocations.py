@@ -104,13 +104,14 @@ def extend(ahead: Index, lo: np.ndarray, size: np.ndarray, other_lo: np.ndarray,
     return keep(parent), keep(symbol), keep(n), None if last else keep(new_lo), None if last else keep(new_other)
 
 
-def shard_phrases(line: np.ndarray, symbols: int, depth: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(word ids by position, counts) of the phrases of each length up to ``depth`` in a line of pieces."""
+def shard_phrases(line: np.ndarray, symbols: int, depth: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, bool]]:
+    """The phrases of each length up to ``depth`` in a line of pieces, length by length: their word ids by position,
+    their counts, the place of the phrase (one word shorter) that each extends, in its order, and whether to the left."""
     forward, backward = Index(line, symbols, depth), Index(line[::-1], symbols, depth)
     ids = np.arange(1, symbols)
     size = np.diff(forward.starts)[1:]
     words, lo, back_lo = [ids], forward.starts[1:-1], backward.starts[1:-1]
-    yield words, size
+    yield words, size, np.zeros(len(ids), np.int64), False
     for n in range(2, depth + 1):
         if n % 2 == 0:
             parent, symbol, size, back_lo, lo = extend(backward, back_lo, size, lo, symbols, n == depth)
@@ -118,20 +119,37 @@ def shard_phrases(line: np.ndarray, symbols: int, depth: int) -> Iterator[tuple[
         else:
             parent, symbol, size, lo, back_lo = extend(forward, lo, size, back_lo, symbols, n == depth)
             words = [symbol, *[w[parent] for w in words]]
-        yield words, size
+        yield words, size, parent, n % 2 == 1
 
 
-def _counter(depth: int, shard_words: int):
+def _counter(depth: int, shard_words: int, packed: bool):
     def flush(group, ids: Words, parts: list[np.ndarray]):
+        """A row for each phrase but the longest; a row of the last length but one also lists its extensions."""
         line = np.concatenate([np.zeros(1, np.int64), *parts])
         total = int((line > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([""]), pa.array([total], pa.int64())], names=["lang", "phrase", "n"])
         texts = pa.array([b"", *ids], pa.binary()).cast(pa.string())
-        for words, n in shard_phrases(line, len(ids) + 1, depth):
+        levels = shard_phrases(line, len(ids) + 1, depth)
+        yield batch_of(group, pa.array([""]), np.array([total]), None)
+        words, n, _, _ = next(levels)
+        for length in range(2, depth + 2):
+            longer = next(levels, None)
             for i in range(0, len(n), OUT_ROWS):
                 at = slice(i, i + OUT_ROWS)
                 phrase = pc.binary_join_element_wise(*[texts.take(pa.array(w[at])) for w in words], " ")
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(group), len(phrase)), phrase, pa.array(n[at].astype(np.int64))], names=["lang", "phrase", "n"])
+                more = None
+                if packed and length == depth:
+                    a, b = np.searchsorted(longer[2], [i, i + len(phrase)])
+                    cuts = pa.array(np.searchsorted(longer[2][a:b], np.arange(i, i + len(phrase) + 1)).astype(np.int32))
+                    new = longer[0][0 if longer[3] else -1][a:b]
+                    more = [pc.binary_join(pa.ListArray.from_arrays(cuts, x), " ") for x in (texts.take(pa.array(new)), pa.array(longer[1][a:b]).cast(pa.string()))]
+                yield batch_of(group, phrase, n[at], more)
+            if longer is None or (packed and length == depth):
+                return
+            words, n = longer[:2]
+
+    def batch_of(group, phrase, n, more):
+        more = more or [pa.nulls(len(phrase), pa.string())] * 2
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(group), len(phrase)), phrase, pa.array(n.astype(np.int64)), *more], names=["lang", "stem", "n", "more", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_shards, held = {}, 0
@@ -163,9 +181,18 @@ def phrase_counts(docs: DataFrame, group: str = "lang", text: str = "text", max_
     """(lang, phrase, a): every phrase of up to ``max_words`` words; the phrase '' carries a group's number of words."""
     rows = pick(docs, lang=group, t=text)
     rows = rows.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "t")
-    shards = rows.mapInArrow(_counter(max_words, shard_words), "lang string, phrase string, n bigint")
-    # a shard's phrases are distinct already, its index has summed them: another sum before the shuffle finds nothing to merge
-    return shards.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    # The longest phrases travel as lists beside the phrase that they extend: half the rows, and rows of one stem meet in one
+    # task anyway. A single word is not a stem, as all that follows a frequent one would meet in one task. A shard's phrases
+    # are distinct, its index has summed them, so a sum before the shuffle would find nothing to merge.
+    packed = max_words > 2
+    shards = rows.mapInArrow(_counter(max_words, shard_words, packed), "lang string, stem string, n bigint, more string, times string")
+    shards = shards.repartition("lang", "stem")
+    added = F.when(F.length("more") > 0, F.arrays_zip(F.split("more", " ").alias("add"), F.split("times", " ").cast("array<bigint>").alias("n")))
+    itself = F.array(F.struct(F.lit("").alias("add"), F.col("n")))
+    each = shards.select("lang", "stem", F.explode(F.concat(itself, F.coalesce(added, F.expr("array()")))).alias("x")).select("lang", "stem", "x.add", "x.n")
+    sums = each.groupBy("lang", "stem", "add").agg(F.sum("n").alias("a"))
+    longest = (F.concat("add", F.lit(" "), "stem") if max_words % 2 else F.concat("stem", F.lit(" "), "add"))
+    return sums.select("lang", F.when(F.col("add") == "", F.col("stem")).otherwise(longest).alias("phrase"), "a")
 
 
 def collocations(docs: DataFrame, group: str = "lang", text: str = "text", max_words: int = MAX_WORDS,

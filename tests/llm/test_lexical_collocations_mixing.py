@@ -130,7 +130,7 @@ def test_extensions_to_both_sides(lists, depth):
     line = np.array([0] + [x for piece in lists for x in [*piece, 0]])
     want = Counter(tuple(p[i:i + k]) for p in lists for k in range(1, depth + 1) for i in range(len(p) - k + 1))
     got = {}
-    for words, n in collocations.shard_phrases(line, 5, depth):
+    for words, n, *_ in collocations.shard_phrases(line, 5, depth):
         for i, c in enumerate(n):
             if c:
                 got[tuple(int(w[i]) for w in words)] = int(c)
