@@ -38,7 +38,7 @@ MIN_COUNT = 10
 #: Percent of a phrase's count at which a longer phrase covers it.
 COVERED = 50
 TOP = 2000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 3 << 19
 #: Phrases of a shard that leave a task at once.
 OUT_ROWS = 1 << 17
 #: Parts into which a group's candidates are dealt before the first TOP of each part meet.
@@ -127,7 +127,11 @@ def _counter(depth: int, shard_words: int, packed: bool):
         """A row for each phrase but the longest; a row of the last length but one also lists its extensions."""
         line = np.concatenate([np.zeros(1, np.int64), *parts])
         total = int((line > 0).sum())
-        texts = pa.array([b"", *ids], pa.binary()).cast(pa.string())
+        # ids in the order of the words, so that neighbouring rows begin alike and compress well
+        texts = sorted(ids)
+        place = np.zeros(len(ids) + 1, np.int64)
+        place[np.fromiter(map(ids.__getitem__, texts), np.int64, len(ids))] = np.arange(1, len(ids) + 1)
+        line, texts = place[line], pa.array([b"", *texts], pa.binary()).cast(pa.string())
         levels = shard_phrases(line, len(ids) + 1, depth)
         yield batch_of(group, pa.array([""]), np.array([total]), None)
         words, n, _, _ = next(levels)
@@ -141,7 +145,9 @@ def _counter(depth: int, shard_words: int, packed: bool):
                     a, b = np.searchsorted(longer[2], [i, i + len(phrase)])
                     cuts = pa.array(np.searchsorted(longer[2][a:b], np.arange(i, i + len(phrase) + 1)).astype(np.int32))
                     new = longer[0][0 if longer[3] else -1][a:b]
+                    often = np.add.reduceat(np.append(longer[1][a:b] > 1, False), cuts[:-1]) * (np.diff(cuts) > 0) > 0
                     more = [pc.binary_join(pa.ListArray.from_arrays(cuts, x), " ") for x in (texts.take(pa.array(new)), pa.array(longer[1][a:b]).cast(pa.string()))]
+                    more[1] = pc.if_else(pa.array(often), more[1], pa.scalar(None, pa.string()))  # null: each extension once
                 yield batch_of(group, phrase, n[at], more)
             if longer is None or (packed and length == depth):
                 return
@@ -187,7 +193,9 @@ def phrase_counts(docs: DataFrame, group: str = "lang", text: str = "text", max_
     packed = max_words > 2
     shards = rows.mapInArrow(_counter(max_words, shard_words, packed), "lang string, stem string, n bigint, more string, times string")
     shards = shards.repartition("lang", "stem")
-    added = F.when(F.length("more") > 0, F.arrays_zip(F.split("more", " ").alias("add"), F.split("times", " ").cast("array<bigint>").alias("n")))
+    new = F.split("more", " ")
+    times = F.coalesce(F.split("times", " ").cast("array<bigint>"), F.array_repeat(F.lit(1).cast("bigint"), F.size(new)))
+    added = F.when(F.length("more") > 0, F.arrays_zip(new.alias("add"), times.alias("n")))
     itself = F.array(F.struct(F.lit("").alias("add"), F.col("n")))
     each = shards.select("lang", "stem", F.explode(F.concat(itself, F.coalesce(added, F.expr("array()")))).alias("x")).select("lang", "stem", "x.add", "x.n")
     sums = each.groupBy("lang", "stem", "add").agg(F.sum("n").alias("a"))
