@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 from reqsight.fixed import SEP_TOKEN
@@ -141,19 +143,42 @@ def split_url(url) -> dict[str, Column]:
 
 
 # --------------------------------------------------------------------- P6 / P7
-def url_decode_full(c: Column) -> Column:
-    """URL-decode whatever the depth: an escape encoded again and again (``%25..25XX``) is first
-    collapsed to ``%XX``, then everything is decoded in one pass."""
-    return url_decode(F.regexp_replace(c, "%(25)+([0-9A-Fa-f]{2})", "%$2"))
+def url_decode_full(c: Column, plus: bool = True) -> Column:
+    """URL-decode until nothing changes, however escapes are nested or mixed (``%2525..``, ``%25%33%63``).
+    Without ``plus`` only escapes are decoded, a ``+`` stays.
+
+    A pass collapses escapes encoded again and again (``%25..25XX`` to ``%XX``) and then decodes once. A pass that does
+    not lower the number of ``%`` leaves no valid escape behind, so that number and two bound the passes; once a pass
+    changes nothing the rest cost nothing.
+    """
+    def one_pass(x):
+        flat = F.regexp_replace(x, "%(25)+([0-9A-Fa-f]{2})", "%$2")
+        return url_decode(flat if plus else F.replace(flat, F.lit("+"), F.lit("%2B")))
+
+    def step(acc, _):
+        return F.when(acc["done"], acc).otherwise(bound(
+            one_pass(acc["text"]), lambda new: F.struct(new.alias("text"), new.eqNullSafe(acc["text"]).alias("done"))))
+
+    marks = F.length(c) - F.length(F.replace(c, F.lit("%"), F.lit("")))
+    start = F.struct(c.alias("text"), F.lit(False).alias("done"))
+    full = F.aggregate(F.sequence(F.lit(1), marks + 2), start, step)["text"]
+    return F.when(c.contains("%"), full).otherwise(F.replace(c, F.lit("+"), F.lit(" ")) if plus else c)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, wherever the expression stands."""
+    return F.transform(F.array(value), use)[0]
 
 
 def normalise_payload(text) -> Column:
-    """URL-decode at any depth, then lower."""
+    """URL-decode until stable, then lower."""
     return F.lower(url_decode_full(_col(text)))
 
 
 _B64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)$"
 _HEX = r"^0[xX]([0-9a-fA-F]{2})+$"
+#: Between the values of a query string, a form, a JSON text or a header line.
+_GAPS = r"""[ \t\r\n&;,"'(){}\[\]<>]+"""
 #: Stands between views in a joined text; no rule keyword holds it, so nothing matches across views.
 VIEW_MARK = "\u0001"
 
@@ -166,15 +191,34 @@ def _text_views(value: Column) -> Column:
     return F.array_compact(F.array(b64, hx))
 
 
+def _readings(view: Column) -> Column:
+    """What one decoding step makes of a view: itself URL-decoded, with ``+`` as a space and as a plus (base64 holds some),
+    and each value in it that reads as base64 or hex."""
+    tokens = F.split(view, _GAPS)
+    named = F.transform(F.filter(tokens, lambda t: t.contains("=")), lambda t: t.substr(F.instr(t, "=") + 1, F.lit(1 << 30)))
+    values = F.filter(F.array_distinct(F.concat(tokens, named)), lambda t: F.length(t) >= 4)
+    return F.concat(F.array(url_decode_full(view), url_decode_full(view, plus=False)), F.flatten(F.transform(values, _text_views)))
+
+
 def decoded_views(text) -> Column:
-    """Distinct views: raw, URL-decoded at any depth, and the base64 and 0x-hex readings of every
-    token (split at spaces) and of what follows a token's first ``=``."""
+    """All distinct views of a text: itself and, as long as new ones appear, the URL-decoded form of a view and the
+    base64 and 0x-hex readings of its values. Values are what white space, ``&``, ``;``, commas, quotes, brackets and
+    angle brackets leave, and what follows a value's first ``=``.
+
+    A base64 or hex reading is at most three quarters as long as its view and a URL-decoded view has no other
+    URL-decoded form, so the rounds are bounded by the text's length; rounds without new views cost nothing.
+    """
     raw = _col(text)
-    tokens = F.filter(F.split(raw, " "), lambda t: t != F.lit(""))
-    values = F.flatten(F.transform(tokens, lambda t: F.array_compact(F.array(
-        t, F.when(t.contains("="), t.substr(F.instr(t, "=") + 1, F.lit(1 << 30)))))))
-    read = F.flatten(F.transform(F.array_distinct(values), _text_views))
-    return F.array_distinct(F.concat(F.array_compact(F.array(raw, url_decode_full(raw))), F.coalesce(read, F.array().cast("array<string>"))))
+    rounds = F.ceil(F.log(F.greatest(F.length(raw), F.lit(4))) / math.log(4 / 3)).cast("int") * 2
+
+    def step(acc, _):
+        found = F.flatten(F.transform(acc["fresh"], _readings))
+        return F.when(F.size(acc["fresh"]) == 0, acc).otherwise(bound(
+            F.array_except(found, acc["seen"]), lambda new: F.struct(F.concat(acc["seen"], new).alias("seen"), new.alias("fresh"))))
+
+    start = F.when(raw.isNotNull(), F.array(raw)).otherwise(F.array().cast("array<string>"))
+    first = F.struct(start.alias("seen"), start.alias("fresh"))
+    return F.aggregate(F.sequence(F.lit(1), F.coalesce(rounds, F.lit(1))), first, step)["seen"]
 
 
 def joined_views(text) -> Column:

@@ -53,11 +53,10 @@ def labelled(spark, sf) -> DataFrame:
 def rule_scored(spark, sf) -> DataFrame:
     """T scored by the payload-rule scorer over the decoded views of the payload."""
     t = X.labelled_lines(spark, sf)
-    return t.withColumn("type", L.rule_scorer(P.joined_views("payload")))
+    return t.withColumn("type", P.bound(P.joined_views("payload"), L.rule_scorer))
 
 
-SCORED_SQL = f"""scored0 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM t),
-scored AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer_views("vl")} AS type FROM scored0)"""
+SCORED_SQL = S.closure_scored("scored", "t", "id", "payload")
 
 # ============================================================== 2.3 rules
 
@@ -218,9 +217,39 @@ def q_p6(spark, sf):
     return t.select("id", P.normalise_payload("payload").alias("normalised"))
 
 
-@register("p7_decoded_views", f"""WITH {S.t_cte()},
-v0 AS (SELECT id, {S.view_candidates('payload')} AS vl FROM t),
-v1 AS (SELECT id, list_sort(list_distinct(vl)) AS views FROM v0)
+NESTED = ["%3Cscript%3E", "%253Cscript%253E", "%25%33Cscript%25%33E", "%2525253Cscript%2525253E", "%25%32%35%33Cscript%3E",
+          "%25%2532%2535%2533%2543script%253E"]
+
+
+@register("p6_nested_escapes", f"""SELECT doc_id, doc_id % 6 AS form, md5(lower('<script>' || {S.url_decode_full("coalesce(text, '')")})) AS normalised_md5 FROM documents""")
+def q_p6_nested(spark, sf):
+    """P6 on every text behind an element encoded in six ways, at up to four and mixed levels; the expectation is the plain text."""
+    d = X.read_table(spark, sf, "documents")
+    form = F.get(F.array(*[F.lit(n) for n in NESTED]), (F.col("doc_id") % 6).cast("int"))
+    text = F.concat(form, F.url_encode(F.coalesce("text", F.lit(""))))
+    return d.select("doc_id", big(F.col("doc_id") % 6).alias("form"), F.md5(P.normalise_payload(text)).alias("normalised_md5"))
+
+
+@register("p7_layered_values", f"""WITH d AS (SELECT doc_id, '<script>' || coalesce(text, '') AS inner_, doc_id % 5 AS form FROM documents)
+SELECT doc_id, form, md5(CASE WHEN form >= 3 THEN {S.url_decode_full("inner_")} ELSE inner_ END) AS inner_md5, 'xss' AS type FROM d""")
+def q_p7_layered(spark, sf):
+    """P7 on every text in base64 inside a query string, JSON or hex, and under percent escapes below and above the base64."""
+    d = X.read_table(spark, sf, "documents")
+    inner = F.concat(F.lit("<script>"), F.coalesce("text", F.lit("")))
+    b64 = lambda c: F.regexp_replace(F.base64(c.cast("binary")), "[\r\n]", "")
+    form = F.col("doc_id") % 5
+    layered = (F.when(form == 0, F.concat(F.lit("x="), b64(inner), F.lit("&y=2"))).when(form == 1, F.concat(F.lit('{"a":"'), b64(inner), F.lit('"}')))
+               .when(form == 2, F.concat(F.lit("z=0x"), F.hex(inner.cast("binary")), F.lit(";w=1"))).when(form == 3, F.concat(F.lit("q="), b64(F.url_encode(inner))))
+               .otherwise(F.concat(F.lit("q="), F.url_encode(b64(b64(F.url_encode(inner)))))))
+    v = d.select("doc_id", big(form).alias("form"), P.decoded_views(layered).alias("v"))
+    found = F.filter("v", lambda x: x.startswith("<script>"))
+    return v.select("doc_id", "form", F.md5(F.get(found, F.lit(0))).alias("inner_md5"),
+                    P.bound(F.array_join("v", P.VIEW_MARK), L.rule_scorer).alias("type"))
+
+
+@register("p7_decoded_views", f"""WITH RECURSIVE {S.t_cte()},
+{S.closure_cte("vw", "t", "id", "payload")},
+v1 AS (SELECT id_ AS id, list_sort(list(view)) AS views FROM vw GROUP BY 1)
 SELECT id, cast(len(views) as bigint) AS n_views, md5(array_to_string(views, chr(1))) AS views_md5 FROM v1""")
 def q_p7(spark, sf):
     t = X.labelled_lines(spark, sf)
@@ -317,7 +346,7 @@ def q_d4(spark, sf):
     return e.select("vec_id", big(F.col("class_id")).alias("class_id"), "class", r6(F.col("prob")).alias("prob"))
 
 
-@register("d5_verdict", f"""WITH {S.t_cte()}, {SCORED_SQL}
+@register("d5_verdict", f"""WITH RECURSIVE {S.t_cte()}, {SCORED_SQL}
 SELECT id, CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'error' THEN 'ATTACK'
   WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status,
   CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type, payload FROM scored""")
@@ -337,7 +366,7 @@ def q_d6(spark, sf):
                     "r.attack_type")
 
 
-@register("d7_outcome", f"""WITH {S.t_cte()}, {SCORED_SQL}
+@register("d7_outcome", f"""WITH RECURSIVE {S.t_cte()}, {SCORED_SQL}
 SELECT id, CASE WHEN (CASE WHEN payload = '' THEN 'ERROR' WHEN type = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END) = 'ATTACK'
   THEN 'BLOCKED' ELSE 'ALLOWED' END AS outcome FROM scored""")
 def q_d7(spark, sf):
@@ -397,7 +426,7 @@ def q_a6(spark, sf):
                     *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-@register("a7_file_accuracy", f"""WITH {S.t_cte()}, {SCORED_SQL},
+@register("a7_file_accuracy", f"""WITH RECURSIVE {S.t_cte()}, {SCORED_SQL},
 rows AS (SELECT src, CASE WHEN (contains(lower(src), 'normal') AND lower(type) = 'normal')
    OR (NOT contains(lower(src), 'normal') AND lower(type) <> 'normal') THEN 1 ELSE 0 END AS ok FROM scored)
 SELECT src, cast(sum(ok) as bigint) AS correct, count(*) AS total, round(sum(ok) * 100.0 / count(*), 2)::DOUBLE AS pct
@@ -407,7 +436,7 @@ def q_a7(spark, sf):
                                                           F.col("pct").cast("double").alias("pct"))
 
 
-@register("a7_file_rows", f"""WITH {S.t_cte()}, {SCORED_SQL}
+@register("a7_file_rows", f"""WITH RECURSIVE {S.t_cte()}, {SCORED_SQL}
 SELECT id, CASE WHEN contains(lower(src), 'normal') THEN 'normal' ELSE 'attack' END AS expected,
   CASE WHEN (contains(lower(src), 'normal') AND lower(type) = 'normal')
     OR (NOT contains(lower(src), 'normal') AND lower(type) <> 'normal') THEN 'PASS' ELSE 'FAIL' END AS status,
@@ -450,16 +479,15 @@ def q_a10(spark, sf):
 
 
 SUITE_SCORED_SQL = f"""cs0 AS (SELECT *, {S.assemble('args')} AS payload FROM c),
-cs1 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM cs0),
-cs AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer_views("vl")} AS type FROM cs1)"""
+{S.closure_scored("cs", "cs0", "event_id", "payload")}"""
 
 
 def suite_scored(spark, sf) -> DataFrame:
     c = X.suite_events(spark, sf).withColumn("payload", P.assemble_payload("args"))
-    return c.withColumn("type", L.rule_scorer(P.joined_views("payload")))
+    return c.withColumn("type", P.bound(P.joined_views("payload"), L.rule_scorer))
 
 
-@register("a11_suite_report", f"""WITH {S.suite_cte()}, {SUITE_SCORED_SQL}
+@register("a11_suite_report", f"""WITH RECURSIVE {S.suite_cte()}, {SUITE_SCORED_SQL}
 SELECT name, payload, expected_class,
   CASE WHEN (CASE WHEN payload = '' THEN 'ERROR' WHEN type = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END) = 'ATTACK'
     THEN 'BLOCKED' ELSE 'ALLOWED' END AS outcome, upper(type) AS detected, count(*) AS requests,
@@ -469,7 +497,7 @@ def q_a11(spark, sf):
     return A.suite_report(suite_scored(spark, sf))
 
 
-@register("a11_suite_pass_rate", f"""WITH {S.suite_cte()}, {SUITE_SCORED_SQL},
+@register("a11_suite_pass_rate", f"""WITH RECURSIVE {S.suite_cte()}, {SUITE_SCORED_SQL},
 rep AS (SELECT name, bool_and(type = expected_class) AS passed, count(*) AS requests FROM cs GROUP BY name)
 SELECT round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, count(*) AS cases,
        cast(sum(requests) as bigint) AS requests FROM rep""")
@@ -793,11 +821,10 @@ def q_t7(spark, sf):
     return v.select("vec_id", "vote", "votes", big(F.col("voters")).alias("voters"))
 
 
-VSCORED_SQL = f"""vs0 AS (SELECT *, {S.view_candidates("payload")} AS vl FROM v),
-vs AS MATERIALIZED (SELECT * EXCLUDE (vl), {S.rule_scorer_views("vl")} AS type FROM vs0)"""
+VSCORED_SQL = S.closure_scored("vs", "v", "event_id", "payload")
 
 
-@register("t8_retrain_rows", f"""WITH {S.v_cte()}, {VSCORED_SQL},
+@register("t8_retrain_rows", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL},
 {S.t_cte(templates=False)}
 SELECT DISTINCT payload AS text, type AS label_str FROM vs WHERE md5(payload) NOT IN (SELECT md5(payload) FROM t)""")
 def q_t8(spark, sf):
@@ -808,7 +835,7 @@ def q_t8(spark, sf):
     return retrain_rows(base, v)
 
 
-@register("t8_retrain_from_logs", f"""WITH {S.v_cte()}, {VSCORED_SQL},
+@register("t8_retrain_from_logs", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL},
 {S.t_cte(templates=False)},
 new AS (SELECT DISTINCT payload AS text, type AS label_str FROM vs WHERE payload <> '' AND md5(payload) NOT IN (SELECT md5(payload) FROM t))
 SELECT (SELECT count(*) FROM t) + (SELECT count(*) FROM new) AS rows, 0 AS shared_ids""")
@@ -916,7 +943,7 @@ def q_s7(spark, sf):
 # ============================================================== 2.11 streaming
 
 
-@register("w1_score_stream", f"""WITH {S.v_cte()}, {VSCORED_SQL}
+@register("w1_score_stream", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL}
 SELECT event_id, CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL'
   ELSE 'ATTACK' END AS status, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type, payload FROM vs""")
 def q_w1(spark, sf):
@@ -927,7 +954,7 @@ def q_w1(spark, sf):
     return _taken(spark.read.parquet(sink).select("event_id", "status", "type", "payload"), sink, sink + "_ckpt")
 
 
-@register("w2_attack_rate", f"""WITH {S.v_cte()}, {VSCORED_SQL},
+@register("w2_attack_rate", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL},
 vv AS (SELECT ts, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type,
   CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status FROM vs)
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, type, count(*) AS requests,
@@ -939,7 +966,7 @@ def q_w2(spark, sf):
     return r.select(window_start_text("window").alias("window_start"), "type", "requests", "attacks")
 
 
-@register("w3_collect_training_rows", f"""WITH {S.v_cte()}, {VSCORED_SQL}
+@register("w3_collect_training_rows", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL}
 SELECT payload AS text, CASE WHEN payload = '' THEN NULL ELSE type END AS label_str FROM vs""")
 def q_w3(spark, sf):
     from reqsight.streaming.jobs import collect_training_rows
@@ -988,7 +1015,7 @@ def q_t4(spark, sf):
                         F.lit(meta["version"]).alias("version")), base)
 
 
-@register("w2_attack_rate_stream", f"""WITH {S.v_cte()}, {VSCORED_SQL},
+@register("w2_attack_rate_stream", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL},
 vv AS (SELECT ts, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type,
   CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status FROM vs)
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, type, count(*) AS requests,

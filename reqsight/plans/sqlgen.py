@@ -192,8 +192,9 @@ def url_decode(x: str) -> str:
     return f"url_decode(replace({x}, '+', ' '))"
 
 
-def url_decode_full(x: str) -> str:
-    return url_decode(f"regexp_replace({x}, '%(25)+([0-9A-Fa-f]{{2}})', '%\\2', 'g')")
+def url_decode_full(x: str, plus: bool = True) -> str:
+    """Ten plain decoding passes: more than any escape of the tables is nested."""
+    return f"list_reduce(list_concat([{x}], cast(range(10) as varchar[])), lambda a_, i_: {url_decode('a_') if plus else 'url_decode(a_)'})"
 
 
 def form_entries(body: str) -> str:
@@ -232,22 +233,23 @@ B64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3
 HEX = r"^0[xX]([0-9a-fA-F]{2})+$"
 
 
-def view_candidates(x: str) -> str:
-    """The non-NULL candidate views of ``x`` (before de-duplication); compute once, then ``dedupe``."""
-    tokens = f"list_filter(string_split({x}, ' '), lambda t_: t_ <> '')"
-    values = (f"list_distinct(list_concat({tokens}, list_transform(list_filter({tokens}, lambda t_: contains(t_, '=')), "
-              f"lambda t_: substr(t_, strpos(t_, '=') + 1))))")
+def closure_cte(name: str, src: str, key: str, text: str) -> str:
+    """Recursive CTE ``name`` (key, view): every view of ``src.text``; the statement must start WITH RECURSIVE."""
     b64 = f"CASE WHEN regexp_matches(u_, '{B64}') THEN TRY(decode(from_base64(u_))) END"
     hx = f"CASE WHEN regexp_matches(u_, '{HEX}') THEN TRY(decode(unhex(substr(u_, 3)))) END"
-    read = f"flatten(list_transform({values}, lambda u_: [{b64}, {hx}]))"
-    return f"list_filter(list_concat([{x}, {url_decode_full(x)}], {read}), lambda v: v IS NOT NULL)"
+    gaps = r"""[ \t\r\n&;,"''(){}\[\]<>]+"""
+    return (f"{name}(id_, view) AS (SELECT {key}, {text} FROM {src} WHERE {text} IS NOT NULL UNION\n"
+            f"  SELECT id_, new_ FROM (SELECT id_, unnest([view_u, view_p] || flatten(list_transform(list_distinct(tok || list_transform(list_filter(tok, lambda t_: contains(t_, '=')), "
+            f"lambda t_: substr(t_, strpos(t_, '=') + 1))), lambda u_: [{b64}, {hx}]))) AS new_\n"
+            f"    FROM (SELECT id_, {url_decode_full('view')} AS view_u, {url_decode_full('view', False)} AS view_p, regexp_split_to_array(view, '{gaps}') AS tok FROM {name})) WHERE new_ IS NOT NULL)")
 
 
-def rule_scorer_views(views: str) -> str:
-    """Each view classified on its own; the first class in rule order wins."""
+def closure_scored(name: str, src: str, key: str, text: str) -> str:
+    """CTEs ending in ``name``: ``src`` with ``type``, each view classified on its own; the first class in rule order wins."""
     order = "[" + ", ".join(sq(c) for c, _ in PAYLOAD_RULES) + "]"
-    ranks = f"list_transform({views}, lambda w_: list_position({order}, {payload_class('w_', 'NULL')}))"
-    return f"coalesce({order}[list_min({ranks})], 'normal')"
+    return (closure_cte(f"{name}_views", src, key, text) + ",\n"
+            f"{name}_rank AS (SELECT id_, min(list_position({order}, {payload_class('view', 'NULL')})) AS r_ FROM {name}_views GROUP BY 1),\n"
+            f"{name} AS MATERIALIZED (SELECT s_.*, coalesce({order}[r_], 'normal') AS type FROM {src} s_ LEFT JOIN {name}_rank ON id_ = s_.{key})")
 
 
 def dedupe(col: str) -> str:

@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reqsight.functions.decide import verdict
-from reqsight.functions.payload import is_empty_payload, joined_views
+from reqsight.functions.payload import bound, is_empty_payload, joined_views
 from reqsight.functions.rules import rule_scorer
 
 
 def rule_score(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Scorer used where no trained model is given: payload rules over the decoded views."""
-    return df.withColumn("type", F.when(~is_empty_payload(payload), rule_scorer(joined_views(F.col(payload)))))
+    # bound, as Spark computes an expression that stands under ``when`` anew for each of its uses (a use for each keyword)
+    scored = bound(joined_views(F.col(payload)), rule_scorer)
+    return df.withColumn("type", F.when(~is_empty_payload(payload), scored))
 
 
 def score_requests(df: DataFrame, scorer=None, payload: str = "payload",

@@ -1,4 +1,5 @@
 """S5, S6, P1-P7."""
+import pytest
 from pyspark.sql import functions as F
 
 from reqsight.functions import payload as P
@@ -111,3 +112,48 @@ def test_split_url_on_illegal_characters(spark):
 def test_json_booleans_and_nulls(spark):
     df = spark.createDataFrame([('{"a": true, "b": "true", "c": null, "d": 1.5, "e": false}',)], "body string")
     assert df.select(P.assemble_payload(P.json_args("body")).alias("p")).first().p == "a=True b=true c=None d=1.5 e=False"
+
+
+@pytest.mark.parametrize("text, want", [
+    ("%25%33%63", "<"), ("%25%33%63script%25%33%65", "<script>"), ("%2525253c", "<"), ("%25%32%35%33c", "<"),
+    ("%25%2532%2535%2533%2543b", "<b"), ("%2525%34%31", "a"), ("a%2Bb", "a b"), ("a%252Bb", "a b"), ("a+b", "a b"),
+    ("100%", "100%"), ("%zz%3", "%zz%3"), ("%%33c", "%3c".replace("%3c", "<")), ("", ""), (None, None)])
+def test_normalise_to_a_fixpoint(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(P.normalise_payload("t").alias("n")).first().n
+    assert got == want
+
+
+def test_normalise_many_escapes_and_levels(spark):
+    """Thousands of escapes in one text and forty levels of one escape; a second run changes nothing."""
+    import urllib.parse
+    wide = "".join(f"%{b:02X}" for b in b"plain text ") * 3000
+    deep = "<"
+    for _ in range(40):
+        deep = urllib.parse.quote(deep, safe="")
+    rows = spark.createDataFrame([(wide,), (deep,)], "t string").select(P.normalise_payload("t").alias("n"))
+    assert [r.n for r in rows.collect()] == ["plain text " * 3000, "<"]
+    again = rows.select((P.normalise_payload("n") == F.col("n")).alias("same"))
+    assert all(r.same for r in again.collect())
+
+
+def test_views_of_layered_values(spark):
+    import base64
+    import urllib.parse
+    b64 = lambda s: base64.b64encode(s.encode()).decode()
+    inner = "<script>x</script>"
+    rows = [f"x={b64(inner)}&y=2", f'{{"a":"{b64(inner)}"}}', f"c={b64(urllib.parse.quote(inner))}", f"c={urllib.parse.quote(b64(inner), safe='')};d=1",
+            f"c={b64(b64(b64(inner)))}", f"c={b64('0x' + inner.encode().hex())}", f"['{b64(inner)}']", f"<i>{b64(inner)}</i>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", P.decoded_views("t").alias("v")).collect()}
+    for i, t in enumerate(rows):
+        assert inner in got[i], t
+        assert len(set(got[i])) == len(got[i])
+
+
+def test_scorer_under_when_binds_the_views_once(spark):
+    """The plan of W1 holds the view expression once, not once for each keyword."""
+    from reqsight.streaming.jobs import score_requests
+    df = score_requests(spark.createDataFrame([("x=PHNjcmlwdD4=",), ("",)], "payload string"))
+    assert [(r.status, r.type) for r in df.collect()] == [("ATTACK", "xss"), ("ERROR", None)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unbase64") + plan.count("try_to_binary") + plan.count("base64") <= 6
