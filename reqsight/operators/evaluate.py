@@ -111,43 +111,40 @@ def file_accuracy(scored: DataFrame, file_col: str = "src", text_col: str = "pay
             .withColumn("pct", F.round(F.col("correct") * 100.0 / F.col("total"), 2)))
 
 
-VALUE_BITS = 16
+#: Order-preserving buckets of the distinct values, at least.
+VALUE_BUCKETS = 128
 
 
 def _buckets(s: DataFrame, gcols: list[str], value: str) -> DataFrame:
-    """Add ``_b``: the value's place among 2^VALUE_BITS equal steps of its group's range (order-preserving)."""
-    lim = s.groupBy(*gcols).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    at = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(1 << VALUE_BITS))
-    b = F.when(F.col("_hi") > F.col("_lo"), F.least(at, F.lit((1 << VALUE_BITS) - 1))).otherwise(F.lit(0)).cast("bigint")
-    return s.join(lim, gcols).withColumn("_b", b).drop("_lo", "_hi")
+    """``s`` (one row per distinct value of a group), written once, with ``_b``: the range partition of (group, value).
+
+    Spark samples the bounds from the rows, so buckets are about equal however the values are spread: outliers and skewed
+    values only move the bounds, and no result depends on where they lie. NaN is above all numbers.
+    """
+    n = max(VALUE_BUCKETS, int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return reliable_checkpoint(s.repartitionByRange(n, *gcols, value).withColumn("_b", F.spark_partition_id()))
 
 
 def _before(s: DataFrame, gcols: list[str], weight: str) -> DataFrame:
-    """Per (group, _b): the sum of ``weight`` in all smaller buckets, in two levels of 2^(VALUE_BITS / 2) rows."""
-    prior = Window.unboundedPreceding, -1
-    zero = F.lit(0).cast("bigint")
-    bt = s.groupBy(*gcols, "_b").agg(F.sum(weight).alias("_w")).withColumn("_c", F.shiftright("_b", VALUE_BITS // 2))
-    coarse = bt.groupBy(*gcols, "_c").agg(F.sum("_w").alias("_cw"))
-    coarse = coarse.withColumn("_coff", F.coalesce(F.sum("_cw").over(Window.partitionBy(*gcols).orderBy("_c").rowsBetween(*prior)), zero)).drop("_cw")
-    fine = F.coalesce(F.sum("_w").over(Window.partitionBy(*gcols, "_c").orderBy("_b").rowsBetween(*prior)), zero)
-    return (bt.withColumn("_fine", fine).join(coarse, [*gcols, "_c"])
-            .select(*gcols, "_b", (F.col("_fine") + F.col("_coff")).alias("_off"), "_w"))
+    """Per (group, _b): the sum of ``weight`` in all smaller buckets; a group has at most one row per bucket here."""
+    prior = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bt = s.groupBy(*gcols, "_b").agg(F.sum(weight).alias("_w"))
+    return bt.withColumn("_off", F.coalesce(F.sum("_w").over(prior), F.lit(0).cast("bigint"))).select(*gcols, "_b", "_off", "_w")
 
 
 def roc_auc(df: DataFrame, score: str, positive: str, group: str | None = None) -> DataFrame:
     """Exact ROC-AUC with tied scores counted one half (the rank-sum formula).
 
     Rows are first collapsed to distinct scores (partial aggregation, so a hot score is one row). The
-    negatives below each score are a prefix sum inside one of 2^VALUE_BITS order-preserving buckets of the
-    score plus the bucket's offset: one method at every size, no single-partition window.
+    negatives below each score are a prefix sum inside one of VALUE_BUCKETS order-preserving buckets of the
+    score plus the bucket's offset: one method at every size, no single-partition window. Null scores are left out.
     """
     gcols = [group] if group else ["_one"]
     d = df if group else df.withColumn("_one", F.lit(1))
     pos = F.col(positive).cast("boolean")
-    s = (d.groupBy(*gcols, F.col(score).alias("_s"))
+    s = (d.filter(F.col(score).isNotNull()).groupBy(*gcols, F.col(score).alias("_s"))
          .agg(F.sum(pos.cast("bigint")).alias("_p"), F.sum((~pos).cast("bigint")).alias("_q")))
-    # the distinct-score table feeds the range, the bucket totals and the prefix sums: write it once
-    s = _buckets(reliable_checkpoint(s), gcols, "_s")
+    s = _buckets(s, gcols, "_s")
     w_in = Window.partitionBy(*gcols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     s = (s.join(_before(s, gcols, "_q"), [*gcols, "_b"])
          .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_q").over(w_in), F.lit(0))))
@@ -168,7 +165,7 @@ def latency_summary(df: DataFrame, col: str, group: str | None = None) -> DataFr
     d = df if group else df.withColumn("_one", F.lit(1))
     base = d.groupBy(*gcols).agg(F.count(col).alias("n"), F.avg(col).alias("mean"))
     v = d.filter(F.col(col).isNotNull()).groupBy(*gcols, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    v = _buckets(reliable_checkpoint(v), gcols, "_v")
+    v = _buckets(v, gcols, "_v")
     shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     want = F.array(*[F.struct(F.lit(p).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(q))).alias("rank")) for p, q in shares.items()])
     ranks = base.select(*gcols, F.explode(want).alias("r")).select(*gcols, "r.*")

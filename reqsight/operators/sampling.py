@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reqsight.fixed import CAP_PER_CLASS, DEFAULT_SEED, TEST_FRACTION
 from reqsight.functions.draws import draw, unit, draw_hex, wide_draw
+from reqsight.session import reliable_checkpoint
 
 RANK_BITS = 20
 SALTS = 256
+#: Copies of one row that are written at a time.
+LOT = 1 << 16
 
 
 def _histogram(d: DataFrame, gcols: list[str], bits: int) -> DataFrame:
@@ -55,31 +58,59 @@ def dense_index(df: DataFrame, order: Column, key: str, group: str | None = None
             .drop("_d", "_b", "_off"))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: orders rows that repeat a key."""
+    return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def class_cuts(df: DataFrame, label: str, key: str, order: Column, take: Callable[[Column], Column],
                bits: int = RANK_BITS) -> DataFrame:
-    """Per class the last (order, key) among its first ``take(size)`` rows: ``_cl, _cut``; no row for a class that takes none.
+    """Per class the place where its first ``take(size)`` rows end: ``_cl, _cut, _keep, _copies``; no row for a class that takes none.
 
-    Reads the key and the label only; ranks one bucket per class.
+    Rows are ordered by (order, key, row hash). Every row before ``_cut`` is taken and of the ``_copies`` equal rows
+    at ``_cut`` the number ``_keep``. Equal rows are counted before the one bucket per class that holds the cut is ranked.
     """
-    d = df.select(label, key).withColumn("_d", order).withColumn("_b", F.shiftright(F.col("_d"), 32 - bits))
+    d = df.select(label, key, row_hash(df).alias("_h")).withColumn("_d", order).withColumn("_b", F.shiftright(F.col("_d"), 32 - bits))
     hist = _histogram(d, [label], bits).withColumn("_rest", take(F.col("_size")) - F.col("_off")).filter("_rest > 0")
     at = hist.groupBy(F.col(label).alias("_cl")).agg(F.max(F.struct("_b", "_rest", "_n")).alias("_at"))
     edge = d.join(F.broadcast(at), F.col(label).eqNullSafe(F.col("_cl")) & (F.col("_b") == F.col("_at._b")))  # one row per class
-    rank = F.row_number().over(Window.partitionBy("_cl").orderBy("_d", key))
-    edge = edge.withColumn("_rn", rank).filter(F.col("_rn") == F.least("_at._rest", "_at._n"))
-    return edge.select("_cl", F.struct(F.col("_d"), F.col(key)).alias("_cut"))
+    edge = edge.groupBy("_cl", "_d", key, "_h", F.least("_at._rest", "_at._n").alias("_want")).agg(F.count(F.lit(1)).alias("_copies"))
+    upto = F.sum("_copies").over(Window.partitionBy("_cl").orderBy("_d", key, "_h"))
+    edge = edge.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_copies") < F.col("_want")))
+    return edge.select("_cl", F.struct(F.col("_d"), F.col(key), F.col("_h")).alias("_cut"),
+                       (F.col("_want") - F.col("_upto") + F.col("_copies")).alias("_keep"), "_copies")
+
+
+def _first_rows(df: DataFrame, label: str, key: str, order: Column, cuts: DataFrame, how: str) -> DataFrame:
+    """``df`` (joined with its class's cut as ``how`` says) with ``_first``: whether a row is among its class's first.
+
+    Only where equal rows lie across a cut, these (one counted row per class) are taken out and written anew, some of them as first.
+    """
+    cuts = reliable_checkpoint(cuts)  # one row per class
+    cols = df.columns
+    place = F.struct(order.alias("_d"), F.col(key), row_hash(df).alias("_h"))
+    marked = df.withColumn("_place", place).join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_cl")), how)
+    first = F.coalesce(F.col("_place") <= F.col("_cut"), F.lit(False))
+    if not cuts.filter("_keep < _copies").head(1):
+        return marked.select(*cols, first.alias("_first"))
+    split = F.coalesce((F.col("_place") == F.col("_cut")) & (F.col("_keep") < F.col("_copies")), F.lit(False))
+    one = marked.filter(split).groupBy("_cl").agg(F.first(F.struct(*cols)).alias("r"), F.first("_keep").alias("_keep"), F.first("_copies").alias("_copies"))
+    lots = one.withColumn("_lot", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {LOT})")))
+    again = lots.withColumn("_no", F.explode(F.expr(f"sequence(_lot * {LOT} + 1, least((_lot + 1) * {LOT}, _copies))")))
+    return marked.filter(~split).select(*cols, first.alias("_first")).unionByName(again.select("r.*", (F.col("_no") <= F.col("_keep")).alias("_first")))
 
 
 def cap_per_class(df: DataFrame, label: str = "label", key: str = "id",
                   cap: int = CAP_PER_CLASS, seed: int = DEFAULT_SEED) -> DataFrame:
-    """M1: at most ``cap`` rows per label, chosen by a seeded draw of a unique key; NULL labels drop out.
+    """M1: at most ``cap`` rows per label, chosen by a seeded draw of a key; NULL labels drop out.
 
-    Rows are kept or dropped where they are read: no shuffle but that of the histogram.
+    Rows are kept or dropped where they are read: no shuffle but that of the histogram. Rows that repeat a key have one
+    draw and are ordered by a hash of the row; of equal rows any may stay, and the number is exact.
     """
     order = draw(F.col(key), "cap", seed)
-    cuts = class_cuts(df.filter(F.col(label).isNotNull()), label, key, order, lambda n: F.least(n, F.lit(cap)))
-    kept = df.join(F.broadcast(cuts), F.col(label) == F.col("_cl"))  # one row per class
-    return kept.filter(F.struct(order.alias("_d"), F.col(key)) <= F.col("_cut")).select(*df.columns)
+    known = df.filter(F.col(label).isNotNull())
+    cuts = class_cuts(known, label, key, order, lambda n: F.least(n, F.lit(cap)))
+    return _first_rows(known, label, key, order, cuts, "inner").filter("_first").select(*df.columns)
 
 
 def random_split(df: DataFrame, key: str = "id", test: float = TEST_FRACTION,
@@ -93,7 +124,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id",
                      test: float = TEST_FRACTION, seed: int = DEFAULT_SEED) -> DataFrame:
     """M3: per class, the first round(test * n_class) rows in draw order are ``test``; a class of one row is an error.
 
-    Like M1, rows are decided where they are read.
+    Like M1, rows are decided where they are read, and the numbers are exact for repeated keys too.
     """
     order = draw(F.col(key), "strat", seed)
 
@@ -102,9 +133,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id",
         return F.when(n < 2, F.raise_error(F.lit("a class has fewer than 2 rows; cannot stratify")).cast("bigint")).otherwise(k)
 
     cuts = class_cuts(df, label, key, order, take)
-    marked = df.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_cl")), "left")
-    first = F.col("_cut").isNotNull() & (F.struct(order.alias("_d"), F.col(key)) <= F.col("_cut"))
-    return marked.select(*df.columns, F.when(first, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    marked = _first_rows(df, label, key, order, cuts, "left")
+    return marked.select(*df.columns, F.when(F.col("_first"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
 
 
 def shuffle_rows(df: DataFrame, key: str = "id", seed: int = DEFAULT_SEED, out: str = "row_index") -> DataFrame:
