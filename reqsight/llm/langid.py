@@ -8,8 +8,11 @@ product of their numbers of slots. ``LANDMARKS`` training chunks give the Nystro
 of chunks: presence x landmarks, then kernel x weights. A text's margins are the means over its chunks,
 weighted by length.
 
-Training takes at most ``PER_LANG`` texts of each language, of at most ``MAX_TRAIN_CHARS`` characters, in the order of a
-hash of the id, from rows with a language whose crc32(id as text) mod ``FOLDS`` is not 0; the model has a fixed size.
+Training takes ``PER_LANG`` different (id, text) pairs of each language, or all if there are fewer, in the order of a hash,
+from rows with a language and a text that has a letter whose crc32(id as text) mod ``FOLDS`` is not 0, of the ``MAX_LANGS``
+languages with the most such pairs. Texts of any length count alike: a text of up to ``TRAIN_CHUNKS`` chunks gives all of
+them, a longer one as many, picked over its whole length by a hash. Only these chunks reach the driver, so the sample is
+bounded whatever the lengths and however often an id or a row repeats; the model has a fixed size.
 Defined results: a null text, or one without letters, is ``und`` with score 0; a null id is never learned from and
 not held out; equal margins go to the first language by name; repeated rows are predicted row by row; without
 any training row every text is ``und``.
@@ -30,7 +33,8 @@ by_value(__name__)
 
 FOLDS = 5
 PER_LANG = 150
-MAX_TRAIN_CHARS = 20_000
+MAX_LANGS = 200
+TRAIN_CHUNKS = 8
 CHUNK = 2000
 MAX_N = 4
 BUCKETS = 4096
@@ -72,13 +76,13 @@ def chunks_of(text: str) -> tuple[list[np.ndarray], list[int]]:
 
 
 def train(rows: list[tuple[str, str]]) -> Model | None:
-    """``rows``: (text, language), in a fixed order."""
+    """``rows``: (text or chunk, language), in a fixed order."""
     if not rows:
         return None
     langs = sorted({lang for _, lang in rows})
     chunks, labels = [], []
     for text, lang in rows:
-        mine = chunks_of(text)[0]
+        mine = [code_points(text)] if len(text) <= CHUNK + MAX_N - 1 else chunks_of(text)[0]
         chunks += mine
         labels += [langs.index(lang)] * len(mine)
     labels = np.array(labels)
@@ -140,19 +144,36 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def picked_chunks(text: Column, seed: list[Column], step: int, lead: int, tail: int, most: int,
+                  shared: int = 0) -> Column:
+    """Pieces of a text that start every ``step`` characters (but for the last ``shared`` steps, part of the piece before), with ``lead`` characters before and ``tail`` after: all of up
+    to ``most``, else that many different ones by a hash of ``seed``. An array of (at, piece)."""
+    n = F.greatest(F.ceil(F.length(text) / F.lit(step)).cast("bigint") - shared, F.lit(1).cast("bigint"))
+    some = F.slice(F.array_sort(F.transform(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4 * most)), lambda i: F.pmod(F.xxhash64(*seed, i), n))),
+                                            lambda i: F.struct(F.xxhash64(*seed, i, F.lit(1)).alias("h"), i.alias("i")))), 1, most)
+    at = F.when(n <= most, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.transform(some, lambda x: x["i"]))
+    start = lambda i: F.greatest(i * step - lead, F.lit(0))
+    return F.transform(F.array_sort(at), lambda i: F.struct(i.alias("at"), text.substr(
+        (start(i) + 1).cast("int"), (i * step - start(i) + step + tail).cast("int")).alias("piece")))
+
+
 def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
            per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """The bounded training sample, in a fixed order."""
+    """The bounded training sample of (chunk, language), in a fixed order."""
     rows = pick(docs, doc_id=doc_id, t=text, lang=lang).filter(
-        F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, 0) & F.col("lang").isNotNull())
-    # ids first, without texts: Spark keeps the first rows of a group before it shuffles them
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang)
-    ids = ids.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang")).distinct()
-    got = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))
-    got = got.filter(F.col("t").isNotNull() & (F.length("t") <= MAX_TRAIN_CHARS))
-    rows = {(r["lang"], str(r["doc_id"]), r["t"]) for r in got.select("lang", "doc_id", "t").collect()}
-    return [(t, lg) for lg, _, t in sorted(rows)]
+        F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, 0) & F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "t", F.xxhash64("t").alias("h"))
+    # pairs without texts, repeats counted away: an id or a row on a third of the table is a few rows from here on
+    pairs = rows.groupBy("lang", "doc_id", "h").agg(F.count("*").alias("n"))
+    kinds = pairs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS).select(F.col("lang").alias("k_lang"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h")
+    ids = pairs.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang).join(F.broadcast(kinds), F.col("lang") == F.col("k_lang"))
+    ids = ids.select(F.col("lang").alias("s_lang"), F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"))
+    got = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")) & (F.col("h") == F.col("s_h")))
+    parts = picked_chunks(F.col("t"), [F.col("doc_id"), F.col("h")], CHUNK, 0, MAX_N - 1, TRAIN_CHUNKS)
+    got = got.groupBy("lang", "doc_id", "h").agg(F.first(parts).alias("c"))
+    rows = sorted((r["lang"], str(r["doc_id"]), r["h"], r["c"]) for r in got.collect())
+    return [(c["piece"], lg) for lg, _, _, chunks in rows for c in chunks]
 
 
 def _mapper(shared):

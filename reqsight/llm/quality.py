@@ -7,9 +7,11 @@ that overlap by one block and cover the document from the first byte to the last
 averaged and a logistic unit combines them into one probability. A filter is a table with one row for each symbol
 and place, so the convolution is a sum of table look-ups.
 
-Training (backpropagation with Adam) takes at most ``PER_CLASS`` labelled texts of each class, of at most
-``MAX_TRAIN_CHARS`` characters, in the order of a hash of the id, from ids whose crc32(id as text) mod ``FOLDS`` is not
-``HELD``, and of a longer training text ``TRAIN_CHUNKS`` chunks spread over it. Scoring reads every byte of every text.
+Training (backpropagation with Adam) takes ``PER_CLASS`` different (id, text) pairs of each class, or all if there are
+fewer, in the order of a hash, from labelled ids with a text whose crc32(id as text) mod ``FOLDS`` is not ``HELD``. Texts of
+any length count alike: one of up to ``TRAIN_CHUNKS`` blocks gives all its chunks, a longer one as many, picked over its
+whole length by a hash. Only these reach the driver, however long a text is and however often an id or a row repeats.
+Scoring reads every byte of every text.
 Defined results: a null or empty text has no chunk and gets the probability of zero features; a null id is never
 learned from and not held out; an id labelled twice counts with each label; without labels of both classes
 every score is 0.5; repeated rows are scored row by row.
@@ -25,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reqsight.llm.common import by_value, pick, restore, with_columns
-from reqsight.llm.langid import in_fold
+from reqsight.llm.langid import in_fold, picked_chunks
 
 by_value(__name__)
 
 FOLDS, HELD = 3, 1
 PER_CLASS = 600
-MAX_TRAIN_CHARS = 20_000
-TRAIN_CHUNKS = 8
+TRAIN_CHUNKS = 24
 BLOCK = 128
 WIDTH = 6
 FILTERS = 16
@@ -92,22 +93,20 @@ def score(model: Model | None, text: str | None) -> float:
     return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
 
 
-def train(rows: list[tuple[str, int]], seed: int = 17) -> Model | None:
-    """``rows``: (text, label 0 or 1), in a fixed order."""
+def train(rows: list[tuple[list[tuple[int, str]], int]], seed: int = 17) -> Model | None:
+    """``rows``: (a text's pieces as (characters before the chunk, piece), label 0 or 1), in a fixed order."""
     rows = [r for r in rows if r[0]]
     if len({y for _, y in rows}) < 2:
         return None
     rng = np.random.default_rng(seed)
     size = 2 * BLOCK + WIDTH - 1
     chunks, owner, labels = [], [], np.array([y for _, y in rows], np.float64)
-    for i, (text, _) in enumerate(rows):
-        s = symbols(text)
-        starts = np.arange(0, max(1, len(s) - BLOCK), BLOCK)
-        for at in starts[np.unique(np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int))]:
+    for i, (parts, _) in enumerate(rows):
+        for lead, piece in parts:
+            got = symbols(piece)[len(piece[:lead].encode("utf-8", "replace")):][:size]
             c = np.zeros(size, np.uint16)
-            got = s[at:at + size]
             c[:len(got)] = got
-            chunks.append((c, min(2 * BLOCK, len(s) - at)))
+            chunks.append((c, min(2 * BLOCK, len(got))))
             owner.append(i)
     x, own = np.stack([c for c, _ in chunks]), np.array(owner)
     live = np.array([n for _, n in chunks])
@@ -149,17 +148,22 @@ def train(rows: list[tuple[str, int]], seed: int = 17) -> Model | None:
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-           per_class: int = PER_CLASS) -> list[tuple[str, int]]:
-    """The bounded training sample, in a fixed order."""
+           per_class: int = PER_CLASS) -> list[tuple[list[tuple[int, str]], int]]:
+    """The bounded training sample of (pieces, label), in a fixed order."""
     marked = pick(labels, doc_id="doc_id", y=label).filter(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~in_fold(F.col("doc_id"), FOLDS, HELD))
-    first = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = marked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_class)
-    ids = ids.select(F.col("doc_id").alias("s_id"), F.col("y").cast("int").alias("y")).distinct()
-    got = pick(docs, doc_id=doc_id, t=text).join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"))
-    got = got.filter(F.col("t").isNotNull() & (F.length("t") <= MAX_TRAIN_CHARS))
-    rows = {(str(r["doc_id"]), r["t"], r["y"]) for r in got.select("doc_id", "t", "y").collect()}
-    return [(t, y) for _, t, y in sorted(rows)]
+    marked = marked.select("doc_id", F.col("y").cast("int").alias("y")).distinct()
+    rows = pick(docs, doc_id=doc_id, t=text).filter(F.col("doc_id").isNotNull() & (F.col("t") != "")).withColumn("h", F.xxhash64("t"))
+    # pairs without texts, repeats counted away on both sides: no key brings more than its different texts to the join
+    pairs = rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).join(marked, "doc_id")
+    first = Window.partitionBy("y").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h")
+    ids = pairs.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_class)
+    ids = ids.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "y")
+    got = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("s_id")) & (F.col("h") == F.col("s_h")))
+    parts = picked_chunks(F.col("t"), [F.col("doc_id"), F.col("h")], BLOCK, LAG, BLOCK + WIDTH + GRAM, TRAIN_CHUNKS, 1)
+    got = got.groupBy("y", "doc_id", "h").agg(F.first(parts).alias("c"))
+    rows = sorted((str(r["doc_id"]), r["h"], r["y"], r["c"]) for r in got.collect())
+    return [([(min(LAG, c["at"] * BLOCK), c["piece"]) for c in chunks], y) for _, _, y, chunks in rows]
 
 
 def _mapper(shared):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import reqsight.llm.queries as q
@@ -206,11 +207,11 @@ def test_quality_query_accuracy(spark):
 
 
 def test_quality_edges(spark, edge, nothing):
-    model = quality.train([("good plain words in a row", 1), ("###!!! $$$", 0)] * 5)
+    model = quality.train([([(0, "good plain words in a row")], 1), ([(0, "###!!! $$$")], 0)] * 5)
     got = by_key((r.doc_id, round(r.score, 5)) for r in quality.score_quality(edge, model).collect())
     assert got == by_key((r[0], round(quality.score(model, r[1]), 5)) for r in edge_rows())
     assert quality.score(model, None) == quality.score(model, "")
-    assert quality.train([("only one class", 1)]) is None and quality.score(None, "x") == 0.5
+    assert quality.train([([(0, "only one class")], 1)]) is None and quality.score(None, "x") == 0.5
     assert quality.score_quality(nothing, model).count() == 0
     kept = quality.keep_good(edge, model)
     assert kept.columns == edge.columns
@@ -234,3 +235,69 @@ def test_hash_is_spark_xxhash64(spark):
     from pyspark.sql import functions as F
     r = spark.range(1).select(F.xxhash64(F.lit("\u00e9 b c")).alias("h")).first()
     assert r.h & (1 << 64) - 1 == xxhash.xxh64_intdigest("\u00e9 b c".encode(), 42)
+
+
+# ------------------------------------------------------------------ training samples
+def prose(words, n, seed):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(words, n))
+
+
+EN, ES = "the cat and dog with house under tree which would".split(), "el gato y perro con casa bajo árbol que sería".split()
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    """Texts of 24,000 characters beside short ones: both languages are learned, from bounded chunks."""
+    rows = [(i, prose(EN, 30, i), "en") for i in range(300)] + [(1000 + i, prose(ES, 5200, i), "es") for i in range(300)]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4))
+    assert {lang for _, lang in got} == {"en", "es"}
+    assert sum(lang == "es" for _, lang in got) == langid.PER_LANG * langid.TRAIN_CHUNKS
+    assert max(len(t) for t, _ in got) <= langid.CHUNK + langid.MAX_N - 1
+    model = langid.train(got)
+    assert [p for p, _ in langid.predict(model, [prose(EN, 4000, 9), prose(ES, 20, 9)])] == ["en", "es"]
+
+
+def test_samples_are_bounded_for_a_hot_id_and_refilled(spark):
+    """An id on thousands of rows, with equal and with different texts, and texts that cannot be learned from."""
+    rows = [(7, prose(EN, 12, i), "en") for i in range(2000)] + [(8, "the same row", "en")] * 2000
+    rows += [(100 + i, None if i % 3 else "12 34", "en") for i in range(400)] + [(900 + i, prose(ES, 12, i), "es") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = langid.sample(df)
+    assert {lang: sum(x == lang for _, x in got) for lang in ("en", "es")} == {"en": langid.PER_LANG, "es": langid.PER_LANG}
+    assert len({t for t, _ in got}) == len(got)
+    labels = spark.createDataFrame([(r[0], int(r[2] == "es"), 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    picked = quality.sample(df, labels)
+    assert 0 < sum(y == 0 for _, y in picked) <= quality.PER_CLASS and sum(y == 1 for _, y in picked) > 200
+
+
+def test_quality_learns_from_long_texts_only(spark):
+    rows = [(i, prose(EN, 6000, i) if i % 2 else "#!$% " * 6000, i % 2) for i in range(1, 121)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(4)
+    picked = quality.sample(docs, spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id bigint, quality int, toxic int"))
+    assert all(len(parts) == quality.TRAIN_CHUNKS for parts, _ in picked)
+    assert all(len(p) <= lead + 2 * quality.BLOCK + quality.WIDTH + quality.GRAM for parts, _ in picked for lead, p in parts)
+    model = quality.train(picked)
+    assert quality.score(model, prose(EN, 500, 999)) > 0.9 > 0.1 > quality.score(model, "#!$% " * 500)
+
+
+def test_training_pieces_are_the_scored_chunks(spark):
+    """A text of few blocks: its pieces hold the very symbols that scoring pools over, repetition marks included."""
+    text = "ab ab cd " * 60 + "é" * 100 + "end"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, t string")
+    parts = df.select(langid.picked_chunks(F.col("t"), [F.col("doc_id")], quality.BLOCK, quality.LAG, quality.BLOCK + quality.WIDTH + quality.GRAM, 24, 1).alias("c")).first().c
+    whole = quality.symbols(text[:540])
+    for c in parts[:3]:
+        lead = min(quality.LAG, c["at"] * quality.BLOCK)
+        got = quality.symbols(c["piece"])[lead:][:2 * quality.BLOCK]
+        assert (got == whole[c["at"] * quality.BLOCK:][:2 * quality.BLOCK]).all()
+
+
+def test_kernel_against_sets():
+    """presence, margins and the ridge solution against sets of slots and a plain kernel formula."""
+    model = langid.train([(prose(EN, 40, i), "en") for i in range(9)] + [(prose(ES, 40, i), "es") for i in range(9)])
+    chunk = langid.code_points(prose(EN, 25, 77))
+    slots = [set(np.flatnonzero(langid.presence([c])[0])) for c in (chunk, langid.code_points(prose(ES, 25, 78)))]
+    marks = [set(np.flatnonzero(col)) for col in model.landmarks.T]
+    for mine, c in zip(slots, (chunk, langid.code_points(prose(ES, 25, 78)))):
+        k = np.array([len(mine & m) / np.sqrt(len(mine) * len(m)) for m in marks])
+        np.testing.assert_allclose(k @ model.weights, langid.margins(model, [c])[0], rtol=1e-3, atol=1e-4)
