@@ -11,10 +11,11 @@ from __future__ import annotations
 import json
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark import cloudpickle
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -25,7 +26,7 @@ from reqsight.functions.decide import argmax, softmax
 from reqsight.functions.rules import label_name
 from reqsight.operators import evaluate as A
 from reqsight.functions.draws import draw
-from reqsight.operators.sampling import cap_per_class, class_cuts, random_split, stratified_split
+from reqsight.operators.sampling import cap_per_class, class_cuts, random_split, row_hash, stratified_split
 from reqsight.session import reliable_checkpoint
 
 
@@ -53,6 +54,7 @@ class TrainConfig:
     label_col: str = "label"
     key_col: str = "id"
     grid: list = field(default_factory=list)  # T2 inside T3: candidate settings, e.g. [{"reg_param": 0.01}]
+    steps: list = field(default_factory=list)  # T2: iteration counts whose models are compared, e.g. [5, 10, 20, 50]
     normalise: bool = False           # P6 inside the pipeline: URL-decode at any depth, then lower-case
 
 
@@ -87,9 +89,12 @@ def char_ngram_features(df: DataFrame, text: str = "text", n: int = 3,
 
 def normalise_stage(text: str = "text", out: str = "_norm") -> SQLTransformer:
     """P6 as a pipeline stage, so a saved model normalises its input the same way when scoring."""
-    x = f"regexp_replace(`{text}`, '%(25)+([0-9A-Fa-f]{{2}})', '%$2')"
-    x = f"try_url_decode(regexp_replace({x}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
-    return SQLTransformer(statement=f"SELECT *, lower({x}) AS {out} FROM __THIS__")
+    once = "regexp_replace(acc.text, '%(25)+([0-9A-Fa-f]{2})', '%$2')"
+    once = f"try_url_decode(regexp_replace({once}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
+    again = f"transform(array({once}), n -> named_struct('text', n, 'done', n <=> acc.text))[0]"
+    full = (f"aggregate(sequence(1, length(`{text}`) - length(replace(`{text}`, '%', '')) + 2), named_struct('text', `{text}`, 'done', false), "
+            f"(acc, i) -> if(acc.done, acc, {again}), acc -> acc.text)")
+    return SQLTransformer(statement=f"SELECT *, lower(if(contains(`{text}`, '%'), {full}, replace(`{text}`, '+', ' '))) AS {out} FROM __THIS__")
 
 
 def _estimator(cfg: TrainConfig):
@@ -102,14 +107,30 @@ def _estimator(cfg: TrainConfig):
                               elasticNetParam=cfg.elastic_net, standardization=cfg.standardize)
 
 
+def _labelled(samples: DataFrame, cfg: TrainConfig) -> DataFrame:
+    return samples.select(F.col(cfg.text_col).alias("text"), F.col(cfg.label_col).cast("double").alias("_y"))
+
+
+def fit_features(train: DataFrame, cfg: TrainConfig) -> tuple[list, DataFrame]:
+    """E4 fitted on ``text, label``: its stages, and the training rows as (_y, features).
+
+    The hashed counts are written once: the IDF fit and every pass of an estimator read them, never the texts again.
+    """
+    pre = [normalise_stage("text", "_norm")] if cfg.normalise else []
+    *counting, idf = char_ngram_stages("_norm" if cfg.normalise else "text", "features", cfg.ngram, cfg.num_features, binary=cfg.binary)
+    data = _labelled(train, cfg)
+    for stage in pre + counting:
+        data = stage.transform(data)
+    counted = reliable_checkpoint(data.select("_y", "_tf"))
+    fitted = idf.fit(counted)
+    return [*pre, *counting, fitted], fitted.transform(counted).select("_y", "features")
+
+
 def train_classifier(train: DataFrame, cfg: TrainConfig | None = None) -> PipelineModel:
     """Fit E4 + classifier on ``text, label``."""
     cfg = cfg or TrainConfig()
-    data = train.select(F.col(cfg.text_col).alias("text"), F.col(cfg.label_col).cast("double").alias("_y"))
-    pre = [normalise_stage("text", "_norm")] if cfg.normalise else []
-    feats = char_ngram_stages("_norm" if cfg.normalise else "text", "features", cfg.ngram, cfg.num_features, binary=cfg.binary)
-    stages = pre + feats + [_estimator(cfg)]
-    return Pipeline(stages=stages).fit(data)
+    stages, features = fit_features(train, cfg)
+    return PipelineModel(stages=[*stages, _estimator(cfg).fit(features)])
 
 
 def score(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
@@ -147,7 +168,7 @@ def group_split(samples: DataFrame, label: str, group: str, test: float, seed: i
 
     cuts = class_cuts(of, "_gl", group, order, take)
     held = (of.join(F.broadcast(cuts), F.col("_gl") == F.col("_cl"))  # one row per class
-            .filter(F.struct(order.alias("_d"), F.col(group)) <= F.col("_cut")).select(F.col(group).alias("_held")))
+            .filter(F.struct(order.alias("_d"), F.col(group), row_hash(of)) <= F.col("_cut")).select(F.col(group).alias("_held")))
     marked = samples.join(held, F.col(group) == F.col("_held"), "left")
     return marked.withColumn("split", F.when(F.col("_held").isNull(), F.lit("train")).otherwise(F.lit("test"))).drop("_held")
 
@@ -160,24 +181,52 @@ def split_dataset(samples: DataFrame, cfg: TrainConfig) -> DataFrame:
     return random_split(samples, cfg.key_col, cfg.test, cfg.seed)
 
 
-def select_best(train: DataFrame, grid: list[dict], cfg: TrainConfig | None = None,
-                metric: str = "f1") -> tuple[PipelineModel, dict, list]:
-    """Fit every candidate on a seeded split of ``train`` and keep the best
-    weighted ``metric`` on the held-out rows (a small loop over candidates, not data)."""
+#: Candidates fitted at the same time, as jobs of one session.
+PARALLEL_CANDIDATES = 4
+
+
+def select_best(train: DataFrame, grid: list[dict], cfg: TrainConfig | None = None, metric: str = "f1",
+                patience: int = 2) -> tuple[PipelineModel, dict, list]:
+    """Fit every candidate on a seeded split of ``train`` and keep the best weighted ``metric`` on the held-out rows.
+
+    With ``cfg.steps`` each candidate is measured after each of these numbers of iterations (the optimiser is
+    deterministic, so a shorter run is a prefix of a longer one) until ``patience`` steps in a row bring nothing, and the
+    best step of the best candidate is kept. Features are fitted and written once for all candidates that share their
+    settings; candidates run side by side. Ties go to the earlier candidate and step.
+    """
     cfg = cfg or TrainConfig()
+    base = replace(cfg, grid=[], steps=[])
     parts = reliable_checkpoint(split_dataset(train.drop("split"), replace(cfg, seed=cfg.seed + 1)))
     fit_part, val_part = parts.filter("split = 'train'"), parts.filter("split = 'test'")
-    results = []
-    best = None
+    shared: dict = {}
     for params in grid:
-        c = TrainConfig(**{**asdict(cfg), **params})
-        m = train_classifier(fit_part, c)
-        s = score(val_part, m, cfg.text_col)
-        val = A.weighted_prf(s.withColumn("label", F.col(cfg.label_col)), "label", "pred").first()[metric]
-        results.append({"params": params, metric: val})
-        if best is None or val > best[1]:
-            best = (m, val, params)
-    return best[0], best[2], results
+        c = replace(base, **params)
+        kind = (c.ngram, c.num_features, c.binary, c.normalise)
+        if kind not in shared:
+            stages, features = fit_features(fit_part, c)
+            held = _labelled(val_part, c)
+            for stage in stages:
+                held = stage.transform(held)
+            shared[kind] = stages, reliable_checkpoint(features), reliable_checkpoint(held.select("_y", "features"))
+
+    def curve(params: dict) -> list:
+        c, out, worse, top = replace(base, **params), [], 0, None
+        stages, features, held = shared[c.ngram, c.num_features, c.binary, c.normalise]
+        for step in cfg.steps or [c.max_iter]:
+            m = _estimator(replace(c, max_iter=step)).fit(features)
+            s = m.transform(held).select(F.col("_y").cast("int").alias("label"), argmax(vector_to_array(F.col("probability"))).alias("pred"))
+            value = A.weighted_prf(s, "label", "pred").first()[metric]
+            chosen = {**params, "max_iter": step} if cfg.steps else params
+            out.append(({"params": chosen, metric: value}, PipelineModel(stages=[*stages, m])))
+            worse, top = (0, value) if top is None or value > top else (worse + 1, top)
+            if worse >= patience:
+                break
+        return out
+
+    with ThreadPoolExecutor(PARALLEL_CANDIDATES) as pool:
+        tried = [x for one in pool.map(curve, grid) for x in one]
+    best = max(tried, key=lambda x: x[0][metric])
+    return best[1], best[0]["params"], [x[0] for x in tried]
 
 
 def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig | None = None,
@@ -187,7 +236,8 @@ def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig
 
     The split samples (typically the augmented dataset, an expensive lineage) are written once to the
     shared folder, so training passes never recompute the augmentation, and a lost executor re-reads the
-    checkpoint instead. Returns (model, metrics as dict, report DataFrame, scored test DataFrame).
+    checkpoint instead. Returns (model, metrics as dict, report DataFrame, scored test DataFrame); the settings
+    that were used, T2's choice among them, are in ``metrics["config"]``.
     """
     cfg = cfg or TrainConfig()
     keep = list(dict.fromkeys([cfg.key_col, cfg.text_col, cfg.label_col, *([cfg.group_col] if cfg.group_col else [])]))
@@ -195,14 +245,14 @@ def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig
     parts = split_dataset(reliable_checkpoint(data) if checkpoint else data, cfg)
     parts = reliable_checkpoint(parts) if checkpoint else parts
     train = cap_per_class(parts.filter(F.col("split") == "train"), cfg.label_col, cfg.key_col, cfg.cap, cfg.seed)
-    if cfg.grid:
-        cfg = replace(cfg, **select_best(train, cfg.grid, cfg)[1])
+    if cfg.grid or cfg.steps:
+        cfg = replace(cfg, **select_best(train, cfg.grid or [{}], cfg)[1], grid=[], steps=[])
     model = train_classifier(train, cfg)
     test = parts.filter(F.col("split") == "test")
     scored = score(test, model, cfg.text_col).withColumn("label", F.col(cfg.label_col).cast("int"))
     scored = scored.select(*keep, "split", "logits", "probs", "pred", "type", "confidence", *(["label"] if cfg.label_col != "label" else []))
     scored = reliable_checkpoint(scored) if checkpoint else scored
-    metrics = A.weighted_prf(scored, "label", "pred").first().asDict()
+    metrics = {**A.weighted_prf(scored, "label", "pred").first().asDict(), "config": asdict(cfg)}
     report = A.classification_report(scored, "label", "pred")
     return model, metrics, report, scored
 

@@ -747,27 +747,30 @@ def _scored_t(spark, sf, model):
     return score(X.labelled_lines(spark, sf).withColumnRenamed("payload", "text"), model)
 
 
-@register("t1_train_classifier", f"""WITH {S.labelled_cte()} SELECT count(*) AS rows, 8 AS classes, 0 AS not_the_argmax FROM lab""")
+@register("t1_train_classifier", f"""WITH {S.labelled_cte()}
+SELECT label_str, count(*) AS support, 8 AS classes, 0 AS not_the_argmax FROM lab GROUP BY label_str""")
 def q_t1(spark, sf):
-    """A model fitted on all labelled lines scores each of them with 8 probabilities and the class of the largest."""
+    """A model fitted on all labelled lines scores each of them with 8 probabilities and the class of the largest; by class."""
     from reqsight.operators.model import TrainConfig, score, train_classifier
-    lab = reliable_checkpoint(labelled(spark, sf).select("id", "text", "label"))
+    lab = reliable_checkpoint(labelled(spark, sf).select("id", "text", "label", "label_str"))
     s = score(lab, train_classifier(lab, TrainConfig(max_iter=10, num_features=1 << 12)))
     worse = F.element_at("probs", F.col("pred") + 1) < F.array_max("probs")
-    return s.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("probs")).alias("classes"),
-                 big(F.sum(worse.cast("int"))).alias("not_the_argmax"))
+    return s.groupBy("label_str").agg(F.count(F.lit(1)).alias("support"), F.max(F.size("probs")).alias("classes"),
+                                      big(F.sum(worse.cast("int"))).alias("not_the_argmax"))
 
 
-@register("t2_select_best", f"""WITH {S.labelled_cte()} SELECT 2 AS candidates, TRUE AS best_is_largest, 2 AS in_range""")
+@register("t2_select_best", f"""WITH {S.labelled_cte()} SELECT 2 AS candidates, TRUE AS best_is_largest, TRUE AS in_range, count(*) AS rows FROM lab""")
 def q_t2(spark, sf):
-    """Every candidate is fitted and measured, and the chosen one is the best of them."""
+    """Every candidate is measured after each step of its curve, and the chosen step is the best of all curves."""
     from reqsight.operators.model import TrainConfig, select_best
     lab = reliable_checkpoint(labelled(spark, sf).select("id", "text", "label", "tid"))
     grid = [{"reg_param": 0.001}, {"reg_param": 0.1}]
-    _, best, results = select_best(lab, grid, TrainConfig(group_col="tid", max_iter=10, num_features=1 << 12))
-    r = spark.createDataFrame([(x["params"] == best, float(x["f1"])) for x in results], "chosen boolean, f1 double")
-    return r.agg(F.count(F.lit(1)).alias("candidates"), (F.max(F.when(F.col("chosen"), F.col("f1"))) == F.max("f1")).alias("best_is_largest"),
-                 big(F.sum(F.col("f1").between(0, 1).cast("int"))).alias("in_range"))
+    model, best, results = select_best(lab, grid, TrainConfig(group_col="tid", num_features=1 << 12, steps=[3, 6, 10]))
+    r = spark.createDataFrame([(x["params"]["reg_param"], x["params"] == best, float(x["f1"])) for x in results], "reg double, chosen boolean, f1 double")
+    r = r.agg(F.countDistinct("reg").alias("candidates"), (F.max(F.when(F.col("chosen"), F.col("f1"))) == F.max("f1")).alias("best_is_largest"),
+              F.bool_and(F.col("f1").between(0, 1)).alias("in_range"))
+    from reqsight.operators.model import score
+    return r.withColumn("k", F.lit(1)).join(score(lab, model).agg(F.count("confidence").alias("rows")).withColumn("k", F.lit(1)), "k").drop("k")
 
 
 @register("t5_score")
@@ -977,6 +980,9 @@ def q_w3(spark, sf):
     return _taken(spark.read.parquet(table).select("text", "label_str"), table, table + "_ckpt")
 
 
+LINES_PER_FILE = 1 << 20
+
+
 @register("s1_read_labelled_files", f"""WITH lines AS (
   SELECT generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
 s AS (SELECT {S.py_strip('line')} AS s FROM lines),
@@ -987,32 +993,38 @@ def q_s1_files(spark, sf):
     """S1 on real text files: every document's lines written as text files, two header lines first in each, read back."""
     from reqsight.sources.readers import read_labelled_lines
     path = _scratch(spark, "lines")
-    lines = X.read_table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"), F.rand(1).alias("r"))
-    # each file is one partition of the write: its rows come after two header lines
-    lines = lines.repartition(8).select("value", F.spark_partition_id().alias("p"))
-    head = spark.range(8).select(F.explode(F.array(F.lit("# labelled lines"), F.lit("# number. title: payload"))).alias("value"),
+    lines = X.read_table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    lines = lines.select("value", F.xxhash64("doc_id", "line").alias("no"))
+    # lines are dealt by their hash to files of about LINES_PER_FILE; in each they come after two header lines
+    files = max(8, -(-lines.count() // LINES_PER_FILE))
+    lines = lines.select("value", F.pmod(F.xxhash64("value", F.col("no")), F.lit(files)).cast("int").alias("p"))
+    head = spark.range(files).select(F.explode(F.array(F.lit("# labelled lines"), F.lit("# number. title: payload"))).alias("value"),
                                  F.col("id").cast("int").alias("p"))
     both = head.select("p", F.lit(0).alias("o"), "value").unionByName(lines.select("p", F.lit(1).alias("o"), "value"))
-    both.repartition(8, "p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(path)
+    both.repartition(files, "p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(path)
     got = read_labelled_lines(spark, path + "/*")
     return _taken(got.groupBy("title", "payload").agg(F.count(F.lit(1)).alias("n")), path)
 
 
-@register("t4_save_load_model", f"""WITH {S.t_cte()} SELECT count(*) AS rows, 0 AS different, 'v1' AS version FROM t""")
+@register("t4_save_load_model", f"""WITH {S.t_cte()} SELECT count(*) AS rows, 0 AS different, 'v1' AS version, 32768 AS num_features, TRUE AS same_settings FROM t""")
 def q_t4(spark, sf):
     """T4: the trained model saved as a version (Spark ML format + JSON sidecar) and loaded back scores every line as before."""
     from reqsight.operators.model import TrainConfig, load_model, save_model
     model, metrics = trained(spark, sf)[:2]
     base = _scratch(spark, "models")
-    save_model(model, base, TrainConfig(group_col="tid", max_iter=30), metrics, version="v1")
+    save_model(model, base, TrainConfig(**metrics["config"]), metrics, version="v1")
     loaded, meta = load_model(base)
+    hashing, fitted = loaded.stages[-3], loaded.stages[-1]
+    told = meta["config"]
+    same = (hashing.getNumFeatures(), fitted.getRegParam(), fitted.getMaxIter()) == (told["num_features"], told["reg_param"], told["max_iter"])
     cols = ["id", "pred", "confidence"]
     a = _scored_t(spark, sf, model).select(*cols)
     b = _scored_t(spark, sf, loaded).select(F.col("id").alias("id2"), F.col("pred").alias("pred2"), F.col("confidence").alias("confidence2"))
     j = a.join(b, F.col("id") == F.col("id2"))
     off = (F.col("pred") != F.col("pred2")) | (F.abs(F.col("confidence") - F.col("confidence2")) > 1e-12)
     return _taken(j.agg(F.count(F.lit(1)).alias("rows"), big(F.sum(off.cast("int"))).alias("different"),
-                        F.lit(meta["version"]).alias("version")), base)
+                        F.lit(meta["version"]).alias("version"), F.lit(hashing.getNumFeatures()).alias("num_features"),
+                        F.lit(same).alias("same_settings")), base)
 
 
 @register("w2_attack_rate_stream", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL},
