@@ -77,8 +77,8 @@ def ascii_lower(c: Column) -> Column:
 
 
 def text_key(c: Column) -> Column:
-    """128 bits that name a text: equal texts, and for all practical purposes only these, share it."""
-    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
+    """SHA-256 of a text: equal texts, and only these, share it, crafted ones included."""
+    return F.unhex(F.sha2(c, 256))
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 The benchmark's windows of ``WINDOW`` consecutive words are hashed from their words' hashes; the distinct
 hashes form the set that documents are scanned against, broadcast after a count proves it small and
-joined by an ordinary equi-join beyond that. Documents are exploded into window hashes with a 128-bit
-text key only, no text; hits are verified word by word against the benchmark's windows, from a second
-look at just the candidate texts. The columns of a document's result depend on its text alone, so copies
-share one verification and hot copies are resolved by ``attach_counted``.
+joined by ``attach_counted`` beyond that, so a window that many documents hold meets in no one task.
+Documents are exploded into window hashes with their place and the text's key only, no text; hits are
+verified word by word against the benchmark's windows, from a second look at just the candidate texts
+and places. The columns of a document's result depend on its text alone, so copies share one
+verification and hot copies are resolved by ``attach_counted``. No step looks through a list for each
+word or hit, so the work grows with a text's words, however many of them are hit.
 
 Words are the runs of letters, digits and non-ASCII characters after A-Z is lower-cased. A window is
 ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window. Windows of
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reqsight.functions.payload import bound
 from reqsight.llm.common import ascii_lower, attach_counted, checkpoint, pick, restore, text_key, with_columns
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,7 +65,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
               item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Verified results by text: key (128 bits), hits (sorted word positions), items (sorted strings), n_copies.
+    """Verified results by text: key, hits (sorted word positions), items (sorted strings), n_copies.
 
     Only texts with a hit have a row.
     """
@@ -70,29 +73,25 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
     lengths = sorted(r["length"] for r in wins.select("length").distinct().collect())  # at most `window` values
     scan = pick(docs, doc_id=doc_id, t=text).select("doc_id", text_key(F.coalesce("t", F.lit(""))).alias("key"), "t")
     hashed = scan.select("key", F.transform(words_of(F.col("t")), lambda x: F.xxhash64(x)).alias("wh"))
-    found = F.array_distinct(F.flatten(F.array_compact(F.array(
-        *[_window_hashes(F.col("wh"), k) for k in lengths])))) if lengths else F.array().cast("array<bigint>")
-    grams = hashed.select("key", F.explode(found).alias("hash"))
+    places = [_placed(_window_hashes(F.col("wh"), k), k) for k in lengths] or [_placed(F.array().cast("array<bigint>"), 0)]
+    grams = hashed.select("key", F.explode(F.flatten(F.array_compact(F.array(*places)))).alias("s")).select("key", "s.*")
     known = wins.select("hash").distinct()
     if known.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    cand = checkpoint(grams.join(known, "hash", "left_semi").groupBy("key").agg(
-        F.collect_set("hash").alias("hashes")))
-    # second look: only candidate texts, one row for each distinct text, positions of the candidate windows
-    texts = attach_counted(scan, cand, "key", "doc_id").filter("hashes IS NOT NULL")
-    texts = texts.groupBy("key").agg(F.first("t").alias("t"), F.first("hashes").alias("hashes"), F.count("*").alias("n_copies"))
-    texts = texts.select("key", "n_copies", "hashes", words_of(F.col("t")).alias("w"))
-    texts = texts.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
-    places = [F.filter(_placed(_window_hashes(F.col("wh"), k), k),
-                       lambda s: F.array_contains(F.col("hashes"), s["hash"])) for k in lengths]
-    if not places:
-        places = [F.array().cast("array<struct<hash:bigint,pos:int,length:int>>")]
-    at = texts.select("key", "n_copies", F.col("w"), F.flatten(F.array_compact(F.array(*places))).alias("places"))
-    at = at.select("key", "n_copies", F.explode(F.transform("places", lambda s: F.struct(
-        s["hash"].alias("hash"), s["pos"].alias("pos"), s["length"].alias("length"),
+        met = grams.join(F.broadcast(known), "hash", "left_semi")
+    else:
+        met = attach_counted(grams, known.withColumn("known", F.lit(True)), "hash", "key").filter("known")
+    # copies of a text have the same places, so a set holds each once
+    cand = checkpoint(met.groupBy("key").agg(F.collect_set(F.struct("pos", "length")).alias("places")))
+    # second look: only candidate texts, one row for each distinct text, the words at the candidate places
+    texts = attach_counted(scan, cand, "key", "doc_id").filter("places IS NOT NULL")
+    texts = texts.groupBy("key").agg(F.first("t").alias("t"), F.first("places").alias("places"), F.count("*").alias("n_copies"))
+    texts = texts.select("key", "n_copies", "places", words_of(F.col("t")).alias("w"))
+    at = texts.select("key", "n_copies", F.explode(F.transform("places", lambda s: F.struct(
+        s["pos"].alias("pos"), s["length"].alias("length"),
         F.slice(F.col("w"), s["pos"] + 1, s["length"]).alias("words")))).alias("s")).select("key", "n_copies", "s.*")
-    by_words = wins.groupBy("hash", "length", "words").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    ok = at.join(by_words, ["hash", "length", "words"])  # the proof: equal words, not only equal hashes
+    by_words = checkpoint(wins.groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")))
+    # the proof: equal words, not only equal hashes
+    ok = attach_counted(at, by_words, "words", "key").filter("ids IS NOT NULL")
     return ok.groupBy("key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(
             F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1))))).alias("hits"),
@@ -117,10 +116,18 @@ def cut_words(text: Column, hits: Column) -> Column:
     Works on the text as written: A-Z only differ from a-z in the words, which keep their places.
     """
     any_case = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    words = F.regexp_extract_all(text, F.lit(any_case), F.lit(0))
-    gaps = F.split(text, any_case, -1)
-    kept = F.transform(words, lambda w, i: F.when(F.array_contains(hits, i), F.lit("")).otherwise(w))
-    return F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+    def cut(v):
+        words, gaps = v["words"], v["gaps"]
+        # (place, word) of all words, those of hits emptied, by place
+        left = F.when(F.size(words) > 0, F.array_except(F.sequence(F.lit(0), F.size(words) - 1), hits)).otherwise(F.array().cast("array<int>"))
+        by_place = F.array_sort(F.concat(
+            F.transform(left, lambda i: F.struct(i.alias("i"), F.get(words, i).alias("w"))),
+            F.transform(hits, lambda i: F.struct(i.alias("i"), F.lit("").alias("w")))))
+        return F.array_join(F.zip_with(gaps, by_place, lambda g, p: F.concat(g, F.coalesce(p["w"], F.lit("")))), "")
+
+    return bound(F.struct(F.regexp_extract_all(text, F.lit(any_case), F.lit(0)).alias("words"),
+                          F.split(text, any_case, -1).alias("gaps")), cut)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", doc_id: str = "doc_id",

@@ -1,14 +1,15 @@
 """Secret scans with a trigram inverted index.
 
-Every rule is a regex with a Boolean trigram query derived from its mandatory literals: an OR of ANDs.
-The index holds postings (trigram, text key) for the trigrams that the rules' queries name, taken from
+Every rule is a regex; its Boolean trigram query, an OR of ANDs that holds for every text with a match,
+is derived from the regex by ``reqsight.llm.trigrams``. The index holds postings (trigram, text key) for the trigrams that the rules' queries name, taken from
 the lower-cased text. Postings are joined to the queries' clauses and intersected (a clause holds for a
 text if all of its trigrams do); only the candidate texts of a rule are verified by its regex. Rules
-without mandatory trigrams scan every text. Texts are named by a 128-bit key, so copies share their
+without mandatory trigrams scan every text. Texts are named by their SHA-256, so copies share their
 postings and their verification, and hot groups of copies are resolved by ``attach``.
 
 Positions come from built-in functions only: ``regexp_extract_all`` gives a rule's matches and ``split``
-the text between them, so a span's start is the summed length of what stands before it.
+the text between them, so a span's start is the summed length of what stands before it. The sums are
+running ones over all pieces of a text, doubled in reach with each pass: n findings cost n log n.
 
 Besides the base kinds assign, access and hex the library's rules find private key headers (pem) and
 three-part signed web tokens (jwt). Defined results: null or empty text has no spans; repeated rows are
@@ -22,6 +23,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reqsight.functions.payload import bound
+from reqsight.llm import trigrams
 from reqsight.llm.common import ascii_lower, attach_counted, checkpoint, pick, text_key
 
 
@@ -29,51 +32,52 @@ from reqsight.llm.common import ascii_lower, attach_counted, checkpoint, pick, t
 class Rule:
     kind: str
     regex: str
-    #: strings of which every match holds one (alternatives), each given by literals that must all occur
-    literals: tuple[tuple[str, ...], ...] = ()
     #: group whose length counts, and the shortest length that is a finding
     group: int = 0
     least: int = 1
 
 
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-         (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)), 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", (("akia",),), 0, 18),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     # runs under 16 characters are no findings, so only longer ones are matched: the same runs
-    Rule("hex", r"[0-9a-f]{16,}", (), 0, 16),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----begin ", "private key-----"),), 0, 1),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", (("eyj", ".eyj"),), 0, 30),
+    Rule("hex", r"[0-9a-f]{16,}", 0, 16),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
 )
 
 
-def trigrams(literal: str) -> set[str]:
-    return {literal[i:i + 3] for i in range(len(literal) - 2)}
+def trigram_query(rule: Rule) -> list[set[str]]:
+    """OR of ANDs over lower-case trigrams; empty if the rule's matches need none, so that it scans every text."""
+    clauses = [set(c) for c in trigrams.query(rule.regex)]
+    return clauses if all(clauses) else []
 
 
-def trigram_query(rule: Rule) -> list[set[str]]:
-    """OR of ANDs over lower-case trigrams; empty if the rule has an alternative without any trigram."""
-    clauses = [set().union(*(trigrams(x) for x in alt)) for alt in rule.literals]
-    return clauses if clauses and all(clauses) else []
+def running_sums(values: Column) -> Column:
+    """Inclusive prefix sums of an array: pass k adds to each value the one 2^k places before it."""
+    reach = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    return F.aggregate(reach, values, lambda a, k: F.transform(
+        a, lambda x, i: x + F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """All findings of a rule: array of struct(start, ord, end, kind), code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    size = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else found
+    sizes = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.regex, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>").alias("out"))
-
-    def step(a, x):
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.when(F.length(x["size"]) >= rule.least, F.concat(a["out"], F.array(F.struct(
-            start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind"))))
-        ).otherwise(a["out"]).alias("out"))
-
-    pieces = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"), size.alias("size"))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pieces, state, step)["out"])
+    pieces = F.zip_with(F.arrays_zip(found.alias("hit"), sizes.alias("size")), gaps, lambda x, gap: F.struct(
+        F.length(gap).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["size"]).alias("size")))
+    # one piece more than findings: the text behind the last one
+
+    def placed(v):
+        ends = F.transform(v, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0)))
+        spans = bound(running_sums(ends), lambda e: F.zip_with(v, e, lambda x, end: F.struct(
+            (end - x["hit"]).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind"),
+            x["size"].alias("size"))))
+        return F.transform(F.filter(spans, lambda s: s["size"] >= rule.least),
+                           lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    return bound(pieces, placed)
 
 
 def postings(rows: DataFrame, vocabulary: list[str]) -> DataFrame:

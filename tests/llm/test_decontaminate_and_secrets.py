@@ -1,7 +1,10 @@
+import time
+
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from reqsight.llm import common, decontaminate, secret_scan, url_filter
+from reqsight.llm import common, decontaminate, secret_scan, trigrams, url_filter
 from tests.llm.brute import contamination, secrets
 from tests.llm.conftest import TEXTS, by_key, edge_rows
 
@@ -33,8 +36,54 @@ def test_decontaminate_modes(spark, edge, nothing):
 
 def test_trigram_queries():
     by_kind = {r.kind: secret_scan.trigram_query(r) for r in secret_scan.RULES}
-    assert by_kind["hex"] == [] and by_kind["access"] == [{"aki", "kia"}]
+    assert by_kind["hex"] == [] and by_kind["access"] == [{"aki", "kia"}] and by_kind["jwt"] == [{"eyj", ".ey"}]
     assert {"tok", "oke", "ken"} in by_kind["assign"] and len(by_kind["assign"]) == 6
+    assert len(by_kind["pem"]) == 1 and {"beg", "key", "vat"} <= by_kind["pem"][0]
+
+
+@pytest.mark.parametrize("regex, want", [
+    ("abcd", ["abc bcd"]), ("ab?cd", ["abc bcd", "acd"]), ("ab*cd", [""]), ("ab+cd", ["bcd"]), ("abc+d", ["abc"]), ("(foo|bar)baz", ["foo oob oba baz", "bar arb rba baz"]),
+    ("[a-z]+key", ["key"]), ("x[12]y", ["x1y", "x2y"]), ("(?i:KEY)", ["key"]), ("ab", [""]), ("abc|d", [""]), ("(abc)*", [""]), ("^abc$", ["abc"]), ("a.c", [""])])
+def test_trigrams_by_hand(regex, want):
+    assert set(trigrams.query(regex)) == {frozenset(w.split()) for w in want}
+
+
+PIECES = st.sampled_from(["a", "B", "key", "tok", "[ab]", "[a-z]", "x?", "(?:foo|bar|)", "(?ai:Pass)", "y+", "z{2,3}", ".", r"\d", "(q|rs)*", "-", "(?:ab){2}", "_"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(PIECES, min_size=1, max_size=7), st.data())
+def test_trigrams_hold_for_every_match(pieces, data):
+    """Brute force: a string that the regex matches, with anything around it, holds all trigrams of a clause."""
+    regex = "".join(pieces)
+    text = data.draw(st.text("aB-k", max_size=3)) + data.draw(st.from_regex(regex, fullmatch=True)) + data.draw(st.text("xY_", max_size=3))
+    low = trigrams.fold(text)
+    held = {low[i:i + 3] for i in range(len(low) - 2)}
+    assert any(c <= held for c in trigrams.query(regex))
+
+
+def test_many_findings_in_one_text(spark):
+    """The work of a text grows with its findings, not with their square."""
+    one = "0123456789abcdef0 token=abcdefghijkl é "
+    small, large = [spark.createDataFrame([(1, one * n)], "doc_id bigint, text string") for n in (500, 20_000)]
+    secret_scan.scan_secrets(small).collect()
+    start = time.time()
+    got = secret_scan.scan_secrets(large).first()
+    assert time.time() - start < 20
+    assert [tuple(s) for s in got.spans] == secrets(one * 20_000)
+
+
+def test_many_hits_in_one_text(spark):
+    """A text of 32,000 words, every one of them hit in a window of its own, found and cut."""
+    words = " ".join(f"w{i}" for i in range(32_000))
+    docs = spark.createDataFrame([(1, words), (2, "clean"), (3, words + " rest")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, words)], "item_id bigint, text string")
+    start = time.time()
+    rows = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    cut = {r.doc_id: r.text.strip() for r in decontaminate.decontaminate(docs, bench, mode="spans").collect()}
+    assert time.time() - start < 60
+    assert {k: (len(r.hits), r.n_words) for k, r in rows.items()} == {1: (32_000, 32_000), 2: (0, 1), 3: (32_000, 32_001)}
+    assert cut == {1: "", 2: "clean", 3: "rest"}
 
 
 @pytest.mark.parametrize("broadcast_rows", [50_000, 0])
