@@ -26,7 +26,7 @@ from reqsight.functions.decide import argmax, softmax
 from reqsight.functions.rules import label_name
 from reqsight.operators import evaluate as A
 from reqsight.functions.draws import draw
-from reqsight.operators.sampling import cap_per_class, class_cuts, random_split, row_hash, stratified_split
+from reqsight.operators.sampling import cap_per_class, class_cuts, hard_negatives, random_split, row_hash, stratified_split
 from reqsight.session import reliable_checkpoint
 
 
@@ -62,14 +62,13 @@ def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
                       num_features: int = 1 << 18, idf: bool = True, binary: bool = False) -> list:
     """Lower-cased characters -> n-grams -> hashed term frequencies -> IDF.
 
-    Characters come from the built-in ``split(lower(text), '')`` (one element per code point) and are
-    joined to n-grams in one expression over neighbouring positions. ``binary`` counts an n-gram once per text.
+    An n-gram is the 64-bit hash of ``n`` neighbouring characters (code points), taken in one pass over the characters:
+    no n-gram string is built, and the characters are split once. ``binary`` counts an n-gram once per text.
     """
-    chars = SQLTransformer(statement=f"SELECT *, filter(split(lower(`{text}`), ''), c -> c != '') AS _chars FROM __THIS__")
-    gram = " || ".join(f"_chars[i + {k}]" for k in range(n))
-    grams = SQLTransformer(statement=f"SELECT *, CASE WHEN size(_chars) >= {n} THEN transform(sequence(0, size(_chars) - {n}), "
-                                     f"i -> {gram}) ELSE cast(array() AS array<string>) END AS _grams FROM __THIS__")
-    stages = [chars, grams, HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features, binary=binary)]
+    window = ", ".join(f"c[i + {k}]" for k in range(n))
+    grams = SQLTransformer(statement=f"SELECT *, transform(array(filter(split(lower(`{text}`), ''), x -> x != '')), c -> CASE WHEN size(c) >= {n} THEN "
+                                     f"transform(sequence(0, size(c) - {n}), i -> xxhash64({window})) ELSE cast(array() AS array<bigint>) END)[0] AS _grams FROM __THIS__")
+    stages = [grams, HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features, binary=binary)]
     if idf:
         stages.append(IDF(inputCol="_tf", outputCol=out))
     return stages
@@ -77,14 +76,16 @@ def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
 
 def char_ngram_features(df: DataFrame, text: str = "text", n: int = 3,
                         num_features: int = 1 << 18) -> DataFrame:
-    """E4 as a transformation: adds ``n_grams`` and ``features``. The hashed counts are written once and
-    serve both the fit of the IDF and its application."""
+    """E4 as a transformation: adds ``n_grams``, ``n_distinct`` (different n-grams), ``counts`` (hashed term frequencies)
+    and ``features`` (with IDF). The counts are written once and serve both the fit of the IDF and its application."""
     *counting, idf = char_ngram_stages(text, "features", n, num_features)
     counted = df
     for stage in counting:
         counted = stage.transform(counted)
-    counted = reliable_checkpoint(counted.select(*df.columns, F.size("_grams").cast("bigint").alias("n_grams"), "_tf"))
-    return idf.fit(counted).transform(counted).drop("_tf")
+    counted = reliable_checkpoint(counted.select(
+        *df.columns, F.size("_grams").cast("bigint").alias("n_grams"),
+        F.size(F.array_distinct("_grams")).cast("bigint").alias("n_distinct"), "_tf"))
+    return idf.fit(counted).transform(counted).withColumnRenamed("_tf", "counts")
 
 
 def normalise_stage(text: str = "text", out: str = "_norm") -> SQLTransformer:
@@ -143,7 +144,7 @@ def score(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
     out = out.withColumn("logits", logits if logits is not None else F.transform("probs", F.log))
     out = out.withColumn("pred", argmax("logits"))
     out = out.withColumn("type", label_name("pred")).withColumn("confidence", F.element_at("probs", F.col("pred") + 1))
-    internal = {"_norm", "_chars", "_grams", "_tf", "features", "rawPrediction", "probability", "prediction"}
+    internal = {"_norm", "_grams", "_tf", "features", "rawPrediction", "probability", "prediction"}
     drop = [c for c in out.columns if c in internal and c not in df.columns]
     return out.drop(*drop)
 
@@ -304,18 +305,25 @@ def majority_vote(longs: DataFrame, key: str = "id", pred: str = "pred") -> Data
     return best.select(key, (-F.col("_b._neg")).cast("int").alias("vote"), F.col("_b._n").alias("votes"), "voters")
 
 
+def false_alarms(scored: DataFrame, label: str = "label", pred: str = "pred", confidence: str = "confidence",
+                 key: str = "id", min_conf: float = 0.0, k: int | None = None) -> DataFrame:
+    """M7 as T8's input: true-normal rows that the current model calls an attack (all of them unless ``k`` is given)."""
+    return hard_negatives(scored, label, pred, confidence, key, min_conf, k)
+
+
 def retrain_rows(base: DataFrame, new_rows: DataFrame, hard_negatives: DataFrame | None = None,
                  text: str = "text", label: str = "label_str") -> DataFrame:
     """T8 row selection: labelled log rows and hard negatives whose text is not in the base set.
 
-    Equal (text, label) pairs are kept once; a left anti join on the text hash removes known rows.
+    Equal (text, label) pairs are kept once; a left anti join on the text hash removes known rows. A text that is a hard
+    negative is known to be normal, so what the log calls it is dropped.
     """
-    cand = new_rows.select(text, label)
+    # de-duplicate every side first (map-side partial aggregation), so a payload repeated in a third of all rows is one
+    # row before the joins shuffle
+    cand = new_rows.select(text, label).distinct().withColumn("_h", F.md5(F.col(text)))
     if hard_negatives is not None:
-        cand = cand.unionByName(hard_negatives.select(text, F.lit("normal").alias(label)))
-    # de-duplicate both sides first (map-side partial aggregation), so a payload
-    # repeated in a third of all rows is one row before the anti join shuffles
-    cand = cand.distinct().withColumn("_h", F.md5(F.col(text)))
+        hard = hard_negatives.select(text).distinct().select(text, F.lit("normal").alias(label), F.md5(F.col(text)).alias("_h"))
+        cand = cand.join(hard.select("_h"), "_h", "left_anti").unionByName(hard)
     known = base.select(F.md5(F.col(text)).alias("_h")).distinct()
     return cand.join(known, "_h", "left_anti").select(text, label)
 

@@ -858,6 +858,24 @@ def q_t8_retrain(spark, sf):
     return r.select((F.col("old") + F.col("new")).alias("rows"), big(F.coalesce("shared", F.lit(0))).alias("shared_ids"))
 
 
+@register("t8_retrain_hard_negatives", f"""WITH RECURSIVE {S.t_cte()}, {SCORED_SQL},
+part AS (SELECT *, {S.unit(S.draw_hex('id', 'split'))} < 0.5 AS held FROM scored),
+hard AS (SELECT DISTINCT payload AS text, 'normal' AS label_str FROM part WHERE held AND NOT is_attack AND type <> 'normal'),
+logs AS (SELECT DISTINCT payload AS text, type AS label_str FROM part WHERE held AND payload <> ''),
+new AS (SELECT * FROM hard UNION ALL SELECT * FROM logs WHERE md5(text) NOT IN (SELECT md5(text) FROM hard))
+SELECT text, label_str FROM new WHERE md5(text) NOT IN (SELECT md5(payload) FROM part WHERE NOT held)""")
+def q_t8_hard(spark, sf):
+    """T8 with M7: half of the lines (M2) are the base, the others the traffic that the current scorer has judged since. Its
+    false alarms there join the traffic's rows as normal ones and overrule the labels that it gave them."""
+    from reqsight.operators.model import false_alarms, retrain_rows
+    parts = reliable_checkpoint(M.random_split(rule_scored(spark, sf), "id", 0.5).withColumnRenamed("payload", "text"))
+    traffic = parts.filter("split = 'test'")
+    judged = traffic.select("id", "text", F.when(F.col("is_attack"), L.label_id("type")).otherwise(0).alias("label"),
+                            L.label_id("type").alias("pred"), F.lit(1.0).alias("confidence"))
+    logged = traffic.filter("text <> ''").select("text", F.col("type").alias("label_str"))
+    return retrain_rows(parts.filter("split = 'train'"), logged, false_alarms(judged))
+
+
 _PUNCT = r"!-/:-@\[-`{-~"
 
 
@@ -877,15 +895,18 @@ def q_e3(spark, sf):
                       big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("mask_sum"))
 
 
-@register("e4_char_ngram_features", """SELECT doc_id, cast(greatest(length(lower(text)) - 2, 0) as bigint) AS n_grams, TRUE AS counted,
-  length(lower(text)) > 2 AS found FROM documents""")
+@register("e4_char_ngram_features", """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
+g AS (SELECT doc_id, CASE WHEN length(t) > 2 THEN list_transform(range(1, length(t) - 1), lambda i_: substr(t, i_, 3)) ELSE [] END AS g FROM d)
+SELECT doc_id, len(g) AS n_grams, len(list_distinct(g)) AS n_distinct, len(g) AS counted, TRUE AS within, len(g) > 0 AS found FROM g""")
 def q_e4(spark, sf):
-    """N-grams counted, stored entries within their number, and at least one where there is an n-gram."""
+    """N-grams, different ones, the total of the stored counts, and stored entries: within the different ones, one at least."""
     from reqsight.operators.model import char_ngram_features
     d = X.read_table(spark, sf, "documents").select("doc_id", "text")
     f = char_ngram_features(d, "text", 3, 1 << 18)
-    nnz = F.size(F.unwrap_udt("features")["indices"])  # stored entries of the sparse vector
-    return f.select("doc_id", "n_grams", (nnz <= F.col("n_grams")).alias("counted"), (nnz > 0).alias("found"))
+    counts, stored = F.unwrap_udt("counts")["values"], F.size(F.unwrap_udt("features")["indices"])
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return f.select("doc_id", "n_grams", "n_distinct", big(total).alias("counted"), (stored <= F.col("n_distinct")).alias("within"),
+                    (stored > 0).alias("found"))
 
 
 # ============================================================== sources and sinks with files
@@ -957,6 +978,29 @@ def q_w1(spark, sf):
     return _taken(spark.read.parquet(sink).select("event_id", "status", "type", "payload"), sink, sink + "_ckpt")
 
 
+@register("w1_score_stream_model", f"""WITH {S.v_cte()}
+SELECT count(*) AS rows, cast(count(*) FILTER (WHERE payload = '') AS bigint) AS errors, 0 AS unlike_batch, 0 AS status_off FROM v""")
+def q_w1_model(spark, sf):
+    """W1 by a trained model (T3's): every request of the stream has the class that scoring the table as a batch gives it."""
+    from reqsight.operators.model import score
+    from reqsight.streaming.jobs import score_stream
+    model = trained(spark, sf)[0]
+    sink = _scratch(spark, "w1m-sink")
+
+    def scorer(df):
+        return score(df, model, "payload").select(*df.columns, "type")
+
+    score_stream(_v_stream(spark, sf).select("event_id", "payload"), sink, sink + "_ckpt", scorer).awaitTermination()
+    got = spark.read.parquet(sink)
+    want = scorer(X.request_events(spark, sf).select("event_id", "payload")).select(F.col("event_id").alias("id"), F.col("type").alias("want"), "payload")
+    empty = F.col("b.payload") == ""
+    j = want.alias("b").join(got.alias("s"), F.col("b.id") == F.col("s.event_id"), "left")
+    status = F.when(empty, "ERROR").when(F.col("want") == "normal", "NORMAL").otherwise("ATTACK")
+    return _taken(j.agg(F.count(F.lit(1)).alias("rows"), big(F.sum((F.col("status") == "ERROR").cast("int"))).alias("errors"),
+                        big(F.sum((~F.col("s.type").eqNullSafe(F.when(~empty, F.col("want")))).cast("int"))).alias("unlike_batch"),
+                        big(F.sum((~F.col("status").eqNullSafe(status)).cast("int"))).alias("status_off")), sink, sink + "_ckpt")
+
+
 @register("w2_attack_rate", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL},
 vv AS (SELECT ts, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type,
   CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status FROM vs)
@@ -1045,6 +1089,44 @@ def q_w2_stream(spark, sf):
     return _taken(r.select(window_start_text("window").alias("window_start"), "type", "requests", "attacks"), table, table + "_ckpt")
 
 
+#: The late replay: the time span falls into so many deliveries; the rows of each ``LATE_ONE_IN``-th event come one delivery later.
+DELIVERIES, LATE_ONE_IN = 3, 7
+
+
+@register("w2_attack_rate_late", f"""WITH RECURSIVE {S.v_cte()}, {VSCORED_SQL},
+span AS (SELECT min(epoch_us(cast(ts as timestamp))) AS lo, max(epoch_us(cast(ts as timestamp))) AS hi FROM events),
+vv AS (SELECT vs.ts, CASE WHEN payload IS NULL OR payload = '' THEN NULL ELSE type END AS type,
+  CASE WHEN payload IS NULL OR payload = '' THEN 'ERROR' WHEN lower(type) = 'normal' THEN 'NORMAL' ELSE 'ATTACK' END AS status,
+  {DELIVERIES} * (epoch_us(vs.ts) - lo) // (hi - lo + 1) + CASE WHEN event_id % {LATE_ONE_IN} = 0 THEN 1 ELSE 0 END AS delivery
+  FROM vs, span),
+seen AS (SELECT d.delivery, max(e.ts) AS before FROM (SELECT DISTINCT delivery FROM vv) d LEFT JOIN vv e ON e.delivery < d.delivery GROUP BY d.delivery),
+taken AS (SELECT vv.*, date_trunc('day', ts) AS day FROM vv JOIN seen USING (delivery)
+  WHERE before IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > before - INTERVAL 1 DAY),
+late AS (SELECT count(*) - (SELECT count(*) FROM taken) AS n FROM vv),
+rates AS (SELECT day, type, count(*) AS requests, cast(sum(CASE WHEN status = 'ATTACK' THEN 1 ELSE 0 END) as bigint) AS attacks FROM taken
+  WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM vv) - INTERVAL 1 DAY GROUP BY ALL)
+SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, type, requests, attacks FROM rates""")
+def q_w2_late(spark, sf):
+    """W2 in append mode with a day's lateness over deliveries in the order of time, some rows a delivery late.
+
+    Only closed windows come out, each once, when the watermark passes its end and its state is released; the late rows
+    of closed windows are missing from them. Every delivery is one restart from the checkpoint, which keeps the watermark.
+    """
+    from reqsight.sources.readers import request_stream
+    from reqsight.streaming.jobs import attack_rate, closed_windows, score_requests, window_start_text
+    events = X.read_table(spark, sf, "events")
+    us = F.unix_micros(X.utc_instant(F.col("ts")))
+    lo, hi = events.agg(F.min(us), F.max(us)).first()
+    table, inbox = _scratch(spark, "w2-late"), _scratch(spark, "w2-inbox")
+    delivery = F.expr("0").cast("bigint") if lo is None else F.floor(F.lit(DELIVERIES) * (us - lo) / F.lit(hi - lo + 1)) + (F.col("event_id") % LATE_ONE_IN == 0).cast("int")
+    for k in range(DELIVERIES + 1):
+        events.filter(delivery == k).write.mode("append").parquet(inbox)
+        rates = attack_rate(score_requests(X.with_payload(request_stream(spark, inbox, events.schema))), "1 day", delay="1 day")
+        closed_windows(rates, table, table + "_ckpt").awaitTermination()
+    r = spark.read.schema(rates.schema).parquet(table)
+    return _taken(r.select(window_start_text("window").alias("window_start"), "type", "requests", "attacks"), table, table + "_ckpt", inbox)
+
+
 @register("m7_hard_negatives_per_class", f"""WITH {S.g_cte()}, d AS (SELECT vec_id, label, pred, {S.softmax('logits')}[pred + 1] AS confidence FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY pred ORDER BY confidence DESC, vec_id) AS rank FROM d
       WHERE label = 0 AND pred <> 0 AND confidence >= 0.0)

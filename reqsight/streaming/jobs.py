@@ -69,6 +69,16 @@ def attack_rate_table(rates: DataFrame, table_path: str, checkpoint: str, trigge
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def closed_windows(rates: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None, fmt: str = "parquet"):
+    """W2 to an append-only table: each window once, when the watermark passes its end and its state is released.
+
+    Needs a watermark (``delay`` of ``attack_rate``); rows of closed windows that come later are dropped and counted in
+    the query's progress (``numRowsDroppedByWatermark``).
+    """
+    w = rates.writeStream.format(fmt).outputMode("append").option("path", table_path).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def latest_windows(table: DataFrame, type_col: str = "type") -> DataFrame:
     """The newest row of each (window, type) of a table written by ``attack_rate_table``."""
     newest = F.max_by(F.struct("requests", "attacks"), "batch_id").alias("r")

@@ -190,3 +190,43 @@ def test_normalise_stage_travels_with_the_model(spark):
                                   "id long, text string")
     got = {r.id: r.type for r in score(probe, loaded).collect()}
     assert got == {1: "xss", 2: "normal"}
+
+
+def test_hard_negatives_overrule_log_labels(spark):
+    from reqsight.operators.model import false_alarms, retrain_rows
+    judged = spark.createDataFrame([(1, "menu select", 0, 1, 0.9), (2, "menu select", 0, 1, 0.9), (3, "known", 0, 2, 0.8), (4, "1 or 1=1", 1, 1, 0.9),
+                                    (5, "fine", 0, 0, 0.9), (6, "unsure", 0, 1, 0.4)], "id int, text string, label int, pred int, confidence double")
+    logs = spark.createDataFrame([("menu select", "sqli"), ("1 or 1=1", "sqli"), ("1 or 1=1", "sqli"), ("known", "xss"), (None, "rce")], "text string, label_str string")
+    base = spark.createDataFrame([("known",)], "text string")
+    got = {tuple(r) for r in retrain_rows(base, logs, false_alarms(judged, min_conf=0.5)).collect()}
+    assert got == {("menu select", "normal"), ("1 or 1=1", "sqli"), (None, "rce")}
+    assert {r.text for r in false_alarms(judged, k=1).collect()} == {"menu select"}
+
+
+def test_closed_windows_come_once_and_late_rows_are_dropped(spark, tmp_path):
+    from reqsight.streaming.jobs import attack_rate, closed_windows
+    inbox, table = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ts timestamp, type string, status string"
+    dropped = 0
+    for days in ([1, 1, 2], [5], [1, 5, 4], [9]):  # of the third delivery day 1 is late, day 4 within the day allowed
+        rows = [(f"2024-01-{d:02d} 12:00:00+00:00", "xss", "ATTACK") for d in days]
+        spark.createDataFrame(rows, "ts string, type string, status string").selectExpr("cast(ts AS timestamp) ts", "type", "status").write.mode("append").parquet(inbox)
+        rates = attack_rate(spark.readStream.schema(schema).parquet(inbox), "1 day", delay="1 day")
+        q = closed_windows(rates, table, str(tmp_path / "ckpt"))
+        q.awaitTermination()
+        dropped += sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators)
+        assert q.lastProgress.stateOperators[0].numRowsTotal <= 2  # closed windows leave the state
+    got = spark.read.schema(rates.schema).parquet(table).selectExpr("unix_seconds(window.start) div 86400 - 19722 AS day", "requests", "attacks").collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 2), (2, 1, 1), (4, 1, 1), (5, 2, 2)] and dropped == 1
+
+
+def test_char_ngrams_brute_force(spark):
+    from collections import Counter
+    from reqsight.operators.model import char_ngram_features
+    texts = [None, "", "ab", "abc", "aaaaaa", "ÄäÖ 😀😀😀 ä", "select select"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for r in char_ngram_features(df, "text", 3, 1 << 18).collect():
+        t = (texts[r.id] or "").lower()
+        want = Counter(t[i:i + 3] for i in range(len(t) - 2))
+        assert (r.n_grams, r.n_distinct) == (sum(want.values()), len(want))
+        assert sorted(r.counts.values) == sorted(want.values())
