@@ -10,6 +10,12 @@ over all tasks; counts and rows of a bigram meet in one partition and are joined
 a row then needs (of its context, or after backing off of the word itself) comes from a broadcast of the
 ``HEAVY_WORDS`` most frequent words, a fixed number, and from a join with the count table for all others.
 
+A bigram held by very many documents must not meet in one partition. While words are counted, each task also counts its
+bigram rows by hash in ``16 * shares`` bins, where ``shares`` is the number of shuffle partitions, ``SHARES`` at least.
+Bins of more than one share of all rows, fewer than ``shares`` of them, are looked into by one more pass, which sums the bigrams
+there before the shuffle; it runs only if there are such bins. The bigrams that really have more than one share
+of the rows, again fewer than ``shares``, are broadcast with their counts, and their rows are dealt out by document.
+
 The bigram table is built in ``SLICES`` slices of its hash, one after the other. Each slice ends in a written table of
 sums per document and gives its shuffle files back, so the disk holds a fraction of the exploded corpus at a time.
 
@@ -37,6 +43,7 @@ ALPHA = 0.4
 MIN_COUNT = 2
 SLICES = 3
 HEAVY_WORDS = 50_000
+SHARES = 256
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 START = 0x5BD1E995  # the start mark's hash
 
@@ -46,23 +53,69 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def bigrams(h: np.ndarray, slices: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, times) of the distinct bigrams of one text that fall into one slice of their hash."""
+def hashed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context of each word of a text, and the hash of the bigram that they make."""
     c = np.concatenate([np.array([START], np.uint64), h[:-1]])
     mixed = (c * np.uint64(0x9E3779B97F4A7C15) ^ h) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(31)
+    return c, mixed ^ (mixed >> np.uint64(31))
+
+
+def bins(mixed: np.ndarray, n: int) -> np.ndarray:
+    """The bin of a bigram's hash; other bits than those that pick its slice."""
+    return ((mixed >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def bigrams(h: np.ndarray, slices: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, times) of the distinct bigrams of one text that fall into one slice of their hash."""
+    c, mixed = hashed(h)
     mine = np.flatnonzero(mixed % np.uint64(slices) == part)
     _, at, times = np.unique(mixed[mine], return_index=True, return_counts=True)
     return c[mine[at]], h[mine[at]], times
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [word_hashes(t) for t in batch.column("t").to_pylist()]
-        texts = [h for h in texts if len(h)]
-        if texts:
-            w, n = np.unique(np.concatenate([*texts, np.full(len(texts), START, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
+def _count(n_bins: int):
+    """Counts of words (w, n, false) for each batch, and of bigram rows by bin (w, n, true) for each task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(w, n, binned):
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(w), binned))],
+                                              names=["w", "n", "binned"])
+        filled = np.zeros(n_bins, np.int64)
+        for batch in batches:
+            texts = [word_hashes(t) for t in batch.column("t").to_pylist()]
+            texts = [h for h in texts if len(h)]
+            if texts:
+                w, n = np.unique(np.concatenate([*texts, np.full(len(texts), START, np.uint64)]), return_counts=True)
+                yield out(w, n, False)
+                for h in texts:
+                    np.add.at(filled, bins(np.unique(hashed(h)[1]), n_bins), 1)
+        at = np.flatnonzero(filled)
+        if len(at):
+            yield out(at, filled[at], True)
+    return run
+
+
+def _count_in_bins(n_bins: int, hot: list[int]):
+    """(c, w, n, rows): occurrences of the bigrams of some bins and the rows that they make, summed for each batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(n_bins, bool)
+        wanted[hot] = True
+        for batch in batches:
+            found = []
+            for t in batch.column("t").to_pylist():
+                h = word_hashes(t)
+                if len(h):
+                    c, mixed = hashed(h)
+                    mine = np.flatnonzero(wanted[bins(mixed, n_bins)])
+                    key, at, times = np.unique(mixed[mine], return_index=True, return_counts=True)
+                    found.append((key, c[mine[at]], h[mine[at]], times))
+            if found:
+                key, c, w, times = (np.concatenate(x) for x in zip(*found))
+                _, at, group = np.unique(key, return_index=True, return_inverse=True)
+                n, rows = np.zeros(len(at), np.int64), np.bincount(group, minlength=len(at))
+                np.add.at(n, group, times)
+                yield pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n), pa.array(rows.astype(np.int64))],
+                                                 names=["c", "w", "n", "rows"])
+    return run
 
 
 def _explode(slices: int, part: int):
@@ -83,15 +136,29 @@ def _explode(slices: int, part: int):
     return run
 
 
+def hot_bigrams(rows: DataFrame, binned: DataFrame, shares: int) -> DataFrame | None:
+    """(c, w, hot_n, salts) of the bigrams that have more than one of ``shares`` equal shares of all bigram rows."""
+    share = (binned.agg(F.sum("n")).first()[0] or 0) / shares
+    hot = [r.w for r in binned.filter(F.col("n") > share).select("w").collect()]  # fewer than shares numbers
+    if not hot:
+        return None
+    sums = rows.select("t").mapInArrow(_count_in_bins(16 * shares, hot), "c bigint, w bigint, n bigint, rows bigint")
+    sums = sums.groupBy("c", "w").agg(F.sum("n").alias("hot_n"), F.sum("rows").alias("rows")).filter(F.col("rows") > share)
+    return checkpoint(sums.select("c", "w", "hot_n", F.ceil(F.col("rows") / share).cast("bigint").alias("salts")))
+
+
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slices: int = SLICES) -> DataFrame:
     """One row per distinct id: doc_id, n_words, log_prob (sum of ln S), score (its mean)."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id=doc_id, t=text)
     kind = rows.schema["doc_id"].dataType.simpleString()
     base = shared_path(spark, f"lm-{uuid4().hex}")
-    rows.select("t").mapInArrow(_count_words, "w bigint, n bigint").groupBy("w").agg(
+    shares = max(SHARES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.select("t").mapInArrow(_count(16 * shares), "w bigint, n bigint, binned boolean").groupBy("binned", "w").agg(
         F.log(F.sum("n").cast("double")).alias("ln"), F.sum("n").alias("n")).write.parquet(f"{base}/words")
-    words = spark.read.parquet(f"{base}/words")
+    counted = spark.read.parquet(f"{base}/words")
+    words = counted.filter("NOT binned").drop("binned")
+    hot = hot_bigrams(rows, counted.filter("binned"), shares)
     start = int(np.uint64(START).view(np.int64))
     total = words.filter(F.col("w") != start).agg(F.log(F.sum("n").cast("double"))).first()[0] or 0.0
     heavy = checkpoint(words.orderBy(F.col("n").desc(), "w").limit(HEAVY_WORDS).select(F.col("w").alias("h"), F.col("ln").alias("h_ln")))
@@ -101,7 +168,11 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slice
     try:
         for part in range(slices):
             grams = rows.mapInArrow(_explode(slices, part), f"doc_id {kind}, c bigint, w bigint, times int")
-            met = grams.withColumn("n", F.sum("times").over(Window.partitionBy("c", "w")))
+            met = grams.withColumns({"salt": F.lit(0).cast("bigint"), "hot_n": F.lit(None).cast("bigint")})
+            if hot is not None:
+                met = grams.join(F.broadcast(hot), ["c", "w"], "left")
+                met = met.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), "salts"), F.lit(-1)))
+            met = met.withColumn("n", F.coalesce("hot_n", F.sum("times").over(Window.partitionBy("c", "w", "salt"))))
             known = F.col("n") >= MIN_COUNT
             need = met.select(
                 "doc_id", "times", F.when(known, F.col("c")).otherwise(F.col("w")).alias("k"), F.when(known, -F.col("times")).otherwise(F.col("times")).alias("sign"),

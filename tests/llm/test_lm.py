@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from reqsight.llm import lm_score
 from tests.llm.conftest import edge_rows
@@ -35,3 +36,32 @@ def test_scores(edge, heavy, slices, monkeypatch):
 
 def test_empty(nothing):
     assert lm_score.lm_scores(nothing).count() == 0
+
+
+def test_hot_bigram_is_dealt_out(spark):
+    """One word pair has a third of all rows: it is counted before the shuffle, its rows are dealt out, and no score changes."""
+    rows = [(i, f"hot pair w{i} x{i % 7}") for i in range(400)] + [(i, "") for i in range(400, 410)] + [(7, "hot pair hot pair")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, slices=2).collect()}
+    want = brute(rows)
+    assert set(got) == set(want)
+    for i, (lp, n) in want.items():
+        assert got[i].n_words == n and math.isclose(got[i].log_prob, lp, rel_tol=1e-9, abs_tol=1e-9), i
+    texts = docs.selectExpr("doc_id", "text t")
+    binned = texts.select("t").mapInArrow(lm_score._count(16 * 256), "w bigint, n bigint, binned boolean").filter("binned")
+    hot = lm_score.hot_bigrams(texts, binned.groupBy("w").agg(F.sum("n").alias("n")), 256).collect()
+    h = lm_score.word_hashes("hot pair").view("int64").tolist()
+    start = lm_score.START
+    counts = {(r.c, r.w): (r.hot_n, r.salts) for r in hot}
+    assert counts[h[0], h[1]][0] == 402 and counts[start, h[0]][0] == 401 and counts[h[0], h[1]][1] > 60
+    assert len(hot) < 256
+
+
+def test_no_hot_bigram_no_second_pass(spark):
+    rows = [(i, " ".join(f"a{i}b{j}" for j in range(50))) for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, t string")
+    binned = texts.select("t").mapInArrow(lm_score._count(16 * 256), "w bigint, n bigint, binned boolean").filter("binned")
+    binned = binned.groupBy("w").agg(F.sum("n").alias("n"))
+    assert binned.agg(F.sum("n")).first()[0] == 2000
+    few = lm_score.hot_bigrams(texts, binned, 256)
+    assert few is None or few.count() == 0
