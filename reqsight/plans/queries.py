@@ -895,6 +895,36 @@ def q_e3(spark, sf):
                       big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("mask_sum"))
 
 
+#: A public tokenizer file; its tokens are E3's subwords. Another path can be set before the query is called.
+SUBWORD_FILE = "/opt/tokenizers/word_bpe_49k.json"
+
+
+@register("e3_encode_subwords", rf"""WITH RECURSIVE f AS (
+    SELECT unnest(map_entries(from_json(json_extract(content, '$.model.vocab'), '"MAP(VARCHAR, BIGINT)"'))) AS e FROM read_text('{SUBWORD_FILE}')),
+s AS (SELECT regexp_replace(e.key, '</w>$', '') AS t, min(e.value) AS first FROM f GROUP BY 1),
+v AS (SELECT t, 5 + 2 * (row_number() OVER (ORDER BY first) - 1) AS id FROM s WHERE regexp_full_match(t, '[!-~]+')),
+d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[{_PUNCT}]|[^\s{_PUNCT}]+')[1:126] AS w FROM documents),
+w AS (SELECT DISTINCT unnest(w) AS w FROM d),
+p AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM w WHERE length(w) <= 100),
+c AS (SELECT w, i, unnest(range(1, length(w) - i + 2)) AS n FROM p),
+m AS (SELECT w, i, max(n) AS n, arg_max(id, n) AS id FROM c JOIN v ON v.t = substr(w, i, n) GROUP BY w, i),
+g AS (SELECT w, cast(1 as bigint) AS i, cast([] as bigint[]) AS ids FROM w
+      UNION ALL SELECT g.w, g.i + m.n, list_append(g.ids, m.id + CASE WHEN g.i > 1 THEN 1 ELSE 0 END) FROM g JOIN m ON g.w = m.w AND g.i = m.i),
+k AS (SELECT w.w, coalesce(any_value(g.ids), [1]) AS ids FROM w LEFT JOIN g ON g.w = w.w AND g.i = length(w.w) + 1 GROUP BY w.w),
+o AS (SELECT doc_id, generate_subscripts(w, 1) AS at, unnest(w) AS w FROM d),
+q AS (SELECT o.doc_id, flatten(list(k.ids ORDER BY at))[1:126] AS p FROM o JOIN k ON o.w = k.w GROUP BY o.doc_id),
+a AS (SELECT d.doc_id, coalesce(q.p, []) AS p FROM d LEFT JOIN q ON q.doc_id = d.doc_id)
+SELECT doc_id, array_to_string(list_concat([2], p, [3], list_transform(range(126 - len(p)), lambda z_: 0)), ' ') AS ids,
+       cast(len(p) + 2 as bigint) AS mask_sum FROM a""")
+def q_e3_subwords(spark, sf):
+    """E3 over a vocabulary of subwords: words fall into pieces of several characters, the longest first."""
+    from reqsight.operators.wordpiece import encode_wordpiece, subword_vocab
+    d = X.read_table(spark, sf, "documents").select("doc_id", "text")
+    enc = encode_wordpiece(d, subword_vocab(SUBWORD_FILE), "text")
+    return enc.select("doc_id", joined(F.col("ids")).alias("ids"),
+                      big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("mask_sum"))
+
+
 @register("e4_char_ngram_features", """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
 g AS (SELECT doc_id, CASE WHEN length(t) > 2 THEN list_transform(range(1, length(t) - 1), lambda i_: substr(t, i_, 3)) ELSE [] END AS g FROM d)
 SELECT doc_id, len(g) AS n_grams, len(list_distinct(g)) AS n_distinct, len(g) AS counted, TRUE AS within, len(g) > 0 AS found FROM g""")

@@ -35,6 +35,48 @@ def test_wordpiece_tiny_vocab(spark):
     assert r.ids[:len(exp)] == exp and sum(r.mask) == len(exp) and len(r.ids) == 16
 
 
+def test_pieces_match_the_library():
+    """The trie's longest match against the tokenizers library, on words over few letters and a vocabulary full of prefixes."""
+    import random
+
+    import pytest
+    models = pytest.importorskip("tokenizers.models")
+    from reqsight.operators.wordpiece import SPECIALS, PieceTrie
+    rng = random.Random(4)
+    texts = ["a", "b", "##a", "#", "###", *{"##" * rng.randrange(2) + "".join(rng.choice("abc#é") for _ in range(rng.randrange(1, 6))) for _ in range(120)}]
+    vocab = {t: i for i, t in enumerate(dict.fromkeys(SPECIALS + texts))}
+    library, trie = models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=100), PieceTrie(vocab)
+    words = ["".join(rng.choice("abc#é") for _ in range(rng.randrange(1, 30))) for _ in range(3000)] + ["a" * 100, "a" * 101, "日本"]
+    several = 0
+    for w in words:
+        assert trie.split(w) == [t.id for t in library.tokenize(w)], w
+        several += len(trie.split(w)) > 1
+    assert several > 300
+
+
+def test_wordpiece_passes_columns_through_and_bounds_the_vocabulary(spark, monkeypatch):
+    import pytest
+    from reqsight.operators import wordpiece as W
+    df = spark.createDataFrame([(1, None, "é x", [1, 2]), (2, "k", None, None)], "mask_id int, key string, text string, list array<int>")
+    rows = W.encode_wordpiece(df, W.character_vocab(), "text", max_len=6).collect()
+    assert [(r.mask_id, r.key, r.text, r.list) for r in rows] == [(1, None, "é x", [1, 2]), (2, "k", None, None)]
+    v = W.character_vocab()
+    assert [r.ids for r in rows] == [[2, v["e"], v["x"], 3, 0, 0], [2, 3, 0, 0, 0, 0]] and [sum(r.mask) for r in rows] == [4, 2]
+    monkeypatch.setattr(W, "MAX_VOCAB_BYTES", 10)
+    with pytest.raises(ValueError):
+        W.encode_wordpiece(df, W.character_vocab(), "text")
+
+
+def test_subword_vocab(tmp_path):
+    import json
+
+    from reqsight.operators.wordpiece import SPECIALS, PieceTrie, subword_vocab
+    (tmp_path / "t.json").write_text(json.dumps({"model": {"vocab": {"un": 3, "u": 0, "u</w>": 1, "\u0120": 2, "ion</w>": 4}}}))
+    v = subword_vocab(str(tmp_path / "t.json"))
+    assert list(v) == [*SPECIALS, "u", "##u", "un", "##un", "ion", "##ion"] and list(v.values()) == list(range(11))
+    assert PieceTrie(v).split("union") == [7, 10] and PieceTrie(v).split("unx") == [1]
+
+
 def test_char_ngram_features(spark):
     from reqsight.operators.model import char_ngram_features
     df = spark.createDataFrame([("abcd",), ("xyz",)], "text string")
