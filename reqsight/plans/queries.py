@@ -911,8 +911,8 @@ m AS (SELECT w, i, max(n) AS n, arg_max(id, n) AS id FROM c JOIN v ON v.t = subs
 g AS (SELECT w, cast(1 as bigint) AS i, cast([] as bigint[]) AS ids FROM w
       UNION ALL SELECT g.w, g.i + m.n, list_append(g.ids, m.id + CASE WHEN g.i > 1 THEN 1 ELSE 0 END) FROM g JOIN m ON g.w = m.w AND g.i = m.i),
 k AS (SELECT w.w, coalesce(any_value(g.ids), [1]) AS ids FROM w LEFT JOIN g ON g.w = w.w AND g.i = length(w.w) + 1 GROUP BY w.w),
-o AS (SELECT doc_id, generate_subscripts(w, 1) AS at, unnest(w) AS w FROM d),
-q AS (SELECT o.doc_id, flatten(list(k.ids ORDER BY at))[1:126] AS p FROM o JOIN k ON o.w = k.w GROUP BY o.doc_id),
+o AS (SELECT doc_id, generate_subscripts(w, 1) AS place, unnest(w) AS w FROM d),
+q AS (SELECT o.doc_id, flatten(list(k.ids ORDER BY o.place))[1:126] AS p FROM o JOIN k ON o.w = k.w GROUP BY o.doc_id),
 a AS (SELECT d.doc_id, coalesce(q.p, []) AS p FROM d LEFT JOIN q ON q.doc_id = d.doc_id)
 SELECT doc_id, array_to_string(list_concat([2], p, [3], list_transform(range(126 - len(p)), lambda z_: 0)), ' ') AS ids,
        cast(len(p) + 2 as bigint) AS mask_sum FROM a""")
