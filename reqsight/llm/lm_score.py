@@ -168,11 +168,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slice
     try:
         for part in range(slices):
             grams = rows.mapInArrow(_explode(slices, part), f"doc_id {kind}, c bigint, w bigint, times int")
-            met = grams.withColumns({"salt": F.lit(0).cast("bigint"), "hot_n": F.lit(None).cast("bigint")})
-            if hot is not None:
-                met = grams.join(F.broadcast(hot), ["c", "w"], "left")
-                met = met.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), "salts"), F.lit(-1)))
-            met = met.withColumn("n", F.coalesce("hot_n", F.sum("times").over(Window.partitionBy("c", "w", "salt"))))
+            if hot is None:
+                met = grams.withColumn("n", F.sum("times").over(Window.partitionBy("c", "w")))
+            else:
+                salt = F.coalesce(F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), "salts"), F.lit(-1))
+                met = grams.join(F.broadcast(hot), ["c", "w"], "left").withColumn("salt", salt)
+                met = met.withColumn("n", F.coalesce("hot_n", F.sum("times").over(Window.partitionBy("c", "w", "salt"))))
             known = F.col("n") >= MIN_COUNT
             need = met.select(
                 "doc_id", "times", F.when(known, F.col("c")).otherwise(F.col("w")).alias("k"), F.when(known, -F.col("times")).otherwise(F.col("times")).alias("sign"),
