@@ -289,7 +289,10 @@ def load_model(base: str, version: str | None = None) -> tuple[PipelineModel, di
 
 def score_many(df: DataFrame, models: dict[str, PipelineModel], key: str = "id",
                text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Long form ``key, model, pred, confidence`` and the majority vote per key."""
+    """Long form ``key, model, pred, confidence`` and the majority vote per key.
+
+    The long form is written once, so a text is scored once by a model whatever is made of the scores and votes.
+    """
     longs = None
     for name, m in models.items():
         s = score(df, m, text).select(key, F.lit(name).alias("model"), "pred", "confidence")
@@ -311,6 +314,7 @@ def false_alarms(scored: DataFrame, label: str = "label", pred: str = "pred", co
     return hard_negatives(scored, label, pred, confidence, key, min_conf, k)
 
 
+    longs = reliable_checkpoint(longs)
 def retrain_rows(base: DataFrame, new_rows: DataFrame, hard_negatives: DataFrame | None = None,
                  text: str = "text", label: str = "label_str") -> DataFrame:
     """T8 row selection: labelled log rows and hard negatives whose text is not in the base set.

@@ -795,7 +795,6 @@ def q_t7_many(spark, sf):
     lab = reliable_checkpoint(labelled(spark, sf).select("id", "text", "label"))
     models = {f"m{n}": train_classifier(lab, TrainConfig(ngram=n, max_iter=5, num_features=1 << 10)) for n in (1, 2, 3)}
     longs, votes = score_many(lab.select("id", "text"), models)
-    longs = reliable_checkpoint(longs)
     by = longs.groupBy("id").agg(F.sort_array(F.collect_list("pred")).alias("p"), F.count(F.lit(1)).alias("k"))
     # of three votes in order the middle one is in the majority if there is one, else the smallest wins
     p = F.col("p")
