@@ -113,10 +113,24 @@ def _labelled(samples: DataFrame, cfg: TrainConfig) -> DataFrame:
 
 
 def fit_features(train: DataFrame, cfg: TrainConfig) -> tuple[list, DataFrame]:
+#: An estimator's partition holds so many times the values of one dense gradient (features x classes), and so many values at least.
+GRADIENTS_PER_PARTITION, VALUES_PER_PARTITION = 32, 1 << 20
+
+
+def training_partitions(values: int, cfg: TrainConfig) -> int:
+    """Partitions for training rows of so many non-zero features, whatever tables they were chosen from.
+
+    Every pass of an optimiser makes one dense gradient per partition and sends some to the driver, so partitions follow
+    the rows that are trained on: rows capped per class stay in as many, however many files they come from.
+    """
+    return max(1, values // max(GRADIENTS_PER_PARTITION * cfg.num_features * NUM_CLASSES, VALUES_PER_PARTITION))
+
+
     """E4 fitted on ``text, label``: its stages, and the training rows as (_y, features).
 
     The hashed counts are written once: the IDF fit and every pass of an estimator read them, never the texts again.
     """
+    The rows lie in ``training_partitions`` at most; the IDF's document frequencies add up to their non-zero features.
     pre = [normalise_stage("text", "_norm")] if cfg.normalise else []
     *counting, idf = char_ngram_stages("_norm" if cfg.normalise else "text", "features", cfg.ngram, cfg.num_features, binary=cfg.binary)
     data = _labelled(train, cfg)
@@ -124,7 +138,8 @@ def fit_features(train: DataFrame, cfg: TrainConfig) -> tuple[list, DataFrame]:
         data = stage.transform(data)
     counted = reliable_checkpoint(data.select("_y", "_tf"))
     fitted = idf.fit(counted)
-    return [*pre, *counting, fitted], fitted.transform(counted).select("_y", "features")
+    features = fitted.transform(counted).select("_y", "features")
+    return [*pre, *counting, fitted], features.coalesce(training_partitions(sum(fitted.docFreq), cfg))
 
 
 def train_classifier(train: DataFrame, cfg: TrainConfig | None = None) -> PipelineModel:
@@ -247,6 +262,7 @@ def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig
     parts = reliable_checkpoint(parts) if checkpoint else parts
     train = cap_per_class(parts.filter(F.col("split") == "train"), cfg.label_col, cfg.key_col, cfg.cap, cfg.seed)
     if cfg.grid or cfg.steps:
+    train = reliable_checkpoint(train) if checkpoint else train  # a capped part: T2 and T1 never read the whole split again
         cfg = replace(cfg, **select_best(train, cfg.grid or [{}], cfg)[1], grid=[], steps=[])
     model = train_classifier(train, cfg)
     test = parts.filter(F.col("split") == "test")
