@@ -1021,8 +1021,8 @@ def q_w1_model(spark, sf):
 
     score_stream(_v_stream(spark, sf).select("event_id", "payload"), sink, sink + "_ckpt", scorer).awaitTermination()
     got = spark.read.parquet(sink)
-    want = scorer(X.request_events(spark, sf).select("event_id", "payload")).select(F.col("event_id").alias("id"), F.col("type").alias("want"), "payload")
-    empty = F.col("b.payload") == ""
+    want = scorer(X.request_events(spark, sf).select("event_id", "payload")).select(F.col("event_id").alias("id"), F.col("type").alias("want"), (F.col("payload") == "").alias("empty"))
+    empty = F.col("b.empty")  # no payload goes through the join
     j = want.alias("b").join(got.alias("s"), F.col("b.id") == F.col("s.event_id"), "left")
     status = F.when(empty, "ERROR").when(F.col("want") == "normal", "NORMAL").otherwise("ATTACK")
     return _taken(j.agg(F.count(F.lit(1)).alias("rows"), big(F.sum((F.col("status") == "ERROR").cast("int"))).alias("errors"),
