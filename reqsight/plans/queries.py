@@ -1053,7 +1053,7 @@ def q_w3(spark, sf):
     return _taken(spark.read.parquet(table).select("text", "label_str"), table, table + "_ckpt")
 
 
-LINES_PER_FILE = 1 << 20
+LINES_PER_FILE, BYTES_PER_FILE = 1 << 20, 64 << 20
 
 
 @register("s1_read_labelled_files", f"""WITH lines AS (
@@ -1068,13 +1068,14 @@ def q_s1_files(spark, sf):
     path = _scratch(spark, "lines")
     lines = X.read_table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     lines = lines.select("value", F.xxhash64("doc_id", "line").alias("no"))
-    # lines are dealt by their hash to files of about LINES_PER_FILE; in each they come after two header lines
-    files = max(8, -(-lines.count() // LINES_PER_FILE))
+    # lines are dealt by their hash to files of about LINES_PER_FILE or BYTES_PER_FILE; in each they come after two header lines
+    n, size = lines.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()
+    files = max(8, -(-n // LINES_PER_FILE), -(-size // BYTES_PER_FILE))
     lines = lines.select("value", F.pmod(F.xxhash64("value", F.col("no")), F.lit(files)).cast("int").alias("p"))
     head = spark.range(files).select(F.explode(F.array(F.lit("# labelled lines"), F.lit("# number. title: payload"))).alias("value"),
                                  F.col("id").cast("int").alias("p"))
     both = head.select("p", F.lit(0).alias("o"), "value").unionByName(lines.select("p", F.lit(1).alias("o"), "value"))
-    both.repartition(files, "p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(path)
+    both.repartitionById(files, F.col("p")).sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(path)
     got = read_labelled_lines(spark, path + "/*")
     return _taken(got.groupBy("title", "payload").agg(F.count(F.lit(1)).alias("n")), path)
 
