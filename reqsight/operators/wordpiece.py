@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Bytes of UTF-8 that a vocabulary to broadcast may have.
 MAX_VOCAB_BYTES = 64 << 20
 MAX_WORD = 100  # characters of a word that the encoder splits; longer ones are unknown
+#: Rows whose words a worker holds as Python objects at a time, and split words that it remembers.
+ROWS_AT_ONCE, MAX_KNOWN = 256, 20_000
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 
 # The CJK blocks whose characters are tokens of their own.
@@ -113,11 +115,14 @@ def encode_wordpiece(df: DataFrame, vocab: dict[str, int], text: str = "text",
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("mask", T.ArrayType(T.IntegerType()))])
 
+    def slices(batches):
+        return (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+
     def run(batches):
         v, known = shared.value, {}
         trie = _trie(v)
         cls, sep, pad = v["[CLS]"], v["[SEP]"], v["[PAD]"]
-        for batch in batches:
+        for batch in slices(batches):
             ids_col, mask_col = [], []
             for words in batch.column(len(cols)).to_pylist():
                 pieces = [cls]
@@ -130,7 +135,7 @@ def encode_wordpiece(df: DataFrame, vocab: dict[str, int], text: str = "text",
                 pieces = pieces[:max_len - 1] + [sep]
                 ids_col.append(pieces + [pad] * (max_len - len(pieces)))
                 mask_col.append([1] * len(pieces) + [0] * (max_len - len(pieces)))
-            known = known if len(known) < 100_000 else {}
+            known = known if len(known) < MAX_KNOWN else {}
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids_col, mask_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(cols)], *lists], names=[*cols, "ids", "mask"])
 
