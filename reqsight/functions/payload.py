@@ -184,20 +184,28 @@ VIEW_MARK = "\u0001"
 
 
 def _text_views(value: Column) -> Column:
-    """Base64 and 0x-hex readings of one value that are valid UTF-8 (NULL otherwise)."""
-    b64 = F.when(value.rlike(_B64), F.try_validate_utf8(F.try_to_binary(value, F.lit("base64")).cast("string")))
-    hx = F.when(value.rlike(_HEX), F.try_validate_utf8(
+    """Base64 and 0x-hex readings of one value that are valid UTF-8 (NULL otherwise).
+
+    Most values are plain words: their length or their start rules them out before a pattern is tried.
+    """
+    b64 = F.when((F.length(value) % 4 == 0) & value.rlike(_B64), F.try_validate_utf8(F.try_to_binary(value, F.lit("base64")).cast("string")))
+    hx = F.when((value.startswith("0x") | value.startswith("0X")) & value.rlike(_HEX), F.try_validate_utf8(
         F.try_to_binary(value.substr(F.lit(3), F.lit(1 << 30)), F.lit("hex")).cast("string")))
     return F.array_compact(F.array(b64, hx))
 
 
 def _readings(view: Column) -> Column:
     """What one decoding step makes of a view: itself URL-decoded, with ``+`` as a space and as a plus (base64 holds some),
-    and each value in it that reads as base64 or hex."""
+    and each value in it that reads as base64 or hex.
+
+    Decoding that keeps every ``+`` ends without one only if no pass met any: then both ways of decoding are the same.
+    """
     tokens = F.split(view, _GAPS)
     named = F.transform(F.filter(tokens, lambda t: t.contains("=")), lambda t: t.substr(F.instr(t, "=") + 1, F.lit(1 << 30)))
     values = F.filter(F.array_distinct(F.concat(tokens, named)), lambda t: F.length(t) >= 4)
-    return F.concat(F.array(url_decode_full(view), url_decode_full(view, plus=False)), F.flatten(F.transform(values, _text_views)))
+    decoded = bound(url_decode_full(view, plus=False), lambda kept: F.when(~kept.contains("+"), F.array(kept))
+                    .otherwise(F.array(url_decode_full(view), kept)))
+    return F.concat(decoded, F.flatten(F.transform(values, _text_views)))
 
 
 def decoded_views(text) -> Column:

@@ -84,5 +84,9 @@ def label_name(idx) -> Column:
 
 
 def rule_scorer(payload) -> Column:
-    """Stand-in scorer built only from payload rules: no hit means ``normal``."""
-    return F.coalesce(class_from_payload(payload, default=None), F.lit("normal"))
+    """Stand-in scorer built only from payload rules: no hit means ``normal``.
+
+    The payload is lower-cased once, not for every keyword, also where Spark shares no subexpressions (inside a lambda).
+    """
+    lowered = F.array(F.lower(_col(payload)))
+    return F.coalesce(F.transform(lowered, lambda t: class_from_payload(t, default=None, lowered=True))[0], F.lit("normal"))
