@@ -66,7 +66,8 @@ def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
     no n-gram string is built, and the characters are split once. ``binary`` counts an n-gram once per text.
     """
     window = ", ".join(f"c[i + {k}]" for k in range(n))
-    grams = SQLTransformer(statement=f"SELECT *, transform(array(filter(split(lower(`{text}`), ''), x -> x != '')), c -> CASE WHEN size(c) >= {n} THEN "
+    chars = f"if(`{text}` = '', CAST(array() AS array<string>), split(lower(`{text}`), ''))"  # an empty text splits into one empty character
+    grams = SQLTransformer(statement=f"SELECT *, transform(array({chars}), c -> CASE WHEN size(c) >= {n} THEN "
                                      f"transform(sequence(0, size(c) - {n}), i -> xxhash64({window})) ELSE cast(array() AS array<bigint>) END)[0] AS _grams FROM __THIS__")
     stages = [grams, HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features, binary=binary)]
     if idf:
@@ -112,7 +113,6 @@ def _labelled(samples: DataFrame, cfg: TrainConfig) -> DataFrame:
     return samples.select(F.col(cfg.text_col).alias("text"), F.col(cfg.label_col).cast("double").alias("_y"))
 
 
-def fit_features(train: DataFrame, cfg: TrainConfig) -> tuple[list, DataFrame]:
 #: An estimator's partition holds so many times the values of one dense gradient (features x classes), and so many values at least.
 GRADIENTS_PER_PARTITION, VALUES_PER_PARTITION = 32, 1 << 20
 
@@ -126,11 +126,12 @@ def training_partitions(values: int, cfg: TrainConfig) -> int:
     return max(1, values // max(GRADIENTS_PER_PARTITION * cfg.num_features * NUM_CLASSES, VALUES_PER_PARTITION))
 
 
+def fit_features(train: DataFrame, cfg: TrainConfig) -> tuple[list, DataFrame]:
     """E4 fitted on ``text, label``: its stages, and the training rows as (_y, features).
 
     The hashed counts are written once: the IDF fit and every pass of an estimator read them, never the texts again.
-    """
     The rows lie in ``training_partitions`` at most; the IDF's document frequencies add up to their non-zero features.
+    """
     pre = [normalise_stage("text", "_norm")] if cfg.normalise else []
     *counting, idf = char_ngram_stages("_norm" if cfg.normalise else "text", "features", cfg.ngram, cfg.num_features, binary=cfg.binary)
     data = _labelled(train, cfg)
@@ -261,8 +262,8 @@ def train_and_evaluate(spark: SparkSession, samples: DataFrame, cfg: TrainConfig
     parts = split_dataset(reliable_checkpoint(data) if checkpoint else data, cfg)
     parts = reliable_checkpoint(parts) if checkpoint else parts
     train = cap_per_class(parts.filter(F.col("split") == "train"), cfg.label_col, cfg.key_col, cfg.cap, cfg.seed)
-    if cfg.grid or cfg.steps:
     train = reliable_checkpoint(train) if checkpoint else train  # a capped part: T2 and T1 never read the whole split again
+    if cfg.grid or cfg.steps:
         cfg = replace(cfg, **select_best(train, cfg.grid or [{}], cfg)[1], grid=[], steps=[])
     model = train_classifier(train, cfg)
     test = parts.filter(F.col("split") == "test")
@@ -313,6 +314,7 @@ def score_many(df: DataFrame, models: dict[str, PipelineModel], key: str = "id",
     for name, m in models.items():
         s = score(df, m, text).select(key, F.lit(name).alias("model"), "pred", "confidence")
         longs = s if longs is None else longs.unionByName(s)
+    longs = reliable_checkpoint(longs)
     return longs, majority_vote(longs, key)
 
 
@@ -330,7 +332,6 @@ def false_alarms(scored: DataFrame, label: str = "label", pred: str = "pred", co
     return hard_negatives(scored, label, pred, confidence, key, min_conf, k)
 
 
-    longs = reliable_checkpoint(longs)
 def retrain_rows(base: DataFrame, new_rows: DataFrame, hard_negatives: DataFrame | None = None,
                  text: str = "text", label: str = "label_str") -> DataFrame:
     """T8 row selection: labelled log rows and hard negatives whose text is not in the base set.
