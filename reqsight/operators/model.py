@@ -115,6 +115,8 @@ def _labelled(samples: DataFrame, cfg: TrainConfig) -> DataFrame:
 
 #: An estimator's partition holds so many times the values of one dense gradient (features x classes), and so many values at least.
 GRADIENTS_PER_PARTITION, VALUES_PER_PARTITION = 32, 1 << 20
+#: So few partitions are never made fewer: they cost little and keep the cores busy.
+FEW_PARTITIONS = 16
 
 
 def training_partitions(values: int, cfg: TrainConfig) -> int:
@@ -123,7 +125,7 @@ def training_partitions(values: int, cfg: TrainConfig) -> int:
     Every pass of an optimiser makes one dense gradient per partition and sends some to the driver, so partitions follow
     the rows that are trained on: rows capped per class stay in as many, however many files they come from.
     """
-    return max(1, values // max(GRADIENTS_PER_PARTITION * cfg.num_features * NUM_CLASSES, VALUES_PER_PARTITION))
+    return max(FEW_PARTITIONS, values // max(GRADIENTS_PER_PARTITION * cfg.num_features * NUM_CLASSES, VALUES_PER_PARTITION))
 
 
 def fit_features(train: DataFrame, cfg: TrainConfig) -> tuple[list, DataFrame]:

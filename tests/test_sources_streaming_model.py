@@ -237,9 +237,9 @@ def test_training_partitions_follow_the_rows_not_the_files(spark):
     from reqsight.operators.model import TrainConfig, fit_features, training_partitions
     df = spark.range(0, 400, 1, 50).select(F.concat(F.lit("q="), F.col("id").cast("string")).alias("text"), (F.col("id") % 2).cast("int").alias("label"))
     _, features = fit_features(df, TrainConfig(num_features=1 << 12))
-    assert features.rdd.getNumPartitions() == 1 and features.count() == 400
+    assert features.rdd.getNumPartitions() == 16 and features.count() == 400
     cfg = TrainConfig(num_features=1 << 15)
-    assert [training_partitions(v, cfg) for v in (0, 10 ** 7, 10 ** 9)] == [1, 1, 119]
+    assert [training_partitions(v, cfg) for v in (0, 10 ** 7, 10 ** 9)] == [16, 16, 119]
 
 
 def test_score_many_scores_once(spark):
