@@ -2,8 +2,8 @@
 
 Every random decision is a named word of a named md5 draw keyed by the row
 key (see ``draws``), so a mutation is a pure function of (seed, key, text,
-class). Each step is its own projection that references the previous text
-once, which keeps the expression tree linear instead of exponential.
+class). Each step is its own projection over the previous text's column,
+which keeps the expression tree linear instead of exponential.
 """
 
 from __future__ import annotations
@@ -75,12 +75,16 @@ def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str =
     def step(frame: DataFrame, expr: Column) -> DataFrame:
         return frame.withColumn(p, expr)
 
+    def swap(frame: DataFrame, old: str, new: Column, where: Column) -> DataFrame:
+        """Another text for ``old`` in the rows that the draw chose and that hold it; the others are not searched for it again."""
+        return step(frame, F.when(where & F.col(p).contains(old), F.replace(F.col(p), F.lit(old), new)).otherwise(F.col(p)))
+
     if "sqli" in steps:
-        d = _sqli(d, lab, p, step)
+        d = _sqli(d, lab, swap)
     if "xss" in steps:
-        d = _xss(d, lab, p, step)
+        d = _xss(d, lab, swap)
     if "path" in steps:
-        d = _path(d, lab, p, step)
+        d = _path(d, lab, p, step, swap)
     if "general" in steps:
         d = _general(d, lab, p, step)
     if "regen" in steps:
@@ -89,49 +93,39 @@ def augment_payloads(df: DataFrame, text: str, label: str, key: str, out: str =
     return d.select(*keep, F.col(p).alias(out))
 
 
-def _sqli(d, lab, p, step):
+def _sqli(d, lab, swap):
     # G1 sqli: tautology swap (same char twice for the quoted form, two chars for the plain one)
     is_sqli = lab == F.lit("sqli")
     taut = is_sqli & (_u("sq", "tautology") > 0.5)
     a = _chars_one("sq", "char_a")
-    d = step(d, F.replace(F.col(p), F.lit(SQL_TAUTOLOGY_QUOTED), F.when(
-        taut, F.concat(a, F.lit("'='"), a)).otherwise(F.lit(SQL_TAUTOLOGY_QUOTED))))
-    d = step(d, F.replace(F.col(p), F.lit(SQL_TAUTOLOGY_PLAIN), F.when(
-        taut, F.concat(_chars_one("sq", "char_b"), F.lit("="), _chars_one("sq", "char_c")))
-        .otherwise(F.lit(SQL_TAUTOLOGY_PLAIN))))
+    d = swap(d, SQL_TAUTOLOGY_QUOTED, F.concat(a, F.lit("'='"), a), taut)
+    d = swap(d, SQL_TAUTOLOGY_PLAIN, F.concat(_chars_one("sq", "char_b"), F.lit("="), _chars_one("sq", "char_c")), taut)
     # G1 sqli: keyword case change, case-sensitive substring replacement, one keyword at a time
     groups = ["k1", "k1", "k2", "k2", "k3", "k3", "k4", "k4"]
     for kw, g in zip(SQL_KEYWORDS, groups):
         new = F.when(_u(g, f"{kw}_case") > 0.5, F.lit(kw.lower())).otherwise(F.lit(_capitalize(kw)))
-        d = step(d, F.replace(F.col(p), F.lit(kw), F.when(
-            is_sqli & (_u(g, kw) > 0.5), new).otherwise(F.lit(kw))))
+        d = swap(d, kw, new, is_sqli & (_u(g, kw) > 0.5))
     return d
 
 
-def _xss(d, lab, p, step):
+def _xss(d, lab, swap):
     # G2 xss
     is_xss = lab == F.lit("xss")
-    d = step(d, F.replace(F.col(p), F.lit(XSS_ALERT), F.when(
-        is_xss & (_u("xs", "alert") > 0.5), choice(XSS_ALERT_OPTIONS, _w("xs", "alert_pick")))
-        .otherwise(F.lit(XSS_ALERT))))
-    d = step(d, F.replace(F.col(p), F.lit(XSS_SCRIPT), F.when(
-        is_xss & (_u("xs", "script") > 0.5), choice(XSS_SCRIPT_OPTIONS, _w("xs", "script_pick")))
-        .otherwise(F.lit(XSS_SCRIPT))))
+    d = swap(d, XSS_ALERT, choice(XSS_ALERT_OPTIONS, _w("xs", "alert_pick")), is_xss & (_u("xs", "alert") > 0.5))
+    d = swap(d, XSS_SCRIPT, choice(XSS_SCRIPT_OPTIONS, _w("xs", "script_pick")), is_xss & (_u("xs", "script") > 0.5))
     return d
 
 
-def _path(d, lab, p, step):
+def _path(d, lab, p, step, swap):
     # G3 lfi / traversal: new depth when all steps are contiguous, then a new target file
     is_path = lab.isin("lfi", "traversal")
-    d = d.withColumn("_cnt", ((F.length(F.col(p)) - F.length(F.replace(F.col(p), F.lit(PATH_STEP))))
-                              / F.lit(len(PATH_STEP))).cast("int"))
+    steps = ((F.length(F.col(p)) - F.length(F.replace(F.col(p), F.lit(PATH_STEP)))) / F.lit(len(PATH_STEP))).cast("int")
+    d = d.withColumn("_cnt", F.when(is_path & F.col(p).contains(PATH_STEP), steps).otherwise(0))
     depth = (F.lit(PATH_DEPTH_MIN) + _w("pt", "depth") % (PATH_DEPTH_MAX - PATH_DEPTH_MIN + 1)).cast("int")
-    d = step(d, F.when(is_path & (F.col("_cnt") > 0), F.replace(
+    d = step(d, F.when(F.col("_cnt") > 0, F.replace(
         F.col(p), F.repeat(F.lit(PATH_STEP), F.col("_cnt")), F.repeat(F.lit(PATH_STEP), depth)))
         .otherwise(F.col(p)))
-    d = step(d, F.replace(F.col(p), F.lit(LFI_TARGET), F.when(
-        is_path, choice(LFI_TARGET_OPTIONS, _w("pt", "target"))).otherwise(F.lit(LFI_TARGET))))
-    return d.drop("_cnt")
+    return swap(d, LFI_TARGET, choice(LFI_TARGET_OPTIONS, _w("pt", "target")), is_path).drop("_cnt")
 
 
 def _general(d, lab, p, step):

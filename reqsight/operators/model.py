@@ -9,13 +9,14 @@ Training, scoring and evaluation are all distributed Spark ML / SQL jobs.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark import cloudpickle
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reqsight.fixed import CAP_PER_CLASS, CLASSES, DEFAULT_SEED, NUM_CLASSES, TEST_FRACTION
 from reqsight.functions.decide import argmax, softmax
+from reqsight.functions.ngrams import add_ngram_vectors
 from reqsight.functions.rules import label_name
 from reqsight.operators import evaluate as A
 from reqsight.functions.draws import draw
@@ -58,6 +60,13 @@ class TrainConfig:
     normalise: bool = False           # P6 inside the pipeline: URL-decode at any depth, then lower-case
 
 
+def _ngram_statement(text: str, n: int) -> str:
+    window = ", ".join(f"c[i + {k}]" for k in range(n))
+    chars = f"if(`{text}` = '', CAST(array() AS array<string>), split(lower(`{text}`), ''))"  # an empty text splits into one empty character
+    return (f"SELECT *, transform(array({chars}), c -> CASE WHEN size(c) >= {n} THEN "
+            f"transform(sequence(0, size(c) - {n}), i -> xxhash64({window})) ELSE cast(array() AS array<bigint>) END)[0] AS _grams FROM __THIS__")
+
+
 def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
                       num_features: int = 1 << 18, idf: bool = True, binary: bool = False) -> list:
     """Lower-cased characters -> n-grams -> hashed term frequencies -> IDF.
@@ -65,16 +74,29 @@ def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
     An n-gram is the 64-bit hash of ``n`` neighbouring characters (code points), taken in one pass over the characters:
     no n-gram string is built, and the characters are split once. ``binary`` counts an n-gram once per text.
     """
-    window = ", ".join(f"c[i + {k}]" for k in range(n))
-    chars = f"if(`{text}` = '', CAST(array() AS array<string>), split(lower(`{text}`), ''))"  # an empty text splits into one empty character
-    grams = SQLTransformer(statement=f"SELECT *, transform(array({chars}), c -> CASE WHEN size(c) >= {n} THEN "
-                                     f"transform(sequence(0, size(c) - {n}), i -> xxhash64({window})) ELSE cast(array() AS array<bigint>) END)[0] AS _grams FROM __THIS__")
+    grams = SQLTransformer(statement=_ngram_statement(text, n))
     stages = [grams, HashingTF(inputCol="_grams", outputCol="_tf" if idf else out, numFeatures=num_features, binary=binary)]
     if idf:
         stages.append(IDF(inputCol="_tf", outputCol=out))
     return stages
 
 
+def apply_stages(df: DataFrame, stages: list[Transformer]) -> DataFrame:
+    """``df`` transformed by each stage in turn; E4's n-grams and their hashing, of this session's or a loaded model's, are
+    counted many texts at a time (``add_ngram_vectors``): the same vectors, without ``_grams``."""
+    stages = list(stages)
+    while stages:
+        stage = stages.pop(0)
+        told = isinstance(stage, SQLTransformer) and re.search(r"split\(lower\(`(.*)`\), ''\).* size\(c\) >= (\d+) ", stage.getStatement())
+        if (told and stage.getStatement() == _ngram_statement(told[1], int(told[2])) and stages
+                and isinstance(stages[0], HashingTF) and stages[0].getInputCol() == "_grams"):
+            tf = stages.pop(0)
+            df = add_ngram_vectors(df, told[1], tf.getOutputCol(), int(told[2]), tf.getNumFeatures(), tf.getBinary())
+        else:
+            df = stage.transform(df)
+    return df
+
+
 def char_ngram_features(df: DataFrame, text: str = "text", n: int = 3,
                         num_features: int = 1 << 18) -> DataFrame:
     """E4 as a transformation: adds ``n_grams``, ``n_distinct`` (different n-grams), ``counts`` (hashed term frequencies)
@@ -136,10 +158,7 @@ def fit_features(train: DataFrame, cfg: TrainConfig) -> tuple[list, DataFrame]:
     """
     pre = [normalise_stage("text", "_norm")] if cfg.normalise else []
     *counting, idf = char_ngram_stages("_norm" if cfg.normalise else "text", "features", cfg.ngram, cfg.num_features, binary=cfg.binary)
-    data = _labelled(train, cfg)
-    for stage in pre + counting:
-        data = stage.transform(data)
-    counted = reliable_checkpoint(data.select("_y", "_tf"))
+    counted = reliable_checkpoint(apply_stages(_labelled(train, cfg), pre + counting).select("_y", "_tf"))
     fitted = idf.fit(counted)
     features = fitted.transform(counted).select("_y", "features")
     return [*pre, *counting, fitted], features.coalesce(training_partitions(sum(fitted.docFreq), cfg))
@@ -155,7 +174,7 @@ def train_classifier(train: DataFrame, cfg: TrainConfig | None = None) -> Pipeli
 def score(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
     """T5: adds ``logits, probs, pred, type, confidence`` (arrays of 8 doubles)."""
     d = df.withColumn("text", F.col(text)) if text != "text" else df
-    out = model.transform(d)
+    out = apply_stages(d, model.stages if isinstance(model, PipelineModel) else [model])
     logits = vector_to_array(F.col("rawPrediction")) if "rawPrediction" in out.columns else None
     probs = vector_to_array(F.col("probability"))
     out = out.withColumn("probs", probs)
@@ -223,9 +242,7 @@ def select_best(train: DataFrame, grid: list[dict], cfg: TrainConfig | None = No
         kind = (c.ngram, c.num_features, c.binary, c.normalise)
         if kind not in shared:
             stages, features = fit_features(fit_part, c)
-            held = _labelled(val_part, c)
-            for stage in stages:
-                held = stage.transform(held)
+            held = apply_stages(_labelled(val_part, c), stages)
             shared[kind] = stages, reliable_checkpoint(features), reliable_checkpoint(held.select("_y", "features"))
 
     def curve(params: dict) -> list:
