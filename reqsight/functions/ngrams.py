@@ -143,8 +143,7 @@ def ngram_counts(texts, n: int, features: int):
     return np.cumsum(number), np.concatenate(indices), np.concatenate(counts)
 
 
-def add_ngram_vectors(df: DataFrame, text: str, out: str, n: int, features: int, binary: bool) -> DataFrame:
-    """``df`` with ``out``, the sparse vector of each text's hashed n-grams; a missing text has none."""
+def _vectors_of(n: int, features: int, binary: bool):
     def vectors(texts: pa.Array, again: pa.Array) -> pa.Array:
         import numpy as np
         ends, indices, counts = ngram_counts(texts, n, features)
@@ -153,8 +152,15 @@ def add_ngram_vectors(df: DataFrame, text: str, out: str, n: int, features: int,
         return pa.StructArray.from_arrays([pa.array(np.zeros(len(texts), np.int8)), pa.array(np.full(len(texts), features, np.int32)),
                                            pa.ListArray.from_arrays(at, pa.array(indices.astype(np.int32))),
                                            pa.ListArray.from_arrays(at, pa.array(values))], ["type", "size", "indices", "values"])
+    return F.arrow_udf(vectors, VectorUDT())
 
+
+def add_ngram_vectors(df: DataFrame, text: str, outs: dict[str, tuple[int, int, bool]]) -> DataFrame:
+    """``df`` with a sparse vector of each text's hashed n-grams for each name of ``outs``, by (n, features, binary).
+
+    A missing text has no n-grams. All vectors are made in one pass over the texts.
+    """
     # The argument is named twice (and sent once), so that Spark keeps it as a column of its own: an argument with a lambda
     # in it, as the normalised text has, would be evaluated in Python but not found there again.
     lowered = df.withColumn("_lower", F.coalesce(F.lower(F.col(f"`{text}`")), F.lit("")).cast("binary"))
-    return lowered.withColumn(out, F.arrow_udf(vectors, VectorUDT())("_lower", "_lower")).drop("_lower")
+    return lowered.withColumns({out: _vectors_of(*kind)("_lower", "_lower") for out, kind in outs.items()}).drop("_lower")

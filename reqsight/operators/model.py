@@ -81,22 +81,31 @@ def char_ngram_stages(text: str = "text", out: str = "features", n: int = 3,
     return stages
 
 
+def _hashed_ngrams(stages: list[Transformer]) -> tuple[str, str, tuple[int, int, bool]] | None:
+    """(text column, output column, (n, features, binary)) if the first two stages are E4's n-grams and their hashing."""
+    grams, tf = [*stages[:2], None, None][:2]
+    told = isinstance(grams, SQLTransformer) and re.search(r"split\(lower\(`(.*)`\), ''\).* size\(c\) >= (\d+) ", grams.getStatement())
+    if not told or grams.getStatement() != _ngram_statement(told[1], int(told[2])) or not isinstance(tf, HashingTF) or tf.getInputCol() != "_grams":
+        return None
+    return told[1], tf.getOutputCol(), (int(told[2]), tf.getNumFeatures(), tf.getBinary())
+
+
 def apply_stages(df: DataFrame, stages: list[Transformer]) -> DataFrame:
     """``df`` transformed by each stage in turn; E4's n-grams and their hashing, of this session's or a loaded model's, are
     counted many texts at a time (``add_ngram_vectors``): the same vectors, without ``_grams``."""
-    stages = list(stages)
     while stages:
-        stage = stages.pop(0)
-        told = isinstance(stage, SQLTransformer) and re.search(r"split\(lower\(`(.*)`\), ''\).* size\(c\) >= (\d+) ", stage.getStatement())
-        if (told and stage.getStatement() == _ngram_statement(told[1], int(told[2])) and stages
-                and isinstance(stages[0], HashingTF) and stages[0].getInputCol() == "_grams"):
-            tf = stages.pop(0)
-            df = add_ngram_vectors(df, told[1], tf.getOutputCol(), int(told[2]), tf.getNumFeatures(), tf.getBinary())
+        if found := _hashed_ngrams(stages):
+            text, out, kind = found
+            df, stages = add_ngram_vectors(df, text, {out: kind}), stages[2:]
         else:
-            df = stage.transform(df)
+            df, stages = stages[0].transform(df), stages[1:]
     return df
 
 
+def _stages(model: Transformer) -> list[Transformer]:
+    return model.stages if isinstance(model, PipelineModel) else [model]
+
+
 def char_ngram_features(df: DataFrame, text: str = "text", n: int = 3,
                         num_features: int = 1 << 18) -> DataFrame:
     """E4 as a transformation: adds ``n_grams``, ``n_distinct`` (different n-grams), ``counts`` (hashed term frequencies)
@@ -171,16 +180,20 @@ def train_classifier(train: DataFrame, cfg: TrainConfig | None = None) -> Pipeli
     return PipelineModel(stages=[*stages, _estimator(cfg).fit(features)])
 
 
-def score(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
-    """T5: adds ``logits, probs, pred, type, confidence`` (arrays of 8 doubles)."""
-    d = df.withColumn("text", F.col(text)) if text != "text" else df
-    out = apply_stages(d, model.stages if isinstance(model, PipelineModel) else [model])
+def _decided(out: DataFrame) -> DataFrame:
+    """``logits, probs, pred, type, confidence`` of a classifier's output."""
     logits = vector_to_array(F.col("rawPrediction")) if "rawPrediction" in out.columns else None
     probs = vector_to_array(F.col("probability"))
     out = out.withColumn("probs", probs)
     out = out.withColumn("logits", logits if logits is not None else F.transform("probs", F.log))
     out = out.withColumn("pred", argmax("logits"))
-    out = out.withColumn("type", label_name("pred")).withColumn("confidence", F.element_at("probs", F.col("pred") + 1))
+    return out.withColumn("type", label_name("pred")).withColumn("confidence", F.element_at("probs", F.col("pred") + 1))
+
+
+def score(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
+    """T5: adds ``logits, probs, pred, type, confidence`` (arrays of 8 doubles)."""
+    d = df.withColumn("text", F.col(text)) if text != "text" else df
+    out = _decided(apply_stages(d, _stages(model)))
     internal = {"_norm", "_grams", "_tf", "features", "rawPrediction", "probability", "prediction"}
     drop = [c for c in out.columns if c in internal and c not in df.columns]
     return out.drop(*drop)
@@ -327,12 +340,18 @@ def score_many(df: DataFrame, models: dict[str, PipelineModel], key: str = "id",
                text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Long form ``key, model, pred, confidence`` and the majority vote per key.
 
-    The long form is written once, so a text is scored once by a model whatever is made of the scores and votes.
+    The long form is written once, so a text is scored once by a model whatever is made of the scores and votes. The texts are
+    read once for all models, whose n-grams are counted in the same pass.
     """
-    longs = None
-    for name, m in models.items():
-        s = score(df, m, text).select(key, F.lit(name).alias("model"), "pred", "confidence")
-        longs = s if longs is None else longs.unionByName(s)
+    wide = df.select(F.col(key), *([F.col(text).alias("text")] if key != "text" else []))
+    found = {f"_v{i}": x for i, m in enumerate(models.values()) if (x := _hashed_ngrams(_stages(m))) and x[0] == "text"}
+    wide = add_ngram_vectors(wide, "text", {v: kind for v, (_, _, kind) in found.items()}) if found else wide
+    for i, m in enumerate(models.values()):
+        v, stages = f"_v{i}", _stages(m)
+        out = apply_stages(wide.withColumn(found[v][1], F.col(v)), stages[2:]) if v in found else apply_stages(wide, stages)
+        wide = _decided(out).select(*wide.columns, F.struct("pred", "confidence").alias(f"_s{i}"))
+    said = [F.struct(F.lit(name).alias("model"), F.col(f"_s{i}.pred"), F.col(f"_s{i}.confidence")) for i, name in enumerate(models)]
+    longs = wide.select(key, F.explode(F.array(*said)).alias("_s")).select(key, "_s.model", "_s.pred", "_s.confidence")
     longs = reliable_checkpoint(longs)
     return longs, majority_vote(longs, key)
 
